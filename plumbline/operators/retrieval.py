@@ -6,3 +6,11 @@ def visible_to(programs):
 def valid_at(day):
     at = F.lit(day).cast("date")
     return (F.col("valid_from") <= at) & (F.col("valid_to").isNull() | (F.col("valid_to") > at))
+def expand_parents(children, chunks, parents, scope_ok, same, k):
+    from pyspark.sql import Window
+    ranked = children.join(chunks.select("id", "parent_id", *same), "id").where("parent_id IS NOT NULL")
+    allowed = parents.where(scope_ok).select(F.col("id").alias("parent_id"), *same)
+    best = ranked.join(allowed, ["parent_id", *same]).groupBy("query_id", "parent_id").agg(
+        F.min(F.struct("order_key", "id")).alias("first"))
+    w = Window.partitionBy("query_id").orderBy("first")
+    return best.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)

@@ -34,6 +34,7 @@ def local(cores: str | int = "*", **conf: str) -> SparkSession:
         **{
             "spark.sql.shuffle.partitions": "8",
             "spark.ui.enabled": "false",
+            "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "12g",
             "spark.sql.autoBroadcastJoinThreshold": "10m",
             **conf,

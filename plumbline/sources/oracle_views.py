@@ -63,6 +63,38 @@ SELECT doc_id AS id, doc_id // 4 AS document_id, doc_id % 2 AS document_revision
        CASE WHEN doc_id % 5 < 2 THEN DATE '2024-01-01' + CAST(doc_id % 5 * 30 AS INT) + 45 END AS valid_to,
        CASE WHEN doc_id % 10 <> 9 THEN doc_id // 10 * 10 END AS parent_id
 FROM documents""",
+    "recurrence_events": """
+SELECT ncr_id, supplier_id,
+       ['1-URGENT','2-HIGH','3-MEDIUM','4-NOT SPECIFIED','5-LOW'][part_number % 5 + 1] AS cause_code,
+       CAST(discovered_at AS DATE) AS discovered_at, CAST(discovered_at AS DATE) + 30 AS adjudicated_at FROM ncrs""",
+    "cycles": """
+SELECT event_id AS serial, user_id AS machine_id, ts AS cycle_start,
+       ts + to_hours(CAST(event_id % 5 + 2 AS INT)) AS inspection_completed_at,
+       CAST(event_type = 'error' AS INT) AS failed, CAST(value AS DECIMAL(12,2)) AS value FROM events""",
+    "gateway_events": """
+SELECT * FROM (
+  SELECT event_id // 4 AS trace_id, ts,
+         CASE WHEN event_id % 4 = 0 THEN 'received' WHEN event_id % 4 = 1 AND value >= 100 THEN 'intent'
+              WHEN event_id % 4 = 1 THEN 'blocked' WHEN event_id % 4 = 2 AND event_type = 'error' THEN 'failed'
+              WHEN event_id % 4 = 2 AND event_type <> 'view' THEN 'completed' END AS event,
+         list_filter([CASE WHEN cents % 3 = 0 THEN 'GW-PII' END, CASE WHEN cents % 5 = 0 THEN 'GW-MARK' END,
+                      CASE WHEN cents % 7 = 0 THEN 'GW-INJECT' END], lambda c: c IS NOT NULL) AS codes, cents
+  FROM (SELECT *, CAST(round(value * 100) AS BIGINT) AS cents FROM events)) WHERE event IS NOT NULL""",
+    "classifications": """
+SELECT 'D-' || ncr_id AS decision_id, ncr_id, ['fast','standard','frontier'][part_number % 3 + 1] AS model,
+       CASE WHEN ok THEN CASE WHEN part_number % 10 = 0 THEN 'cosmetic' WHEN part_number % 101 = 0 THEN 'other' ELSE category END END AS category,
+       CASE WHEN ok THEN sev END AS severity, CASE WHEN ok THEN supplier_id END AS supplier_id,
+       CASE WHEN ok THEN ['use-as-is','rework','scrap','return-to-supplier'][quantity % 4 + 1] END AS suggested_disposition,
+       owner AS car_owner_email, CASE WHEN ok THEN conf END AS confidence,
+       CASE WHEN ok AND part_number % 103 <> 0 THEN 'seen on part ' || part_number END AS reasoning,
+       CAST(discovered_at AS DATE) + 1 AS classified_at,
+       CASE WHEN part_number % 19 = 0 OR (sev <= 3 AND conf >= 0.9 AND owner IS NOT NULL AND ok) THEN 'auto' ELSE 'review' END AS routed
+FROM (SELECT *, part_number % 17 <> 0 AS ok, (70 + (quantity * 7 + part_number) % 31) / 100 AS conf,
+             CASE WHEN part_number % 13 = 0 THEN 5 ELSE severity END AS sev,
+             CASE WHEN part_number % 6 <> 0 THEN 'owner' || (supplier_id % 9) || '@example.com' END AS owner FROM ncrs)""",
+    "reviews": """
+SELECT 'R-' || ncr_id AS review_id, 'D-' || ncr_id AS decision_id, CAST(discovered_at AS DATE) + 3 AS reviewed_at
+FROM ncrs WHERE part_number % 3 = 0""",
 }
 
 

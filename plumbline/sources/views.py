@@ -209,5 +209,100 @@ class Views:
             F.when(F.col("doc_id") % 10 != 9, F.floor(F.col("doc_id") / 10) * 10).alias("parent_id"),
         )
 
+    # ---- derived operational tables -------------------------------------------------------
+    @cached_property
+    def recurrence_events(self) -> DataFrame:
+        causes = F.array(*[F.lit(c) for c in CAUSES])
+        return self.ncrs.select(
+            "ncr_id",
+            "supplier_id",
+            F.element_at(causes, (F.col("part_number") % 5 + 1).cast("int")).alias("cause_code"),
+            F.col("discovered_at").cast("date").alias("discovered_at"),
+            F.date_add(F.col("discovered_at").cast("date"), 30).alias("adjudicated_at"),
+        )
+
+    @cached_property
+    def cycles(self) -> DataFrame:
+        """Machine cycles: start, when the inspection result became known, and the result."""
+        return self.raw("events").select(
+            F.col("event_id").alias("serial"),
+            F.col("user_id").alias("machine_id"),
+            F.col("ts").alias("cycle_start"),
+            (F.col("ts") + F.make_dt_interval(F.lit(0), (F.col("event_id") % 5 + 2).cast("int"))).alias(
+                "inspection_completed_at"
+            ),
+            (F.col("event_type") == "error").cast("int").alias("failed"),
+            F.col("value").cast("decimal(12,2)").alias("value"),
+        )
+
+    @cached_property
+    def gateway_events(self) -> DataFrame:
+        """Lifecycle rows of request traces (four raw events make one trace)."""
+        cents = F.round(F.col("value") * 100).cast("bigint")
+        step, kind = F.col("event_id") % 4, F.col("event_type")
+        event = (
+            F.when(step == 0, "received")
+            .when((step == 1) & (F.col("value") >= 100), "intent")
+            .when(step == 1, "blocked")
+            .when((step == 2) & (kind == "error"), "failed")
+            .when((step == 2) & (kind != "view"), "completed")
+        )
+        codes = F.filter(
+            F.array(
+                F.when(cents % 3 == 0, "GW-PII"), F.when(cents % 5 == 0, "GW-MARK"), F.when(cents % 7 == 0, "GW-INJECT")
+            ),
+            lambda c: c.isNotNull(),
+        )
+        record = F.when(event.isin("blocked", "failed") & (cents % 11 != 0), F.to_json(F.struct(codes.alias("block_codes"))))
+        return (
+            self.raw("events")
+            .select(
+                F.floor(F.col("event_id") / 4).alias("trace_id"),
+                "ts",
+                event.alias("event"),
+                F.coalesce(record, F.lit("{}")).alias("record"),
+            )
+            .where("event IS NOT NULL")
+        )
+
+    @cached_property
+    def classifications(self) -> DataFrame:
+        """Model decisions on incidents: some rejected (all result fields NULL), some breaking rules."""
+        part, qty = F.col("part_number"), F.col("quantity")
+        ok = part % 17 != 0
+        confidence = (70 + (qty * 7 + part) % 31).cast("decimal(5,2)") / 100
+        severity = F.when(part % 13 == 0, 5).otherwise(F.col("severity"))
+        owner = F.when(part % 6 != 0, F.concat(F.lit("owner"), F.col("supplier_id") % 9, F.lit("@example.com")))
+        auto = (part % 19 == 0) | ((severity <= 3) & (confidence >= 0.9) & owner.isNotNull() & ok)
+        pick = lambda values, n: F.element_at(F.array(*[F.lit(x) for x in values]), (n % len(values) + 1).cast("int"))
+        return self.ncrs.select(
+            F.concat(F.lit("D-"), "ncr_id").alias("decision_id"),
+            "ncr_id",
+            pick(["fast", "standard", "frontier"], part).alias("model"),
+            F.when(ok, F.when(part % 10 == 0, "cosmetic").when(part % 101 == 0, "other").otherwise(F.col("category"))).alias(
+                "category"
+            ),
+            F.when(ok, severity).alias("severity"),
+            F.when(ok, F.col("supplier_id")).alias("supplier_id"),
+            F.when(ok, pick(["use-as-is", "rework", "scrap", "return-to-supplier"], qty)).alias("suggested_disposition"),
+            owner.alias("car_owner_email"),
+            F.when(ok, confidence.cast("double")).alias("confidence"),
+            F.when(ok & (part % 103 != 0), F.concat(F.lit("seen on part "), part)).alias("reasoning"),
+            F.date_add(F.col("discovered_at").cast("date"), 1).alias("classified_at"),
+            F.when(auto, "auto").otherwise("review").alias("routed"),
+        )
+
+    @cached_property
+    def reviews(self) -> DataFrame:
+        done = self.ncrs.where("part_number % 3 = 0")
+        return done.select(
+            F.concat(F.lit("R-"), "ncr_id").alias("review_id"),
+            F.concat(F.lit("D-"), "ncr_id").alias("decision_id"),
+            F.date_add(F.col("discovered_at").cast("date"), 3).alias("reviewed_at"),
+        )
+
+
+# The order-priority labels double as cause codes.
+CAUSES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 
 _VIEW_NAMES = [k for k, v in vars(Views).items() if isinstance(v, cached_property)]
