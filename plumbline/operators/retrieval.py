@@ -1,16 +1,414 @@
+"""Scoped retrieval for a batch of queries: eligibility, dense, sparse, fusion, metrics.
+
+Every stage applies the same eligibility predicate, built in one place. Corpus
+statistics are per scope, since a query may only see statistics of rows it may see.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-def visible_to(programs):
+
+from plumbline.functions import text
+from plumbline.operators import vectors, windows
+from plumbline.operators.joins import ContractError, broadcast_checked, duplicate_keys
+
+VECTOR_SIZE = 1024
+SPACE = f"lexical-sha256:{VECTOR_SIZE}"
+# Okapi BM25 parameters and the rank-fusion constant.
+K1, B, EPSILON = 1.5, 0.75, 0.25
+RRF_K = 60
+
+
+@dataclass(frozen=True)
+class Scope:
+    """What one group of users may read."""
+
+    scope_id: int
+    source_types: tuple[str, ...]
+    programs: tuple[str, ...]
+    asof: str
+    embed_model: str
+
+
+def visible_to(programs: Sequence[str]) -> Column:
+    """Shared rows, and program rows of an allowed program. No visibility means not visible."""
     kind = F.get_json_object("metadata", "$.visibility")
     program = F.get_json_object("metadata", "$.program")
-    return (kind == "shared") | ((kind == "program") & program.isin(list(programs)))
-def valid_at(day):
+    return F.coalesce((kind == "shared") | ((kind == "program") & program.isin(list(programs))), F.lit(False))
+
+
+def valid_at(day: str) -> Column:
     at = F.lit(day).cast("date")
     return (F.col("valid_from") <= at) & (F.col("valid_to").isNull() | (F.col("valid_to") > at))
-def expand_parents(children, chunks, parents, scope_ok, same, k):
-    from pyspark.sql import Window
+
+
+def eligible(scope: Scope) -> Column:
+    return (
+        F.col("source_type").isin(list(scope.source_types))
+        & (F.col("embed_model") == scope.embed_model)
+        & visible_to(scope.programs)
+        & valid_at(scope.asof)
+    )
+
+
+def scoped(chunks: DataFrame, scopes: Sequence[Scope], *columns: str) -> DataFrame:
+    """One row per (scope, eligible chunk): a projection and an explode, no join."""
+    marks = F.array(*[F.when(eligible(s), F.lit(s.scope_id)) for s in scopes])
+    ids = F.filter(marks, lambda m: m.isNotNull())
+    return chunks.select(F.explode(ids).alias("scope_id"), "id", *columns)
+
+
+def reload_scoped(ranked: DataFrame, chunks: DataFrame, scopes: Sequence[Scope], *columns: str) -> DataFrame:
+    """Second authorisation before content leaves: ineligible ids silently drop, order stays."""
+    return ranked.join(scoped(chunks, scopes, *columns), ["scope_id", "id"])
+
+
+# ---- sparse -----------------------------------------------------------------------------
+
+
+def postings(chunks: DataFrame, scopes: Sequence[Scope]) -> DataFrame:
+    """(id, token, tf, doc_len, scope_ids). One shuffle by id serves every later grouping by id."""
+    marks = F.array(*[F.when(eligible(s), F.lit(s.scope_id)) for s in scopes])
+    ids = F.filter(marks, lambda m: m.isNotNull())
+    docs = (
+        chunks.withColumn("scope_ids", ids)
+        .where(F.size("scope_ids") > 0)
+        .select("id", "scope_ids", text.tokens("content").alias("tokens"))
+        .repartition("id")
+    )
+    words = docs.select("id", "scope_ids", F.size("tokens").alias("doc_len"), F.explode("tokens").alias("token"))
+    return words.groupBy("id", "token").agg(
+        F.count("*").alias("tf"), F.max("doc_len").alias("doc_len"), F.max("scope_ids").alias("scope_ids")
+    )
+
+
+def corpus_statistics(chunks: DataFrame, scopes: Sequence[Scope]) -> DataFrame:
+    """Rows and mean length per scope, counting rows without any token too."""
+    rows = scoped(chunks, scopes, "content").select("scope_id", F.size(text.tokens("content")).alias("doc_len"))
+    return rows.groupBy("scope_id").agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avgdl"))
+
+
+def term_idf(posted: DataFrame, stats: DataFrame) -> DataFrame:
+    """Idf per (scope, term); negative values are floored at a fraction of the scope's mean idf."""
+    df = posted.select(F.explode("scope_ids").alias("scope_id"), "token").groupBy("scope_id", "token").agg(F.count("*").alias("df"))
+    raw = df.join(F.broadcast(stats), "scope_id").withColumn(
+        "idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    )
+    mean = raw.groupBy("scope_id").agg(F.avg("idf").alias("mean_idf"))
+    floored = F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf"))
+    return raw.join(F.broadcast(mean), "scope_id").select("scope_id", "token", floored.alias("idf"))
+
+
+def bm25_topk(queries: DataFrame, chunks: DataFrame, scopes: Sequence[Scope], k: int = 50) -> DataFrame:
+    """Top ``k`` overlapping chunks per query (query_id, scope_id, text), ties by id."""
+    posted = postings(chunks, scopes)
+    stats = corpus_statistics(chunks, scopes)
+    terms = (
+        queries.select("query_id", "scope_id", F.explode(text.tokens("text")).alias("token"))
+        .groupBy("query_id", "scope_id", "token")
+        .agg(F.count("*").alias("qtf"))
+        .join(term_idf(posted, stats), ["scope_id", "token"])
+        .join(F.broadcast(stats), "scope_id")
+    )
+    tf, length = F.col("tf"), F.col("doc_len") / F.col("avgdl")
+    part = F.col("qtf") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length))
+    hits = posted.join(broadcast_checked(terms, 500_000), "token").where(F.array_contains("scope_ids", F.col("scope_id")))
+    scored = hits.groupBy("id", "query_id", "scope_id").agg(F.round(F.sum(part), 9).alias("score"))
+    return windows.top_per_group(scored, ["query_id"], [F.desc("score"), F.col("id")], k, "rank")
+
+
+# ---- dense ------------------------------------------------------------------------------
+
+
+def sparse_hash_vectors(docs: DataFrame, key: str, content: str, size: int = VECTOR_SIZE) -> DataFrame:
+    """(key, bucket, weight): hashed token counts scaled to unit length, kept sparse."""
+    words = docs.select(key, F.explode(text.tokens(content)).alias("token"))
+    counts = words.groupBy(key, text.token_bucket(F.col("token"), size).alias("bucket")).agg(F.count("*").alias("n"))
+    norms = counts.groupBy(key).agg(F.sqrt(F.sum(F.col("n") * F.col("n")).cast("double")).alias("norm"))
+    return counts.join(norms, key).select(key, "bucket", (F.col("n") / F.col("norm")).alias("weight"))
+
+
+def hash_embed(texts: pd.Series) -> list[np.ndarray]:
+    """Default embedder for Arrow batches: the same hashed vectors, dense; no tokens gives zeros."""
+    import hashlib
+    import re
+
+    pattern, seen, out = re.compile(text.TOKEN), {}, []
+    for value in texts:
+        row = np.zeros(VECTOR_SIZE)
+        for token in pattern.findall(value.lower()):
+            slot = seen.get(token)
+            if slot is None:
+                slot = seen[token] = int.from_bytes(hashlib.sha256(token.encode()).digest()[:4], "big") % VECTOR_SIZE
+            row[slot] += 1
+        size = np.linalg.norm(row)
+        out.append(row / size if size else row)
+    return out
+
+
+def embedding_udf(embed=hash_embed):
+    @F.pandas_udf("array<double>")
+    def encode(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.asarray(x) for x in embed(texts)])
+
+    return encode
+
+
+def dense_topk(queries: DataFrame, chunks: DataFrame, scopes: Sequence[Scope], k: int = 50, embed=hash_embed) -> DataFrame:
+    """Exact cosine top ``k`` per query inside its scope; texts without tokens cannot be found."""
+    encode = embedding_udf(embed)
+    parts = []
+    for scope in scopes:
+        asked = queries.where(F.col("scope_id") == scope.scope_id).where(F.size(text.tokens("text")) > 0)
+        rows = chunks.where(eligible(scope)).where(F.size(text.tokens("content")) > 0)
+        got = vectors.topk_cosine(
+            asked.select("query_id", encode("text").alias("embedding")),
+            rows.select("id", encode("content").alias("embedding")),
+            k,
+        )
+        parts.append(got.withColumn("scope_id", F.lit(scope.scope_id)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+# ---- fusion -----------------------------------------------------------------------------
+
+
+def rrf(rankings: DataFrame, n: int | None = None, k: int = RRF_K) -> DataFrame:
+    """Reciprocal-rank fusion of (query_id, list_id, id, rank): repeats drop before ranks count."""
+    if k < 1:
+        raise ValueError("positive rank constant required")
+    first = rankings.groupBy("query_id", "list_id", "id").agg(F.min("rank").alias("rank"))
+    w = Window.partitionBy("query_id", "list_id").orderBy("rank", "id")
+    dense = first.withColumn("place", F.row_number().over(w))
+    score = dense.groupBy("query_id", "id").agg(F.round(F.sum(1 / (k + F.col("place"))), 12).alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    ranked = score.withColumn("rank", F.row_number().over(order))
+    return ranked.where(F.col("rank") <= n) if n else ranked
+
+
+def hybrid_search(
+    queries: DataFrame, chunks: DataFrame, scopes: Sequence[Scope], pool: int = 50, embed=hash_embed
+) -> DataFrame:
+    """Dense and sparse pools, fused, then loaded again under the same scope."""
+    dense = dense_topk(queries, chunks, scopes, pool, embed).select("query_id", "id", "rank", F.lit("dense").alias("list_id"))
+    sparse = bm25_topk(queries, chunks, scopes, pool).select("query_id", "id", "rank", F.lit("sparse").alias("list_id"))
+    fused = rrf(dense.unionByName(sparse), pool)
+    asked = queries.select("query_id", "scope_id")
+    return reload_scoped(fused.join(asked, "query_id"), chunks, scopes, "content")
+
+
+def overlap_scores(questions: pd.Series, contents: pd.Series) -> np.ndarray:
+    """Default pair scorer: share of the question's distinct tokens found in the content."""
+    import re
+
+    pattern = re.compile(text.TOKEN)
+    out = []
+    for q, c in zip(questions, contents, strict=True):
+        asked = set(pattern.findall(q.lower()))
+        out.append(len(asked & set(pattern.findall(c.lower()))) / len(asked) if asked else 0.0)
+    return np.asarray(out)
+
+
+def rerank(shortlist: DataFrame, k: int = 8, scorer=overlap_scores) -> DataFrame:
+    """Re-order (query_id, id, rank, text, content) by an injected pair scorer; ties keep their order."""
+    if k < 1:
+        raise ValueError("positive k required")
+
+    @F.pandas_udf("double")
+    def score(questions: pd.Series, contents: pd.Series) -> pd.Series:
+        values = np.asarray(scorer(questions, contents), dtype=float).reshape(-1)
+        if len(values) != len(questions) or not np.isfinite(values).all():
+            raise ValueError("invalid reranker scores")
+        return pd.Series(values)
+
+    scored = shortlist.withColumn("rerank_score", score("text", "content"))
+    return windows.top_per_group(scored, ["query_id"], [F.desc("rerank_score"), F.col("rank")], k, "new_rank")
+
+
+def expand_parents(children, chunks, parents, scope_ok: Column, same: Sequence[str], k: int) -> DataFrame:
+    """First ``k`` distinct parents per query in child order; the parent must be allowed itself."""
     ranked = children.join(chunks.select("id", "parent_id", *same), "id").where("parent_id IS NOT NULL")
     allowed = parents.where(scope_ok).select(F.col("id").alias("parent_id"), *same)
-    best = ranked.join(allowed, ["parent_id", *same]).groupBy("query_id", "parent_id").agg(
-        F.min(F.struct("order_key", "id")).alias("first"))
-    w = Window.partitionBy("query_id").orderBy("first")
-    return best.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
+    best = (
+        ranked.join(allowed, ["parent_id", *same])
+        .groupBy("query_id", "parent_id")
+        .agg(F.min(F.struct("order_key", "id")).alias("first"))
+    )
+    return windows.top_per_group(best, ["query_id"], ["first"], k)
+
+
+# ---- metrics ----------------------------------------------------------------------------
+
+
+def check_rankings(ranked: DataFrame, judged: DataFrame) -> None:
+    if not duplicate_keys(ranked, ["query_id", "id"]).isEmpty():
+        raise ContractError("rankings must contain unique ids")
+    if not duplicate_keys(ranked, ["query_id", "rank"]).isEmpty():
+        raise ContractError("duplicate ranks")
+    if not judged.where((F.col("grade") < 0) | F.col("grade").isNull() | F.isnan(F.col("grade").cast("double"))).isEmpty():
+        raise ContractError("grades must be finite and nonnegative")
+    unjudged = ranked.select("query_id").distinct().join(judged.where("grade > 0"), "query_id", "left_anti")
+    if not unjudged.isEmpty():
+        raise ContractError("no relevance set: evaluate unanswerability separately")
+
+
+def retrieval_metrics(ranked: DataFrame, judged: DataFrame, k: int, check: bool = True) -> DataFrame:
+    """recall@k, reciprocal rank and linear-gain nDCG@k per query with a relevance set."""
+    if not isinstance(k, int) or k < 1:
+        raise ValueError("positive integer cutoff required")
+    if check:
+        check_rankings(ranked, judged)
+    relevant = judged.where("grade > 0")
+    discount = lambda rank: F.log2(rank.cast("double") + 1)
+    sizes = relevant.groupBy("query_id").agg(F.count("*").alias("relevant"))
+    ideal = windows.top_per_group(relevant, ["query_id"], [F.desc("grade"), F.col("id")], k, "place")
+    best = ideal.groupBy("query_id").agg(F.sum(F.col("grade") / discount(F.col("place"))).alias("idcg"))
+    hits = ranked.join(relevant, ["query_id", "id"]).groupBy("query_id").agg(
+        F.sum((F.col("rank") <= k).cast("int")).alias("found"),
+        F.min("rank").alias("first_rank"),
+        F.sum(F.when(F.col("rank") <= k, F.col("grade") / discount(F.col("rank"))).otherwise(0.0)).alias("dcg"),
+    )
+    return (
+        sizes.join(best, "query_id")
+        .join(hits, "query_id", "left")
+        .select(
+            "query_id",
+            (F.coalesce("found", F.lit(0)) / F.col("relevant")).alias("recall"),
+            F.coalesce(1 / F.col("first_rank"), F.lit(0.0)).alias("reciprocal_rank"),
+            (F.coalesce("dcg", F.lit(0.0)) / F.col("idcg")).alias("ndcg"),
+        )
+    )
+
+
+# ---- revisions --------------------------------------------------------------------------
+
+
+def check_replacement(current: DataFrame, new: DataFrame, effective: str) -> None:
+    """One complete revision per document and space, starting after everything recorded."""
+    key = ["document_id", "embed_model"]
+    day = F.lit(effective).cast("date")
+    if new.isEmpty():
+        raise ContractError("effective date and nonempty replacement required")
+    shape = new.groupBy(*key).agg(
+        F.count_distinct("document_revision").alias("revisions"),
+        F.count("*").alias("n"),
+        F.count_distinct("chunk_index").alias("distinct_n"),
+        F.min("chunk_index").alias("lo"),
+        F.max("chunk_index").alias("hi"),
+    )
+    broken = (F.col("revisions") != 1) | (F.col("n") != F.col("distinct_n")) | (F.col("lo") != 0) | (F.col("hi") != F.col("n") - 1)
+    if not shape.where(broken).isEmpty():
+        raise ContractError("one complete revision with contiguous unique chunk indices required")
+    if not new.where((F.col("valid_from") != day) | F.col("valid_to").isNotNull()).isEmpty():
+        raise ContractError("replacement rows do not match document, space, or interval")
+    late = current.join(new.select(*key).distinct(), key, "left_semi").where(F.col("valid_from") >= day)
+    if not late.isEmpty():
+        raise ContractError("replacement must start after all recorded revisions in this space")
+
+
+def replace_revision(current: DataFrame, new: DataFrame, effective: str, check: bool = True) -> DataFrame:
+    """Close the open rows of replaced documents at ``effective`` and append the new revision."""
+    if check:
+        check_replacement(current, new, effective)
+    key = ["document_id", "embed_model"]
+    replaced = new.select(*key).distinct().withColumn("__r", F.lit(True))
+    closing = F.col("__r") & F.col("valid_to").isNull()
+    kept = (
+        current.join(replaced, key, "left")
+        .withColumn("status", F.when(closing, "closed").otherwise("kept"))
+        .withColumn("valid_to", F.when(closing, F.lit(effective).cast("date")).otherwise(F.col("valid_to")))
+        .drop("__r")
+    )
+    return kept.unionByName(new.withColumn("status", F.lit("new")))
+
+
+# ---- reuse of earlier answers -------------------------------------------------------------
+
+
+def exact_reuse(queries: DataFrame, answers: DataFrame, ttl_seconds: int) -> DataFrame:
+    """Latest live answer with the same scope and text (asked after answered, before expiry).
+
+    Times are cut into TTL-wide buckets; a query can only meet answers of its own or the
+    previous bucket, so even one endlessly repeated text spreads over the time axis.
+    Answers given at one instant reduce to the one with the largest id.
+    """
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    slot = lambda c: F.floor(micros(c) / (ttl_seconds * 1_000_000))
+    key = ["scope", "digest", "slot"]
+    digest = F.sha2("text", 256).alias("digest")
+    held = (
+        answers.select("scope", digest, slot("answered_at").alias("slot"), "answered_at", "answer_id")
+        .groupBy(*key, "answered_at")
+        .agg(F.max("answer_id").alias("answer_id"))
+        .select(*key, F.struct("answered_at", "answer_id").alias("a"))
+    )
+    # Within one slot only the running latest matters; queries and answers share a timeline.
+    asks = queries.select("scope", digest, slot("asked_at").alias("slot"), F.col("asked_at").alias("at"), "query_id")
+    last = held.groupBy(*key).agg(F.max("a").alias("a"))
+    line = asks.select(*key, "at", F.lit(0).alias("kind"), "query_id", F.lit(None).cast(held.schema["a"].dataType).alias("a")).unionByName(
+        held.select(*key, F.col("a.answered_at").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), "a")
+    )
+    upto = Window.partitionBy(*key).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    here = line.withColumn("a", F.last("a", ignorenulls=True).over(upto)).where("kind = 0").select(*key, "at", "query_id", "a")
+    before = last.select("scope", "digest", (F.col("slot") + 1).alias("slot"), F.col("a").alias("p"))
+    best = here.join(before, key, "left").withColumn("a", F.coalesce("a", "p"))
+    live = F.col("a.answered_at") + F.expr(f"INTERVAL '{ttl_seconds}' SECOND") > F.col("at")
+    return best.where(live & (F.col("a.answered_at") < F.col("at"))).select(
+        "query_id", F.col("a.answer_id").alias("answer_id"), F.lit(1.0).alias("similarity")
+    )
+
+
+def near_reuse(queries: DataFrame, answers: DataFrame, ttl_seconds: int, threshold: float = 0.97) -> DataFrame:
+    """Best live answer of the scope with cosine >= ``threshold`` (ties: newest, then id).
+
+    Candidates come from an exact prefix filter. With unit vectors sorted rarest term
+    first, a pair can only reach the threshold if it shares a term of the query's
+    prefix, the leading terms left when the remaining ones have norm < threshold.
+    """
+    unit = lambda df, key: sparse_hash_vectors(df, key, "text", 1 << 30)  # noqa: E731  (terms, hardly any collision)
+    asked, held = unit(queries, "query_id"), unit(answers, "answer_id")
+    rarity = held.groupBy("bucket").agg(F.count("*").alias("df"))
+    tail = Window.partitionBy("query_id").orderBy(F.desc("df"), "bucket").rowsBetween(Window.unboundedPreceding, 0)
+    ordered = asked.join(rarity, "bucket").withColumn("rest", F.sum(F.col("weight") * F.col("weight")).over(tail))
+    prefix = ordered.where(F.col("rest") >= threshold * threshold - 1e-9).select("query_id", "bucket")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    slot = lambda c: F.floor(micros(c) / (ttl_seconds * 1_000_000))
+    q = prefix.join(queries.select("query_id", "scope", "asked_at"), "query_id").withColumn("slot", slot("asked_at"))
+    a = (
+        held.select("answer_id", "bucket")
+        .join(answers.select("answer_id", "scope", "answered_at"), "answer_id")
+        .withColumn("slot", F.explode(F.array(slot("answered_at"), slot("answered_at") + 1)))
+    )
+    age = micros("asked_at") - micros("answered_at")
+    pairs = (
+        q.join(a, ["scope", "slot", "bucket"])
+        .where((age > 0) & (age < ttl_seconds * 1_000_000))
+        .select("query_id", "answer_id", "answered_at")
+        .distinct()
+    )
+    scored = (
+        pairs.join(asked.withColumnRenamed("weight", "wq"), "query_id")
+        .join(held.withColumnRenamed("weight", "wa"), ["answer_id", "bucket"])
+        .groupBy("query_id", "answer_id", "answered_at")
+        .agg(F.round(F.sum(F.col("wq") * F.col("wa")), 9).alias("similarity"))
+        .where(F.col("similarity") >= threshold)
+    )
+    order = [F.desc("similarity"), F.desc("answered_at"), F.desc("answer_id")]
+    return windows.top_per_group(scored, ["query_id"], order, 1).select("query_id", "answer_id", "similarity")
+
+
+def answer_reuse(queries, answers, ttl_seconds: int = 300, threshold: float = 0.97, verified: Column | None = None) -> DataFrame:
+    """Exact text first, otherwise the best near text; ``verified`` is the caller's check of a near pair."""
+    exact = exact_reuse(queries, answers, ttl_seconds).withColumn("kind", F.lit("exact"))
+    rest = queries.join(exact.select("query_id"), "query_id", "left_anti")
+    near = near_reuse(rest, answers, ttl_seconds, threshold).withColumn("kind", F.lit("near"))
+    if verified is not None:
+        near = near.where(verified)
+    return exact.unionByName(near)

@@ -220,14 +220,14 @@ def asof_last5(v):
 WITH child AS (SELECT c.lang AS query_id, c.id, length(c.content) AS len, p.id AS pid FROM chunks c JOIN chunks p ON p.id = c.parent_id
   AND p.source_type = c.source_type
   WHERE (p.metadata->>'$.visibility' = 'shared' OR (p.metadata->>'$.visibility' = 'program' AND p.metadata->>'$.program' IN ('P0','P1')))
-  AND p.valid_from <= DATE '2024-03-10' AND (p.valid_to IS NULL OR p.valid_to > DATE '2024-03-10')),
+  AND p.valid_from <= DATE '2024-01-20' AND (p.valid_to IS NULL OR p.valid_to > DATE '2024-01-20')),
 best AS (SELECT query_id, pid, min((-len, id)) AS o FROM child GROUP BY ALL)
 SELECT query_id, pid AS parent_id, -o[1] AS first_child_len FROM best QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY o) <= 5""")
 def parent_expand(v):
     from plumbline.operators.retrieval import expand_parents
 
     children = v.chunks.select(F.col("lang").alias("query_id"), "id", (-F.length("content")).alias("order_key"))
-    scope_ok = visible_to(["P0", "P1"]) & valid_at("2024-03-10")
+    scope_ok = visible_to(["P0", "P1"]) & valid_at("2024-01-20")
     got = expand_parents(children, v.chunks, v.chunks, scope_ok, same=["source_type"], k=5)
     return got.withColumn("first_child_len", -F.col("first.order_key"))
 
