@@ -73,25 +73,29 @@ def reload_scoped(ranked: DataFrame, chunks: DataFrame, scopes: Sequence[Scope],
 # ---- sparse -----------------------------------------------------------------------------
 
 
-def postings(chunks: DataFrame, scopes: Sequence[Scope]) -> DataFrame:
-    """(id, token, tf, doc_len, scope_ids). One shuffle by id serves every later grouping by id."""
+def corpus(chunks: DataFrame, scopes: Sequence[Scope]) -> DataFrame:
+    """Tokenised eligible chunks (id, scope_ids, tokens), placed by id.
+
+    The raw text is what moves, once; the users of this frame share that exchange and
+    every later grouping by id stays in place.
+    """
     marks = F.array(*[F.when(eligible(s), F.lit(s.scope_id)) for s in scopes])
     ids = F.filter(marks, lambda m: m.isNotNull())
-    docs = (
-        chunks.withColumn("scope_ids", ids)
-        .where(F.size("scope_ids") > 0)
-        .select("id", "scope_ids", text.tokens("content").alias("tokens"))
-        .repartition("id")
-    )
+    placed = chunks.select("id", "content", ids.alias("scope_ids")).where(F.size("scope_ids") > 0).repartition("id")
+    return placed.select("id", "scope_ids", text.tokens("content").alias("tokens"))
+
+
+def postings(docs: DataFrame) -> DataFrame:
+    """(id, token, tf, doc_len, scope_ids) of a tokenised corpus."""
     words = docs.select("id", "scope_ids", F.size("tokens").alias("doc_len"), F.explode("tokens").alias("token"))
     return words.groupBy("id", "token").agg(
         F.count("*").alias("tf"), F.max("doc_len").alias("doc_len"), F.max("scope_ids").alias("scope_ids")
     )
 
 
-def corpus_statistics(chunks: DataFrame, scopes: Sequence[Scope]) -> DataFrame:
+def corpus_statistics(docs: DataFrame) -> DataFrame:
     """Rows and mean length per scope, counting rows without any token too."""
-    rows = scoped(chunks, scopes, "content").select("scope_id", F.size(text.tokens("content")).alias("doc_len"))
+    rows = docs.select("id", F.explode("scope_ids").alias("scope_id"), F.size("tokens").alias("doc_len"))
     return rows.groupBy("scope_id").agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avgdl"))
 
 
@@ -108,8 +112,8 @@ def term_idf(posted: DataFrame, stats: DataFrame) -> DataFrame:
 
 def bm25_topk(queries: DataFrame, chunks: DataFrame, scopes: Sequence[Scope], k: int = 50) -> DataFrame:
     """Top ``k`` overlapping chunks per query (query_id, scope_id, text), ties by id."""
-    posted = postings(chunks, scopes)
-    stats = corpus_statistics(chunks, scopes)
+    docs = corpus(chunks, scopes)
+    posted, stats = postings(docs), corpus_statistics(docs)
     terms = (
         queries.select("query_id", "scope_id", F.explode(text.tokens("text")).alias("token"))
         .groupBy("query_id", "scope_id", "token")
@@ -129,10 +133,24 @@ def bm25_topk(queries: DataFrame, chunks: DataFrame, scopes: Sequence[Scope], k:
 
 def sparse_hash_vectors(docs: DataFrame, key: str, content: str, size: int = VECTOR_SIZE) -> DataFrame:
     """(key, bucket, weight): hashed token counts scaled to unit length, kept sparse."""
-    words = docs.select(key, F.explode(text.tokens(content)).alias("token"))
-    counts = words.groupBy(key, text.token_bucket(F.col("token"), size).alias("bucket")).agg(F.count("*").alias("n"))
-    norms = counts.groupBy(key).agg(F.sqrt(F.sum(F.col("n") * F.col("n")).cast("double")).alias("norm"))
-    return counts.join(norms, key).select(key, "bucket", (F.col("n") / F.col("norm")).alias("weight"))
+    placed = docs.select(key, content).repartition(key)
+    words = placed.select(key, F.explode(text.tokens(content)).alias("token"))
+    # Hash each distinct term of a document once, not every occurrence.
+    terms = words.groupBy(key, "token").agg(F.count("*").alias("tf"))
+    counts = terms.groupBy(key, text.token_bucket(F.col("token"), size).alias("bucket")).agg(F.sum("tf").alias("n"))
+    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key)).cast("double"))
+    return counts.select(key, "bucket", (F.col("n") / norm).alias("weight"))
+
+
+def term_vectors(docs: DataFrame, key: str, content: str) -> DataFrame:
+    """(key, bucket, weight) with one bucket per term (64-bit hash), scaled to unit length.
+
+    Documents are placed by key once; counting and scaling then need no further shuffle.
+    """
+    placed = docs.select(key, content).repartition(key)
+    counts = placed.select(key, F.explode(text.tokens(content)).alias("t")).groupBy(key, F.xxhash64("t").alias("bucket")).agg(F.count("*").alias("n"))
+    size = F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key))
+    return counts.select(key, "bucket", (F.col("n") / F.sqrt(size.cast("double"))).alias("weight"))
 
 
 def hash_embed(texts: pd.Series) -> list[np.ndarray]:
@@ -372,8 +390,7 @@ def near_reuse(queries: DataFrame, answers: DataFrame, ttl_seconds: int, thresho
     first, a pair can only reach the threshold if it shares a term of the query's
     prefix, the leading terms left when the remaining ones have norm < threshold.
     """
-    unit = lambda df, key: sparse_hash_vectors(df, key, "text", 1 << 30)  # noqa: E731  (terms, hardly any collision)
-    asked, held = unit(queries, "query_id"), unit(answers, "answer_id")
+    asked, held = term_vectors(queries, "query_id", "text"), term_vectors(answers, "answer_id", "text")
     rarity = held.groupBy("bucket").agg(F.count("*").alias("df"))
     tail = Window.partitionBy("query_id").orderBy(F.desc("df"), "bucket").rowsBetween(Window.unboundedPreceding, 0)
     ordered = asked.join(rarity, "bucket").withColumn("rest", F.sum(F.col("weight") * F.col("weight")).over(tail))

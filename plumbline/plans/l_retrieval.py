@@ -248,24 +248,20 @@ def replace_revision(v):
 
 
 @query("answer_reuse", "query_id:i answer_id:i similarity:f kind:s", f"""
-WITH t AS (SELECT conv_id * 100 + turn AS rid, conv_id % 2 AS scope, role, text, TIMESTAMP '2024-01-01' + to_seconds(conv_id * 60 + turn) AS moment FROM conversations),
-a AS (SELECT rid AS answer_id, scope, text, moment AS answered_at FROM t WHERE role = 'user'),
-q AS (SELECT rid AS query_id, scope, text, moment AS asked_at FROM t WHERE role <> 'system'),
-pairs AS (SELECT q.query_id, a.answer_id, a.answered_at, q.text = a.text AS same FROM q JOIN a ON a.scope = q.scope AND a.answered_at < q.asked_at AND a.answered_at + INTERVAL 3600 SECOND > q.asked_at),
-exact AS (SELECT query_id, answer_id, 1.0 AS similarity, 'exact' AS kind FROM pairs WHERE same QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY answered_at DESC, answer_id DESC) = 1),
+WITH t AS (SELECT doc_id AS rid, lang AS scope, text, TIMESTAMP '2024-01-01' + to_seconds(doc_id) AS moment FROM documents),
+pairs AS (SELECT q.rid AS query_id, a.rid AS answer_id, a.moment AS answered_at, q.text = a.text AS same FROM t q JOIN t a ON a.scope = q.scope AND a.moment < q.moment AND a.moment + INTERVAL 300 SECOND > q.moment),
+exact AS (SELECT query_id, answer_id, CAST(1 AS DOUBLE) AS similarity, 'exact' AS kind FROM pairs WHERE same QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY answered_at DESC, answer_id DESC) = 1),
 tok AS (SELECT rid, t, count(*) AS n FROM (SELECT rid, unnest({TOKENS.format('text')}) AS t FROM t) GROUP BY ALL),
 nrm AS (SELECT rid, sqrt(sum(n * n)) AS norm FROM tok GROUP BY 1),
 near AS (SELECT p.query_id, p.answer_id, p.answered_at, round(sum(x.n * y.n / (nx.norm * ny.norm)), 9) AS similarity FROM pairs p JOIN tok x ON x.rid = p.query_id JOIN tok y ON y.rid = p.answer_id AND y.t = x.t
   JOIN nrm nx ON nx.rid = p.query_id JOIN nrm ny ON ny.rid = p.answer_id WHERE p.query_id NOT IN (SELECT query_id FROM exact) GROUP BY ALL HAVING similarity >= 0.97)
 SELECT * FROM exact UNION ALL SELECT query_id, answer_id, similarity, 'near' FROM near QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, answered_at DESC, answer_id DESC) = 1""")
 def answer_reuse(v):
-    at = F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 60 + F.col("turn"))
-    turns = v.raw("conversations").select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("rid"), (F.col("conv_id") % 2).alias("scope"), "role", "text", at.alias("at")
-    )
-    answers = turns.where("role = 'user'").select(F.col("rid").alias("answer_id"), "scope", "text", F.col("at").alias("answered_at"))
-    queries = turns.where("role <> 'system'").select(F.col("rid").alias("query_id"), "scope", "text", F.col("at").alias("asked_at"))
-    return retrieval.answer_reuse(queries, answers, ttl_seconds=3600)
+    # Documents arrive one a second; each asks for a live earlier text of its language.
+    docs = v.raw("documents").select("doc_id", F.col("lang").alias("scope"), "text", F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id")).alias("moment"))
+    answers = docs.select(F.col("doc_id").alias("answer_id"), "scope", "text", F.col("moment").alias("answered_at"))
+    queries = docs.select(F.col("doc_id").alias("query_id"), "scope", "text", F.col("moment").alias("asked_at"))
+    return retrieval.answer_reuse(queries, answers, ttl_seconds=300)
 
 
 @query("identifier_preserve", "conv_id:i turn:i keeps:b n_identifiers:i", r"""
