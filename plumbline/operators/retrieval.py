@@ -88,9 +88,8 @@ def corpus(chunks: DataFrame, scopes: Sequence[Scope]) -> DataFrame:
 def postings(docs: DataFrame) -> DataFrame:
     """(id, token, tf, doc_len, scope_ids) of a tokenised corpus."""
     words = docs.select("id", "scope_ids", F.size("tokens").alias("doc_len"), F.explode("tokens").alias("token"))
-    return words.groupBy("id", "token").agg(
-        F.count("*").alias("tf"), F.max("doc_len").alias("doc_len"), F.max("scope_ids").alias("scope_ids")
-    )
+    # Length and scopes ride in the key: array-valued max() would force a sort aggregate.
+    return words.groupBy("id", "token", "doc_len", "scope_ids").agg(F.count("*").alias("tf"))
 
 
 def corpus_statistics(docs: DataFrame) -> DataFrame:
