@@ -93,13 +93,14 @@ def forward_fill(df, keys, bucket, order, value: Column, name: str) -> DataFrame
     return carry_forward(df, keys, bucket, order, value, name, include_current=True, skip_nulls=True)
 
 
-def score_bands(df: DataFrame, value: str, bands: int = 4096) -> DataFrame:
-    """Add ``__band``: equal-width bands of a numeric column (min and max are one tiny aggregate)."""
-    limits = df.agg(F.min(value).cast("double").alias("__lo"), F.max(value).cast("double").alias("__hi"))
+def score_bands(df: DataFrame, value: str, bands: int = 4096, keys: Sequence[str] = ()) -> DataFrame:
+    """Add ``__band``: equal-width bands of a numeric column within each key (limits are a tiny aggregate)."""
+    limits = df.groupBy(*keys).agg(F.min(value).cast("double").alias("__lo"), F.max(value).cast("double").alias("__hi"))
     x = F.col(value).cast("double")
     width = F.col("__hi") - F.col("__lo")
     band = F.when(width > 0, F.floor((x - F.col("__lo")) / F.nullif(width, F.lit(0.0)) * bands)).otherwise(F.lit(0))
-    return df.join(F.broadcast(limits)).withColumn("__band", band.cast("int")).drop("__lo", "__hi")
+    joined = df.join(limits, list(keys)) if keys else df.join(F.broadcast(limits))
+    return joined.withColumn("__band", band.cast("int")).drop("__lo", "__hi")
 
 
 def value_histogram(df: DataFrame, value: str, keys: Sequence[str] = (), **sums: Column) -> DataFrame:
@@ -109,7 +110,7 @@ def value_histogram(df: DataFrame, value: str, keys: Sequence[str] = (), **sums:
 
 def midranks(df: DataFrame, value: str, keys: Sequence[str] = (), bands: int = 4096, **sums: Column) -> DataFrame:
     """Distinct values with their average rank (ties share one), plus ``n`` and asked sums."""
-    hist = score_bands(value_histogram(df, value, keys, **sums), value, bands)
+    hist = score_bands(value_histogram(df, value, keys, **sums), value, bands, keys)
     ranked = running_sums(hist, keys, F.col("__band"), [value], {"cum_n": F.col("n")})
     return ranked.withColumn("midrank", F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2).drop("__band")
 
@@ -118,7 +119,7 @@ def exact_quantiles(
     df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str] = (), bands: int = 4096
 ) -> DataFrame:
     """Linearly interpolated quantiles (one row per key and prob) without one task seeing all values."""
-    hist = score_bands(value_histogram(df.where(F.col(value).isNotNull()), value, keys), value, bands)
+    hist = score_bands(value_histogram(df.where(F.col(value).isNotNull()), value, keys), value, bands, keys)
     ranked = running_sums(hist, keys, F.col("__band"), [value], {"cum_n": F.col("n")})
     sizes = hist.groupBy(*keys).agg(F.sum("n").alias("total"))
     targets = sizes.select(
@@ -129,7 +130,7 @@ def exact_quantiles(
     # Row i (0-based) is inside the value whose rows are [cum_n - n, cum_n).
     first, last = F.col("cum_n") - F.col("n"), F.col("cum_n") - 1
     low, high = F.floor("pos"), F.ceil("pos")
-    at = ranked.join(F.broadcast(targets), list(keys)) if keys else ranked.join(F.broadcast(targets))
+    at = ranked.join(targets, list(keys)) if keys else ranked.join(F.broadcast(targets))
     hits = at.where(((first <= low) & (low <= last)) | ((first <= high) & (high <= last)))
     v = F.col(value).cast("double")
     return (
