@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline import session
 from plumbline.functions import text
 from plumbline.operators import vectors, windows
 from plumbline.operators.joins import ContractError, broadcast_checked, duplicate_keys
@@ -92,10 +93,11 @@ def postings(docs: DataFrame) -> DataFrame:
     return words.groupBy("id", "token", "doc_len", "scope_ids").agg(F.count("*").alias("tf"))
 
 
-def corpus_statistics(docs: DataFrame) -> DataFrame:
-    """Rows and mean length per scope, counting rows without any token too."""
-    rows = docs.select("id", F.explode("scope_ids").alias("scope_id"), F.size("tokens").alias("doc_len"))
-    return rows.groupBy("scope_id").agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avgdl"))
+def corpus_statistics(posted: DataFrame, chunks: DataFrame, scopes: Sequence[Scope]) -> DataFrame:
+    """Rows and mean length per scope, counting rows without any token too (no second look at the text)."""
+    rows = scoped(chunks, scopes).groupBy("scope_id").agg(F.count("*").alias("n_docs"))
+    words = posted.select(F.explode("scope_ids").alias("scope_id"), "tf").groupBy("scope_id").agg(F.sum("tf").alias("words"))
+    return rows.join(words, "scope_id").select("scope_id", "n_docs", (F.col("words") / F.col("n_docs")).alias("avgdl"))
 
 
 def term_idf(posted: DataFrame, stats: DataFrame) -> DataFrame:
@@ -111,8 +113,10 @@ def term_idf(posted: DataFrame, stats: DataFrame) -> DataFrame:
 
 def bm25_topk(queries: DataFrame, chunks: DataFrame, scopes: Sequence[Scope], k: int = 50) -> DataFrame:
     """Top ``k`` overlapping chunks per query (query_id, scope_id, text), ties by id."""
-    docs = corpus(chunks, scopes)
-    posted, stats = postings(docs), corpus_statistics(docs)
+    # Postings serve the statistics and the scores: they are written to the shared folder once.
+    session.ensure_checkpoint_dir(chunks.sparkSession)
+    posted = postings(corpus(chunks, scopes)).checkpoint()
+    stats = corpus_statistics(posted, chunks, scopes)
     terms = (
         queries.select("query_id", "scope_id", F.explode(text.tokens("text")).alias("token"))
         .groupBy("query_id", "scope_id", "token")

@@ -36,18 +36,31 @@ def channel_table(windows: DataFrame, *keep: str) -> DataFrame:
 
 def moments(x: Column) -> dict[str, Column]:
     """Mean, population deviation, extremes, biased skewness and excess kurtosis of an array."""
-    n = F.size(x)
-    mean = arrays.mean(x)
-    power = lambda k: arrays.total(F.transform(x, lambda v: F.pow(v - mean, F.lit(float(k))))) / n
+    # One fold collects power sums of the distances from the first sample; a shift that
+    # lies among the data keeps the central moments accurate.
+    first = F.element_at(x, 1)
+    start = F.struct(*[F.lit(0.0).alias(f"s{k}") for k in range(1, 5)])
+
+    def step(acc, v):
+        d = v - first
+        return F.struct(
+            (acc["s1"] + d).alias("s1"), (acc["s2"] + d * d).alias("s2"),
+            (acc["s3"] + d * d * d).alias("s3"), (acc["s4"] + d * d * d * d).alias("s4"),
+        )
+
+    s, n = F.aggregate(x, start, step), F.size(x)
+    a, b, c, d = (s[f"s{k}"] / F.nullif(n, F.lit(0)) for k in range(1, 5))
+    var = b - a * a
+    third = c - 3 * a * b + 2 * a * a * a
+    fourth = d - 4 * a * c + 6 * a * a * b - 3 * a * a * a * a
     flat = F.array_max(x) == F.array_min(x)
-    var = power(2)
     return {
-        "mean": mean,
-        "std": F.sqrt(var),
+        "mean": first + a,
+        "std": F.sqrt(F.greatest(var, F.lit(0.0))),
         "min": F.array_min(x),
         "max": F.array_max(x),
-        "skew": F.when(flat, F.lit(0.0)).otherwise(power(3) / F.nullif(F.pow(var, F.lit(1.5)), F.lit(0.0))),
-        "kurt": F.when(flat, F.lit(0.0)).otherwise(power(4) / F.nullif(var * var, F.lit(0.0)) - 3),
+        "skew": F.when(flat, F.lit(0.0)).otherwise(third / F.nullif(F.pow(var, F.lit(1.5)), F.lit(0.0))),
+        "kurt": F.when(flat, F.lit(0.0)).otherwise(fourth / F.nullif(var * var, F.lit(0.0)) - 3),
     }
 
 
