@@ -140,16 +140,17 @@ def chi2_independence(df: DataFrame, a: str, b: str, floor: float = 5.0) -> Data
     cells = df.groupBy(a, b).agg(F.count("*").alias("n"))
     rows = cells.groupBy(a).agg(F.sum("n").alias("ra"))
     cols = cells.groupBy(b).agg(F.sum("n").alias("cb"))
-    # The full grid of categories (both sides are category lists, not data rows): empty cells count too.
     total = cells.agg(F.sum("n").alias("total"))
-    grid = rows.join(F.broadcast(cols)).join(F.broadcast(total))
-    full = grid.join(cells, [a, b], "left").withColumn("expected", F.col("ra") * F.col("cb") / F.col("total"))
-    n = F.coalesce("n", F.lit(0))
-    got = full.agg(
-        F.sum((n - F.col("expected")) * (n - F.col("expected")) / F.col("expected")).alias("chi2"),
-        ((F.count_distinct(a) - 1) * (F.count_distinct(b) - 1)).alias("dof"),
-        F.sum((F.col("expected") < floor).cast("int")).alias("small_cells"),
+    # chi2 over the full grid is the sum of n^2 / expected over the filled cells, minus the total.
+    n, e = F.col("n").cast("double"), F.col("ra") * F.col("cb") / F.col("total")
+    filled = cells.join(rows, a).join(cols, b).join(F.broadcast(total)).agg((F.sum(n * n / e) - F.sum(n)).alias("chi2"))
+    # Small expected cells, filled or not: per row, the column totals below floor * total / row total.
+    totals = cols.agg(F.collect_list("cb").alias("cbs"), F.count("*").alias("nb")).join(F.broadcast(total))
+    small = F.size(F.filter("cbs", lambda c: c * F.col("ra") / F.col("total") < floor))
+    shape = rows.join(F.broadcast(totals)).agg(
+        F.sum(small).alias("small_cells"), ((F.count("*") - 1) * (F.max("nb") - 1)).alias("dof")
     )
+    got = filled.join(F.broadcast(shape))
     usable = F.col("small_cells") == 0
     return got.withColumn("p", F.when(usable, special.chi2_p_value("chi2", "dof"))).withColumn("chi2", F.when(usable, F.col("chi2")))
 

@@ -162,8 +162,8 @@ s AS (SELECT count(*) AS n, sum(failed) AS f, sum(CAST(hold AS INT)) AS fl, sum(
 h AS (SELECT p1, count(*) AS c, sum(failed) AS p FROM d GROUP BY p1),
 ap AS (SELECT sum(p * cp / cn) / sum(p) AS ap FROM (SELECT p, sum(p) OVER (ORDER BY p1 DESC) AS cp, sum(c) OVER (ORDER BY p1 DESC) AS cn FROM h)),
 l AS (SELECT unnest(['stage1_average_precision','stage1_recall','stage1_flag_rate','cascade_recall','cascade_precision','cascade_flag_rate']) AS metric,
-  unnest([ap, gc / f, g / n, ca / f, ca / fl, fl / n]) AS value, unnest(['min','min','max','min','min','max']) AS relation, unnest([0.2, 0.9, 0.05, 0.7, 0.2, 100 / 3800]) AS lim FROM s, ap)
-SELECT metric, value, relation, lim AS "limit", CASE WHEN relation = 'min' THEN value >= lim ELSE value <= lim END AS passed FROM l""")
+  unnest([ap, gc / nullif(f, 0), g / n, ca / nullif(f, 0), ca / nullif(fl, 0), fl / n]) AS value, unnest(['min','min','max','min','min','max']) AS relation, unnest([0.2, 0.9, 0.05, 0.7, 0.2, 100 / 3800]) AS lim FROM s, ap)
+SELECT metric, value, relation, lim AS "limit", coalesce(CASE WHEN relation = 'min' THEN value >= lim ELSE value <= lim END, false) AS passed FROM l""")
 def cascade_gate(v):
     rows = scored(v)
     decisions = cascade.cascade_decisions(rows.drop("p2"), rows.select("serial", "p2"), "serial", 0.6, 0.7)
