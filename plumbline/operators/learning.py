@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -26,6 +27,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from plumbline import session
 from plumbline.functions.text import TOKEN
@@ -310,3 +312,58 @@ def scaled_vectors(df: DataFrame, columns: Sequence[str], kind: str = "standard"
     raw = VectorAssembler(inputCols=list(columns), outputCol="raw_x").transform(df)
     scaler = StandardScaler(inputCol="raw_x", outputCol="x", withMean=True) if kind == "standard" else MinMaxScaler(inputCol="raw_x", outputCol="x")
     return scaler.fit(raw).transform(raw).drop("raw_x")
+
+
+def tree_table(model) -> list[tuple[float, dict[str, np.ndarray]]]:
+    """(weight, node arrays) of every tree of a fitted tree ensemble; its size is that of the model."""
+    trees = getattr(model, "trees", [model])
+    weights = list(getattr(model, "treeWeights", [1.0] * len(trees)))
+    if type(model).__name__.startswith("RandomForest"):
+        weights = [w / len(trees) for w in weights]
+    out = []
+    for weight, tree in zip(weights, trees, strict=True):
+        nodes: list[list[float]] = []
+
+        def visit(node, nodes=nodes) -> int:
+            at = len(nodes)
+            nodes.append([-1, 0.0, at, at, node.prediction()])
+            if node.getClass().getSimpleName() == "InternalNode":
+                split = node.split()
+                nodes[at][0], nodes[at][1] = split.featureIndex(), split.threshold()
+                nodes[at][2], nodes[at][3] = visit(node.leftChild()), visit(node.rightChild())
+            return at
+
+        visit(tree._java_obj.rootNode())
+        table = np.asarray(nodes, dtype=float)
+        out.append((float(weight), {"feature": table[:, 0].astype(int), "limit": table[:, 1], "left": table[:, 2].astype(int), "right": table[:, 3].astype(int), "value": table[:, 4]}))
+    return out
+
+
+def path_contributions(trees, x: np.ndarray) -> tuple[float, np.ndarray]:
+    """(bias, rows x features): each split's change of the predicted value, credited to its feature."""
+    total = np.zeros(x.shape)
+    bias, rows = 0.0, np.arange(len(x))
+    for weight, t in trees:
+        bias += weight * t["value"][0]
+        at = np.zeros(len(x), dtype=int)
+        while (t["feature"][at] >= 0).any():
+            f = t["feature"][at]
+            inner = f >= 0
+            to = np.where(x[rows, np.maximum(f, 0)] <= t["limit"][at], t["left"][at], t["right"][at])
+            step = weight * (t["value"][to] - t["value"][at])
+            np.add.at(total, (rows[inner], f[inner]), step[inner])
+            at = np.where(inner, to, at)
+    return bias, total
+
+
+def tree_contributions(model, rows: DataFrame, inputs: Sequence[str], row_id: Sequence[str]) -> DataFrame:
+    """Long (row, feature, value, impact) of a tree ensemble, computed in Arrow batches over the rows."""
+    trees, names = tree_table(model), list(inputs)
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def impacts(xs: pd.Series) -> pd.Series:
+        return pd.Series(list(path_contributions(trees, np.stack(xs.to_numpy()).astype(float))[1])) if len(xs) else pd.Series([], dtype=object)
+
+    wide = rows.select(*row_id, vector_to_array("x").alias("__x")).withColumn("__c", impacts("__x"))
+    cells = F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("feature"), F.col("__x").alias("value"), F.col("__c").alias("impact"))
+    return wide.select(*row_id, F.inline(cells))

@@ -258,6 +258,15 @@ def top_drivers(v):
     return evaluation.top_drivers(evaluation.linear_contributions(rows, "ncr_id", WEIGHTS, means), "ncr_id", 2)
 
 
+@query("top_drivers_trees", "supplier_id:i month:d rn:i feature:s value:f impact:f direction:s")
+def top_drivers_trees(v):
+    rows, inputs = fitted(v)
+    model = learning.fit_regressor(rows.where("part <> 'test'"), **SMALL)
+    long = learning.tree_contributions(model, rows.where("part = 'test'"), inputs, ["supplier_id", "month"])
+    keyed = long.withColumn("row_id", F.concat_ws("|", "supplier_id", "month"))
+    return evaluation.top_drivers(keyed, "row_id", 5)
+
+
 def linear_model(v):
     from pyspark.ml.classification import LogisticRegression
 

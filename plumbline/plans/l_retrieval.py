@@ -136,7 +136,8 @@ def chunk_semantic(v):
 
 @query("build_index", "id:i chunk_index:i clause:s token_count:i embed_model:s metadata:s valid_from:d valid_to:d dims:i")
 def build_index(v):
-    docs = v.chunks.select("id", "content", "source_type", "metadata", "valid_from", "valid_to")
+    texts = clause_docs(v).select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    docs = v.chunks.select("id", "source_type", "metadata", "valid_from", "valid_to").join(texts, "id")
     rows = chunking.build_index(docs, "id", "content", "source_type = 'standard'")
     return rows.withColumn("dims", F.size("embedding"))
 

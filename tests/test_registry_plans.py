@@ -62,3 +62,25 @@ def test_budget_refusals_do_not_consume(spark, tmp_path):
     out = jobs.run_available(jobs.budget_decisions(stream, 100), "budget-test").collect()
     got = [(r["trace_id"], r["answer"], r["committed"]) for r in out]
     assert sorted(got) == sorted([("a", "ok", 60.0), ("b", "refused", 60.0), ("c", "ok", 70.0), ("a", "ok", 70.0), ("d", "soft", 100.0)])
+
+
+def test_intake_splits_into_accepted_quarantined_and_late(spark, sf):
+    from plumbline.plans.a_sources import raw_intake
+    from plumbline.sources.views import Views
+    from pyspark.sql import functions as F
+
+    raw = raw_intake(Views(spark, sf).raw("events")).withColumn("ts", F.col("ts").cast("timestamp"))
+    bad = jobs.intake_quarantine(raw)
+    accepted = raw.join(bad.select("event_row"), "event_row", "left_anti")
+    assert bad.count() > 0 and accepted.count() + bad.count() == raw.count()
+    assert {r["status"] for r in bad.select("status").distinct().collect()} == {400, 401}
+    late = jobs.late_rows(accepted, accepted.where("event_row % 10 <> 0"), ["event_row"])
+    assert late.count() == accepted.where("event_row % 10 = 0").count() > 0
+
+
+def test_alarm_needs_three_adjacent_windows(spark):
+    t = lambda h: dt.datetime(2026, 1, 1, h)
+    rows = [("m", t(h), t(h + 1), 0.5) for h in (0, 1, 2, 4, 5)] + [("m", t(6), t(7), 0.9)]
+    df = spark.createDataFrame(rows, "model string, start timestamp, end timestamp, mean double")
+    got = {r["start"].hour: r["alarm"] for r in jobs.alarms(df, ["model"]).collect()}
+    assert got == {0: False, 1: False, 2: True, 4: False, 5: False, 6: False}

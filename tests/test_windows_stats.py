@@ -144,3 +144,22 @@ def test_cascade_gate_fails_closed(spark):
     assert all(passed((6000, 40, 100, 30)).values())
     assert not passed((6000, 40, 0, 0))["cascade_precision"]
     assert not any(passed((6000, 20, 50, 18)).values()) and not any(passed((6000, 40, 30, 35)).values())
+
+
+def test_tree_contributions_add_up_to_the_prediction(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.regression import GBTRegressor
+
+    import numpy as np
+
+    from plumbline.operators import learning
+
+    df = spark.range(200).select("id", (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 11).cast("double").alias("b"))
+    df = VectorAssembler(inputCols=["a", "b"], outputCol="x").transform(df.withColumn("y", F.col("a") * 2 - F.col("b")))
+    model = GBTRegressor(featuresCol="x", labelCol="y", maxIter=5, maxDepth=3, seed=1).fit(df)
+    scored = model.transform(df).select("id", "prediction", vector_to_array("x").alias("x")).collect()
+    bias, parts = learning.path_contributions(learning.tree_table(model), np.asarray([r["x"] for r in scored]))
+    assert np.allclose(bias + parts.sum(axis=1), [r["prediction"] for r in scored])
+    long = learning.tree_contributions(model, df, ["a", "b"], ["id"]).groupBy("id").agg(F.sum("impact").alias("s"))
+    assert {r["id"]: round(r["s"] + bias, 6) for r in long.collect()} == {r["id"]: round(r["prediction"], 6) for r in scored}
