@@ -74,8 +74,8 @@ def test_intake_splits_into_accepted_quarantined_and_late(spark, sf):
     accepted = raw.join(bad.select("event_row"), "event_row", "left_anti")
     assert bad.count() > 0 and accepted.count() + bad.count() == raw.count()
     assert {r["status"] for r in bad.select("status").distinct().collect()} == {400, 401}
-    late = jobs.late_rows(accepted, accepted.where("event_row % 10 <> 0"), ["event_row"])
-    assert late.count() == accepted.where("event_row % 10 = 0").count() > 0
+    late = jobs.late_rows(accepted, accepted.where("event_row % 7 <> 0"), ["event_row"])
+    assert late.count() == accepted.where("event_row % 7 = 0").count() > 0
 
 
 def test_alarm_needs_three_adjacent_windows(spark):
