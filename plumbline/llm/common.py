@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import struct
 from collections.abc import Iterator
 
@@ -111,3 +112,50 @@ def unpack(blob: bytes) -> list:
         arrays.append(np.ascontiguousarray(planes.T).view(dtype).reshape(length))
         at += size
     return arrays
+
+
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def word_chunks(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of ``data``, about ``size`` bytes at a time, so that a huge text needs little memory."""
+    if len(data) <= size:
+        yield data.split()
+        return
+    start = 0
+    while start < len(data):
+        gap = _GAP.search(data, min(start + size, len(data)))
+        end = gap.start() if gap else len(data)
+        yield data[start:end].split()
+        start = end
+
+
+def mark(text: str | Column) -> Column:
+    """A 64-bit hash of the text as it stands; with the id it tells a table's rows apart."""
+    col = F.col(f"`{text}`") if isinstance(text, str) else text
+    return F.xxhash64(F.coalesce(col, F.lit("")))
+
+
+def same_mark(a: DataFrame, b: DataFrame) -> Column:
+    return a["_id"].eqNullSafe(b["_id"]) & (a["_mark"] == b["_mark"])
+
+
+def keep_once(docs: DataFrame, stays: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` named by ``stays`` (``_id, _mark, _times``), each once, with all columns.
+
+    Where a document is stored ``_times`` > 1 times, the row whose columns hash least stays.
+    """
+    stays = written(stays.select("_id", "_mark", "_times"), "stays")
+    doc = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    rows = doc.select("_doc", F.col("_doc").getField(id_col).alias("_id"), mark(F.col("_doc").getField(text_col)).alias("_mark"))
+    once = stays.where("_times = 1")
+    kept = rows.join(once, same_mark(rows, once), "left_semi").select("_doc")
+    if stays.where("_times > 1").take(1):
+        twice = stays.where("_times > 1")
+        kept = kept.unionByName(
+            rows.join(twice, same_mark(rows, twice), "left_semi")
+            .groupBy("_id", "_mark")
+            .agg(F.min_by("_doc", F.xxhash64(F.to_json("_doc"))).alias("_doc"))
+            .select("_doc")
+        )
+    return kept.select("_doc.*")

@@ -27,13 +27,14 @@ from plumbline.llm import common
 
 
 def text_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``_id, _sha, _digest, _len`` of every row; a null text counts as empty."""
+    """``_id, _mark, _sha, _digest, _len`` of every row; a null text counts as empty."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     return docs.select(
         F.col(f"`{id_col}`").alias("_id"),
         F.regexp_replace(text, common.SPACE, "").alias("_norm"),
         F.char_length(text).cast("bigint").alias("_len"),
-    ).select("_id", F.unhex(F.sha2("_norm", 256)).alias("_sha"), F.xxhash64("_norm").alias("_digest"), "_len")
+        common.mark(text).alias("_mark"),
+    ).select("_id", "_mark", F.unhex(F.sha2("_norm", 256)).alias("_sha"), F.xxhash64("_norm").alias("_digest"), "_len")
 
 
 def _starts(batch: pa.RecordBatch) -> np.ndarray:
@@ -51,11 +52,13 @@ def _reduced(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         if held is not None:
-            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            columns = [pa.concat_arrays([a, b]) for a, b in zip(held.columns, batch.columns, strict=True)]
+            batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
         at = _starts(batch)
         sums = np.add.reduceat(batch.column("_n").to_numpy(zero_copy_only=False), at)
         out = batch.take(pa.array(at))
-        out = out.set_column(out.schema.get_field_index("_n"), "_n", pa.array(sums))
+        n = out.schema.get_field_index("_n")
+        out = pa.RecordBatch.from_arrays([pa.array(sums) if i == n else c for i, c in enumerate(out.columns)], schema=out.schema)
         held = out.slice(out.num_rows - 1)
         if out.num_rows > 1:
             yield out.slice(0, out.num_rows - 1)
@@ -114,35 +117,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def distinct_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns.
-
-    A text is found again by id, digest and length. Where several rows share all three
-    (the same document stored twice), one row stays: the one whose columns hash least.
-    """
+    """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns."""
     keys = common.written(text_keys(docs, id_col, text_col).withColumn("_row", F.monotonically_increasing_id()), "exact-keys")
-    texts = common.written(merge_runs(keys), "exact-texts")
-    stays = texts.select(F.col("_id").alias("_i"), F.col("_sha").alias("_s"), F.col("_len").alias("_l"))
-    found = keys.join(stays, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_sha") == F.col("_s")) & (F.col("_len") == F.col("_l")))
-    twice = found.groupBy("_i", "_s", "_l").count().where("count > 1").drop("count")
-    names = docs.columns
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc"))
-    text = F.coalesce(F.col("_doc").getField(text_col), F.lit(""))
-    keyed = row.select(
-        "_doc", F.col("_doc").getField(id_col).alias("_id"),
-        F.unhex(F.sha2(F.regexp_replace(text, common.SPACE, ""), 256)).alias("_sha"),
-        F.char_length(text).cast("bigint").alias("_len"),
-    )
-    same = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_sha") == F.col("_s")) & (F.col("_len") == F.col("_l"))
-    if not twice.take(1):
-        return keyed.join(stays, same, "left_semi").select("_doc.*")
-    twice = common.written(twice, "exact-twice")
-    null_safe = F.col("_i").eqNullSafe(F.col("_ti")) & (F.col("_s") == F.col("_ts")) & (F.col("_l") == F.col("_tl"))
-    again = twice.select(F.col("_i").alias("_ti"), F.col("_s").alias("_ts"), F.col("_l").alias("_tl"))
-    once = keyed.join(stays.join(again, null_safe, "left_anti"), same, "left_semi").select("_doc")
-    least = (
-        keyed.join(twice, same, "left_semi")
-        .groupBy("_id", "_sha", "_len")
-        .agg(F.min_by("_doc", F.xxhash64(F.to_json("_doc"))).alias("_doc"))
-        .select("_doc")
-    )
-    return once.unionByName(least).select("_doc.*")
+    winners = merge_runs(keys).select("_row")
+    stays = keys.join(winners, "_row", "left_semi").select("_id", "_mark")
+    times = keys.groupBy("_id", "_mark").agg(F.count("*").alias("_times"))
+    return common.keep_once(docs, times.join(stays, common.same_mark(times, stays), "left_semi"), id_col, text_col)
