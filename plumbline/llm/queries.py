@@ -26,6 +26,12 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
 
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.simhash import near_groups
+
+    return near_groups(common.documents(spark, sf_dir)).drop("_mark")
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.mixing import mix
 
@@ -61,6 +67,7 @@ FROM p
 
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op10_source_mix": op10_source_mix,
 }
 
