@@ -125,9 +125,11 @@ def mix(
     total = plan.agg(F.coalesce(F.sum("_blocks"), F.lit(0)).alias("slots"), F.count("*").alias("sources")).first()
     slots = schedule(plan, total["slots"], total["sources"])
 
+    # About as many hash buckets as a bucket has rows: neither level of the running sums is long.
+    digits = 1 + (sized.count().bit_length() // 2) // 4
     order = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("_id").cast("string"), F.lit(""))))
     placed = ordered.running_sums(
-        sized.withColumn("_h", order), ["_key"], F.substring("_h", 1, 4), ["_h", "_id", "size", "_row"], {"_end": F.col("size")}
+        sized.withColumn("_h", order), ["_key"], F.substring("_h", 1, digits), ["_h", "_id", "size", "_row"], {"_end": F.col("size")}
     ).join(plan.select("_key", "source_size", "_words"), "_key")
     start = F.col("_end") - F.col("size") + F.col("_pass") * F.col("source_size")
     pieces = (

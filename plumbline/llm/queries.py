@@ -32,6 +32,14 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(common.documents(spark, sf_dir)).drop("_mark")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from plumbline.llm.tokens import count_tokens
+
+    return count_tokens(common.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.mixing import mix
 
@@ -68,6 +76,7 @@ FROM p
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op7_token_counts": op7_token_counts,
     "op10_source_mix": op10_source_mix,
 }
 
