@@ -40,6 +40,14 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(common.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+def op8_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from plumbline.llm.packing import pack
+
+    return pack(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=0)
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.mixing import mix
 
@@ -77,6 +85,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_token_counts": op7_token_counts,
+    "op8_stock_packing": op8_stock_packing,
     "op10_source_mix": op10_source_mix,
 }
 
