@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from plumbline.llm import common
 
@@ -48,6 +49,17 @@ def op8_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=0)
 
 
+def op9_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm import secrets
+
+    found = secrets.scan(common.documents(spark, sf_dir))
+    number = lambda kind: F.size(F.filter("strong", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *[number(k) for k in secrets.STRONG],
+        F.sha2(secrets.joined(F.col("strong")), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"),
+    )
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.mixing import mix
 
@@ -86,6 +98,7 @@ QUERIES = {
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_stock_packing": op8_stock_packing,
+    "op9_secret_links": op9_secret_links,
     "op10_source_mix": op10_source_mix,
 }
 
