@@ -27,6 +27,36 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
 
+def op4_redirect_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline import session
+    from plumbline.llm.urls import judge
+    from plumbline.sources import tables
+
+    pages = tables.scan(session.configure(spark), sf_dir, "pages")
+    return judge(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
+# The given pages name no canonical links or refreshes, so a group is the pages of one canonical form.
+URL_FILTER_SQL = r"""
+WITH p AS (
+  SELECT page_id, url, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r(verdict, h, q) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+f AS (
+  SELECT page_id, url, arg_max(h || q, length(h || q)) AS rule, arg_max(verdict, length(h || q)) AS own
+  FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY page_id, url),
+c AS (
+  SELECT p.*, rule, own, CASE WHEN contains(p.url, '://') THEN regexp_replace(host, '^(?:www|m)\.', '')
+    || regexp_replace(regexp_replace(path, '/index\.[a-z]+$', '/'), '(?:\.html?|/)$', '')
+    || coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(regexp_extract(p.url, '(?s)^[^?#]*\?([^#]*)', 1), '&'),
+         lambda x: x <> '' AND NOT regexp_matches(x, '^(?:utm_[a-z]+|ref|fbclid|gclid|msclkid|mc_[a-z]+|sessionid|sid)(?:=|$)'))), '&'), ''), '') END AS canon
+  FROM p LEFT JOIN f ON p.page_id = f.page_id AND p.url IS NOT DISTINCT FROM f.url),
+g AS (SELECT canon, bool_or(own = 'allow') AS a, bool_or(own = 'block') AS b FROM c WHERE canon IS NOT NULL GROUP BY canon)
+SELECT page_id, host, path, rule, coalesce(own, CASE WHEN a THEN 'allow' WHEN b THEN 'block' END, 'allow') AS verdict
+FROM c LEFT JOIN g USING (canon)
+"""
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.simhash import near_groups
 
@@ -95,6 +125,7 @@ FROM p
 
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_redirect_url_filter": op4_redirect_url_filter,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_stock_packing": op8_stock_packing,
@@ -104,5 +135,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op3_exact_dedup": EXACT_DEDUP_SQL,
+    "op4_redirect_url_filter": URL_FILTER_SQL,
     "op10_source_mix": SOURCE_MIX_SQL,
 }
