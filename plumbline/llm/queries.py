@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from plumbline.llm import common
 
 
+def op2_line_field_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline import session
+    from plumbline.llm import quality
+    from plumbline.sources import tables
+
+    docs = common.documents(spark, sf_dir)
+    labels = tables.scan(session.configure(spark), sf_dir, "labels")
+    return quality.judge(docs, quality.train(docs, labels))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.exact_dedup import exact_dedup
 
@@ -124,6 +134,7 @@ FROM p
 """
 
 QUERIES = {
+    "op2_line_field_quality": op2_line_field_quality,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_redirect_url_filter": op4_redirect_url_filter,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
