@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from plumbline.llm import common
 
 
+def op1_byte_rnn_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm import langid
+
+    docs = common.documents(spark, sf_dir)
+    held_out = common.in_fold("doc_id", 3, 1)
+    model = langid.train(docs, usable=~held_out)
+    return langid.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op2_line_field_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline import session
     from plumbline.llm import quality
@@ -134,6 +143,7 @@ FROM p
 """
 
 QUERIES = {
+    "op1_byte_rnn_langid": op1_byte_rnn_langid,
     "op2_line_field_quality": op2_line_field_quality,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_redirect_url_filter": op4_redirect_url_filter,
