@@ -6,6 +6,7 @@ import io
 import re
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
@@ -81,6 +82,16 @@ def batches(it: Iterator[pa.RecordBatch], names: list[str], types: list[pa.DataT
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(make(batch), types, strict=True)], names)
 
 
+@lru_cache(maxsize=1)
+def _compressor() -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=1)
+
+
+@lru_cache(maxsize=1)
+def _decompressor() -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor()
+
+
 def pack(*arrays) -> bytes:
     """Several numpy arrays as one compressed blob; bytes of equal weight stand together."""
     import numpy as np
@@ -92,13 +103,13 @@ def pack(*arrays) -> bytes:
         kind = a.dtype.str.encode().ljust(4)
         out.write(struct.pack("<4sQ", kind, len(a)))
         out.write(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(out.getvalue())
+    return _compressor().compress(out.getvalue())
 
 
 def unpack(blob: bytes) -> list:
     import numpy as np
 
-    raw = zstandard.ZstdDecompressor().decompress(bytes(blob))
+    raw = _decompressor().decompress(bytes(blob))
     n, at, arrays = raw[0], 1, []
     for _ in range(n):
         kind, length = struct.unpack_from("<4sQ", raw, at)

@@ -27,7 +27,7 @@ from plumbline import session
 from plumbline.llm import common
 
 #: A memo that has grown beyond this many entries becomes the old generation.
-MEMO = 400_000
+MEMO = 600_000
 #: White space outside ASCII and the ASCII separators, as UTF-8.
 ODD_SPACES = tuple(
     chr(c).encode() for c in (0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -37,6 +37,11 @@ _EDGES = (b" ", b"\t", b"\n", b"\v", b"\f", b"\r", *ODD_SPACES)
 _ASCII_PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 
+#: The byte-level alphabet: a printable Latin-1 byte is its own character, the n-th other one is character 256 + n.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_ALPHABET = {b: 256 + n for n, b in enumerate(sorted(set(range(256)) - _PRINTABLE))}
+
+
 class Memo(dict):
     """Encodings by piece; what is missing is made by ``make``. Two bounded generations."""
 
@@ -78,6 +83,11 @@ class Pieces:
         e = self.tokenizer.encode(piece.decode(), add_special_tokens=False)
         return struct.pack(f"<{len(e)}I", *e.ids) if self.ids else len(e)
 
+    def _letters(self, word: bytes):
+        """A space and letters are one unit: the model takes it in the byte alphabet, without the library's splitting."""
+        made = self.tokenizer.model.tokenize((b" " + word).decode("latin-1").translate(_ALPHABET))
+        return struct.pack(f"<{len(made)}I", *[t.id for t in made]) if self.ids else len(made)
+
     def _ends(self, piece: bytes) -> tuple[bytes, bytes] | None:
         """A piece that ends in a letter and punctuation, cut between the two."""
         word = piece.rstrip(_ASCII_PUNCTUATION)
@@ -98,7 +108,9 @@ class Pieces:
                 value += self.plain[b"\n"] + self.plain[x]
             return value
         ends = self._ends(word)
-        return self.spaced[ends[0]] + self.plain[ends[1]] if ends else self._whole(b" " + word)
+        if ends:
+            return self.spaced[ends[0]] + self.plain[ends[1]]
+        return self._letters(word) if word.decode().isalpha() else self._whole(b" " + word)
 
     def _one(self, text: str):
         data = common.utf8(text)
