@@ -76,6 +76,16 @@ FROM c LEFT JOIN g USING (canon)
 """
 
 
+def op5_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm import katz
+
+    held_out = common.in_fold("doc_id", 7, 2)
+    scored = katz.score(katz.train(common.documents(spark, sf_dir), training=~held_out, order=2))
+    return scored.select(
+        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.simhash import near_groups
 
@@ -147,6 +157,7 @@ QUERIES = {
     "op2_line_field_quality": op2_line_field_quality,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_redirect_url_filter": op4_redirect_url_filter,
+    "op5_katz_backoff": op5_katz_backoff,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_stock_packing": op8_stock_packing,
