@@ -147,3 +147,26 @@ def mix(
         .join(plan.select("_key", "source_size", "target"), "_key")
         .select(F.col("_id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), F.col("_row"))
     )
+
+
+def repeated(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, each as often as ``plan`` (a result of :func:`mix`) reads it, with all columns.
+
+    A partly read pass counts as one. Rows that share id and size take their reads in
+    turn, whichever of them is met first; a row that is not read goes.
+    """
+    reads = plan.where("taken > 0").select(
+        F.col(f"`{id_col}`").alias("_id"), F.col("size").alias("_size"), F.ceil(F.col("taken") / F.col("size")).alias("_reads")
+    )
+    per = reads.groupBy("_id", "_size").agg(F.sum("_reads").alias("_reads"))
+    doc = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    rows = doc.select("_doc", F.col("_doc").getField(id_col).alias("_id"), common.word_count(F.col("_doc").getField(text_col)).alias("_size"))
+    twins = plan.groupBy(F.col(f"`{id_col}`").alias("_id"), F.col("size").alias("_size")).agg(F.count("*").alias("_rows")).where("_rows > 1")
+    same = lambda a, b: a["_id"].eqNullSafe(b["_id"]) & (a["_size"] == b["_size"])
+    if twins.take(1):  # stored more than once: one row stands for all of them, and repeats for all
+        twins = common.written(twins, "mix-twins")
+        once = rows.join(twins, same(rows, twins), "left_anti")
+        rows = once.unionByName(
+            rows.join(twins, same(rows, twins), "left_semi").groupBy("_id", "_size").agg(F.min_by("_doc", F.xxhash64(F.to_json("_doc"))).alias("_doc")).select("_doc", "_id", "_size")
+        )
+    return rows.join(per, same(rows, per)).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_reads")))).select("_doc.*")
