@@ -213,9 +213,10 @@ def count_tokens(
                 [pa.array([version] * len(made), pa.string()), batch.column("_digest"), pa.array(made, pa.int64())], ["version", "_digest", "n_tokens"]
             )
 
-    texts.mapInArrow(encode, stored).write.mode("append").parquet(cache)
-    # A document stored twice may have been encoded twice.
-    known = counts().groupBy("_digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # A document stored twice is met twice; its content is stored once.
+    made = texts.mapInArrow(encode, stored).groupBy("version", "_digest").agg(F.max("n_tokens").alias("n_tokens"))
+    made.write.mode("append").parquet(cache)
+    known = counts().select("_digest", "n_tokens")
     return keys.join(known, "_digest").select(
         F.col("_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
