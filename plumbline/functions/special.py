@@ -17,8 +17,13 @@ _erfc = np.vectorize(math.erfc, otypes=[float])
 _TINY = 1e-300
 
 
-def _continued(b0, terms, steps: int = 500):
-    """Lentz evaluation of b0 + a1/(b1 + a2/(b2 + ...)) with ``terms(i) -> (a_i, b_i)``."""
+def _steps(*sizes) -> int:
+    """Terms that are enough for parameters of these sizes: they grow with the square root."""
+    return 1000 + 60 * math.isqrt(int(max((np.nanmax(np.abs(s), initial=0.0) for s in sizes), default=0.0)))
+
+
+def _continued(b0, terms, steps: int):
+    """Lentz evaluation of b0 + a1/(b1 + a2/(b2 + ...)) with ``terms(i) -> (a_i, b_i)``; runs to convergence."""
     f = np.where(b0 == 0, _TINY, b0)
     c, d = f.copy(), np.zeros_like(f)
     for i in range(1, steps + 1):
@@ -29,9 +34,9 @@ def _continued(b0, terms, steps: int = 500):
         c = np.where(c == 0, _TINY, c)
         step = c * d
         f = f * step
-        if np.nanmax(np.abs(step - 1), initial=0.0) < 1e-15:
-            break
-    return f
+        if np.nanmax(np.abs(step - 1), initial=0.0) < 1e-14:
+            return f
+    raise ArithmeticError("continued fraction did not converge")
 
 
 def incomplete_beta(a, b, x):
@@ -51,7 +56,7 @@ def incomplete_beta(a, b, x):
 
     with np.errstate(divide="ignore", invalid="ignore"):
         front = np.exp(p * np.log(y) + q * np.log1p(-y) - np.log(p) - (_lgamma(p) + _lgamma(q) - _lgamma(p + q)))
-        value = front * (_continued(np.zeros_like(y), terms))
+        value = front * (_continued(np.zeros_like(y), terms, _steps(p, q)))
     value = np.where(y <= 0, 0.0, value)
     return np.where(swap, 1 - value, value)
 
@@ -65,11 +70,13 @@ def upper_gamma(a, x):
         al, xl = a[low], x[low]
         term = 1 / al
         total = term.copy()
-        for n in range(1, 2000):
+        for n in range(1, _steps(al)):
             term = term * xl / (al + n)
             total = total + term
-            if (np.abs(term) < np.abs(total) * 1e-16).all():
+            if (np.abs(term) <= np.abs(total) * 1e-16).all():
                 break
+        else:
+            raise ArithmeticError("series did not converge")
         with np.errstate(divide="ignore"):
             out[low] = 1 - total * np.exp(-xl + al * np.log(xl) - _lgamma(al))
     if (~low).any():
@@ -81,7 +88,7 @@ def upper_gamma(a, x):
             n = i - 1
             return -n * (n - ah), xh + 2 * n + 1 - ah
 
-        out[~low] = np.exp(-xh + ah * np.log(xh) - _lgamma(ah)) * _continued(np.zeros_like(xh), terms)
+        out[~low] = np.exp(-xh + ah * np.log(xh) - _lgamma(ah)) * _continued(np.zeros_like(xh), terms, _steps(ah))
     return out
 
 
@@ -98,6 +105,43 @@ def chi2_upper(x, dof):
     return upper_gamma(np.asarray(dof, dtype=float) / 2, np.asarray(x, dtype=float) / 2)
 
 
+def count_upper(mu, var, k):
+    """P(X >= k): negative binomial where ``var`` is given (above the mean), else Poisson."""
+    mu, var, k = (np.asarray(v, dtype=float) for v in np.broadcast_arrays(mu, var, k))
+    out, wide, some = np.ones_like(mu), ~np.isnan(var), k > 0
+    plain, over = some & ~wide, some & wide
+    if plain.any():
+        out[plain] = 1 - upper_gamma(k[plain], mu[plain])
+    if over.any():
+        m, v = mu[over], var[over]
+        out[over] = incomplete_beta(k[over], m * m / (v - m), 1 - m / v)
+    return out
+
+
+def count_quantile(mu, var, level):
+    """The least k with P(X <= k) >= level, by bisection."""
+    mu, var, level = (np.asarray(v, dtype=float) for v in np.broadcast_arrays(mu, var, level))
+    spread = np.sqrt(np.maximum(np.where(np.isnan(var), mu, var), mu))
+    low, high = np.full_like(mu, -1.0), np.ceil(mu + 12 * spread + 20)
+    while (short := 1 - count_upper(mu, var, high + 1) < level).any():
+        high = np.where(short, 2 * high, high)
+    while (high - low > 1).any():
+        mid = np.floor((low + high) / 2)
+        enough = 1 - count_upper(mu, var, mid + 1) >= level
+        high, low = np.where(enough, mid, high), np.where(enough, low, mid)
+    return high
+
+
+@F.pandas_udf(DoubleType())
+def count_tail(mu: pd.Series, var: pd.Series, k: pd.Series) -> pd.Series:
+    return pd.Series(count_upper(mu.astype(float), var.astype(float), k.astype(float)))
+
+
+@F.pandas_udf(DoubleType())
+def count_limit(mu: pd.Series, var: pd.Series, level: pd.Series) -> pd.Series:
+    return pd.Series(count_quantile(mu.astype(float), var.astype(float), level.astype(float)))
+
+
 @F.pandas_udf(DoubleType())
 def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(t_two_sided(t, df))

@@ -195,17 +195,20 @@ def last_outcomes(
 def prior_history(events: DataFrame, key: str, at: str, row_id: str, days: int = 90, shown: int = 10) -> DataFrame:
     """For every event: how many of its key fell in the ``days`` before it, and the latest ``shown`` ids.
 
-    Totals come from cumulative daily counts. The listed rows are found by position:
+    Totals are differences of running counts at the event and at its window's edge, on one
+    timeline at full precision. The listed rows are found by position:
     an event seeing N earlier rows lists positions N-shown+1..N, an equality join on
     (key, position), so one busy key costs ``shown`` rows per event and not its square.
     """
     ev = events.select(key, F.col(at).cast("timestamp_ntz").alias("at"), F.col(row_id).alias("rid"))
+    # At one time, window edges come first, then questions, then the events themselves.
+    edge = ev.withColumn("at", F.col("at") - F.expr(f"INTERVAL '{days}' DAY")).withColumn("kind", F.lit(-1))
     ask = ev.withColumn("kind", F.lit(0))
     mark = ev.withColumn("kind", F.lit(1))
     # Latest first, ties by ascending id: number ties in descending id order.
     line = ordered.running_sums(
-        ask.unionByName(mark), [key], F.col("at").cast("date"), [F.col("at"), F.col("kind"), F.desc("rid")],
-        {"seen": F.col("kind").cast("bigint")},
+        edge.unionByName(ask).unionByName(mark), [key], F.col("at").cast("date"), [F.col("at"), F.col("kind"), F.desc("rid")],
+        {"seen": (F.col("kind") == 1).cast("bigint")},
     )
     marks = line.where("kind = 1").select(key, F.col("seen").alias("pos"), F.col("rid").alias("old_id"), F.col("at").alias("old_at"))
     asks = line.where("kind = 0").select(key, "at", "rid", F.col("seen").alias("earlier"))
@@ -216,10 +219,10 @@ def prior_history(events: DataFrame, key: str, at: str, row_id: str, days: int =
         .groupBy(key, "rid")
         .agg(F.reverse(F.array_sort(F.collect_list(F.struct("pos", "old_id")))).alias("recent"))
     )
-    edge = asks.select(key, "rid", "earlier", F.date_sub(F.col("at").cast("date"), days).alias("d"))
-    low = totals_before(edge, ev.select(key, F.col("at").cast("date").alias("d")), [key], "d", {"older": F.lit(1)})
+    older = line.where("kind = -1").select(key, "rid", F.col("seen").alias("older"))
     return (
-        edge.join(low, [key, "d"])
+        asks.select(key, "rid", "earlier")
+        .join(older, [key, "rid"])
         .join(listed, [key, "rid"], "left")
         .select(
             key,

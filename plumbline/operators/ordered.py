@@ -93,14 +93,17 @@ def forward_fill(df, keys, bucket, order, value: Column, name: str) -> DataFrame
     return carry_forward(df, keys, bucket, order, value, name, include_current=True, skip_nulls=True)
 
 
-def score_bands(df: DataFrame, value: str, bands: int = 4096, keys: Sequence[str] = ()) -> DataFrame:
-    """Add ``__band``: equal-width bands of a numeric column within each key (limits are a tiny aggregate)."""
-    limits = df.groupBy(*keys).agg(F.min(value).cast("double").alias("__lo"), F.max(value).cast("double").alias("__hi"))
+def score_bands(df: DataFrame, value: str, bands: int = 512, keys: Sequence[str] = ()) -> DataFrame:
+    """Add ``__band``: about equally full bands of a numeric column within each key.
+
+    The limits are approximate percentiles (a mergeable sketch, one row per key), so an
+    outlier cannot push all other values into one band. Equal values share a band.
+    """
     x = F.col(value).cast("double")
-    width = F.col("__hi") - F.col("__lo")
-    band = F.when(width > 0, F.floor((x - F.col("__lo")) / F.nullif(width, F.lit(0.0)) * bands)).otherwise(F.lit(0))
+    points = F.array(*[F.lit(i / bands) for i in range(1, bands)])
+    limits = df.groupBy(*keys).agg(F.percentile_approx(x, points, F.lit(4 * bands)).alias("__limits"))
     joined = df.join(limits, list(keys)) if keys else df.join(F.broadcast(limits))
-    return joined.withColumn("__band", band.cast("int")).drop("__lo", "__hi")
+    return joined.withColumn("__band", F.size(F.filter("__limits", lambda edge: edge < x))).drop("__limits")
 
 
 def value_histogram(df: DataFrame, value: str, keys: Sequence[str] = (), **sums: Column) -> DataFrame:
@@ -108,7 +111,7 @@ def value_histogram(df: DataFrame, value: str, keys: Sequence[str] = (), **sums:
     return df.groupBy(*keys, value).agg(F.count("*").alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()])
 
 
-def midranks(df: DataFrame, value: str, keys: Sequence[str] = (), bands: int = 4096, **sums: Column) -> DataFrame:
+def midranks(df: DataFrame, value: str, keys: Sequence[str] = (), bands: int = 512, **sums: Column) -> DataFrame:
     """Distinct values with their average rank (ties share one), plus ``n`` and asked sums."""
     hist = score_bands(value_histogram(df, value, keys, **sums), value, bands, keys)
     ranked = running_sums(hist, keys, F.col("__band"), [value], {"cum_n": F.col("n")})
@@ -116,7 +119,7 @@ def midranks(df: DataFrame, value: str, keys: Sequence[str] = (), bands: int = 4
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str] = (), bands: int = 4096
+    df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str] = (), bands: int = 512
 ) -> DataFrame:
     """Linearly interpolated quantiles (one row per key and prob) without one task seeing all values."""
     hist = score_bands(value_histogram(df.where(F.col(value).isNotNull()), value, keys), value, bands, keys)

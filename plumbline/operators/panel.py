@@ -303,19 +303,22 @@ def rolling_slope(y: str, window: int = 12) -> Column:
 def add_derived(features: DataFrame) -> DataFrame:
     """Ratios, trends and shares; zero denominators give NULL. Months must be gapless."""
     w = Window.partitionBy("supplier_id").orderBy("month")
-    month_total = Window.partitionBy("month")
+    # One row per month, joined back: no month is a window of all suppliers.
+    totals = features.groupBy("month").agg(F.sum("spend_90d").alias("__month_spend"))
     ratio = lambda a, b: F.col(a) / F.nullif(b, F.lit(0))
     return (
-        features.withColumn("ncr_per_1k_units", 1000 * ratio("ncr_count_90d", "units_received_90d"))
+        features.join(totals, "month").select(*features.columns, "__month_spend")
+        .withColumn("ncr_per_1k_units", 1000 * ratio("ncr_count_90d", "units_received_90d"))
         .withColumn("pct_high_severity", ratio("sev3_count_90d", "ncr_count_90d"))
         .withColumn("fpy_slope_12m", rolling_slope("fpy"))
         .withColumn("fpy_delta_3m", F.col("fpy") - F.lag("fpy", 3).over(w))
         .withColumn("audit_score_delta", F.col("audit_score_last") - F.lag("audit_score_last").over(w))
         .withColumn("years_as_supplier", F.datediff("month_end", "onboarded_at") / 365.25)
-        .withColumn("spend_share", F.col("spend_90d") / F.nullif(F.sum("spend_90d").over(month_total), F.lit(0.0)))
+        .withColumn("spend_share", F.col("spend_90d") / F.nullif(F.col("__month_spend"), F.lit(0.0)))
         .withColumn("limited_history", F.row_number().over(w) <= 5)
         .withColumn("days_since_audit", F.datediff("month", "audit_date_last"))
         .withColumn("month_of_year", F.month("month"))
+        .drop("__month_spend")
     )
 
 

@@ -144,11 +144,18 @@ def chi2_independence(df: DataFrame, a: str, b: str, floor: float = 5.0) -> Data
     # chi2 over the full grid is the sum of n^2 / expected over the filled cells, minus the total.
     n, e = F.col("n").cast("double"), F.col("ra") * F.col("cb") / F.col("total")
     filled = cells.join(rows, a).join(cols, b).join(F.broadcast(total)).agg((F.sum(n * n / e) - F.sum(n)).alias("chi2"))
-    # Small expected cells, filled or not: per row, the column totals below floor * total / row total.
-    totals = cols.agg(F.collect_list("cb").alias("cbs"), F.count("*").alias("nb")).join(F.broadcast(total))
-    small = F.size(F.filter("cbs", lambda c: c * F.col("ra") / F.col("total") < floor))
-    shape = rows.join(F.broadcast(totals)).agg(
-        F.sum(small).alias("small_cells"), ((F.count("*") - 1) * (F.max("nb") - 1)).alias("dof")
+    # Small expected cells, filled or not: equal row totals and equal column totals each count once.
+    row_sizes = rows.groupBy("ra").agg(F.count("*").alias("nr"))
+    col_sizes = cols.groupBy("cb").agg(F.count("*").alias("nc"))
+    # A row total asks how many columns lie below its bound: running counts on one line.
+    asked = row_sizes.join(F.broadcast(total)).select(
+        (F.lit(floor) * F.col("total") / F.col("ra")).alias("x"), F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("nc"), "nr"
+    )
+    held = col_sizes.select(F.col("cb").cast("double").alias("x"), F.lit(1).alias("kind"), "nc", F.lit(0).cast("bigint").alias("nr"))
+    hit = ordered.running_sums(asked.unionByName(held), [], F.floor(F.log2(F.col("x") + 1) * 64), ["x", "kind"], {"upto": F.col("nc")}).where("kind = 0")
+    sides = rows.agg(F.count("*").alias("na")).join(F.broadcast(cols.agg(F.count("*").alias("nb"))))
+    shape = hit.agg(F.coalesce(F.sum(F.col("nr") * F.col("upto")), F.lit(0)).alias("small_cells")).join(F.broadcast(sides)).select(
+        "small_cells", ((F.col("na") - 1) * (F.col("nb") - 1)).alias("dof")
     )
     got = filled.join(F.broadcast(shape))
     usable = F.col("small_cells") == 0
@@ -158,30 +165,21 @@ def chi2_independence(df: DataFrame, a: str, b: str, floor: float = 5.0) -> Data
 def count_tails(monthly: DataFrame, key: str, count: str, level: float = 0.99) -> DataFrame:
     """Upper tail and ``level`` limit of each count under its group's Poisson or negative binomial.
 
-    Overdispersed groups (variance above mean) use the negative binomial. Probabilities
-    come from the term recurrence folded over 0..k inside one array expression.
+    Overdispersed groups (variance above mean) use the negative binomial. Tails are
+    incomplete gamma and beta functions in log space, so a large mean does not underflow;
+    they are computed once per distinct (mean, variance, count), in Arrow batches.
     """
-    moments = monthly.groupBy(key).agg(F.avg(count).alias("mu"), F.var_samp(count).alias("var"), F.max(count).alias("top"))
-    mu, var = F.col("mu"), F.coalesce("var", F.lit(0.0))
-    wide = var > mu
-    r, p = mu * mu / F.nullif(F.when(wide, var - mu), F.lit(0.0)), F.when(wide, mu / var)
-    start = F.when(wide, F.pow(p, r)).otherwise(F.exp(-mu))
-    reach = F.greatest(F.col("top"), F.ceil(mu + 12 * F.sqrt(F.greatest(var, mu)) + 20)).cast("int")
-    state = F.struct(start.alias("pmf"), start.alias("cdf"), F.array(start).alias("cdfs"))
-
-    def step(acc, k):
-        ratio = F.when(wide, (k - 1 + r) / k * (1 - p)).otherwise(mu / k)
-        pmf = acc["pmf"] * ratio
-        cdf = acc["cdf"] + pmf
-        return F.struct(pmf.alias("pmf"), cdf.alias("cdf"), F.concat(acc["cdfs"], F.array(cdf)).alias("cdfs"))
-
-    folded = F.aggregate(F.sequence(F.lit(1), reach), state, step)
-    table = moments.select(key, "mu", "var", wide.alias("overdispersed"), folded["cdfs"].alias("cdfs")).withColumn(
-        "limit", F.size(F.filter("cdfs", lambda c: c < level))
-    )
+    moments = monthly.groupBy(key).agg(F.avg(count).alias("mu"), F.var_samp(count).alias("var"))
+    wide = F.coalesce(F.col("var") > F.col("mu"), F.lit(False))
+    groups = moments.select("mu", F.when(wide, F.col("var")).alias("v")).distinct().withColumn("limit", special.count_limit("mu", "v", F.lit(float(level))))
+    table = moments.withColumn("v", F.when(wide, F.col("var"))).join(
+        groups.withColumnsRenamed({"mu": "g_mu", "v": "g_v"}), (F.col("mu") == F.col("g_mu")) & F.col("v").eqNullSafe(F.col("g_v"))
+    ).select(key, "mu", "var", wide.alias("overdispersed"), "v", "limit")
     joined = monthly.join(table, key)
-    tail = F.when(F.col(count) <= 0, F.lit(1.0)).otherwise(1 - F.element_at("cdfs", F.greatest(F.col(count), F.lit(1)).cast("int")))
-    return joined.withColumn("tail", tail).withColumn("high", F.col(count) > F.col("limit")).drop("cdfs")
+    cases = joined.select("mu", "v", F.col(count).alias("c")).distinct().withColumn("tail", special.count_tail("mu", "v", "c"))
+    cases = cases.withColumnsRenamed({"mu": "c_mu", "v": "c_v"})
+    same = (F.col("mu") == F.col("c_mu")) & F.col("v").eqNullSafe(F.col("c_v")) & (F.col(count) == F.col("c"))
+    return joined.join(cases, same).withColumn("high", F.col(count) > F.col("limit")).drop("v", "c_mu", "c_v", "c")
 
 
 def entropy_kl(df: DataFrame, key: str, category: str) -> DataFrame:

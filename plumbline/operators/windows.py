@@ -93,19 +93,17 @@ def anomaly_report(
 def rolling_counts(events: DataFrame, at: str, row_id: str, rows: int = 30, days: int = 30) -> DataFrame:
     """Rolling row counts over the whole series: last ``rows`` rows, and ``(t - days, t]`` up to the row itself.
 
-    The series has no key, so rows are numbered in two levels (by day, then within the
-    day); the time window is the row's position minus the position ``days`` earlier.
+    The series has no key, so rows are numbered in two levels (by hour, then within the
+    hour); the time window is the row's position minus the number of rows up to its edge,
+    which stands on the same timeline behind the rows of its own time.
     """
-    numbered = ordered.row_numbers(
-        events.select(F.col(row_id), F.col(at)), [], F.col(at).cast("date"), [at, row_id], "position"
-    ).withColumn("d", F.date_sub(F.col(at).cast("date"), days))
-    # Times at day precision: rows at or before t - days are those of earlier days and of that day.
-    daily = events.groupBy(F.col(at).cast("date").alias("d")).agg(F.count("*").alias("n"))
-    edges = daily.select(F.date_sub("d", days).alias("d"), F.lit(0).alias("n"), F.lit(True).alias("ask"))
-    line = daily.withColumn("ask", F.lit(False)).unionByName(edges).groupBy("d").agg(F.sum("n").alias("n"), F.max("ask").alias("ask"))
-    upto = Window.orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
-    older = line.select("d", "ask", F.sum("n").over(upto).alias("older")).where("ask").drop("ask")
-    return numbered.join(older, "d").select(
+    marks = events.select(F.col(row_id), F.col(at).cast("timestamp_ntz").alias("__at"), F.lit(0).alias("__kind"))
+    edges = marks.select(row_id, (F.col("__at") - F.expr(f"INTERVAL '{days}' DAY")).alias("__at"), F.lit(1).alias("__kind"))
+    line = ordered.running_sums(
+        marks.unionByName(edges), [], F.date_trunc("hour", "__at"), ["__at", "__kind", row_id], {"position": (F.col("__kind") == 0).cast("bigint")}
+    )
+    older = line.where("__kind = 1").select(row_id, F.col("position").alias("older"))
+    return line.where("__kind = 0").select(row_id, "position").join(older, row_id).select(
         row_id,
         F.when(F.col("position") >= rows, F.lit(rows)).alias("last_rows"),
         (F.col("position") - F.col("older")).alias("last_days"),

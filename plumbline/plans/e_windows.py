@@ -77,8 +77,10 @@ def rolling_rows(v):
         .withColumn("rolling_mean", F.avg("n").over(three))
         .withColumn("mom_delta", F.col("n") - F.lag("n").over(w))
     )
-    ranked = Window.partitionBy("month").orderBy(F.desc("rolling_sum"), "supplier_id")
-    return trend.withColumn("rank_in_month", F.row_number().over(ranked))
+    # Ranked in two levels: equal sums of a month are one bucket.
+    return ordered.row_numbers(
+        trend.withColumn("__down", -F.col("rolling_sum")), ["month"], F.col("__down"), ["supplier_id"], "rank_in_month"
+    )
 
 
 @query("rolling_range_days", "supplier_id:i day:d n:i fpy_30d:f", """
@@ -183,8 +185,8 @@ def share_of_total(v):
     spend = v.raw("lineitem").groupBy(F.col("l_suppkey").alias("supplier_id"), panel.month_of("l_shipdate").alias("month")).agg(
         F.sum(F.col("l_extendedprice").cast("decimal(12,2)")).alias("spend")
     )
-    total = F.sum("spend").over(Window.partitionBy("month"))
-    return spend.withColumn("spend_share", F.col("spend").cast("double") / F.nullif(total.cast("double"), F.lit(0.0)))
+    total = spend.groupBy("month").agg(F.sum("spend").alias("total"))
+    return spend.join(total, "month").withColumn("spend_share", F.col("spend").cast("double") / F.nullif(F.col("total").cast("double"), F.lit(0.0)))
 
 
 @query("limited_history", "supplier_id:i month:d limited_history:b", """

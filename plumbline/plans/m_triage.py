@@ -86,9 +86,11 @@ def decided(v):
     ruled = triage.rule_fields(reports(v).drop("category", "severity", "supplier_id"), "description", "family_supplier")
     model = v.classifications.select("ncr_id", "category", "severity", "supplier_id", "confidence", "reasoning", F.col("car_owner_email").alias("owner"))
     model = model.withColumn("reasoning", F.when(F.col("severity") == 2, F.concat("reasoning", F.lit(" call 555-123-4567"))).otherwise(F.col("reasoning")))
-    shortlist = F.transform(F.sequence(F.lit(0), F.lit(60)), lambda i: i.cast("bigint"))
-    both = ruled.join(model, "ncr_id").withColumn("shortlist", shortlist)
-    return triage.decide(both)
+    both = ruled.join(model, "ncr_id").withColumn("proposed", F.coalesce("family_supplier", "supplier_id"))
+    # The shortlist is the active suppliers; a decision needs to know only whether its own is among them.
+    known = v.suppliers.where("active").select(F.col("supplier_id").cast("bigint").alias("proposed"), F.array(F.col("supplier_id").cast("bigint")).alias("shortlist"))
+    none = F.array().cast("array<bigint>")
+    return triage.decide(both.join(known, "proposed", "left").withColumn("shortlist", F.coalesce("shortlist", none)).drop("proposed"))
 
 
 @query("triage_decide", "ncr_id:s category:s severity:i supplier_id:i stage:s routed:s review_notes:s", """
@@ -97,7 +99,7 @@ WITH j AS (SELECT r.ncr_id, r.rule_severity, r.rule_category, r.family_supplier,
 f AS (SELECT *, coalesce(rule_category, mc) AS cat, coalesce(rule_severity, ms) AS sev, coalesce(family_supplier, mp) AS sup,
   CASE WHEN mc IS NULL OR ms IS NULL OR confidence IS NULL OR reasoning IS NULL THEN 'ValidationError'
        WHEN regexp_matches(reasoning, '\\b\\(?\\d{3}\\)?[ .-]\\d{3}[ .-]\\d{4}\\b') THEN 'SchemaError:reasoning'
-       WHEN NOT coalesce(coalesce(family_supplier, mp) BETWEEN 0 AND 60, false) THEN 'SchemaError:supplier_id' END AS failure FROM j),
+       WHEN NOT coalesce(coalesce(family_supplier, mp) IN (SELECT s_suppkey FROM supplier WHERE s_acctbal >= 0), false) THEN 'SchemaError:supplier_id' END AS failure FROM j),
 n AS (SELECT *, array_to_string(list_filter([CASE WHEN coalesce(rule_category <> mc, false) OR coalesce(rule_severity <> ms, false) OR coalesce(family_supplier <> mp, false) THEN 'rule_model_conflict' END,
    CASE WHEN sev >= 4 THEN 'high_severity' END, CASE WHEN confidence < 0.9 THEN 'low_confidence' END, CASE WHEN owner IS NULL THEN 'owner_lookup_missing' END], lambda x: x IS NOT NULL), ',') AS notes FROM f)
 SELECT ncr_id, CASE WHEN failure IS NULL THEN cat END AS category, CASE WHEN failure IS NULL THEN sev END AS severity, CASE WHEN failure IS NULL THEN sup END AS supplier_id,
@@ -118,18 +120,25 @@ def soft_smells(v):
     return both.select("ncr_id", F.array_join(found, ",").alias("warnings"))
 
 
-# The oracle's word boundary is ASCII: accented letters are folded to "x" before its patterns run.
+# The oracle's word boundary is ASCII: its patterns run on text in which every accented letter is
+# spelled out in letters, and the redacted text is spelled back.
 ACCENTED = "[À-ÖØ-öø-ÿ]"
+SPELLED = {c: f"qz{chr(97 + i // 26)}{chr(97 + i % 26)}zq" for i, c in enumerate("éèÍÄñÊßÉçíÇÈÑüöÖóÓäÜê")}
+_spelled = "payload"
+for _c, _s in SPELLED.items():
+    _spelled = f"replace({_spelled}, '{_c}', '{_s}')"
 _pii_sql = ", ".join(f"CASE WHEN regexp_matches(folded, '{p}') THEN '{k}' END" for k, p in guard.PII)
-_redact_sql = "folded"
+_redact_sql = "spelled"
 for _k, _p in guard.PII:
     _redact_sql = f"regexp_replace({_redact_sql}, '{_p}', '[{_k.upper()} REDACTED]', 'g')"
+for _c, _s in SPELLED.items():
+    _redact_sql = f"replace({_redact_sql}, '{_s}', '{_c}')"
 _mark_sql = "greatest(0, " + ", ".join(f"CASE WHEN regexp_matches(folded, '{p}') THEN {guard.LEVELS.index(lv)} ELSE 0 END" for p, lv in guard.markings()) + ")"
 _inj_sql = "least(1.0, 0.45 * (" + " + ".join(f"CAST(contains(lower(payload), '{p}') AS INT)" for p in guard.INJECTION_PHRASES) + "))"
 register_view("scanned", f"""
 SELECT *, list_filter([{_pii_sql}], lambda x: x IS NOT NULL) AS kinds, {_redact_sql} AS redacted_text, {_mark_sql} AS mark, {_inj_sql} AS score,
   list_position(['open','internal','controlled'], classification) - 1 AS label_rank, list_position(['open','internal','controlled'], enclave) - 1 AS enclave_rank
-FROM (SELECT *, regexp_replace(payload, '{ACCENTED}', 'x', 'g') AS folded FROM payloads)""")
+FROM (SELECT *, regexp_replace(payload, '{ACCENTED}', 'x', 'g') AS folded, {_spelled} AS spelled FROM payloads)""")
 
 
 @query("pii_scan", "doc_id:i kinds:s", "SELECT doc_id, array_to_string(kinds, ',') AS kinds FROM scanned")
@@ -139,7 +148,7 @@ def pii_scan(v):
 
 @query("pii_redact", "doc_id:i redacted:s", "SELECT doc_id, redacted_text AS redacted FROM scanned")
 def pii_redact(v):
-    return payloads(v).select("doc_id", F.regexp_replace(guard.redact("payload"), ACCENTED, "x").alias("redacted"))
+    return payloads(v).select("doc_id", guard.redact("payload").alias("redacted"))
 
 
 @query("marking_level", "doc_id:i level:s", "SELECT doc_id, ['open','internal','controlled'][mark + 1] AS level FROM scanned")

@@ -24,8 +24,11 @@ class StreamViews(Views):
     """The canonical projections over streaming scans of the same tables."""
 
     def raw(self, name: str) -> DataFrame:
-        reader = self.spark.readStream.schema(tables.SCHEMAS[name]).option("pathGlobFilter", f"{name}.parquet")
-        return reader.parquet(self.sf_dir)
+        """A table is a folder of part files, or one file: then its folder is read through a name filter."""
+        reader, path = self.spark.readStream.schema(tables.SCHEMAS[name]), f"{self.sf_dir.rstrip('/')}/{name}.parquet"
+        if session.is_folder(self.spark, path):
+            return reader.parquet(path)
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(self.sf_dir)
 
 
 def event_time(df: DataFrame, col: str, delay: str) -> DataFrame:
@@ -44,7 +47,9 @@ def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFra
 
 def run_batches(stream: DataFrame, name: str, handle: Callable[[DataFrame, str], None]) -> str:
     """Process everything available through ``handle(batch, folder)``; returns the folder."""
-    base = session.shared_dir(stream.sparkSession, name)
+    spark = stream.sparkSession
+    base = session.shared_dir(spark, name)
+    handle(spark.createDataFrame([], stream.schema), f"{base}/out")  # the folder exists even if nothing arrives
     writer = stream.writeStream.foreachBatch(lambda batch, _: handle(batch, f"{base}/out"))
     writer.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     return f"{base}/out"

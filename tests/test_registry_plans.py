@@ -84,3 +84,14 @@ def test_alarm_needs_three_adjacent_windows(spark):
     df = spark.createDataFrame(rows, "model string, start timestamp, end timestamp, mean double")
     got = {r["start"].hour: r["alarm"] for r in jobs.alarms(df, ["model"]).collect()}
     assert got == {0: False, 1: False, 2: True, 4: False, 5: False, 6: False}
+
+
+def test_streams_read_files_and_folders_alike(spark, sf, tmp_path):
+    from plumbline import plans
+
+    for name in ("events", "lineitem", "supplier", "orders", "documents", "part"):
+        spark.read.parquet(f"{sf}/{name}.parquet").repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for name in ("stream_rolling_yield", "stream_rules"):
+        run = plans.load()[name].run
+        one, many = (sorted(map(str, run(spark, d).collect())) for d in (sf, str(tmp_path)))
+        assert one == many and one

@@ -163,3 +163,40 @@ def test_tree_contributions_add_up_to_the_prediction(spark):
     assert np.allclose(bias + parts.sum(axis=1), [r["prediction"] for r in scored])
     long = learning.tree_contributions(model, df, ["a", "b"], ["id"]).groupBy("id").agg(F.sum("impact").alias("s"))
     assert {r["id"]: round(r["s"] + bias, 6) for r in long.collect()} == {r["id"]: round(r["prediction"], 6) for r in scored}
+
+
+def test_windows_at_full_time_precision(spark):
+    at = ["2020-01-01 06:00", "2020-01-01 20:00", "2020-01-31 12:00", "2020-03-31 12:00"]
+    ev = spark.createDataFrame([("S", f"e{i}", dt.datetime.fromisoformat(t)) for i, t in enumerate(at)], "k string, id string, at timestamp_ntz")
+    from plumbline.operators import joins
+
+    got = {r["id"]: (r["total_in_window"], list(r["recent"] or [])) for r in joins.prior_history(ev, "k", "at", "id").collect()}
+    # 90 days before 31 March 12:00 is 1 January 12:00: only the later event of that day is inside.
+    assert got == {"e0": (0, []), "e1": (1, ["e0"]), "e2": (2, ["e1", "e0"]), "e3": (2, ["e2", "e1"])}
+    counts = {r["id"]: r["last_days"] for r in windows.rolling_counts(ev, "at", "id").collect()}
+    assert counts == {"e0": 1, "e1": 2, "e2": 2, "e3": 1}
+
+
+def test_count_tails_at_large_means(spark):
+    rows = [("P", m, 800) for m in range(6)] + [("W", m, c) for m, c in enumerate((100, 900, 1700, 400, 2500, 30))]
+    got = stats.count_tails(spark.createDataFrame(rows, "k string, m int, n long"), "k", "n").collect()
+    flat = [r for r in got if r["k"] == "P"]
+    assert {round(r["tail"], 3) for r in flat} == {0.505} and {r["limit"] for r in flat} == {867.0}
+    wide = sorted((r["n"], r["tail"]) for r in got if r["k"] == "W")
+    assert all(0 < t < 1 for _, t in wide) and [t for _, t in wide] == sorted((t for _, t in wide), reverse=True)
+
+
+def test_bands_stay_even_beside_an_outlier(spark):
+    df = spark.range(20_000).select(F.col("id").cast("double").alias("x")).union(spark.createDataFrame([(1e12,)], "x double"))
+    top = ordered.score_bands(df, "x", 64).groupBy("__band").count().agg(F.max("count")).first()[0]
+    assert top < 2000
+
+
+def test_small_cells_count_filled_and_empty_ones(spark):
+    rows = [("a", "x")] * 40 + [("a", "y")] * 3 + [("b", "x")] * 30 + [("c", "z")] * 2 + [("b", "z")] * 20
+    got = stats.chi2_independence(spark.createDataFrame(rows, "a string, b string"), "a", "b").first()
+    n, left, right = len(rows), {}, {}
+    for a, b in rows:
+        left[a] = left.get(a, 0) + 1
+        right[b] = right.get(b, 0) + 1
+    assert got["small_cells"] == sum(i * j / n < 5 for i in left.values() for j in right.values()) and got["dof"] == 4
