@@ -61,7 +61,7 @@ s AS (SELECT count(*) AS n, count(*) FILTER (WHERE period = 'before') AS n1, sum
 t AS (SELECT sum(CAST(c AS DOUBLE) ** 3 - c) AS ties FROM (SELECT count(*) AS c FROM lots GROUP BY fpy)),
 u AS (SELECT n, n1, n - n1 AS n2, r1 - n1 * (n1 + 1) / 2 AS u, ties FROM s, t),
 z AS (SELECT n1, n2, u, (greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / sqrt(n1 * n2 / 12 * (n + 1 - ties / (n * (n - 1)))) AS z FROM u)
-SELECT *, least(1, 1 - 2 * (SELECT sum({SIMPSON} * abs(z) * exp(-(z * i / 4000.0) ** 2 / 2) / sqrt(2 * pi())) FROM generate_series(0, 4000) s(i))) AS p FROM z""")
+SELECT *, least(1, 1 - 2 * (SELECT sum({SIMPSON} * abs(z) * exp(-0.5 * (z * i / 4000.0) ** 2) / sqrt(2 * pi())) FROM generate_series(0, 4000) s(i))) AS p FROM z""")
 def mann_whitney(v):
     return stats.mann_whitney(lots(v), "period", "fpy", "before", "after")
 

@@ -5,6 +5,7 @@ import re
 
 import __spark_entry__ as entry
 from plumbline.sources.views import Views
+from plumbline import plans
 from plumbline.streaming import jobs
 
 
@@ -15,7 +16,8 @@ def plan(df):
 def test_every_query_is_described():
     queries, oracle = entry.queries(), entry.oracle_sql()
     assert len(queries) >= 200 and set(oracle) <= set(queries)
-    assert not any(re.match(r"op\d", n) for n in queries)
+    # The optional operators are added by the entry alone, never by the library's own registry.
+    assert not any(re.match(r"op\d|pipeline", n) for n in plans.load())
 
 
 def test_flagship_runs(spark):
@@ -87,8 +89,6 @@ def test_alarm_needs_three_adjacent_windows(spark):
 
 
 def test_streams_read_files_and_folders_alike(spark, sf, tmp_path):
-    from plumbline import plans
-
     for name in ("events", "lineitem", "supplier", "orders", "documents", "part"):
         spark.read.parquet(f"{sf}/{name}.parquet").repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))
     for name in ("stream_rolling_yield", "stream_rules"):
