@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from plumbline.llm import common
 
 #: Tokens of a block (whole documents), requests of a bucket (about), counts that are discounted.
-BLOCK, BUCKET, K = 1 << 21, 1 << 21, 5
+BLOCK, BUCKET, K = 1 << 20, 1 << 21, 5
 #: A history that occurs this often is spread over all buckets.
 SPREAD = 1 << 20
 _END = xxhash.xxh64_intdigest(b"\n")  # no word has a line feed
@@ -47,14 +47,32 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * _MIX
 
 
+def _bucket(route: np.ndarray, buckets: int) -> np.ndarray:
+    """The top bits."""
+    bits = buckets.bit_length() - 1
+    return (route >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(route), np.int64)
+
+
+def _in_order(bucket: np.ndarray, history: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Row numbers sorted by bucket, history and word."""
+    small = np.uint64(1 << 32)
+    if len(word) and bucket.max() < 1 << 16 and history.max() < small and word.max() < small:
+        first = np.argsort((history << np.uint64(32)) | word)
+        return first[np.argsort(bucket[first].astype(np.uint16), kind="stable")]
+    return np.lexsort((word, history, bucket))
+
+
 # ---- blocks ----------------------------------------------------------------------------------
 
 
 def blocks(docs: DataFrame, training: Column, id_col: str, text_col: str, block: int = BLOCK) -> DataFrame:
-    """``block, ids, train, lens, tokens, words``: lists of documents as packed arrays."""
+    """``block, ids, train, lens, tokens, words, n_words``: lists of documents as packed arrays.
+
+    ``words`` are the block's distinct word hashes in rising order; ``tokens`` are places in them.
+    """
     common.small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), training.alias("_train"), F.col(f"`{text_col}`").alias("_text"))
-    fields = T._parse_datatype_string("block bigint, train binary, lens binary, tokens binary, words binary, n_tokens bigint").fields
+    fields = T._parse_datatype_string("block bigint, train binary, lens binary, tokens binary, words binary, n_words bigint, n_tokens bigint").fields
     schema = T.StructType([T.StructField("ids", T.ArrayType(rows.schema["_id"].dataType)), *fields])
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,14 +83,17 @@ def blocks(docs: DataFrame, training: Column, id_col: str, text_col: str, block:
         ids, train, lens, tokens = [], [], [], []
 
         def made() -> pa.RecordBatch:
-            hashes = np.array([_END, *[xxhash.xxh64_intdigest(w) for w in codes]], np.uint64)
-            all_tokens = np.concatenate(tokens)
+            hashes = _mixed(np.array([_END, *[xxhash.xxh64_intdigest(w) for w in codes]], np.uint64))
+            rising = np.argsort(hashes)
+            place = np.empty(len(rising), np.uint32)
+            place[rising] = np.arange(len(rising), dtype=np.uint32)
+            all_tokens = place[np.concatenate(tokens)]
             columns = [
                 [ids], [number], [common.pack(np.array(train, bool).view(np.uint8))], [common.pack(np.array(lens, np.uint32))],
-                [common.pack(all_tokens)], [common.pack(hashes)], [len(all_tokens)],
+                [common.pack(all_tokens)], [common.pack(np.diff(hashes[rising], prepend=np.uint64(0)))], [len(hashes)], [len(all_tokens)],
             ]
             return pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, [pa.list_(kind), pa.int64(), *[pa.binary()] * 4, pa.int64()], strict=True)], schema.names
+                [pa.array(c, k) for c, k in zip(columns, [pa.list_(kind), pa.int64(), *[pa.binary()] * 4, pa.int64(), pa.int64()], strict=True)], schema.names
             )
 
         size = 0
@@ -144,33 +165,36 @@ class Block:
         distinct = ordered[new]
         return distinct // shift, distinct % shift, at
 
-    def ask(self, words: np.ndarray | None, spread: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
+    def begin(self, n_words: int) -> None:
+        """The first level: single words, which stand in request order already."""
+        self.levels.append(Level(self.tokens, np.arange(n_words)))
+
+    def counts(self) -> np.ndarray:
+        """Training counts of the newest level's n-grams."""
+        level = self.levels[-1]
+        return np.bincount(level.at[self.training_positions()], minlength=len(level.order)).astype(np.uint32)
+
+    def ask(self, spread: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
         """Requests of the next level in order: bucket, history id, word id, training count, lower probability.
 
-        Appends the level; ``words`` are the word hashes (first level only)."""
-        if not self.levels:
-            at, histories = self.tokens, np.zeros(len(words), np.uint64)
-            ids, lower = words, np.zeros(len(words), np.float32)
-        else:
-            first, last = self.levels[0], self.levels[-1]
-            history, word, at = self.grams(len(first.ids))
-            # The start's id is 0, that of all others is at least 1.
-            histories = np.concatenate([np.zeros(1, np.uint64), last.ids])[history]
-            ids = first.ids[word]
-            # The shorter history's probability of the same word stands at any position of this n-gram.
-            somewhere = np.empty(len(history), np.int64)
-            somewhere[at] = np.arange(len(at))
-            lower = last.p[last.at[somewhere]]
-        count = np.bincount(at[self.training_positions()], minlength=len(ids)).astype(np.uint32)
+        Appends the level."""
+        first, last = self.levels[0], self.levels[-1]
+        history, word, at = self.grams(len(first.ids))
+        # The start's id is 0, that of all others is at least 1.
+        histories = np.concatenate([np.zeros(1, np.uint64), last.ids])[history]
+        ids = first.ids[word]
+        # The shorter history's probability of the same word stands at any position of this n-gram.
+        somewhere = np.empty(len(history), np.int64)
+        somewhere[at] = np.arange(len(at))
+        lower = last.p[last.at[somewhere]]
         route = _mixed(histories)
-        if len(spread):
-            where = np.minimum(np.searchsorted(spread, histories), len(spread) - 1)
-            hot = spread[where] == histories
-            route[hot] ^= _mixed(ids[hot] + np.uint64(1))
-        bucket = (route >> np.uint64(64 - buckets.bit_length() + 1)).astype(np.int64) if buckets > 1 else np.zeros(len(ids), np.int64)
-        order = np.lexsort((ids, histories, bucket))
+        where = np.minimum(np.searchsorted(spread, histories), len(spread) - 1)
+        hot = spread[where] == histories
+        route[hot] ^= _mixed(ids[hot] + np.uint64(1))
+        bucket = _bucket(route, buckets)
+        order = _in_order(bucket, histories, ids)
         self.levels.append(Level(at, order))
-        return bucket[order], histories[order], ids[order], count[order], lower[order]
+        return bucket[order], histories[order], ids[order], self.counts()[order], lower[order]
 
     def hear(self, answers: list[tuple[int, bytes]]) -> None:
         """Put the answers (by bucket, in request order) to the newest level's n-grams."""
@@ -190,40 +214,58 @@ def _with_answers(table: DataFrame, answers: DataFrame | None, columns: list[str
     return table.select(*columns).join(heard.hint("shuffle_hash"), "block")
 
 
-def _blocks_in(batch: pa.RecordBatch, level: int, spreads: list[np.ndarray], buckets: int) -> Iterator[tuple[int, Block, list]]:
+def _blocks_in(batch: pa.RecordBatch, level: int, spreads: list[np.ndarray], buckets: int) -> Iterator[tuple[int, Block]]:
     """Blocks with ``level - 1`` levels answered."""
     for i in range(batch.num_rows):
-        row = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
+        row = {n: batch.column(n)[i].as_py() for n in ("block", "ids", "train", "lens", "tokens", "n_words", "said")}
         block = Block.of(row["ids"], row["train"], row["lens"], row["tokens"])
-        words = common.unpack(row["words"])[0]
         for n in range(1, level):
-            block.ask(words if n == 1 else None, spreads[n - 1], buckets)
+            if n == 1:
+                block.begin(row["n_words"])
+            else:
+                block.ask(spreads[n - 1], buckets)
             block.hear([(s["bucket"], s["blob"]) for s in row["said"] if s["level"] == n])
-        yield row["block"], block, words
+        yield row["block"], block
 
 
-_COLUMNS = ["block", "ids", "train", "lens", "tokens", "words"]
+_COLUMNS = ["block", "ids", "train", "lens", "tokens", "n_words"]
+
+
+def _cut_by(bucket: np.ndarray) -> list[tuple[int, int]]:
+    """First and last row of each bucket in turn."""
+    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist()
+    return list(zip(cuts, [*cuts[1:], len(bucket)], strict=True))
 
 
 def requests(table: DataFrame, answers: DataFrame | None, level: int, spreads: list[np.ndarray], buckets: int) -> DataFrame:
     """``bucket, block, blob``: what the blocks ask of the buckets at this level."""
 
+    def said(number: int, bucket: np.ndarray, blobs: list[bytes], parts: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([int(bucket[a]) for a, _ in parts], pa.int64()), pa.array([number] * len(parts), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "block", "blob"]
+        )
+
+    def ask_words(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for i, (number, block) in enumerate(_blocks_in(batch, 1, spreads, buckets)):
+                words = np.cumsum(common.unpack(batch.column("words")[i].as_py())[0], dtype=np.uint64)
+                block.begin(len(words))
+                count, bucket = block.counts(), _bucket(words, buckets)
+                parts = _cut_by(bucket)
+                yield said(number, bucket, [common.pack(np.diff(words[a:b], prepend=np.uint64(0)), count[a:b]) for a, b in parts], parts)
+
     def ask(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for number, block, words in _blocks_in(batch, level, spreads, buckets):
-                bucket, history, word, count, lower = block.ask(words if level == 1 else None, spreads[level - 1], buckets)
-                cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-                ends = [*cuts[1:].tolist(), len(bucket)]
-                blobs = []
-                for a, b in zip(cuts.tolist(), ends, strict=True):
-                    steps = np.diff(history[a:b], prepend=np.uint64(0))
-                    more = [lower[a:b]] if level > 1 else []
-                    blobs.append(common.pack(steps, word[a:b], count[a:b], *more))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket[cuts], pa.int64()), pa.array([number] * len(cuts), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "block", "blob"]
-                )
+            for number, block in _blocks_in(batch, level, spreads, buckets):
+                bucket, history, word, count, lower = block.ask(spreads[level - 1], buckets)
+                parts = _cut_by(bucket)
+                blobs = [common.pack(np.diff(history[a:b], prepend=np.uint64(0)), word[a:b], count[a:b], lower[a:b]) for a, b in parts]
+                yield said(number, bucket, blobs, parts)
 
-    return _with_answers(table, answers, _COLUMNS).mapInArrow(ask, "bucket bigint, block bigint, blob binary")
+    made = "bucket bigint, block bigint, blob binary"
+    if level == 1:
+        return _with_answers(table, None, [*_COLUMNS, "words"]).mapInArrow(ask_words, made)
+    return _with_answers(table, answers, _COLUMNS).mapInArrow(ask, made)
 
 
 # ---- buckets ---------------------------------------------------------------------------------
@@ -250,10 +292,15 @@ def store(asked: DataFrame, level: int, spread: np.ndarray, buckets: int, often:
         bucket = int(rows["bucket"].iloc[0])
         parts = []
         for blob in rows["blob"]:
-            steps, word, count, *lower = common.unpack(blob)
-            parts.append((np.cumsum(steps, dtype=np.uint64), word, count, lower[0] if lower else np.zeros(len(word), np.float32)))
+            if level == 1:
+                steps, count = common.unpack(blob)
+                word = np.cumsum(steps, dtype=np.uint64)
+                parts.append((np.zeros(len(word), np.uint64), word, count, np.zeros(len(word), np.float32)))
+            else:
+                steps, word, count, lower = common.unpack(blob)
+                parts.append((np.cumsum(steps, dtype=np.uint64), word, count, lower))
         history, word, count, lower = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((word, history))
+        order = _in_order(np.zeros(len(word), np.int64), history, word)
         h, w = history[order], word[order]
         new = np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])])
         first = np.flatnonzero(new)
@@ -418,7 +465,7 @@ def score(model: Katz, id_col: str = "doc_id") -> DataFrame:
     def sums(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             kind = batch.schema.field("ids").type.value_type
-            for _, block, _ in _blocks_in(batch, order + 1, spreads, buckets):
+            for _, block in _blocks_in(batch, order + 1, spreads, buckets):
                 first, last = block.levels[0], block.levels[-1]
                 count = first.count.astype(np.float64)
                 base = np.log10((count + 1) / (tokens + types + 1))
