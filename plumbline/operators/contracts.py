@@ -125,13 +125,6 @@ def verify_fingerprint(df: DataFrame, expected) -> None:
         raise ContractError("dataset content differs from its manifest")
 
 
-def check_table(spark, rows: Sequence[DataFrame]) -> DataFrame:
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
-
-
 def check(df_one_row: DataFrame, name: str, value: Column, expected, op: str = "==") -> DataFrame:
     """One line of a checks table from a one-row aggregate."""
     want = F.lit(expected).cast("double")

@@ -53,13 +53,6 @@ def pairs_within_days(events: DataFrame, key: str, at: str, row_id: str, days: i
     return first.join(second, [key, "b"]).where(later & near).select(key, "first_id", "second_id", "t1", "t2")
 
 
-def cumulative_days(events: DataFrame, key: Sequence[str], day: str, sums: dict[str, Column]) -> DataFrame:
-    """Daily sums per key and their running totals; never more than one row per key and day."""
-    daily = events.groupBy(*key, day).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    upto = Window.partitionBy(*key).orderBy(day).rowsBetween(Window.unboundedPreceding, 0)
-    return daily.select(*key, day, *[F.sum(n).over(upto).alias(n) for n in sums])
-
-
 def totals_before(
     points: DataFrame, events: DataFrame, key: Sequence[str], day: str, sums: dict[str, Column]
 ) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import HashingTF, IDF, MinMaxScaler, PCA, RegexTokenizer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import HashingTF, IDF, PCA, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression
 from pyspark.sql import DataFrame, Window
@@ -308,12 +308,6 @@ def text_classify(docs: DataFrame, key: str, kind: str = "logistic", levels: int
     return per.withColumn("macro_f1", F.avg("f1").over(Window.partitionBy()))
 
 
-def scaled_vectors(df: DataFrame, columns: Sequence[str], kind: str = "standard") -> DataFrame:
-    raw = VectorAssembler(inputCols=list(columns), outputCol="raw_x").transform(df)
-    scaler = StandardScaler(inputCol="raw_x", outputCol="x", withMean=True) if kind == "standard" else MinMaxScaler(inputCol="raw_x", outputCol="x")
-    return scaler.fit(raw).transform(raw).drop("raw_x")
-
-
 def tree_table(model) -> list[tuple[float, dict[str, np.ndarray]]]:
     """(weight, node arrays) of every tree of a fitted tree ensemble; its size is that of the model."""
     trees = getattr(model, "trees", [model])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import ledger, ordered, panel, windows
+from plumbline.operators import ledger, ordered, panel
 from plumbline.plans import scope
 from plumbline.registry import query
 

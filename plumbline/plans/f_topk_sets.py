@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import evaluation, panel, vectors, windows
+from plumbline.operators import evaluation, panel, vectors
 from plumbline.plans import scope
 from plumbline.registry import query
 from plumbline.sources.oracle_views import register_view

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import evaluation, learning, neighbours, panel, prep, windows
+from plumbline.operators import evaluation, learning, neighbours, panel, prep
 from plumbline.plans import scope
 from plumbline.registry import query
 from plumbline.sources.oracle_views import register_view
@@ -132,9 +132,6 @@ def class_weights(v):
     return prep.class_weights(rows, "label").join(sizes, "label")
 
 
-SMALL = {"maxIter": 8, "maxDepth": 3}
-
-
 def fitted(v):
     """Prepared rows of a reserved-period split: ``part`` is fit, calibrate or test."""
     rows = prep.reserve_period(frame(v), "2000-06-01", check=False).where("period_role <> 'purged'")
@@ -148,7 +145,7 @@ def fitted(v):
 @query("fit_risk_regressor", "supplier_id:i month:d predicted_harm_90d:f harm_next_90d:i")
 def fit_risk_regressor(v):
     rows, _ = fitted(v)
-    model = learning.fit_regressor(rows.where("part <> 'test'"), **SMALL)
+    model = learning.fit_regressor(rows.where("part <> 'test'"))
     scored = model.transform(rows.where("part = 'test'"))
     return scored.withColumn("predicted_harm_90d", F.greatest(F.lit(0.0), F.col("prediction")))
 
@@ -156,13 +153,13 @@ def fit_risk_regressor(v):
 @query("fit_risk_classifier", "supplier_id:i month:d p:f sev3_next_90d:i")
 def fit_risk_classifier(v):
     rows, _ = fitted(v)
-    model, iso = learning.fit_classifier(rows.where("part = 'fit'"), rows.where("part = 'calibrate'"), **SMALL)
+    model, iso = learning.fit_classifier(rows.where("part = 'fit'"), rows.where("part = 'calibrate'"))
     return learning.calibrated(model, iso, rows.where("part = 'test'"))
 
 
 @query("cv_evaluate", "fold:i n_test:i positive_test:i roc_auc:f average_precision:f log_loss:f brier:f mae:f r2:f recall_sev3:f")
 def cv_evaluate(v):
-    return learning.cv_evaluate(frame(v), n_splits=3, maxIter=4, maxDepth=3)
+    return learning.cv_evaluate(frame(v), n_splits=5, maxIter=10, maxDepth=4)
 
 
 @query("bakeoff", "model:s n:i roc_auc:f average_precision:f")
@@ -175,8 +172,8 @@ def hyper_search(v):
     from pyspark.ml.classification import LogisticRegression
 
     make = lambda **p: LogisticRegression(featuresCol="x", labelCol="label", weightCol="weight", maxIter=20, **p)
-    points = learning.search_points({"regParam": [0.001, 0.01, 0.1], "elasticNetParam": [0.0, 0.5]}, samples=3)
-    return learning.hyper_search(frame(v), make, points, n_splits=2)
+    points = learning.search_points({"regParam": [0.001, 0.01, 0.1], "elasticNetParam": [0.0, 0.5]}, samples=6)
+    return learning.hyper_search(frame(v), make, points, n_splits=3)
 
 
 register_view("judged", """
@@ -230,8 +227,8 @@ def threshold_sweep(v):
 @query("score_suppliers", "supplier_id:i snapshot_cutoff:d forecast_end:d predicted_harm_90d:f harm_was_clipped:b risk_score:f p_sev3_90d:f limited_history:b insufficient_recent_activity:b escalate:b")
 def score_suppliers(v):
     rows, _ = fitted(v)
-    model, iso = learning.fit_classifier(rows.where("part = 'fit'"), rows.where("part = 'calibrate'"), **SMALL)
-    harm = learning.fit_regressor(rows.where("part <> 'test'"), **SMALL)
+    model, iso = learning.fit_classifier(rows.where("part = 'fit'"), rows.where("part = 'calibrate'"))
+    harm = learning.fit_regressor(rows.where("part <> 'test'"))
     latest = prep.snapshot(rows.where("part = 'test'"), "2001-05-20")
     return learning.score_suppliers(learning.settle(latest), harm, model, iso, 0.3)
 
@@ -261,7 +258,7 @@ def top_drivers(v):
 @query("top_drivers_trees", "supplier_id:i month:d rn:i feature:s value:f impact:f direction:s")
 def top_drivers_trees(v):
     rows, inputs = fitted(v)
-    model = learning.fit_regressor(rows.where("part <> 'test'"), **SMALL)
+    model = learning.fit_regressor(rows.where("part <> 'test'"))
     long = learning.tree_contributions(model, rows.where("part = 'test'"), inputs, ["supplier_id", "month"])
     keyed = long.withColumn("row_id", F.concat_ws("|", "supplier_id", "month"))
     return evaluation.top_drivers(keyed, "row_id", 5)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -85,29 +86,49 @@ def jdbc_reader(spark: SparkSession, url: str, fetch_size: int = 100_000, **opti
     return read
 
 
+def _swap(spark: SparkSession, root: str, run: str, names: Sequence[str]) -> None:
+    """Rename the staged folders into place, all or none; the old ones go at the end."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path(f"{root}/__old-{run}"))
+    done: list[tuple[str, str]] = []
+
+    def move(source: str, to: str) -> None:
+        if not fs.rename(path(source), path(to)):
+            raise OSError(f"cannot rename {source}")
+        done.append((source, to))
+
+    try:
+        for table in names:
+            if fs.exists(path(f"{root}/{table}")):
+                move(f"{root}/{table}", f"{root}/__old-{run}/{table}")
+            move(f"{root}/__staged-{run}/{table}", f"{root}/{table}")
+    except Exception:
+        for source, to in reversed(done):
+            fs.rename(path(to), path(source))
+        raise
+    fs.delete(path(f"{root}/__old-{run}"), True)
+    fs.delete(path(f"{root}/__staged-{run}"), True)
+
+
 def extract(manifest: Sequence[Mapping], read: Callable[[Mapping], DataFrame], target: str) -> DataFrame:
     """Copy the listed tables, all or nothing, and return rows per table.
 
-    Every table is read, checked for its columns and staged before any target is
-    replaced; a failure while staging leaves all targets untouched. Entries are
-    mappings with ``table``, ``source`` and ``columns``.
+    Every table is read, checked for its columns and staged before any target is touched.
+    The swap only renames folders; if one rename fails, those before it are undone, so the
+    targets are either all new or all as they were. Runs stage in folders of their own.
+    Entries are mappings with ``table``, ``source`` and ``columns``.
     """
     if not manifest:
         raise ContractError("manifest lists no tables")
-    staged = []
+    root, run = target.rstrip("/"), os.urandom(6).hex()
+    names = [entry["table"] for entry in manifest]
     for entry in manifest:
         checked = require_columns(read(entry), entry["columns"]).select(*entry["columns"])
-        path = f"{target.rstrip('/')}/__staged/{entry['table']}"
-        checked.write.mode("overwrite").parquet(path)
-        staged.append((entry["table"], path))
-    spark = None
-    counts = []
-    for table, path in staged:
-        spark = spark or SparkSession.active()
-        spark.read.parquet(path).write.mode("overwrite").parquet(f"{target.rstrip('/')}/{table}")
-        counts.append(
-            spark.read.parquet(f"{target.rstrip('/')}/{table}").agg(F.lit(table).alias("table"), F.count(F.lit(1)).alias("rows"))
-        )
+        checked.write.parquet(f"{root}/__staged-{run}/{entry['table']}")
+    spark = SparkSession.active()
+    _swap(spark, root, run, names)
+    counts = [spark.read.parquet(f"{root}/{table}").agg(F.lit(table).alias("table"), F.count(F.lit(1)).alias("rows")) for table in names]
     out = counts[0]
     for c in counts[1:]:
         out = out.unionByName(c)
