@@ -27,7 +27,7 @@ from plumbline import session
 from plumbline.llm import common
 
 #: A memo that has grown beyond this many entries becomes the old generation.
-MEMO = 600_000
+MEMO = 300_000
 #: White space outside ASCII and the ASCII separators, as UTF-8.
 ODD_SPACES = tuple(
     chr(c).encode() for c in (0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
