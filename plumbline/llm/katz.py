@@ -62,6 +62,10 @@ def _in_order(bucket: np.ndarray, history: np.ndarray, word: np.ndarray) -> np.n
     return np.lexsort((word, history, bucket))
 
 
+#: What an answer's arrays are, by their type.
+_MEANING = {"f4": "p", "u8": "ids", "u4": "count"}
+
+
 # ---- blocks ----------------------------------------------------------------------------------
 
 
@@ -186,7 +190,8 @@ class Block:
         # The shorter history's probability of the same word stands at any position of this n-gram.
         somewhere = np.empty(len(history), np.int64)
         somewhere[at] = np.arange(len(at))
-        lower = last.p[last.at[somewhere]]
+        # (Scoring only needs the order of the requests: then no probability was asked for.)
+        lower = last.p[last.at[somewhere]] if last.p is not None else np.zeros(len(history), np.float32)
         route = _mixed(histories)
         where = np.minimum(np.searchsorted(spread, histories), len(spread) - 1)
         hot = spread[where] == histories
@@ -200,11 +205,11 @@ class Block:
         """Put the answers (by bucket, in request order) to the newest level's n-grams."""
         level = self.levels[-1]
         parts = [common.unpack(blob) for _, blob in sorted(answers)]
-        for name, arrays in zip(("p", "ids", "count"), zip(*parts, strict=True), strict=False):
+        for arrays in zip(*parts, strict=True):
             got = np.concatenate(arrays)
             put = np.empty_like(got)
             put[level.order] = got
-            setattr(level, name, put)
+            setattr(level, _MEANING[got.dtype.str[1:]], put)
 
 
 def _with_answers(table: DataFrame, answers: DataFrame | None, columns: list[str]) -> DataFrame:
@@ -370,8 +375,8 @@ def probabilities(history: np.ndarray, count: np.ndarray, lower: np.ndarray, d:
     return np.where(count > 0, seen, unseen).astype(np.float32)
 
 
-def answers(stored: DataFrame, level: int, last: bool, d: np.ndarray, spread: dict[int, tuple], buckets: int) -> DataFrame:
-    """``level, block, bucket, blob``: probabilities, and ids (and word counts) where later levels need them."""
+def answers(stored: DataFrame, level: int, want: str, d: np.ndarray, spread: dict[int, tuple], buckets: int) -> DataFrame:
+    """``level, block, bucket, blob``: of ``p`` (probability), ``ids`` and ``count``, what ``want`` names."""
 
     def answer(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -383,8 +388,8 @@ def answers(stored: DataFrame, level: int, last: bool, d: np.ndarray, spread: di
                 said = []
                 for who in row["asked"]:
                     at = np.cumsum(common.unpack(who["blob"])[0], dtype=np.int64)
-                    ids = [] if last else [(at * buckets + row["bucket"] + 1).astype(np.uint64)]
-                    said.append(common.pack(p[at], *ids, *([count[at]] if level == 1 else [])))
+                    can = {"p": p, "ids": (np.arange(len(p)) * buckets + row["bucket"] + 1).astype(np.uint64), "count": count}
+                    said.append(common.pack(*[can[name][at] for name in want.split()]))
                 n = len(said)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([level] * n, pa.int32()), pa.array([w["block"] for w in row["asked"]], pa.int64()), pa.array([row["bucket"]] * n, pa.int64()), pa.array(said, pa.binary())],
@@ -428,9 +433,18 @@ def train(
     total = table.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     buckets = common.power_of_two(max(8, total // bucket))
     common.small_batches(spark, rows=1)  # from here on, a row is a block or a bucket
-    spreads, kept, said, tokens, types = [np.zeros(1, np.uint64)], [], None, 0, 0
+    spreads, kept, known, tokens, types = [np.zeros(1, np.uint64)], [], [], 0, 0
+
+    def said(last: str, first: str) -> DataFrame | None:
+        """Answers of all levels so far: ``last`` of the newest, ``first`` of single words, ids of those between."""
+        made = None
+        for n, (d, spread) in enumerate(known, start=1):
+            one = answers(kept[n - 1], n, last if n == len(known) else first if n == 1 else "ids", d, spread, buckets)
+            made = one if made is None else made.unionByName(one)
+        return made
+
     for level in range(1, order + 1):
-        asked = requests(table, said, level, spreads, buckets)
+        asked = requests(table, said("p ids", "ids"), level, spreads, buckets)
         stored = common.written(store(asked, level, spreads[-1], buckets, often), f"katz-level{level}")
         kept.append(stored)
         stats = stored.agg(
@@ -446,11 +460,10 @@ def train(
             .collect()
         )
         spread = {r["history"]: (r["total"], [r[f"t{i}"] for i in range(K)], r["low"]) for r in sums}
-        new = answers(stored, level, level == order, discounts([stats[f"n{r}"] for r in range(K + 1)]), spread, buckets)
-        said = new if said is None else said.unionByName(new)
+        known.append((discounts([stats[f"n{r}"] for r in range(K + 1)]), spread))
         hot = [r["h"] for r in stored.select(F.explode("hot").alias("h")).collect()]
         spreads.append(np.array(sorted({0, *hot}), np.uint64))
-    return Katz(order, buckets, table, kept, said, spreads, tokens, types)
+    return Katz(order, buckets, table, kept, said("p", "ids count"), spreads, tokens, types)
 
 
 def score(model: Katz, id_col: str = "doc_id") -> DataFrame:
