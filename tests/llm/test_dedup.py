@@ -150,3 +150,54 @@ def test_similar_stage_on_odd_rows(frame, odd_rows):
     assert kept.columns == docs.columns
     assert kept.count() == 6  # blank texts, the prose, the long text, three others
     assert similar.one_of_each(docs.limit(0)).count() == 0
+
+
+def brute_components(texts, least=0.8, width=5):
+    def shingles(text):
+        words = text.split()
+        return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+
+    sets, label = [shingles(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if label[i] != label[j] and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]) - 1e-9:
+                old, new = label[i], label[j]
+                label = [new if x == old else x for x in label]
+    return label
+
+
+def partition(labels):
+    groups = defaultdict(set)
+    for i, g in labels.items():
+        groups[g].add(i)
+    return {frozenset(g) for g in groups.values()}
+
+
+def edited_texts():
+    """Passages put in, taken out and replaced, similarities on both sides of 0.8; one crowded group of several families."""
+    rng = random.Random(21)
+    word = lambda: f"w{rng.getrandbits(40):x}"
+    texts = []
+    for _ in range(12):
+        base = [word() for _ in range(200)]
+        texts.append(base)
+        for share in (0.05, 0.1, 0.15, 0.2, 0.22, 0.24, 0.26, 0.3):
+            at, size = rng.randrange(150), int(200 * share)
+            texts += [base[:at] + [word() for _ in range(size)] + base[at:], base[:at] + base[at + size * 4 // 5 :]]
+    common_part = [word() for _ in range(150)]
+    for _ in range(6):  # families that share a passage of three quarters, but are not alike
+        own = [word() for _ in range(50)]
+        for _ in range(12):
+            copy = common_part + own
+            for _ in range(rng.randrange(5)):
+                copy[rng.randrange(200)] = word()
+            texts.append(copy)
+    return [" ".join(t) for t in texts]
+
+
+def test_similar_groups_are_those_of_all_pairs(frame):
+    texts = edited_texts()
+    got = similar.similar_groups(frame([(i, t, "en", "a") for i, t in enumerate(texts)])).collect()
+    want = partition(dict(enumerate(brute_components(texts))))
+    assert 20 < len(want) < len(texts)
+    assert partition({r._id: r.component for r in got}) == want
