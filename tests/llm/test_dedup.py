@@ -201,3 +201,20 @@ def test_similar_groups_are_those_of_all_pairs(frame):
     want = partition(dict(enumerate(brute_components(texts))))
     assert 20 < len(want) < len(texts)
     assert partition({r._id: r.component for r in got}) == want
+
+
+def pair_ids(frame, pairs):
+    rows = [(2 * i + k, " ".join(words), "en", "a") for i, pair in enumerate(pairs) for k, words in enumerate(pair)]
+    got = {r._id: r.component for r in similar.similar_groups(frame(rows)).collect()}
+    return [got[2 * i] == got[2 * i + 1] for i in range(len(pairs))]
+
+
+def test_inserted_and_deleted_passages_at_the_similarity_are_found(frame):
+    rng = random.Random(33)
+    word = lambda: f"w{rng.getrandbits(40):x}"
+    pairs = []
+    for i in range(40):
+        base = [word() for _ in range(404)]  # 400 shingles
+        more = [word() for _ in range(95)]  # at most 99 more: 400 / 499 is above 0.8
+        pairs.append((base, more + base if i % 2 else base[:200] + [word() for _ in range(70)] + base[200:]))
+    assert all(pair_ids(frame, pairs))
