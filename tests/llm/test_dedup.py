@@ -218,3 +218,14 @@ def test_inserted_and_deleted_passages_at_the_similarity_are_found(frame):
         more = [word() for _ in range(95)]  # at most 99 more: 400 / 499 is above 0.8
         pairs.append((base, more + base if i % 2 else base[:200] + [word() for _ in range(70)] + base[200:]))
     assert all(pair_ids(frame, pairs))
+
+
+def test_long_texts_just_below_the_similarity_stay_apart(frame):
+    rng = random.Random(34)
+    word = lambda: f"w{rng.getrandbits(40):x}"
+    pairs, want = [], []
+    for i in range(40):
+        base = [word() for _ in range(804)]  # 800 shingles; 200 more are 0.8 exactly, 201 are below
+        pairs.append((base, base + [word() for _ in range(200 + i % 2)]))
+        want.append(i % 2 == 0)
+    assert pair_ids(frame, pairs) == want
