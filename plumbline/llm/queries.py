@@ -80,7 +80,7 @@ def op5_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm import katz
 
     held_out = common.in_fold("doc_id", 7, 2)
-    scored = katz.score(katz.train(common.documents(spark, sf_dir), training=~held_out, order=2))
+    scored = katz.score(katz.train(common.documents(spark, sf_dir), training=~held_out, order=3))
     return scored.select(
         "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )

@@ -222,3 +222,17 @@ def test_discounts_fall_back_where_counts_of_counts_are_odd():
     assert np.allclose(katz.discounts([0] * 6), [1 - 0.5 / r for r in range(1, 6)])
     d = katz.discounts([100_000, 40_000, 20_000, 12_000, 8_000, 6_000])
     assert (d > 0).all() and (d < 1).all() and abs(d[0] - (2 * 40_000 / 100_000 - 0.36) / 0.64) < 1e-12
+
+
+def test_registered_katz_query_backs_off_over_more_than_one_level(spark, sf, monkeypatch):
+    from plumbline.llm import queries
+
+    orders, train = [], katz.train
+
+    def spy(*args, **kwargs):
+        orders.append((model := train(*args, **kwargs)).order)
+        return model
+
+    monkeypatch.setattr(katz, "train", spy)
+    queries.op5_katz_backoff(spark, sf)
+    assert orders == [3]
