@@ -66,12 +66,59 @@ def canonical(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.concat(host, path, tail))
 
 
-def link_targets(html: Column) -> Column:
-    """Addresses that a page names as its own: canonical link, ``og:url``, refresh."""
+def attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute, quoted or not; empty without one."""
+    pattern = rf"""(?is)(?<![\w-]){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    return F.trim(F.concat(*[F.coalesce(F.regexp_extract(tag, pattern, i), F.lit("")) for i in (1, 2, 3)]))
+
+
+def without_dots(path: Column) -> Column:
+    """``path`` (with its leading slash) without its ``.`` and ``..`` segments."""
+    parts = F.split(path, "/", -1)
+    none = F.array().cast("array<string>")
+    kept = F.aggregate(
+        F.slice(parts, 2, F.size(parts)), none,
+        lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x))),
+    )
+    closed = F.concat(kept, F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(none))
+    return F.when(path.rlike(r"/\.\.?(?:/|$)"), F.concat(F.lit("/"), F.array_join(closed, "/"))).otherwise(path)
+
+
+def resolved(target: Column, base: Column) -> Column:
+    """The absolute address of ``target`` on a page at ``base``; empty if there is none."""
+    scheme = F.regexp_extract(base, r"(?s)^(.*?)://", 1)
+    site = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
+    path = F.regexp_extract(base, r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
+    folder = F.concat(F.regexp_extract(path, r"(?s)^(.*)/[^/]*$", 1), F.lit("/"))
+    own, rest = F.regexp_extract(target, r"(?s)^([^?#]*)", 1), F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    full = (
+        F.when(target.rlike(r"(?i)^[a-z][a-z0-9+.-]*:"), F.when(target.rlike(r"(?i)^[a-z][a-z0-9+.-]*://"), target))
+        .when((target == "") | target.startswith("#") | (site == ""), F.lit(""))
+        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
+        .when(target.startswith("?"), F.concat(site, path, target))
+        .when(target.startswith("/"), F.concat(site, without_dots(own), rest))
+        .otherwise(F.concat(site, without_dots(F.concat(folder, own)), rest))
+    )
+    return F.coalesce(full, F.lit(""))
+
+
+def link_targets(html: Column, url: Column) -> Column:
+    """Absolute addresses that the page at ``url`` names as its own: canonical link, ``og:url``, refresh.
+
+    Relative and scheme-relative ones are resolved against the page's ``base``, or else its address.
+    """
     tags = F.regexp_extract_all(html, F.lit(r"(?i)<(?:link|meta)\b[^>]*>"), F.lit(0))
     own = F.filter(tags, lambda t: t.rlike(r"""(?i)rel\s*=\s*["']?canonical|property\s*=\s*["']?og:url|http-equiv\s*=\s*["']?refresh"""))
-    found = F.transform(own, lambda t: F.regexp_extract(t, r"""(?i)([a-z][a-z0-9+.-]*://[^\s"'<>;]+)""", 1))
-    return F.when(html.rlike(r"(?i)canonical|og:url|refresh"), F.filter(found, lambda u: u != ""))
+    named = resolved(attribute(F.regexp_extract(html, r"(?i)<base\b[^>]*>", 0), "href"), url)
+    base = F.when(named != "", named).otherwise(url)
+
+    def target(t: Column) -> Column:
+        refresh = F.regexp_extract(attribute(t, "content"), r"""(?is)url\s*=\s*["']?\s*([^"'\s;]+)""", 1)
+        value = F.when(t.rlike(r"(?i)^<link"), attribute(t, "href")).when(t.rlike(r"""(?i)http-equiv\s*=\s*["']?refresh"""), refresh).otherwise(attribute(t, "content"))
+        plain = F.regexp_extract(t, r"""(?i)([a-z][a-z0-9+.-]*://[^\s"'<>;]+)""", 1)
+        return F.when(plain != "", plain).otherwise(resolved(value, base))
+
+    return F.when(html.rlike(r"(?i)canonical|og:url|refresh"), F.filter(F.transform(own, target), lambda u: u != ""))
 
 
 def judge(
@@ -90,7 +137,7 @@ def judge(
     url = F.col(f"`{url_col}`")
     host, path = host_path(url)
     rule, verdict = ruled(host, path, rules)
-    targets = link_targets(F.col(f"`{html_col}`")) if html_col else F.lit(None).cast("array<string>")
+    targets = link_targets(F.col(f"`{html_col}`"), url) if html_col else F.lit(None).cast("array<string>")
     rows = common.written(
         pages.select(
             F.col(f"`{id_col}`").alias("_id"), url.alias("_url"), canonical(url).alias("_canon"), host.alias("host"), path.alias("path"),

@@ -115,3 +115,27 @@ def test_weak_parts_need_company(spark, frame, text, kinds):
     assert {s.kind for s in weak} == kinds
     assert all(text[s.start : s.end].strip() for s in weak)
     assert [s for s in got.spans if not s.kind.startswith("weak_")] == list(got.strong)
+
+
+@pytest.mark.parametrize(
+    ("html", "verdict"),
+    [
+        ('<link rel="canonical" href="/en/8">', "block"),
+        ("<link rel=canonical href=/en/8>", "block"),
+        ('<link rel="canonical" href="../en/./8">', "block"),
+        ('<link rel="canonical" href="//other.com/en/8">', "block"),
+        ('<meta property="og:url" content="/en/8">', "block"),
+        ('<meta http-equiv="refresh" content="0; url=/en/8">', "block"),
+        ("<meta http-equiv='refresh' content='0; URL=\"/en/8\"'>", "block"),
+        ('<base href="/en/x/"><link rel="canonical" href="../8">', "block"),
+        ('<base href="http://other.com/en/"><link rel="canonical" href="8">', "block"),
+        ('<link rel="canonical" href="http://other.com/en/8">', "block"),
+        ('<link rel="canonical" href="/fr/8">', "allow"),
+        ('<link rel="canonical" href="#en"><link rel="canonical" href="mailto:a@b.com">', "allow"),
+        ('<link rel="canonical" href="">', "allow"),
+    ],
+)
+def test_relative_links_carry_verdicts(spark, html, verdict):
+    pages = spark.createDataFrame([(1, "https://site.com/fr/7?a=1", html), (2, None, html)], "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in urls.judge(pages).collect()}
+    assert got == {1: verdict, 2: "allow"}
