@@ -32,10 +32,10 @@ STRONG = ("assign", "access", "hex")
 
 #: Weak parts: kind, its role in a credential, its pattern.
 WEAK = (
-    ("weak_access", "id", r"(?<![A-Za-z0-9])(?:AKIA|ASIA|AROA|AIDA)[A-Z0-9]{4,13}(?![A-Z0-9])"),
-    ("weak_user", "id", r"""(?i:\b(?:user(?:_?name)?|login|account|client_?id))["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,64}"""),
-    ("weak_secret", "secret", rf"""(?i:{KEYWORDS}|pwd|passphrase)["']?\x20*[:=]\x20*(?:"[^"\n]{{4,64}}"|'[^'\n]{{4,64}}'|[A-Za-z0-9+/_.=!@#%^&*-]{{4,64}})"""),
-    ("weak_endpoint", "endpoint", r"(?i:\b(?:https?|ftp|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3))://[A-Za-z0-9._@:-]{4,128}"),
+    ("weak_access", "id", r"(?<![A-Za-z0-9])(?:AKIA|ASIA|AROA|AIDA)[A-Z0-9]{4,}(?![A-Z0-9])"),
+    ("weak_user", "id", r"""(?i:\b(?:user(?:_?name)?|login|account|client_?id))["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}"""),
+    ("weak_secret", "secret", rf"""(?i:{KEYWORDS}|pwd|passphrase)["']?\x20*[:=]\x20*(?:"[^"\n]{{4,}}"|'[^'\n]{{4,}}'|[A-Za-z0-9+/_.=!@#%^&*-]{{4,}})"""),
+    ("weak_endpoint", "endpoint", r"(?i:\b(?:https?|ftp|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3))://[A-Za-z0-9._@:-]{4,}"),
 )
 ROLES = {"assign": "secret", "hex": "secret", "access": "id"} | {kind: role for kind, role, _ in WEAK}
 #: A text without one of these has no match of a weak or strong pattern with letters.

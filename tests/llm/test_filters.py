@@ -139,3 +139,11 @@ def test_relative_links_carry_verdicts(spark, html, verdict):
     pages = spark.createDataFrame([(1, "https://site.com/fr/7?a=1", html), (2, None, html)], "page_id long, url string, html string")
     got = {r.page_id: r.verdict for r in urls.judge(pages).collect()}
     assert got == {1: verdict, 2: "allow"}
+
+
+def test_long_weak_parts_are_found_whole(frame):
+    phrase = "correct horse battery staple " * 4
+    text = f'user: deploy passphrase: "{phrase}"\n' + "x " * 400 + "pwd=" + "a!" * 60 + " login: " + "u" * 90 + " https://" + "h" * 200
+    got = secrets.scan(frame([(1, text, "en", "a")])).first()
+    found = {text[s.start : s.end] for s in got.spans if s.kind.startswith("weak_")}
+    assert {f'passphrase: "{phrase}"', "pwd=" + "a!" * 60, "login: " + "u" * 90, "https://" + "h" * 200} <= found
