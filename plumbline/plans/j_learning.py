@@ -276,7 +276,7 @@ def linear_model(v):
 @query("permutation_importance", "feature:s mean_drop:f sd_drop:f")
 def permutation_importance(v):
     model, test, inputs = linear_model(v)
-    return learning.permutation_importance(model, test.withColumn("row_id", F.concat_ws("-", "supplier_id", "month")), inputs, "label", "row_id", 2, ["ncr_count_90d", "fpy"])
+    return learning.permutation_importance(model, test.withColumn("row_id", F.concat_ws("-", "supplier_id", "month")), inputs, "label", "row_id")
 
 
 @query("partial_dependence", "grid_value:f mean_score:f n:i")

@@ -95,3 +95,14 @@ def test_streams_read_files_and_folders_alike(spark, sf, tmp_path):
         run = plans.load()[name].run
         one, many = (sorted(map(str, run(spark, d).collect())) for d in (sf, str(tmp_path)))
         assert one == many and one
+
+
+def test_permutation_importance_shuffles_every_input(spark, monkeypatch):
+    from plumbline.plans import j_learning
+
+    given = []
+    rows = spark.createDataFrame([(1, "m")], "supplier_id long, month string")
+    monkeypatch.setattr(j_learning, "linear_model", lambda v: (None, rows, ["a", "b"]))
+    monkeypatch.setattr(j_learning.learning, "permutation_importance", lambda model, rows, inputs, label, row_id, repeats=3, columns=None: given.append((list(columns or inputs), repeats)))
+    j_learning.permutation_importance(None)
+    assert given == [(["a", "b"], 3)]
