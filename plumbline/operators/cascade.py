@@ -27,7 +27,7 @@ FRACTIONS = (0.4, 0.5, 0.7, 0.85)
 
 def time_cutoffs(rows: DataFrame, start: str, row_id: str, fractions: Sequence[float] = FRACTIONS) -> DataFrame:
     """One row holding the start times at the given fractions of the time-ordered rows."""
-    numbered = ordered.row_numbers(rows.select(start, row_id), [], F.col(start).cast("date"), [start, row_id], "rn")
+    numbered = ordered.numbered(rows.select(start, row_id), [start, row_id])
     size = rows.agg(F.count("*").alias("n"))
     at = lambda q: F.floor(F.col("n") * F.lit(q)) + 1
     marked = numbered.join(F.broadcast(size))
@@ -56,7 +56,7 @@ def block_folds(rows: DataFrame, start: str, done: str, row_id: str, test_size:
     Row ``fold`` is numbered from 1. History must be started and known before the test
     begins, and fit rows also before calibration begins.
     """
-    numbered = ordered.row_numbers(rows.select(row_id, start, done), [], F.col(start).cast("date"), [start, row_id], "rn")
+    numbered = ordered.numbered(rows.select(row_id, start, done), [start, row_id])
     n = rows.agg(F.count("*").alias("n"))
     grid = n.select("n", F.explode(F.sequence(F.lit(1), F.lit(folds))).alias("fold")).withColumn(
         "first", F.col("n") - (folds - F.col("fold") + 1) * test_size + 1
@@ -67,7 +67,7 @@ def block_folds(rows: DataFrame, start: str, done: str, row_id: str, test_size:
     each = numbered.join(F.broadcast(begins))
     test = each.where((F.col("rn") >= F.col("first")) & (F.col("rn") < F.col("first") + test_size)).select("fold", F.lit("test").alias("role"))
     known = each.where((F.col(done) < F.col("test_start")) & (F.col(start) < F.col("test_start")) & (F.col("rn") < F.col("first")))
-    placed = ordered.row_numbers(known, ["fold"], F.col(start).cast("date"), [start, row_id], "place")
+    placed = ordered.range_sums(known, ["fold"], [start, row_id], {"place": F.lit(1).cast("bigint")})
     sizes = known.groupBy("fold").agg(F.floor(F.count("*") * F.lit(1 - tail)).alias("split"))
     cut = placed.join(F.broadcast(sizes), "fold").where(F.col("place") == F.col("split") + 1).select("fold", F.col(start).alias("cut"))
     role = F.when(F.col(start) >= F.col("cut"), "calibrate").when(F.col(done) < F.col("cut"), "fit").otherwise("unavailable")
@@ -95,8 +95,7 @@ def capacity_threshold(
     sums over distinct scores; the first of equally cheap candidates wins.
     """
     hist = scores.groupBy(score).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("bigint")).alias("pos"))
-    banded = ordered.score_bands(hist, score)
-    run = ordered.running_sums(banded, [], -F.col("__band"), [F.desc(score)], {"flags": F.col("n"), "caught": F.col("pos")})
+    run = ordered.range_sums(hist, [], [F.desc(score)], {"flags": F.col("n"), "caught": F.col("pos")})
     whole = scores.agg(F.count("*").alias("all_rows"), F.coalesce(F.sum(F.col(label).cast("bigint")), F.lit(0)).alias("all_pos"))
     ends = whole.select(
         F.inline(

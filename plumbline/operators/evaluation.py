@@ -26,11 +26,8 @@ def labelled_histogram(df: DataFrame, score: str, label: str) -> DataFrame:
 
 def ranking_metrics(df: DataFrame, score: str, label: str) -> DataFrame:
     """ROC-AUC (ties half), average precision, log loss and Brier in one result row."""
-    hist = ordered.score_bands(labelled_histogram(df, score, label), score)
     # Descending: counts strictly above plus the current value.
-    run = ordered.running_sums(
-        hist, [], -F.col("__band"), [F.desc(score)], {"cum_n": F.col("n"), "cum_pos": F.col("pos")}
-    )
+    run = ordered.range_sums(labelled_histogram(df, score, label), [], [F.desc(score)], {"cum_n": F.col("n"), "cum_pos": F.col("pos")})
     eps = 2.0**-52
     p = F.greatest(F.lit(eps), F.least(F.lit(1 - eps), F.col(score).cast("double")))
     pos, neg = F.col("pos"), F.col("n") - F.col("pos")

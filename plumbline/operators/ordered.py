@@ -6,6 +6,9 @@ here take an extra *bucket*: any expression that is non-decreasing in the sort
 order (a day, a month, a score band). Rows are windowed inside (key, bucket), each
 (key, bucket) is reduced to one row, those few rows are windowed per key, and the
 carried value is joined back on (key, bucket). Results equal the plain window.
+
+Where no such expression splits the data evenly (scores, exact sums, hashes), the bucket
+is a sampled range of the sort key (:func:`ranged`).
 """
 
 from __future__ import annotations
@@ -15,7 +18,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET = "__bucket"
+from plumbline import session
+
+BUCKET, PLACE, RANGE = "__bucket", "__place", "__range"
 
 
 def _with_bucket(df: DataFrame, bucket: Column) -> DataFrame:
@@ -93,17 +98,38 @@ def forward_fill(df, keys, bucket, order, value: Column, name: str) -> DataFrame
     return carry_forward(df, keys, bucket, order, value, name, include_current=True, skip_nulls=True)
 
 
-def score_bands(df: DataFrame, value: str, bands: int = 512, keys: Sequence[str] = ()) -> DataFrame:
-    """Add ``__band``: about equally full bands of a numeric column within each key.
+def ranged(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
+    """``df`` cut into ranges of ``order`` and sorted: adds ``__place`` (rising) and ``__range`` (its range's number).
+
+    The ranges come from a sample that Spark draws, so their number follows the session's
+    shuffle partitions and AQE, and their sizes the data, whatever its distribution. Equal
+    keys share a range. A second run would draw other limits, so the result is written.
+    """
+    rows = df.repartitionByRange(*_order(order)).sortWithinPartitions(*_order(order))
+    rows = session.written(rows.withColumn(PLACE, F.monotonically_increasing_id()), "ranged")
+    return rows.withColumn(RANGE, F.shiftright(PLACE, 33))
+
+
+def numbered(df: DataFrame, order: Sequence[str | Column], name: str = "rn") -> DataFrame:
+    """Row numbers 1, 2, 3... over the whole frame in ``order``: places inside a range, plus the ranges before it.
 
-    The limits are approximate percentiles (a mergeable sketch, one row per key), so an
-    outlier cannot push all other values into one band. Equal values share a band.
+    Rows move once, to their range; only one count per range is summed and joined back.
     """
-    x = F.col(value).cast("double")
-    points = F.array(*[F.lit(i / bands) for i in range(1, bands)])
-    limits = df.groupBy(*keys).agg(F.percentile_approx(x, points, F.lit(4 * bands)).alias("__limits"))
-    joined = df.join(limits, list(keys)) if keys else df.join(F.broadcast(limits))
-    return joined.withColumn("__band", F.size(F.filter("__limits", lambda edge: edge < x))).drop("__limits")
+    rows = ranged(df, order)
+    across = Window.partitionBy(F.lit(0)).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(RANGE).agg(F.count("*").alias("__n"))
+    offsets = sizes.select(RANGE, F.coalesce(F.sum("__n").over(across), F.lit(0)).alias("__before"))
+    inside = F.col(PLACE) - F.shiftleft(RANGE, 33)
+    return rows.join(F.broadcast(offsets), RANGE).select(  # one row per partition
+        *[F.col(f"`{c}`") for c in df.columns], (F.col("__before") + inside + 1).alias(name)
+    )
+
+
+def range_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], sums: Mapping[str, Column]) -> DataFrame:
+    """Inclusive running sums per key in ``order``, over sampled ranges: a hot key is as many ranges as it needs."""
+    rows = ranged(df, [*keys, *order])
+    summed = running_sums(rows, keys, F.col(RANGE), order, sums)
+    return summed.drop(PLACE, RANGE)
 
 
 def value_histogram(df: DataFrame, value: str, keys: Sequence[str] = (), **sums: Column) -> DataFrame:
@@ -111,36 +137,34 @@ def value_histogram(df: DataFrame, value: str, keys: Sequence[str] = (), **sums:
     return df.groupBy(*keys, value).agg(F.count("*").alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()])
 
 
-def midranks(df: DataFrame, value: str, keys: Sequence[str] = (), bands: int = 512, **sums: Column) -> DataFrame:
+def midranks(df: DataFrame, value: str, keys: Sequence[str] = (), **sums: Column) -> DataFrame:
     """Distinct values with their average rank (ties share one), plus ``n`` and asked sums."""
-    hist = score_bands(value_histogram(df, value, keys, **sums), value, bands, keys)
-    ranked = running_sums(hist, keys, F.col("__band"), [value], {"cum_n": F.col("n")})
-    return ranked.withColumn("midrank", F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2).drop("__band")
+    ranked = range_sums(value_histogram(df, value, keys, **sums), keys, [value], {"cum_n": F.col("n")})
+    return ranked.withColumn("midrank", F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2)
 
 
-def exact_quantiles(
-    df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str] = (), bands: int = 512
-) -> DataFrame:
-    """Linearly interpolated quantiles (one row per key and prob) without one task seeing all values."""
-    hist = score_bands(value_histogram(df.where(F.col(value).isNotNull()), value, keys), value, bands, keys)
-    ranked = running_sums(hist, keys, F.col("__band"), [value], {"cum_n": F.col("n")})
-    sizes = hist.groupBy(*keys).agg(F.sum("n").alias("total"))
-    targets = sizes.select(
-        *keys,
-        "total",
-        F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"),
-    ).withColumn("pos", (F.col("total") - 1) * F.col("prob"))
-    # Row i (0-based) is inside the value whose rows are [cum_n - n, cum_n).
-    first, last = F.col("cum_n") - F.col("n"), F.col("cum_n") - 1
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
+    """Linearly interpolated quantiles (one row per key and prob) without one task seeing all values.
+
+    The sizes of the ranges tell which of them hold the wanted places; only their rows are ranked.
+    """
+    rows = ranged(value_histogram(df.where(F.col(value).isNotNull()), value, keys), [*keys, value])
+    key = [F.col(k) for k in keys] or [F.lit(0)]
+    whole = Window.partitionBy(*key)
+    earlier = whole.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(*keys, RANGE).agg(F.sum("n").alias("__n"))  # one row per key and range
+    asked = sizes.select(
+        *keys, RANGE, "__n", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"), F.sum("__n").over(whole).alias("total")
+    ).withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs]))).withColumn("pos", (F.col("total") - 1) * F.col("prob"))
     low, high = F.floor("pos"), F.ceil("pos")
-    at = ranked.join(targets, list(keys)) if keys else ranked.join(F.broadcast(targets))
-    hits = at.where(((first <= low) & (low <= last)) | ((first <= high) & (high <= last)))
-    v = F.col(value).cast("double")
-    return (
-        hits.groupBy(*keys, "prob", "pos")
-        .agg(
-            F.min(F.when((first <= low) & (low <= last), v)).alias("lo"),
-            F.max(F.when((first <= high) & (high <= last), v)).alias("hi"),
-        )
-        .select(*keys, "prob", (F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("pos") - F.floor("pos"))).alias("value"))
+    inside = lambda at, first, n: (first <= at) & (at < first + n)
+    asked = asked.where(inside(low, F.col("__before"), F.col("__n")) | inside(high, F.col("__before"), F.col("__n")))
+    near = F.broadcast(asked.select(*keys, RANGE, "prob", "pos", "__before"))
+    run = Window.partitionBy(*key, RANGE).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = rows.join(F.broadcast(asked.select(*keys, RANGE).distinct()), [*keys, RANGE], "left_semi").withColumn("__cum", F.sum("n").over(run))
+    # Row i (0-based) is inside the value whose rows are [first, first + n).
+    first, v = F.col("__before") + F.col("__cum") - F.col("n"), F.col(value).cast("double")
+    hits = ranked.join(near, [*keys, RANGE]).groupBy(*keys, "prob", "pos").agg(
+        F.min(F.when(inside(low, first, F.col("n")), v)).alias("lo"), F.max(F.when(inside(high, first, F.col("n")), v)).alias("hi")
     )
+    return hits.select(*keys, "prob", (F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("pos") - F.floor("pos"))).alias("value"))

@@ -276,11 +276,11 @@ def kfold(df: DataFrame, key: str, k: int, seed: str = "kfold") -> DataFrame:
 def stratified_kfold(df: DataFrame, key: str, label: str, k: int, seed: str = "kfold") -> DataFrame:
     """Folds with equal class shares: rows of a class are dealt out in hash order.
 
-    Dealing needs the position within the class. The hash value itself is the bucket
-    order, so positions come from the two-level numbering and no class meets in one task.
+    Dealing needs the position within the class, which comes from ranges of (class, hash),
+    so no class meets in one task.
     """
     u = hash_fraction(F.col(key), seed)
-    placed = ordered.row_numbers(df.withColumn("__u", u), [label], F.floor(F.col("__u") * 1024), ["__u", key], "__rn")
+    placed = ordered.range_sums(df.withColumn("__u", u), [label], ["__u", key], {"__rn": F.lit(1).cast("bigint")})
     return placed.withColumn("fold", ((F.col("__rn") - 1) % k).cast("int")).drop("__u", "__rn")
 
 

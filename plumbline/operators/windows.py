@@ -31,15 +31,11 @@ def group_statistic(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataF
 
 def pareto(totals: DataFrame, entity: str, weight: str, share: float = 0.8) -> DataFrame:
     """Largest entities up to and including the one that crosses ``share`` of the total."""
-    banded = ordered.score_bands(totals, weight)
-    ranked = ordered.running_sums(
-        banded, [], -F.col("__band"), [F.desc(weight), entity], {"running_sum": F.col(weight)}
-    )
+    ranked = ordered.range_sums(totals, [], [F.desc(weight), entity], {"running_sum": F.col(weight)})
     whole = totals.agg(F.sum(weight).alias("total"))
     cut = F.lit(str(share)).cast("decimal(6,4)") * F.col("total")
     return (
-        ranked.drop("__band")
-        .join(F.broadcast(whole))
+        ranked.join(F.broadcast(whole))
         .where((F.col("total") > 0) & (F.col("running_sum") - F.col(weight) < cut))
         .withColumn("cumulative_pct", F.round(100.0 * F.col("running_sum") / F.col("total"), 2))
     )

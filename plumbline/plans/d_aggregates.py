@@ -227,5 +227,4 @@ def hana_cost_rank(v):
             args={"since": __import__("datetime").datetime.fromisoformat(SINCE)},
         )
     )
-    banded = ordered.score_bands(totals, "total_cost")
-    return ordered.row_numbers(banded, [], -F.col("__band"), [F.desc("total_cost"), F.col("supplier_id")], "position")
+    return ordered.numbered(totals, [F.desc("total_cost"), F.col("supplier_id")], "position")

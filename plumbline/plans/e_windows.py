@@ -77,10 +77,8 @@ def rolling_rows(v):
         .withColumn("rolling_mean", F.avg("n").over(three))
         .withColumn("mom_delta", F.col("n") - F.lag("n").over(w))
     )
-    # Ranked in two levels: equal sums of a month are one bucket.
-    return ordered.row_numbers(
-        trend.withColumn("__down", -F.col("rolling_sum")), ["month"], F.col("__down"), ["supplier_id"], "rank_in_month"
-    )
+    # A month's suppliers may be as many as there are: its ranks come from ranges.
+    return ordered.range_sums(trend, ["month"], [F.desc("rolling_sum"), F.col("supplier_id")], {"rank_in_month": F.lit(1).cast("bigint")})
 
 
 @query("rolling_range_days", "supplier_id:i day:d n:i fpy_30d:f", """

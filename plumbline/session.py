@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Semantics the operators depend on; set on whatever session is handed to us.
 REQUIRED = {
@@ -67,6 +67,13 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{os.urandom(6).hex()}")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to a fresh shared folder and read it back: lineage ends, and every reader sees the same rows."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def is_folder(spark: SparkSession, path: str) -> bool:
     """Asks the file system that Spark itself would use, whatever the path's scheme."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
