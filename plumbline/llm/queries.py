@@ -152,6 +152,92 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
 FROM p
 """
 
+def op11_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.oddsketch import near_groups
+
+    return near_groups(common.documents(spark, sf_dir), similarity=0.8, width=4)
+
+
+# Pairs that share shingles, their shares, and what is reachable over the links.
+ODD_SKETCH_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + 3], ' ') AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(1, len(words) - 3) + 1)) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+c AS (SELECT a AS doc_id, min(b) AS least FROM r GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(c.least, d.doc_id)) AS component_id,
+  d.doc_id = least(d.doc_id, coalesce(c.least, d.doc_id)) AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+
+def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline import session
+    from plumbline.llm.resample import resample
+    from plumbline.sources import tables
+
+    target = tables.scan(session.configure(spark), sf_dir, "benchmark")
+    return resample(common.documents(spark, sf_dir), target, width=1, buckets=10_000, seed=2024, percent=10, least_words=20)
+
+
+# CRC-32 of a word: eight shift steps for each of its bytes (polynomial 0xEDB88320).
+RESAMPLE_SQL = r"""
+WITH words AS (
+  SELECT 'd' AS side, doc_id AS id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+  UNION ALL SELECT 'b', item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+f AS (SELECT side, id, word, count(*) AS n FROM (SELECT side, id, unnest(ws) AS word FROM words) GROUP BY ALL),
+t AS (SELECT list(c ORDER BY i) AS crc FROM (
+  SELECT i, list_reduce([CAST(i AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS g(i))),
+h AS (
+  SELECT word, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(0, octet_length(encode(word)) * 2, 2), lambda k: CAST('0x' || substr(hex(encode(word)), k + 1, 2) AS BIGINT))),
+    lambda c, b: xor(c >> 8, crc[xor(c & 255, b) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT word FROM f), t),
+k AS (
+  SELECT bucket, sum(n) FILTER (WHERE side = 'd') AS s, sum(n) FILTER (WHERE side = 'b') AS t FROM f JOIN h USING (word) GROUP BY bucket),
+a AS (SELECT coalesce(sum(s), 0) AS s_all, coalesce(sum(t), 0) AS t_all FROM k),
+g AS (
+  SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (s_all + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * (t_all + 10000)::DOUBLE))) AS BIGINT) AS gain FROM k, a),
+w AS (
+  SELECT f.id, sum(n)::BIGINT AS n, CAST(floor(sum(n * gain)::DOUBLE / sum(n)::DOUBLE) AS BIGINT) AS weight FROM f JOIN h USING (word) JOIN g USING (bucket) WHERE side = 'd' GROUP BY f.id),
+x AS (
+  SELECT doc_id, coalesce(w.n, 0) AS n_features, coalesce(weight, 0) AS weight, CAST('0x' || sha256('2024:' || doc_id)[1:8] AS BIGINT) AS h FROM documents LEFT JOIN w ON w.id = doc_id),
+y AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM x),
+z AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM y WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, z.rank AS rank FROM y LEFT JOIN (SELECT doc_id, rank FROM z WHERE rank <= n * 10 // 100) z USING (doc_id)
+"""
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.infill import transform
+
+    return transform(common.documents(spark, sf_dir), seed=7, rate=100, spm_share=50)
+
+
+FILL_IN_MIDDLE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || doc_id) AS x FROM documents),
+h AS (
+  SELECT *, len(u) AS n, CAST('0x' || x[1:8] AS BIGINT) % (len(u) + 1) AS p, CAST('0x' || x[9:16] AS BIGINT) % (len(u) + 1) AS q,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || x[17:24] AS BIGINT) % 100 >= 100 THEN 'plain'
+      WHEN CAST('0x' || x[25:32] AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d),
+c AS (
+  SELECT *, array_to_string(u[1:least(p, q)], '') AS pre, array_to_string(u[least(p, q) + 1:greatest(p, q)], '') AS mid, array_to_string(u[greatest(p, q) + 1:], '') AS suf FROM h),
+o AS (
+  SELECT *, CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END AS out FROM c),
+m AS (SELECT *, split_part(out, '<M>', 2) AS mid2, split_part(out, '<M>', 1) AS front FROM o)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars, sha256(out) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN out WHEN 'psm' THEN split_part(front[4:], '<S>', 1) || mid2 || split_part(front, '<S>', 2)
+    ELSE split_part(front, '<P>', 2) || mid2 || split_part(front[4:], '<P>', 1) END) AS restored_sha256
+FROM m
+"""
+
 QUERIES = {
     "op1_byte_rnn_langid": op1_byte_rnn_langid,
     "op2_line_field_quality": op2_line_field_quality,
@@ -163,10 +249,16 @@ QUERIES = {
     "op8_stock_packing": op8_stock_packing,
     "op9_secret_links": op9_secret_links,
     "op10_source_mix": op10_source_mix,
+    "op11_odd_sketch_dedup": op11_odd_sketch_dedup,
+    "op12_target_resampling": op12_target_resampling,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 ORACLE_SQL = {
     "op3_exact_dedup": EXACT_DEDUP_SQL,
     "op4_redirect_url_filter": URL_FILTER_SQL,
     "op10_source_mix": SOURCE_MIX_SQL,
+    "op11_odd_sketch_dedup": ODD_SKETCH_SQL,
+    "op12_target_resampling": RESAMPLE_SQL,
+    "op13_fill_in_middle": FILL_IN_MIDDLE_SQL,
 }
