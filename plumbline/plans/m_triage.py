@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import answers, guard, ledger, triage
+from plumbline.operators import answers, guard, ledger, pseudonyms, triage
 from plumbline.registry import query
 from plumbline.sources.oracle_views import register_view
 
@@ -183,18 +183,24 @@ def postcheck(v):
     return got.withColumn("released_chars", F.length("released"))
 
 
-@query("pseudonymise", "conv_id:i turn:i hidden:s restored:b leaks:i")
+@query("pseudonymise", "conv_id:i turn:i hidden:s restored:b leaks:i", """
+WITH s AS (SELECT supplier_name, '[[SUPPLIER_' || lpad(CAST(row_number() OVER (ORDER BY 'S-' || lpad(CAST(supplier_id AS VARCHAR), 4, '0')) AS VARCHAR), 4, '0') || ']]' AS token,
+  'S-' || lpad(CAST(supplier_id AS VARCHAR), 4, '0') AS key, count(*) OVER () AS n FROM suppliers),
+t AS (SELECT conv_id, turn, text, 'supplier#' || lpad(CAST(conv_id % (SELECT any_value(n) FROM s) AS VARCHAR), 9, '0') AS named FROM conversations)
+SELECT conv_id, turn, text || ' -- by ' || coalesce(s.token, named) || ', ' || coalesce((SELECT token FROM s WHERE key = 'S-0001'), 'S-0001') || '.' AS hidden, true AS restored, 0 AS leaks
+FROM t LEFT JOIN s ON lower(s.supplier_name) = named""")
 def pseudonymise(v):
-    # The dictionary is the suppliers table; its row count is checked before it travels.
-    rows = v.suppliers.select(F.col("supplier_id").cast("string").alias("k"), "supplier_name").limit(200_001).collect()
-    names = {f"S-{r['k'].zfill(4)}": r["supplier_name"] for r in rows}
-    p = guard.Pseudonyms(names)
-    said = F.concat("text", F.lit(" -- by supplier#"), F.lpad((F.col("conv_id") % len(names)).cast("string"), 9, "0"), F.lit(", S-0001."))
-    turns = v.raw("conversations").select("conv_id", "turn", said.alias("text"))
-    hidden = turns.withColumn("hidden", p.hide_column("text"))
-    back = hidden.withColumn("shown", p.show_column("hidden")).withColumn("found", p.leak_column("hidden"))
+    names = v.suppliers.select(F.concat(F.lit("S-"), F.lpad(F.col("supplier_id").cast("string"), 4, "0")).alias("k"), "supplier_name")
+    table = pseudonyms.identities(names, "k", "supplier_name")
+    size = names.agg(F.count("*").alias("n"), F.max(F.when(F.col("k") == "S-0001", F.col("supplier_name"))).alias("first"))
+    said = F.concat("text", F.lit(" -- by supplier#"), F.lpad((F.col("conv_id") % F.col("n")).cast("string"), 9, "0"), F.lit(", S-0001."))
+    turns = v.raw("conversations").join(F.broadcast(size)).select("conv_id", "turn", said.alias("text"), "first")
+    keys = ["conv_id", "turn"]
+    hidden = pseudonyms.hide(turns, keys, "text", table)
+    back = pseudonyms.show(hidden, keys, "hidden", table).join(pseudonyms.leaks(hidden, keys, "hidden", table), keys, "left")
     # Case is not restored: the token stands for the registered name.
-    return back.select("conv_id", "turn", "hidden", (F.lower("shown") == F.lower(F.regexp_replace("text", "S-0001", names["S-0001"]))).alias("restored"), F.size("found").alias("leaks"))
+    same = F.lower("shown") == F.lower(F.replace("text", F.lit("S-0001"), F.coalesce("first", F.lit("S-0001"))))
+    return back.select(*keys, "hidden", same.alias("restored"), F.coalesce(F.size("leaks"), F.lit(0)).alias("leaks"))
 
 
 @query("response_accounting", "conv_id:i turn:i code:s", """

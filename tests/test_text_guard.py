@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import text
-from plumbline.operators import chunking, contracts, guard, neighbours, retrieval, signal, triage
+from plumbline.operators import chunking, contracts, guard, neighbours, pseudonyms, retrieval, signal, triage
 from plumbline.operators.joins import ContractError, validated_join
 from plumbline.sources import sinks
 
@@ -102,12 +102,33 @@ def test_redaction_order_and_injection(spark):
 
 
 def test_pseudonyms_round_trip(spark):
-    p = guard.Pseudonyms({"S-1": "Ann Co", "S-2": "Ann Co Ltd"}, {"S-2": ["ACL"]})
-    assert p.hide("ann co ltd beats Ann Co; xAnn Co stays, acl") == "[[SUPPLIER_0002]] beats [[SUPPLIER_0001]]; xAnn Co stays, [[SUPPLIER_0002]]"
-    assert p.show("[[SUPPLIER_0001]]!") == "Ann Co!" and p.leaks("see ACL") == ["ACL"]
-    for bad in (lambda: guard.Pseudonyms({"S-1": "X", "S-2": "x"}), lambda: p.hide("[[SUPPLIER_0001]]"), lambda: p.show("[[SUPPLIER_0099]]"), lambda: guard.Pseudonyms({"S-1": " "})):
-        with pytest.raises(ContractError):
-            bad()
+    names = spark.createDataFrame([("S-1", "Ann Co"), ("S-2", "Ann Co Ltd"), ("S-3", "Ça+ (Lyon)")], "k string, n string")
+    more = spark.createDataFrame([("S-2", "ACL"), ("S-3", "#9")], "k string, alias string")
+    table = pseudonyms.identities(names, "k", "n", more)
+    assert pseudonyms.identity_violations(table).count() == 0
+    texts = spark.createDataFrame(
+        [(1, "ann co ltd beats Ann Co; xAnn Co stays, acl"), (2, "éAnn Co, Ann Co2, ANN CO"), (3, None), (4, ""), (5, "no one"),
+         (6, "ça+ (lyon)! x#9 #9x #9 #9"), (7, "Ann\nCo Ann Co Ann Co Ltd"), (8, "S-1S-2 S-1")], "id int, t string")
+    got = {r["id"]: r["hidden"] for r in pseudonyms.hide(texts, ["id"], "t", table).collect()}
+    one, two, three = (f"[[SUPPLIER_000{i}]]" for i in (1, 2, 3))
+    assert got == {
+        1: f"{two} beats {one}; xAnn Co stays, {two}", 2: f"éAnn Co, Ann Co2, {one}", 3: None, 4: "", 5: "no one",
+        6: f"{three}! x#9 #9x {three} {three}", 7: f"Ann\nCo {one} {two}", 8: f"S-1S-2 {one}"}
+    hidden = spark.createDataFrame([(1, f"{one}{two}!"), (2, "[[SUPPLIER_0099]] stays"), (3, None)], "id int, t string")
+    assert {r["id"]: r["shown"] for r in pseudonyms.show(hidden, ["id"], "t", table).collect()} == {1: "Ann CoAnn Co Ltd!", 2: "[[SUPPLIER_0099]] stays", 3: None}
+    assert [r["leaks"] for r in pseudonyms.leaks(texts.where("id = 1"), ["id"], "t", table).collect()] == [["ann co ltd", "ann co", "acl"]]
+    assert [(r["id"], r["problem"]) for r in pseudonyms.text_violations(hidden, ["id"], "t", table).collect()] == [(2, "unknown")]
+    assert {r["id"] for r in pseudonyms.text_violations(hidden, ["id"], "t").collect()} == {1, 2}
+
+
+def test_identities_that_cannot_be_used_are_reported(spark):
+    names = spark.createDataFrame([("S-1", "X"), ("S-2", "x"), ("S-3", " "), ("S-4", "[[SUPPLIER_0001]]"), ("S-5", "Fine")], "k string, n string")
+    table = pseudonyms.identities(names, "k", "n")
+    got = {(r["problem"], r["alias"]) for r in pseudonyms.identity_violations(table).collect()}
+    assert got == {("ambiguous", "x"), ("blank", " "), ("reserved", "[[SUPPLIER_0001]]")}
+    texts = spark.createDataFrame([(1, "X and fine")], "id int, t string")
+    assert pseudonyms.hide(texts, ["id"], "t", table).first()["hidden"] == "X and [[SUPPLIER_0005]]"
+    assert pseudonyms.hide(texts, ["id"], "t", pseudonyms.identities(names.limit(0), "k", "n")).first()["hidden"] == "X and fine"
 
 
 def test_triage_conflicts_and_rejections(spark):
