@@ -19,20 +19,20 @@ def midrank_percentile(df: DataFrame, score: str, name: str) -> DataFrame:
     return joined.withColumn(name, 100 * (F.col("midrank") - 0.5) / F.col("__n")).drop("midrank", "__n")
 
 
-def labelled_histogram(df: DataFrame, score: str, label: str) -> DataFrame:
-    """Distinct scores with row and positive counts: all a ranking metric needs."""
-    return df.groupBy(score).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("bigint")).alias("pos"))
+def labelled_histogram(df: DataFrame, score: str, label: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Distinct scores (per key) with row and positive counts: all a ranking metric needs."""
+    return df.groupBy(*keys, score).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("bigint")).alias("pos"))
 
 
-def ranking_metrics(df: DataFrame, score: str, label: str) -> DataFrame:
-    """ROC-AUC (ties half), average precision, log loss and Brier in one result row."""
+def ranking_metrics(df: DataFrame, score: str, label: str, keys: Sequence[str] = ()) -> DataFrame:
+    """ROC-AUC (ties half), average precision, log loss and Brier in one result row (one per key)."""
     # Descending: counts strictly above plus the current value.
-    run = ordered.range_sums(labelled_histogram(df, score, label), [], [F.desc(score)], {"cum_n": F.col("n"), "cum_pos": F.col("pos")})
+    run = ordered.range_sums(labelled_histogram(df, score, label, keys), keys, [F.desc(score)], {"cum_n": F.col("n"), "cum_pos": F.col("pos")})
     eps = 2.0**-52
     p = F.greatest(F.lit(eps), F.least(F.lit(1 - eps), F.col(score).cast("double")))
     pos, neg = F.col("pos"), F.col("n") - F.col("pos")
     above_pos = F.col("cum_pos") - pos
-    got = run.agg(
+    got = run.groupBy(*keys).agg(
         F.sum("n").alias("n"),
         F.sum("pos").alias("positives"),
         F.sum((neg * (above_pos + pos / 2)).cast("double")).alias("won"),
@@ -42,6 +42,7 @@ def ranking_metrics(df: DataFrame, score: str, label: str) -> DataFrame:
     )
     negatives = F.col("n") - F.col("positives")
     return got.select(
+        *keys,
         "n",
         "positives",
         (F.col("won") / F.nullif(F.col("positives") * negatives, F.lit(0))).alias("roc_auc"),

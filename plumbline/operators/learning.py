@@ -6,6 +6,7 @@ job. Frames that several fits share are checkpointed once.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import HashingTF, IDF, PCA, RegexTokenizer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -232,23 +233,42 @@ def coefficients(model, names: Sequence[str]) -> list[tuple[str, float]]:
     return sorted(zip(names, map(float, values), strict=True), key=lambda p: (-abs(p[1]), p[0]))
 
 
+def affine_orders(n: int, columns: Sequence[int], repeats: int) -> list[tuple[int, int, int, int]]:
+    """``(column, repeat, factor, shift)``: place ``i`` reads from ``(factor * i + shift) mod n``, a permutation of its own each."""
+    out = []
+    for c in columns:
+        for k in range(repeats):
+            rng = np.random.default_rng([SEED, c, k])
+            factor = int(rng.integers(1, max(2, min(n, (1 << 62) // max(n, 1)))))
+            while math.gcd(factor, n) != 1:
+                factor += 1
+            out.append((c, k, factor, int(rng.integers(0, max(1, n)))))
+    return out
+
+
 def permutation_importance(model, rows: DataFrame, inputs: Sequence[str], label: str, row_id: str, repeats: int = 3, columns: Sequence[str] | None = None) -> DataFrame:
     """Mean and deviation of the AUC drop when one column is shuffled.
 
-    Shuffling re-pairs rows by their place in two hash orders, an equality join on place.
+    One job for all columns and repeats: rows are numbered once in hash order; each (column,
+    repeat) re-pairs the places by an affine permutation, an equality join on place that
+    carries one value; all copies are scored together and the metrics are grouped by key.
     """
-    scored = lambda df: evaluation.ranking_metrics(margin(model.transform(VectorAssembler(inputCols=list(inputs), outputCol="x").transform(df.drop("x")))), "score", label).select("roc_auc")
-    base = scored(rows).withColumnRenamed("roc_auc", "base")
-    out = None
-    for c in columns or inputs:
-        for k in range(repeats):
-            u = F.pmod(F.xxhash64(F.col(row_id), F.lit(f"{c}:{k}")), F.lit(1 << 30))
-            a = ordered.row_numbers(rows.drop("x").withColumn("__o", F.xxhash64(F.col(row_id))), [], F.shiftright("__o", 54), ["__o", row_id], "place").drop("__o")
-            b = ordered.row_numbers(rows.select(row_id, F.col(c).alias("__new"), u.alias("__u")), [], F.floor(F.col("__u") / (1 << 20)), ["__u", row_id], "place")
-            mixed = a.join(b.select("place", "__new"), "place").withColumn(c, F.col("__new")).drop("__new", "place")
-            line = scored(mixed).join(F.broadcast(base)).select(F.lit(c).alias("feature"), (F.col("base") - F.col("roc_auc")).alias("drop"))
-            out = line if out is None else out.unionByName(line)
-    return out.groupBy("feature").agg(F.avg("drop").alias("mean_drop"), F.stddev_pop("drop").alias("sd_drop"))
+    # Lines of places in hash order are random already; the affine orders only need to differ.
+    line = rows.select(vector_to_array("x").alias("v"), F.col(label).alias("label"), F.xxhash64(row_id).alias("__h"), F.col(row_id).alias("__id"))
+    placed = session.written(ordered.numbered(line, ["__h", "__id"], "place").select((F.col("place") - 1).alias("place"), "v", "label"), "places")
+    n = placed.count()
+    orders = affine_orders(n, [list(inputs).index(c) for c in columns or inputs], repeats)
+    cell = lambda c, k, f, s: F.struct(F.lit(c).alias("c"), F.lit(k).alias("k"), F.lit(f).cast("bigint").alias("f"), F.lit(s).cast("bigint").alias("s"))
+    asked = placed.select("place", F.inline(F.array(*[cell(*o) for o in orders]))).withColumn("from", (F.col("place") * F.col("f") + F.col("s")) % n)
+    drawn = asked.join(placed.select(F.col("place").alias("from"), F.col("v").alias("w")), "from").select("place", "c", "k", F.element_at("w", F.col("c") + 1).alias("new"))
+    mixed = drawn.join(placed, "place").withColumn("v", F.transform("v", lambda x, i: F.when(i == F.col("c"), F.col("new")).otherwise(x)))
+    plain = placed.select(F.lit(-1).alias("c"), F.lit(0).alias("k"), "label", "v")
+    scored = margin(model.transform(mixed.select("c", "k", "label", "v").unionByName(plain).withColumn("x", array_to_vector("v")))).select("c", "k", "label", "score")
+    auc = session.written(evaluation.ranking_metrics(scored, "score", "label", ["c", "k"]).select("c", "k", "roc_auc"), "auc")
+    base = auc.where("c = -1").select(F.col("roc_auc").alias("base"))
+    drops = auc.where("c >= 0").join(F.broadcast(base)).withColumn("drop", F.col("base") - F.col("roc_auc"))
+    names = F.array(*[F.lit(i) for i in inputs])
+    return drops.groupBy(F.element_at(names, F.col("c") + 1).alias("feature")).agg(F.avg("drop").alias("mean_drop"), F.stddev_pop("drop").alias("sd_drop"))
 
 
 def partial_dependence(model, rows: DataFrame, inputs: Sequence[str], column: str, grid: Sequence[float]) -> DataFrame:

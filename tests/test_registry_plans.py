@@ -97,12 +97,55 @@ def test_streams_read_files_and_folders_alike(spark, sf, tmp_path):
         assert one == many and one
 
 
-def test_permutation_importance_shuffles_every_input(spark, monkeypatch):
-    from plumbline.plans import j_learning
-
-    given = []
-    rows = spark.createDataFrame([(1, "m")], "supplier_id long, month string")
-    monkeypatch.setattr(j_learning, "linear_model", lambda v: (None, rows, ["a", "b"]))
-    monkeypatch.setattr(j_learning.learning, "permutation_importance", lambda model, rows, inputs, label, row_id, repeats=3, columns=None: given.append((list(columns or inputs), repeats)))
-    j_learning.permutation_importance(None)
-    assert given == [(["a", "b"], 3)]
+def test_permutation_importance_equals_plain_numpy(spark):
+    import numpy as np
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.sql import functions as F
+
+    from plumbline.operators import learning
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 3)).round(3)
+    y = (x[:, 0] + 0.3 * x[:, 1] + rng.normal(size=60) * 0.3 > 0).astype(int)
+    raw = spark.createDataFrame([(i, *map(float, r), int(t)) for i, (r, t) in enumerate(zip(x, y))], "id long, a double, b double, c double, label int")
+    rows = VectorAssembler(inputCols=["a", "b", "c"], outputCol="x").transform(raw)
+    model = LogisticRegression(featuresCol="x", labelCol="label").fit(rows)
+    got = {r["feature"]: (r["mean_drop"], r["sd_drop"]) for r in learning.permutation_importance(model, rows, ["a", "b", "c"], "label", "id").collect()}
+
+    line = [r["id"] for r in rows.orderBy(F.xxhash64("id"), "id").select("id").collect()]
+    x, y, w = x[line], y[line], model.coefficients.toArray()
+
+    def auc(matrix):
+        s = matrix @ w
+        return np.mean([(s[i] > s[j]) + 0.5 * (s[i] == s[j]) for i in np.flatnonzero(y == 1) for j in np.flatnonzero(y == 0)])
+
+    drops = {}
+    for c, _, factor, shift in learning.affine_orders(60, [0, 1, 2], 3):
+        order = (factor * np.arange(60) + shift) % 60
+        assert sorted(order) == list(range(60))
+        mixed = x.copy()
+        mixed[:, c] = x[order, c]
+        drops.setdefault("abc"[c], []).append(auc(x) - auc(mixed))
+    assert set(got) == {"a", "b", "c"} and got["a"][0] > 0.2
+    for name, values in drops.items():
+        assert np.allclose(got[name], (np.mean(values), np.std(values)), atol=1e-9)
+
+
+def test_range_sums_and_numbers_equal_plain_windows(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from plumbline.operators import ordered
+
+    df = spark.range(500).select("id", (F.col("id") * 37 % 11).alias("v"), F.when(F.col("id") % 3 == 0, "x").otherwise("y").alias("k"))
+    got = ordered.range_sums(df, ["k"], [F.desc("v"), F.col("id")], {"s": F.col("v")})
+    want = df.withColumn("s", F.sum("v").over(Window.partitionBy("k").orderBy(F.desc("v"), "id").rowsBetween(Window.unboundedPreceding, 0)))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))
+    places = ordered.numbered(df, [F.desc("v"), F.col("id")])
+    assert [r["id"] for r in places.orderBy("rn").collect()] == [r["id"] for r in df.orderBy(F.desc("v"), "id").collect()]
+    assert {r["rn"] for r in places.collect()} == set(range(1, 501))
+    assert ordered.numbered(df.limit(0), ["id"]).count() == 0
+    q = ordered.exact_quantiles(df.withColumn("v", F.col("v").cast("double")), "v", [0.1, 0.5, 0.93], ["k"])
+    for r in q.collect():
+        assert r["value"] == df.where(F.col("k") == r["k"]).select(F.percentile("v", F.lit(r["prob"]))).first()[0]
