@@ -28,13 +28,10 @@ def review_queue(v):
 
 
 register_view("predictions", """
-SELECT f.month, f.supplier_id, l.sev3_next_90d, l.harm_next_90d,
-  greatest(0, CAST(f.sev3_count_90d * 3 + f.supplier_id % 7 - 5 AS DOUBLE)) AS predicted_harm_90d,
-  CASE WHEN f.ncr_count_90d = 0 THEN 0 ELSE f.ncr_count_90d * f.avg_severity_90d END AS recent_harm_90d
-FROM (SELECT sp.supplier_id, sp.month, n.* FROM spine sp CROSS JOIN LATERAL (
-  SELECT count(*) AS ncr_count_90d, count(*) FILTER (WHERE severity >= 3) AS sev3_count_90d, avg(severity) AS avg_severity_90d
-  FROM ncrs n WHERE n.supplier_id = sp.supplier_id AND n.discovered_at >= sp.month_end - INTERVAL 90 DAY AND n.discovered_at < sp.month_end) n) f
-JOIN forward_labels l USING (supplier_id, month) WHERE l.harm_next_90d IS NOT NULL""")
+SELECT l.month, l.supplier_id, l.sev3_next_90d, l.harm_next_90d,
+  greatest(0, CAST(coalesce(n.sev3_count_90d, 0) * 3 + l.supplier_id % 7 - 5 AS DOUBLE)) AS predicted_harm_90d,
+  CASE WHEN n.cutoff IS NULL THEN 0 ELSE n.ncr_count_90d * n.avg_severity_90d END AS recent_harm_90d
+FROM (SELECT * FROM forward_labels WHERE harm_next_90d IS NOT NULL) l LEFT JOIN ncr_trail n ON n.supplier_id = l.supplier_id AND n.cutoff = l.month_end""")
 
 
 def predictions(v):
