@@ -11,7 +11,8 @@
    beyond a source's last block (a handful, by low discrepancy) go to the sources that
    are as many short, so every wanted block has exactly one slot.
 4. The blocks' document pieces join the slots on (source, k); a document's taken words
-   are the sum of its pieces.
+   are the sum of its pieces, and its first slot says where in the mix it is met first.
+   Every stretch of slots holds the sources in about their targets' proportions.
 
 All of it is DataFrame work. Running sums and slot ranks are two-level (inside a hash or
 slot bucket, then over buckets), so a source with a third of all rows is no hot task.
@@ -101,9 +102,10 @@ def mix(
     docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
     weights: Sequence[int] = (3, 1, 2), share: float = 1.5, cap: int = 2, block: int = 256, seed: str = "mix",
 ) -> DataFrame:
-    """One row per input row: the id, ``size, source_size, target, taken``.
+    """One row per input row: the id, ``size, source_size, target, taken, first_slot``, and ``_slots, _row, _mark``.
 
-    ``size`` is the number of words (null text: 0). ``taken`` counts the words that the
+    ``first_slot`` is the first slot (0, 1, ...) whose block holds words of the row, null if
+    none are taken; ``_slots`` has that of each pass over its source that reads it. ``size`` is the number of words (null text: 0). ``taken`` counts the words that the
     mix takes, repeats included: 0 to ``cap`` times the size. A source's taken words are
     its target rounded down. Null sources are one source, ordered last. A row that occurs
     twice is two documents. Sources without words get target 0; an empty table gives no
@@ -114,6 +116,7 @@ def mix(
             F.col(f"`{id_col}`").alias("_id"),
             source_key(F.col(f"`{source_col}`")).alias("_key"),
             common.word_count(F.col(f"`{text_col}`")).alias("size"),
+            common.mark(text_col).alias("_mark"),
         ).withColumn("_row", F.monotonically_increasing_id()),
         "mix-sizes",
     )
@@ -129,44 +132,43 @@ def mix(
     digits = 1 + (sized.count().bit_length() // 2) // 4
     order = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("_id").cast("string"), F.lit(""))))
     placed = ordered.running_sums(
-        sized.withColumn("_h", order), ["_key"], F.substring("_h", 1, digits), ["_h", "_id", "size", "_row"], {"_end": F.col("size")}
+        sized.drop("_mark").withColumn("_h", order), ["_key"], F.substring("_h", 1, digits), ["_h", "_id", "size", "_row"], {"_end": F.col("size")}
     ).join(plan.select("_key", "source_size", "_words"), "_key")
     start = F.col("_end") - F.col("size") + F.col("_pass") * F.col("source_size")
     pieces = (
         placed.where("size > 0")
         .withColumn("_pass", F.explode(F.sequence(F.lit(0), F.lit(cap - 1))))
-        .select("_row", "_key", "_words", start.alias("_from"), (start + F.col("size")).alias("_to"))
+        .select("_row", "_key", "_words", "_pass", start.alias("_from"), (start + F.col("size")).alias("_to"))
         .withColumn("_to", F.least("_to", "_words"))
         .where("_from < _to")
         .withColumn("k", F.explode(F.sequence(F.floor(F.col("_from") / block), F.floor((F.col("_to") - 1) / block))))
         .withColumn("_in", F.least("_to", (F.col("k") + 1) * block) - F.greatest("_from", F.col("k") * block))
     )
-    taken = pieces.join(slots, ["_key", "k"]).groupBy("_row").agg(F.sum("_in").alias("taken"))
+    passes = pieces.join(slots, ["_key", "k"]).groupBy("_row", "_pass").agg(F.sum("_in").alias("_in"), F.min("t").alias("_t"))
+    taken = passes.groupBy("_row").agg(F.sum("_in").alias("taken"), F.sort_array(F.collect_list("_t")).alias("_slots"))  # at most ``cap`` passes
     return (
         sized.join(taken, "_row", "left")
         .join(plan.select("_key", "source_size", "target"), "_key")
-        .select(F.col("_id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), F.col("_row"))
+        .select(F.col("_id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), F.col("_slots")[0].alias("first_slot"), "_slots", "_row", "_mark")
     )
 
 
 def repeated(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, each as often as ``plan`` (a result of :func:`mix`) reads it, with all columns.
 
-    A partly read pass counts as one. Rows that share id and size take their reads in
-    turn, whichever of them is met first; a row that is not read goes.
+    A partly read pass counts as one. Rows come in the order of their slots, so files read
+    one after another follow the schedule. A row that is not read goes. Of rows with the
+    same id and text one stands for all of them, and takes all their slots.
     """
-    reads = plan.where("taken > 0").select(
-        F.col(f"`{id_col}`").alias("_id"), F.col("size").alias("_size"), F.ceil(F.col("taken") / F.col("size")).alias("_reads")
-    )
-    per = reads.groupBy("_id", "_size").agg(F.sum("_reads").alias("_reads"))
+    reads = plan.select(F.col(f"`{id_col}`").alias("_id"), "_mark", F.explode("_slots").alias("_slot"))
     doc = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
-    rows = doc.select("_doc", F.col("_doc").getField(id_col).alias("_id"), common.word_count(F.col("_doc").getField(text_col)).alias("_size"))
-    twins = plan.groupBy(F.col(f"`{id_col}`").alias("_id"), F.col("size").alias("_size")).agg(F.count("*").alias("_rows")).where("_rows > 1")
-    same = lambda a, b: a["_id"].eqNullSafe(b["_id"]) & (a["_size"] == b["_size"])
-    if twins.take(1):  # stored more than once: one row stands for all of them, and repeats for all
+    rows = doc.select("_doc", F.col("_doc").getField(id_col).alias("_id"), common.mark(F.col("_doc").getField(text_col)).alias("_mark"))
+    twins = plan.groupBy(F.col(f"`{id_col}`").alias("_id"), "_mark").agg(F.count("*").alias("_rows")).where("_rows > 1")
+    if twins.take(1):
         twins = common.written(twins, "mix-twins")
-        once = rows.join(twins, same(rows, twins), "left_anti")
+        once = rows.join(twins, common.same_mark(rows, twins), "left_anti")
         rows = once.unionByName(
-            rows.join(twins, same(rows, twins), "left_semi").groupBy("_id", "_size").agg(F.min_by("_doc", F.xxhash64(F.to_json("_doc"))).alias("_doc")).select("_doc", "_id", "_size")
+            rows.join(twins, common.same_mark(rows, twins), "left_semi").groupBy("_id", "_mark").agg(F.min_by("_doc", F.xxhash64(F.to_json("_doc"))).alias("_doc")).select("_doc", "_id", "_mark")
         )
-    return rows.join(per, same(rows, per)).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_reads")))).select("_doc.*")
+    met = rows.join(reads, common.same_mark(rows, reads)).select("_doc", "_slot")
+    return met.repartitionByRange("_slot").sortWithinPartitions("_slot").select("_doc.*")

@@ -122,11 +122,12 @@ def op9_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.mixing import mix
 
-    return mix(common.documents(spark, sf_dir)).drop("_row")
+    return mix(common.documents(spark, sf_dir)).drop("_row", "_mark", "_slots")
 
 
-# The schedule gives every wanted block one slot, so what a document contributes has a closed form:
-# its stretch of the shuffled line, read twice, cut at the source's target.
+# What a document contributes is its stretch of the shuffled line, read twice, cut at the source's target.
+# The slots: golden-ratio points through the cumulative block counts, ranked per source; the few slots too
+# many go to the sources that are as many short.
 SOURCE_MIX_SQL = r"""
 WITH d AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey,
@@ -142,14 +143,30 @@ l AS (
   FROM c WINDOW o AS (ORDER BY lim, skey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (
   SELECT skey, source_size, least(CAST(cap AS DOUBLE), w * (SELECT arg_min(lev, (lim, skey)) FROM l WHERE lev <= lim)) AS target FROM l),
-p AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS words,
+pk AS (
+  SELECT d.doc_id, d.skey, d.size, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS words,
     CAST(sum(d.size) OVER (PARTITION BY d.skey ORDER BY md5('mix' || CAST(d.doc_id AS VARCHAR)), d.doc_id) AS BIGINT) - d.size AS pos
-  FROM d JOIN t USING (skey))
+  FROM d JOIN t USING (skey)),
+b AS (
+  SELECT skey, CAST(ceil(floor(target) / 256) AS BIGINT) AS blocks, coalesce(CAST(sum(ceil(floor(target) / 256)) OVER (ORDER BY skey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS f FROM t),
+z AS (SELECT CAST(sum(blocks) AS BIGINT) AS n FROM b),
+u AS (
+  SELECT x, skey, blocks, row_number() OVER (PARTITION BY skey ORDER BY x) - 1 AS k FROM (
+    SELECT x, least(n - 1, CAST(floor((x % 2147483648 * 1327217885 % 2147483648)::DOUBLE / 2147483648::DOUBLE * n::DOUBLE) AS BIGINT)) AS spot FROM (SELECT unnest(range(n)) AS x, n FROM z))
+  JOIN b ON spot >= f AND spot < f + blocks),
+o AS (SELECT x, row_number() OVER (ORDER BY x) AS i FROM u WHERE k >= blocks),
+q AS (
+  SELECT skey, k, row_number() OVER (ORDER BY skey, k) AS i FROM (
+    SELECT skey, unnest(range(got, blocks)) AS k FROM (SELECT b.skey, b.blocks, (SELECT count(*) FROM u WHERE u.skey = b.skey) AS got FROM b) WHERE got < blocks)),
+slot AS (SELECT x, skey, k FROM u WHERE k < blocks UNION ALL SELECT x, skey, k FROM o JOIN q USING (i)),
+y AS (
+  SELECT doc_id, min(x) AS first_slot FROM (
+    SELECT p.*, pos + turn * source_size AS a, least(pos + turn * source_size + size, words) AS e FROM pk p, (VALUES (0), (1)) AS v(turn) WHERE size > 0) g
+  JOIN slot ON slot.skey = g.skey AND slot.k BETWEEN a // 256 AND (e - 1) // 256 WHERE a < e GROUP BY doc_id)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
   CAST(greatest(0, least(pos + size, words) - pos)
-     + greatest(0, least(pos + source_size + size, words) - pos - source_size) AS BIGINT) AS taken
-FROM p
+     + greatest(0, least(pos + source_size + size, words) - pos - source_size) AS BIGINT) AS taken, first_slot
+FROM pk LEFT JOIN y USING (doc_id)
 """
 
 def op11_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
