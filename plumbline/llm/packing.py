@@ -224,8 +224,9 @@ def cutting_plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple],
     return rows, sequence
 
 
+@common.own_batches
 def pack(
-    docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", buckets: int = 4096
+    docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per piece: the id, ``start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
@@ -236,7 +237,9 @@ def pack(
     """
     spark = docs.sparkSession
     rows = tokens.token_rows(docs, path, capacity, end_id, id_col, text_col).withColumn("_row", F.monotonically_increasing_id())
-    rows = common.written(rows, "pack-tokens").withColumn("_len", (F.col("doc_tokens") % capacity).cast("int"))
+    rows = common.written(rows, "pack-tokens")
+    buckets = 1 << rows.count().bit_length() // 2  # about as many as a bucket has rows
+    rows = rows.withColumn("_len", (F.col("doc_tokens") % capacity).cast("int"))
     slim = rows.select(
         "_row", "_id", "doc_tokens", "_len", "_rest_crc", F.size("_full").cast("bigint").alias("_n_full"),
         F.pmod(F.xxhash64("_id"), F.lit(buckets)).alias("_b"),
@@ -301,7 +304,7 @@ def _cut_crcs(cut: DataFrame, rows: DataFrame) -> DataFrame:
         for batch in it:
             made = []
             for blob, start, n in zip(*[batch.column(c).to_pylist() for c in ("_rest", "_from", "length")], strict=True):
-                made.append(zlib.crc32(common.unpack(blob)[0][start : start + n].tobytes()))
+                made.append(zlib.crc32(blob[4 * start : 4 * (start + n)]))
             keep = [n for n in batch.schema.names if n != "_rest"]
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in keep], pa.array(made, pa.int64())], [*keep, "ids_crc32"])
 

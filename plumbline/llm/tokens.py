@@ -11,8 +11,10 @@ missing contents are encoded, each once, and appended.
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import json
+import os
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,7 +29,7 @@ from plumbline import session
 from plumbline.llm import common
 
 #: A memo that has grown beyond this many entries becomes the old generation.
-MEMO = 300_000
+MEMO = 400_000
 #: White space outside ASCII and the ASCII separators, as UTF-8.
 ODD_SPACES = tuple(
     chr(c).encode() for c in (0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -39,7 +41,8 @@ _ASCII_PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 #: The byte-level alphabet: a printable Latin-1 byte is its own character, the n-th other one is character 256 + n.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
-_ALPHABET = {b: 256 + n for n, b in enumerate(sorted(set(range(256)) - _PRINTABLE))}
+_OTHERS = {b: 256 + n for n, b in enumerate(sorted(set(range(256)) - _PRINTABLE))}
+_ALPHABET = "".join(chr(_OTHERS.get(b, b)) for b in range(256))
 
 
 class Memo(dict):
@@ -59,6 +62,10 @@ class Memo(dict):
             self.old = dict(self)
             self.clear()
 
+    def forget(self) -> None:
+        self.old = {}
+        self.clear()
+
 
 class Pieces:
     """Encodes texts piece by piece, which gives the library's result for the whole text.
@@ -85,7 +92,7 @@ class Pieces:
 
     def _letters(self, word: bytes):
         """A space and letters are one unit: the model takes it in the byte alphabet, without the library's splitting."""
-        made = self.tokenizer.model.tokenize((b" " + word).decode("latin-1").translate(_ALPHABET))
+        made = self.tokenizer.model.tokenize(codecs.charmap_decode(b" " + word, "strict", _ALPHABET)[0])
         return struct.pack(f"<{len(made)}I", *[t.id for t in made]) if self.ids else len(made)
 
     def _ends(self, piece: bytes) -> tuple[bytes, bytes] | None:
@@ -101,6 +108,8 @@ class Pieces:
 
     def _spaced(self, word: bytes):
         """``word`` with the one space before it."""
+        if word.isalpha():  # ASCII letters
+            return self._letters(word)
         lines = word.split(b"\n")
         if len(lines) > 1 and all(x and x == x.strip() for x in lines):
             value = self.spaced[lines[0]]
@@ -141,6 +150,11 @@ class Pieces:
         self.spaced.age()
         return [self._one(t) for t in texts]
 
+    def forget(self) -> None:
+        """Called at the end of a task: workers are used again, and other stages need the memory."""
+        self.plain.forget()
+        self.spaced.forget()
+
 
 @lru_cache(maxsize=4)
 def pieces(path: str, ids: bool) -> Pieces:
@@ -167,6 +181,7 @@ def version_digest(path: str) -> str:
         return hashlib.sha256(f.read() + tokenizers.__version__.encode()).hexdigest()
 
 
+@common.own_batches
 def count_tokens(
     docs: DataFrame, path: str, limit: int = 2048, cache: str | None = None, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -175,6 +190,8 @@ def count_tokens(
     ``path`` names a ``tokenizers`` file that exists on every machine. ``cache`` is a
     folder that all executors share; new counts are appended to it, and a later call, for
     any table, encodes only contents it has not seen. Without one, a fresh folder is used.
+    Each call appends a folder of its own, so calls at the same time, or one that is
+    repeated after a failure, disturb no other; a digest that is stored twice is one count.
 
     A null text counts as empty: 0 bytes, 0 tokens. Special strings inside a text are
     matched as the library does by default; none are added. Repeated rows and equal
@@ -196,9 +213,10 @@ def count_tokens(
 
     def counts() -> DataFrame:
         try:
-            return spark.read.schema(stored).parquet(cache).where(F.col("version") == version)
+            rows = spark.read.schema(stored).option("recursiveFileLookup", "true").parquet(cache).where(F.col("version") == version)
         except AnalysisException:  # nothing stored yet
-            return spark.createDataFrame([], stored)
+            return spark.createDataFrame([], "_digest binary, n_tokens bigint")
+        return rows.groupBy("_digest").agg(F.max("n_tokens").alias("n_tokens"))
 
     chosen = keys.groupBy("_digest").agg(F.min(F.struct("_mark", "_id")).alias("_first"))
     missing = chosen.join(counts().select("_digest"), "_digest", "left_anti").select("_first._mark", "_first._id").hint("shuffle_hash")
@@ -212,12 +230,12 @@ def count_tokens(
             yield pa.RecordBatch.from_arrays(
                 [pa.array([version] * len(made), pa.string()), batch.column("_digest"), pa.array(made, pa.int64())], ["version", "_digest", "n_tokens"]
             )
+        encoder.forget()
 
     # A document stored twice is met twice; its content is stored once.
     made = texts.mapInArrow(encode, stored).groupBy("version", "_digest").agg(F.max("n_tokens").alias("n_tokens"))
-    made.write.mode("append").parquet(cache)
-    known = counts().select("_digest", "n_tokens")
-    return keys.join(known, "_digest").select(
+    made.write.parquet(f"{cache}/{os.urandom(8).hex()}")
+    return keys.join(counts(), "_digest").select(
         F.col("_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
 
@@ -225,7 +243,7 @@ def count_tokens(
 def token_rows(docs: DataFrame, path: str, length: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """Per row: ``_id, doc_tokens``, the CRC-32 of each full part of ``length`` ids, and the rest's ids.
 
-    Ids are the tokenizer's, then ``end_id``. ``_rest`` is packed (see :func:`common.pack`).
+    Ids are the tokenizer's, then ``end_id``. ``_rest`` holds little-endian 32-bit ids.
     """
     import zlib
 
@@ -245,10 +263,10 @@ def token_rows(docs: DataFrame, path: str, length: int, end_id: int, id_col: str
                 ids += end
                 whole = len(ids) // (4 * length) * 4 * length
                 full = [zlib.crc32(ids[i : i + 4 * length]) for i in range(0, whole, 4 * length)]
-                rest = np.frombuffer(ids, "<u4", offset=whole) if whole < len(ids) else np.zeros(0, "<u4")
-                made.append((len(ids) // 4, full, zlib.crc32(ids[whole:]), common.pack(rest)))
+                made.append((len(ids) // 4, full, zlib.crc32(ids[whole:]), ids[whole:]))
             columns = zip(*made, strict=True) if made else [[]] * 4
             yield pa.RecordBatch.from_arrays([batch.column("_id"), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names)
+        encoder.forget()
 
     schema = T.StructType([rows.schema["_id"], *T._parse_datatype_string("doc_tokens bigint, _full array<bigint>, _rest_crc bigint, _rest binary").fields])
     return rows.mapInArrow(encode, schema)
