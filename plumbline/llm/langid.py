@@ -27,6 +27,8 @@ from plumbline.llm import common
 SPAN, HIDDEN = 64, 8
 #: Documents of each language and stretches of each document that training sees at most.
 SAMPLE_DOCS, SAMPLE_SPANS = 400, 12
+#: Hash cells in which the sample is chosen first.
+CELLS = 256
 STEPS, BATCH, RATE, SEED = 500, 256, 0.02, 7
 #: Stretches that are run through the network at once.
 WIDTH = 4096
@@ -222,6 +224,7 @@ class Model:
         return named, scores
 
 
+@common.own_batches
 def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn from at most SAMPLE_DOCS documents of each label among the ``usable`` ones.
 
@@ -230,9 +233,10 @@ def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
     """
     labelled = docs.where(usable & F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{id_col}`").isNotNull())
     ids = labelled.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{lang_col}`").alias("_lang"))
-    # The limit is applied inside every partition first, so a large language is no large task.
-    least = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    picked = ids.withColumn("_n", F.row_number().over(least)).where(F.col("_n") <= SAMPLE_DOCS).drop("_n").distinct()
+    # First inside hash cells of a language, then over what the cells leave: no task sees a whole language.
+    first = lambda df, *keys: df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("_id"), "_id"))).where(F.col("_n") <= SAMPLE_DOCS).drop("_n")
+    celled = ids.distinct().withColumn("_cell", F.pmod(F.hash("_id"), F.lit(CELLS)))
+    picked = first(first(celled, "_lang", "_cell").drop("_cell"), "_lang")
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{lang_col}`").alias("_lang"), F.col(f"`{text_col}`").alias("_text"))
     sample = rows.join(F.broadcast(picked), ["_id", "_lang"])  # at most SAMPLE_DOCS ids of a language
 
@@ -257,6 +261,7 @@ def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
     return Model(languages, fit(np.concatenate(blocks), targets, len(languages)))
 
 
+@common.own_batches
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: the id, ``lang_pred, score``.
 
@@ -273,7 +278,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             named, scores = model.predict(batch.column("_text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(named, pa.string()), pa.array(scores, pa.float64())], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return common.written(rows.mapInArrow(run, schema), "languages")
 
 
 def accepted(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
