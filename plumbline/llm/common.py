@@ -6,7 +6,8 @@ import io
 import re
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
+from contextlib import contextmanager
+from functools import lru_cache, wraps
 
 import pyarrow as pa
 import zstandard
@@ -30,17 +31,59 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a fresh folder that all executors share and read it back.
 
     This cuts the lineage: a later loss of executors costs no recomputation of what
-    was written, and every reader sees the same rows.
+    was written, and every reader sees the same rows. Nothing reads the shuffle files of
+    the write again, so Spark may remove them when it ends.
     """
-    path = session.shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = session.shared_dir(spark, name)
+    with settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+        df.write.parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.written_at = path
+    return made
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the folder of a :func:`written` table that nothing will read any more."""
+    where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_at)
+    where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for a while; they are put back as they were."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
+def own_batches(operator):
+    """For an operator that sets Arrow batch sizes on its way: the session has its own again afterwards."""
+
+    @wraps(operator)
+    def run(first, *args, **kwargs):
+        spark = (first if isinstance(first, DataFrame) else first.table).sparkSession
+        with settings(spark, {name: spark.conf.get(name) for name in _BATCH}):
+            return operator(first, *args, **kwargs)
+
+    return run
+
+
+_BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Bound what one Python worker receives at once, in rows and in bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    for name, value in zip(_BATCH, (rows, 8 << 20), strict=True):
+        spark.conf.set(name, str(value))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -195,6 +195,7 @@ def restored(placed: DataFrame, id_col: str) -> DataFrame:
     return placed.sortWithinPartitions("_row", "_restored").mapInArrow(stream, schema)
 
 
+@common.own_batches
 def transform(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 7, rate: int = 100, spm_share: int = 50
 ) -> DataFrame:
@@ -207,7 +208,7 @@ def transform(
     are documents of their own with equal results. An empty table gives no rows. Other
     columns are not read. :func:`texts` returns the outputs themselves.
     """
-    return restored(assembled(pieces(docs, id_col, text_col, seed, rate, spm_share)), id_col)
+    return common.written(restored(assembled(pieces(docs, id_col, text_col, seed, rate, spm_share)), id_col), "infill")
 
 
 def texts(

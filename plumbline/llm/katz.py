@@ -416,6 +416,7 @@ class Katz:
     types: int
 
 
+@common.own_batches
 def train(
     docs: DataFrame, training: Column, order: int = 2, id_col: str = "doc_id", text_col: str = "text",
     block: int = BLOCK, bucket: int = BUCKET, often: int = SPREAD,
@@ -466,6 +467,7 @@ def train(
     return Katz(order, buckets, table, kept, said("p", "ids count"), spreads, tokens, types)
 
 
+@common.own_batches
 def score(model: Katz, id_col: str = "doc_id") -> DataFrame:
     """One row per document: the id, ``train, n_tokens, n_known, train_tokens, base_score, score``.
 
@@ -493,4 +495,5 @@ def score(model: Katz, id_col: str = "doc_id") -> DataFrame:
     names = [id_col, "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     fields = T._parse_datatype_string("train boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double").fields
     schema = T.StructType([T.StructField(id_col, model.table.schema["ids"].dataType.elementType), *fields])
-    return _with_answers(model.table, model.answers, _COLUMNS).mapInArrow(sums, schema)
+    common.small_batches(model.table.sparkSession, rows=1)
+    return common.written(_with_answers(model.table, model.answers, _COLUMNS).mapInArrow(sums, schema), "katz-scores")

@@ -258,6 +258,7 @@ def band_links(search: _Search, heads: DataFrame) -> DataFrame:
     return links
 
 
+@common.own_batches
 def near_groups(
     docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text",
     bands: int = BANDS, rows: int = ROWS, bits: int = BITS,

@@ -170,6 +170,7 @@ def weak_labels(lines: list[list[int]], good: bool | None) -> list[int]:
     return made
 
 
+@common.own_batches
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Field:
     """Fit on at most SAMPLE_DOCS documents of each label: those whose hashed ids are least.
 
@@ -241,6 +242,7 @@ def text_counts(text: str) -> tuple[int, int, int, int, int]:
     return len(words), len(text) - spaces, sum(text.count(c) for c in SYMBOLS), again, repeated_words(words)
 
 
+@common.own_batches
 def judge(docs: DataFrame, field: Field, share: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: the id, the base counts, ``base_failed, kept``, and
     ``content_share, n_content_lines, n_lines``.
@@ -272,4 +274,4 @@ def judge(docs: DataFrame, field: Field, share: float = 0.5, id_col: str = "doc_
             columns = zip(*made, strict=True) if made else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([batch.column(id_col), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names)
 
-    return rows.mapInArrow(run, schema)
+    return common.written(rows.mapInArrow(run, schema), "quality")

@@ -221,6 +221,7 @@ def cutoff(keys: DataFrame, k: int, few: int = FEW) -> dict | None:
     return {c: rest[-1][c] for c in _KEY}
 
 
+@common.own_batches
 def resample(
     docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_text: str = "text",
     width: int = 1, buckets: int = 10_000, seed: int = 2024, percent: int = 10, least_words: int = 20, few: int = FEW,

@@ -114,6 +114,7 @@ def links(prints: DataFrame, radius: int = 2, crowd: int = CROWD) -> DataFrame:
     return pairs.unionByName(star).distinct()
 
 
+@common.own_batches
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, crowd: int = CROWD) -> DataFrame:
     """One row per input row: the id, ``fingerprint`` (16 hex digits), ``component_id``, ``_mark``.
 

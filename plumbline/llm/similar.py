@@ -209,6 +209,7 @@ def similar_links(sets: DataFrame, similarity: float, repeated: DataFrame) -> Da
     return added(pairs)
 
 
+@common.own_batches
 def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``_id, _mark, component``.
 
