@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -183,19 +182,16 @@ def embedding_udf(embed=hash_embed):
 
 
 def dense_topk(queries: DataFrame, chunks: DataFrame, scopes: Sequence[Scope], k: int = 50, embed=hash_embed) -> DataFrame:
-    """Exact cosine top ``k`` per query inside its scope; texts without tokens cannot be found."""
-    encode = embedding_udf(embed)
-    parts = []
-    for scope in scopes:
-        asked = queries.where(F.col("scope_id") == scope.scope_id).where(F.size(text.tokens("text")) > 0)
-        rows = chunks.where(eligible(scope)).where(F.size(text.tokens("content")) > 0)
-        got = vectors.topk_cosine(
-            asked.select("query_id", encode("text").alias("embedding")),
-            rows.select("id", encode("content").alias("embedding")),
-            k,
-        )
-        parts.append(got.withColumn("scope_id", F.lit(scope.scope_id)))
-    return reduce(DataFrame.unionByName, parts)
+    """Exact cosine top ``k`` per query inside its scope; texts without tokens cannot be found.
+
+    All scopes are one search: a chunk is moved and embedded once, with the scopes that may see it.
+    """
+    known = [s.scope_id for s in scopes]
+    asked = queries.where(F.col("scope_id").isin(known) & (F.size(text.tokens("text")) > 0)).select("query_id", "scope_id", F.col("text").alias("said"))
+    marks = F.filter(F.array(*[F.when(eligible(s), F.lit(s.scope_id)) for s in scopes]), lambda m: m.isNotNull())
+    rows = chunks.select("id", F.col("content").alias("said"), marks.alias("scope_ids")).where((F.size("scope_ids") > 0) & (F.size(text.tokens("said")) > 0))
+    got = vectors.topk_cosine(asked, rows, k, vec="said", embed=embed, scope="scope_id", scopes="scope_ids")
+    return got.join(asked.select("query_id", "scope_id"), "query_id")
 
 
 # ---- fusion -----------------------------------------------------------------------------
@@ -225,22 +221,19 @@ def hybrid_search(
     return reload_scoped(fused.join(asked, "query_id"), chunks, scopes, "content")
 
 
-def overlap_scores(questions: pd.Series, contents: pd.Series) -> np.ndarray:
-    """Default pair scorer: share of the question's distinct tokens found in the content."""
-    import re
-
-    pattern = re.compile(text.TOKEN)
-    out = []
-    for q, c in zip(questions, contents, strict=True):
-        asked = set(pattern.findall(q.lower()))
-        out.append(len(asked & set(pattern.findall(c.lower()))) / len(asked) if asked else 0.0)
-    return np.asarray(out)
+def overlap_score(question: str, content: str) -> Column:
+    """Default pair score: share of the question's distinct tokens found in the content."""
+    asked = F.array_distinct(text.tokens(question))
+    return F.when(F.size(asked) > 0, F.size(F.array_intersect(asked, text.tokens(content))) / F.size(asked)).otherwise(F.lit(0.0))
 
 
-def rerank(shortlist: DataFrame, k: int = 8, scorer=overlap_scores) -> DataFrame:
-    """Re-order (query_id, id, rank, text, content) by an injected pair scorer; ties keep their order."""
+def rerank(shortlist: DataFrame, k: int = 8, scorer=None) -> DataFrame:
+    """Re-order (query_id, id, rank, text, content) by token overlap, or by an injected scorer of pairs; ties keep their order."""
     if k < 1:
         raise ValueError("positive k required")
+    order = ["query_id"], [F.desc("rerank_score"), F.col("rank")], k, "new_rank"
+    if scorer is None:
+        return windows.top_per_group(shortlist.withColumn("rerank_score", overlap_score("text", "content")), *order)
 
     @F.pandas_udf("double")
     def score(questions: pd.Series, contents: pd.Series) -> pd.Series:
@@ -249,8 +242,7 @@ def rerank(shortlist: DataFrame, k: int = 8, scorer=overlap_scores) -> DataFrame
             raise ValueError("invalid reranker scores")
         return pd.Series(values)
 
-    scored = shortlist.withColumn("rerank_score", score("text", "content"))
-    return windows.top_per_group(scored, ["query_id"], [F.desc("rerank_score"), F.col("rank")], k, "new_rank")
+    return windows.top_per_group(shortlist.withColumn("rerank_score", score("text", "content")), *order)
 
 
 def expand_parents(children, chunks, parents, scope_ok: Column, same: Sequence[str], k: int) -> DataFrame:
