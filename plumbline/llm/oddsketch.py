@@ -204,7 +204,7 @@ class _Search:
         """
         pairs = common.written(self.sketched(pairs), "odd-candidates")
         sets = self.sets(pairs.select(F.explode(F.array("row", "hub")).alias("_row")))
-        copies = common.written(pairs.groupBy("hub").agg(F.ceil(F.count("*") / SHARE).alias("_copies")), "odd-hubs")
+        copies = pairs.groupBy("hub").agg(F.ceil(F.count("*") / SHARE).alias("_copies"))
         asked = pairs.join(copies, "hub").withColumn("_copy", F.pmod(F.xxhash64("row"), F.col("_copies")))
         hubs = copies.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_copies") - 1)))
         held = hubs.join(sets.select(F.col("_row").alias("hub"), F.col("hashes").alias("_y")), "hub").select("hub", "_copy", "_y")
@@ -230,9 +230,9 @@ def band_links(search: _Search, heads: DataFrame) -> DataFrame:
     postings = heads.select("_row", F.explode("bands").alias("key"))
     met = postings.groupBy("key").agg(F.count("*").alias("_m")).where("_m > 1")
     open_ = common.written(postings.join(met, "key").select("key", "_row"), "odd-buckets")
-    links = None
+    links = labels = None
     for turn in range(ROUNDS):
-        state = similar.labelled(open_, links)
+        state = similar.labelled(open_, labels)
         # One order for all buckets, so a family that meets in many buckets has one hub, or few.
         rank = F.struct(F.xxhash64("_row", F.lit(turn)).alias("r"), F.col("_row").alias("row"), F.col("label").alias("label"))
         buckets = state.groupBy("key").agg(F.min("label").alias("_l"), F.max("label").alias("_h"), F.min(rank).alias("_hub")).where("_l < _h")
@@ -242,8 +242,8 @@ def band_links(search: _Search, heads: DataFrame) -> DataFrame:
         if not pairs.take(1):
             break
         new = search.confirmed(pairs)
-        links = new if links is None else links.unionByName(new)
-    state = similar.labelled(open_, links)
+        links, labels = new if links is None else links.unionByName(new), similar.relabelled(labels, new)
+    state = similar.labelled(open_, labels)
     buckets = state.groupBy("key").agg(F.count("*").alias("_m"), F.min("label").alias("_l"), F.max("label").alias("_h")).where("_l < _h")
     rest = common.written(state.join(buckets, "key").select("key", "_row", "label", "_m"), "odd-rest")
     few = rest.where(F.col("_m") <= CROWD)
@@ -254,7 +254,7 @@ def band_links(search: _Search, heads: DataFrame) -> DataFrame:
     crowded = common.written(rest.where(F.col("_m") > CROWD).select("_row").distinct(), "odd-crowded")
     if crowded.take(1):  # the exact way for what bands alone cannot tell apart
         sets = search.sets(crowded)
-        links = links.unionByName(similar.similar_links(sets, search.similarity, sets.select("_row").limit(0)))
+        links = links.unionByName(similar.similar_links(sets, search.similarity, sets.select("_row").limit(0), labels, rounds=0))
     return links
 
 

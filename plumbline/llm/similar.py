@@ -136,11 +136,27 @@ def possible(similarity: float, na: Column, nb: Column, pa_: Column, pb: Column)
     return (F.least(na, nb) >= F.lit(similarity) * F.greatest(na, nb) - 1e-6) & (F.least(na - pa_, nb - pb) >= need)
 
 
-def labelled(shared: DataFrame, links: DataFrame | None) -> DataFrame:
-    if links is None:
+def labelled(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``shared`` with ``label``: equal labels are linked already; a row without one is its own."""
+    if labels is None:
         return shared.withColumn("label", F.col("_row"))
-    found = components(links, "a", "b").select(F.col("node").alias("_row"), F.col("component").alias("_c"))
-    return shared.join(found, "_row", "left").withColumn("label", F.coalesce("_c", "_row")).drop("_c")
+    return shared.join(labels.withColumnRenamed("label", "_c"), "_row", "left").withColumn("label", F.coalesce("_c", "_row")).drop("_c")
+
+
+def relabelled(labels: DataFrame | None, linked: DataFrame) -> DataFrame:
+    """``_row, label`` after each row of ``linked`` (``a, b``) took the label of its hub ``b``.
+
+    A hub that was linked itself passes on the label it got. This is no full search for
+    components: it joins only linked rows, which is all that the next round needs.
+    """
+    new = linked.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("_row"), F.col("b").alias("label"))
+    hub = new.select(F.col("_row").alias("label"), F.col("label").alias("_next"))
+    new = new.join(hub, "label", "left").select("_row", F.coalesce("_next", "label").alias("label"))
+    if labels is not None:
+        known = labels.select(F.col("_row").alias("label"), F.col("label").alias("_next"))
+        moved = new.join(known, "label", "left").select("_row", F.coalesce("_next", "label").alias("label"))
+        new = labels.join(moved, "_row", "left_anti").unionByName(moved)
+    return common.written(new, "similar-labels")
 
 
 def named_by(sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -152,10 +168,11 @@ def named_by(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return own.join(F.broadcast(bits), "_word").where(F.expr("(_bits & shiftleft(1L, cast(_c & 63 as int))) <> 0")).select("_row", "hashes")
 
 
-def similar_links(sets: DataFrame, similarity: float, repeated: DataFrame) -> DataFrame:
+def similar_links(sets: DataFrame, similarity: float, repeated: DataFrame, labels: DataFrame | None = None, rounds: int = ROUNDS) -> DataFrame:
     """Edges ``a, b`` between rows of ``sets`` (``_row, n, hashes``) whose components are those of all pairs at ``similarity``.
 
-    Rows of ``repeated`` are left out: an equal one stands for them.
+    Rows of ``repeated`` are left out: an equal one stands for them. ``labels`` (``_row,
+    label``) says what is linked already; those links are not returned again.
     """
     common.small_batches(sets.sparkSession)
     postings = common.written(prefixes(sets, similarity).join(repeated.select("_row"), "_row", "left_anti"), "similar-prefixes")
@@ -175,13 +192,8 @@ def similar_links(sets: DataFrame, similarity: float, repeated: DataFrame) -> Da
         return two.where(exact("_x", "_y") >= similarity - 1e-9).select("a", "b")
 
     links = None
-
-    def added(pairs: DataFrame) -> DataFrame:
-        new = common.written(linked(pairs), "similar-links")
-        return new if links is None else links.unionByName(new)
-
-    for turn in range(ROUNDS):
-        state = labelled(shared, links)
+    for turn in range(rounds):
+        state = labelled(shared, labels)
         # A text without edits of its own has its shared shingles first: the best hub of a group of copies.
         rank = F.col("pos").cast("bigint") if turn == 0 else F.xxhash64("_row", F.lit(turn))
         buckets = state.groupBy("key").agg(
@@ -191,22 +203,24 @@ def similar_links(sets: DataFrame, similarity: float, repeated: DataFrame) -> Da
         shared = common.written(state.join(buckets.where("_l < _h"), "key").select("key", "_row", "n", "pos", "label", "_m", "_hub"), "similar-open")
         far = F.least("n", "_hub.n") < F.lit(similarity) * F.greatest("n", "_hub.n") - 1e-6
         tried = shared.where((F.col("_m") > CROWD) & (F.col("label") != F.col("_hub.label")) & ~far)
-        pairs = tried.groupBy("_row").agg(F.min("_hub").alias("_hub")).select(
-            F.least("_row", "_hub.row").alias("a"), F.greatest("_row", "_hub.row").alias("b")
-        ).distinct()
+        pairs = tried.groupBy("_row").agg(F.min("_hub").alias("_hub")).select(F.col("_row").alias("a"), F.col("_hub.row").alias("b"))
         pairs = common.written(pairs, "similar-hubs")
         shared = shared.select("key", "_row", "n", "pos")
         if not pairs.take(1):
             break
-        links = added(pairs)
-    rest = common.written(labelled(shared, links), "similar-rest")
+        new = common.written(linked(pairs), "similar-links")
+        links, labels = new if links is None else links.unionByName(new), relabelled(labels, new)
+    if links is not None:
+        labels = components(links, "a", "b").select(F.col("node").alias("_row"), F.col("component").alias("label"))
+    rest = common.written(labelled(shared, labels), "similar-rest")
     one, two = (rest.select("key", *[F.col(c).alias(f"_{side}{c}") for c in ("_row", "n", "pos", "label")]) for side in "ab")
     cross = one.join(two, "key").where(
         (F.col("_a_row") < F.col("_b_row")) & (F.col("_alabel") != F.col("_blabel"))
         & possible(similarity, F.col("_an"), F.col("_bn"), F.col("_apos"), F.col("_bpos"))
     )
     pairs = common.written(cross.select(F.col("_a_row").alias("a"), F.col("_b_row").alias("b")).distinct(), "similar-pairs")
-    return added(pairs)
+    last = common.written(linked(pairs), "similar-links")
+    return last if links is None else links.unionByName(last)
 
 
 @common.own_batches
