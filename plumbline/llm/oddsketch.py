@@ -250,12 +250,18 @@ def band_links(search: _Search, heads: DataFrame) -> DataFrame:
     one, two = (few.select("key", F.col("_row").alias(n), F.col("label").alias(f"_{n}")) for n in ("row", "hub"))
     pairs = one.join(two, "key").where("row < hub AND _row <> _hub").select("row", "hub").distinct()
     last = search.confirmed(pairs)
-    links = last if links is None else links.unionByName(last)
-    crowded = common.written(rest.where(F.col("_m") > CROWD).select("_row").distinct(), "odd-crowded")
+    links, labels = last if links is None else links.unionByName(last), similar.relabelled(labels, last)
+    state = similar.labelled(rest.where(F.col("_m") > CROWD).select("key", "_row"), labels)
+    left = state.groupBy("key").agg(F.min("label").alias("_l"), F.max("label").alias("_h")).where("_l < _h")
+    crowded = common.written(state.join(left, "key").select("_row").distinct(), "odd-crowded")
     if crowded.take(1):  # the exact way for what bands alone cannot tell apart
         sets = search.sets(crowded)
-        links = links.unionByName(similar.similar_links(sets, search.similarity, sets.select("_row").limit(0), labels, rounds=0))
-    return links
+        links = links.unionByName(similar.similar_links(sets, search.similarity, sets.select("_row").limit(0), labels, rounds=1))
+    # Rows under their label are stars already; of the links only those between labels are new.
+    stars = labels.where("_row <> label").select(F.col("_row").alias("a"), F.col("label").alias("b"))
+    named = similar.labelled(links.select(F.col("a").alias("_row"), "b"), labels).select(F.col("b").alias("_row"), F.col("label").alias("a"))
+    between = similar.labelled(named, labels).select("a", F.col("label").alias("b")).where("a <> b")
+    return stars.unionByName(between.distinct())
 
 
 @common.own_batches

@@ -144,19 +144,22 @@ def labelled(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def relabelled(labels: DataFrame | None, linked: DataFrame) -> DataFrame:
-    """``_row, label`` after each row of ``linked`` (``a, b``) took the label of its hub ``b``.
+    """``_row, label`` of all rows linked so far, after the links ``a, b`` joined their labels.
 
-    A hub that was linked itself passes on the label it got. This is no full search for
-    components: it joins only linked rows, which is all that the next round needs.
+    Every label that a link leads to a smaller one takes the least of them, and what that
+    one took itself. This is no full search for components (a chain of many labels joined
+    at once may stay in parts), but equal labels are always linked, and it is a few joins.
     """
-    new = linked.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("_row"), F.col("b").alias("label"))
-    hub = new.select(F.col("_row").alias("label"), F.col("label").alias("_next"))
-    new = new.join(hub, "label", "left").select("_row", F.coalesce("_next", "label").alias("label"))
+    ends = linked.select(F.posexplode(F.array("a", "b")).alias("_side", "_row"), F.struct("a", "b").alias("_link"))
+    named = labelled(ends, labels)
+    links = named.groupBy("_link").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    to = common.written(links.groupBy(F.col("high").alias("label")).agg(F.min("low").alias("_to")), "similar-joined")
+    further = to.select(F.col("label").alias("_to"), F.col("_to").alias("_further"))
+    to = to.join(further, "_to", "left").select("label", F.coalesce("_further", "_to").alias("_to"))
+    known = named.select("_row", "label").distinct()
     if labels is not None:
-        known = labels.select(F.col("_row").alias("label"), F.col("label").alias("_next"))
-        moved = new.join(known, "label", "left").select("_row", F.coalesce("_next", "label").alias("label"))
-        new = labels.join(moved, "_row", "left_anti").unionByName(moved)
-    return common.written(new, "similar-labels")
+        known = known.unionByName(labels.join(known, "_row", "left_anti"))
+    return common.written(known.join(to, "label", "left").select("_row", F.coalesce("_to", "label").alias("label")), "similar-labels")
 
 
 def named_by(sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -210,8 +213,6 @@ def similar_links(sets: DataFrame, similarity: float, repeated: DataFrame, label
             break
         new = common.written(linked(pairs), "similar-links")
         links, labels = new if links is None else links.unionByName(new), relabelled(labels, new)
-    if links is not None:
-        labels = components(links, "a", "b").select(F.col("node").alias("_row"), F.col("component").alias("label"))
     rest = common.written(labelled(shared, labels), "similar-rest")
     one, two = (rest.select("key", *[F.col(c).alias(f"_{side}{c}") for c in ("_row", "n", "pos", "label")]) for side in "ab")
     cross = one.join(two, "key").where(
