@@ -246,6 +246,14 @@ def forward_labels(grid: DataFrame, ncrs: DataFrame, complete_through: str, days
     )
 
 
+def feature_base(suppliers, inspections, cars, start: str, end: str) -> DataFrame:
+    """The panel's rows with the only two of its columns that features use: monthly yield and open CARs."""
+    grid = spine(suppliers, start, end)
+    return grid.join(monthly_yield(inspections).drop("units"), ["supplier_id", "month"], "left").join(
+        open_counts(grid, cars, "opened_at", "closed_at", "open_cars"), ["supplier_id", "month_end"], "left"
+    ).withColumn("open_cars", F.coalesce("open_cars", F.lit(0)))
+
+
 def supplier_features(panel: DataFrame, ncrs, delivered, audits, enrichment: DataFrame | None = None) -> DataFrame:
     """One feature row per panel row, using only events strictly before the month's end."""
     on = ["supplier_id", "month_end"]

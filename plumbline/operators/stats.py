@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -44,34 +45,93 @@ def zscore(df: DataFrame, columns: Sequence[str], check: bool = True) -> DataFra
 
 Statistic = Callable[[Column, Column], Column]
 
+#: Fixed values of the replicate draws: a prime modulus and multipliers below it.
+P31, MIX = 2147483647, (48271, 69621, 16807, 40692)
 
-def weighted_mean(value: Column, weight: Column) -> Column:
-    return F.sum(value * weight) / F.sum(weight)
+
+def draw_key(value: Column) -> Column:
+    """The number that a value's draws start from: its millionths, modulo the prime."""
+    return F.pmod(F.round(value * 1_000_000).cast("bigint"), F.lit(P31))
+
+
+def uniform_draws(key: int, n_boot: int, seed: int) -> np.ndarray:
+    """One uniform number per replicate: squarings and multiplications modulo a prime, which any SQL can repeat."""
+    a, b, c, d = MIX
+    rep = np.arange(1, n_boot + 1, dtype=np.int64)
+    x = (key * a + rep * b + seed * c + 1) % P31
+    for _ in range(3):
+        x = (x * x + rep * d + key) % P31
+        x = (x * c + 1) % P31
+    return (x + 0.5) / P31
+
+
+def poisson_limits(n: int) -> np.ndarray:
+    """Cumulative Poisson(n) probabilities as far as they matter; a draw is the number of limits at or below it."""
+    top = n + 12 * math.isqrt(n) + 40
+    terms = np.array([math.exp(k * math.log(n) - n - math.lgamma(k + 1)) for k in range(top)])
+    return np.cumsum(terms)
+
+
+def value_weights(hist: DataFrame, n_boot: int, seed: int):
+    """Per row of ``value, n, key``: the value and its weight in every replicate."""
+
+    def weights(batch: pd.DataFrame) -> Iterator[tuple[float, np.ndarray]]:
+        for x, n, key in zip(batch["value"], batch["n"], batch["key"], strict=True):
+            yield float(x), np.searchsorted(poisson_limits(int(n)), uniform_draws(int(key), n_boot, seed), side="right")
+
+    return weights
+
+
+def histogram(df: DataFrame, value: str) -> DataFrame:
+    hist = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("value")).agg(F.count("*").alias("n"))
+    return hist.withColumn("key", draw_key(F.col("value")))
 
 
 def replicates(df: DataFrame, value: str, n_boot: int, seed: int) -> DataFrame:
-    """(replicate, value, weight): Poisson resampling of the value histogram.
+    """(replicate, value, weight): Poisson resampling of the value histogram, for statistics that need the values.
 
     A value occurring c times gets a Poisson(c) weight in each replicate, which is the
-    sum of c Poisson(1) row weights; the work is one row per *distinct* value and
-    replicate. Draws are seeded by the value, so partitioning never changes them.
+    sum of c Poisson(1) row weights. Draws depend on the value only, so partitioning never
+    changes them.
     """
-    hist = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("value")).agg(F.count("*").alias("n"))
-    seeded = hist.withColumn("key", F.xxhash64("value", F.lit(seed)))
+    hist = histogram(df, value)
+    weights = value_weights(hist, n_boot, seed)
 
     def draw(batches):
         for batch in batches:
-            for x, n, key in zip(batch["value"], batch["n"], batch["key"], strict=True):
-                weights = np.random.default_rng(int(key) & (2**63 - 1)).poisson(n, n_boot)
-                kept = np.flatnonzero(weights)
-                yield pd.DataFrame({"replicate": kept, "value": x, "weight": weights[kept]})
+            for x, w in weights(batch):
+                kept = np.flatnonzero(w)
+                yield pd.DataFrame({"replicate": kept, "value": x, "weight": w[kept]})
+
+    return hist.mapInPandas(draw, "replicate int, value double, weight bigint")
+
+
+def replicate_sums(df: DataFrame, value: str, n_boot: int, seed: int) -> DataFrame:
+    """``replicate, w, wx``: sums of weights and of weighted values.
+
+    Every task adds its values up into two vectors of ``n_boot`` numbers and sends those, so
+    what is shuffled depends on tasks and replicates, never on the number of values.
+    """
+    hist = histogram(df, value)
+    weights = value_weights(hist, n_boot, seed)
+
+    def add(batches):
+        w_sum, wx_sum = np.zeros(n_boot), np.zeros(n_boot)
+        for batch in batches:
+            for x, w in weights(batch):
+                w_sum += w
+                wx_sum += w * x
+        yield pd.DataFrame({"w": [w_sum], "wx": [wx_sum]})
 
-    return seeded.mapInPandas(draw, "replicate int, value double, weight bigint")
+    parts = hist.mapInPandas(add, "w array<double>, wx array<double>")
+    cells = parts.select(F.posexplode(F.arrays_zip("w", "wx")).alias("replicate", "c"))
+    return cells.groupBy("replicate").agg(F.sum("c.w").alias("w"), F.sum("c.wx").alias("wx"))
 
 
-def _replicate_stats(df, value, stat: Statistic, n_boot: int, seed: int, name: str) -> DataFrame:
-    reps = replicates(df, value, n_boot, seed)
-    return reps.groupBy("replicate").agg(stat(F.col("value"), F.col("weight")).alias(name))
+def _replicate_stats(df, value, stat: Statistic | None, n_boot: int, seed: int, name: str) -> DataFrame:
+    if stat is None:
+        return replicate_sums(df, value, n_boot, seed).select("replicate", (F.col("wx") / F.nullif("w", F.lit(0.0))).alias(name))
+    return replicates(df, value, n_boot, seed).groupBy("replicate").agg(stat(F.col("value"), F.col("weight")).alias(name))
 
 
 def _check_boot(n_boot: int, alpha: float) -> None:
@@ -83,15 +143,15 @@ def _interval(stats: DataFrame, name: str, alpha: float) -> DataFrame:
     return stats.agg(F.percentile(name, F.lit(alpha / 2)).alias("low"), F.percentile(name, F.lit(1 - alpha / 2)).alias("high"))
 
 
-def bootstrap_ci(df, value: str, stat: Statistic = weighted_mean, n_boot: int = 10_000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
-    """Percentile interval of a statistic of independent rows."""
+def bootstrap_ci(df, value: str, stat: Statistic | None = None, n_boot: int = 10_000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
+    """Percentile interval of a statistic of independent rows: the mean, or ``stat(value, weight)``."""
     _check_boot(n_boot, alpha)
     if df.limit(2).count() < 2:
         raise ContractError("need at least two observations")
     return _interval(_replicate_stats(df, value, stat, n_boot, seed, "stat"), "stat", alpha)
 
 
-def bootstrap_diff_ci(a, b, value: str, stat: Statistic = weighted_mean, n_boot: int = 10_000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
+def bootstrap_diff_ci(a, b, value: str, stat: Statistic | None = None, n_boot: int = 10_000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
     """Interval of ``stat(b) - stat(a)``; the two groups are resampled independently."""
     _check_boot(n_boot, alpha)
     if min(a.limit(2).count(), b.limit(2).count()) < 2:

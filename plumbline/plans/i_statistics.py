@@ -31,12 +31,32 @@ def trend_slope(v):
     return windows.trend_slopes(panel.monthly_yield(v.inspections), "supplier_id", "month", "fpy", check=False)
 
 
-@query("bootstrap_ci", "low:f high:f")
+# The draws are sums modulo a prime of the value's millionths, the replicate and the seed; a Poisson
+# weight is the number of cumulative probabilities at or below the draw.
+REPLICATES = """
+replicate_means AS (
+  WITH RECURSIVE h AS (SELECT side, seed, fpy, count(*) AS n, CAST(round(fpy * 1000000) AS BIGINT) % 2147483647 AS key FROM sides GROUP BY ALL),
+  r AS (
+    SELECT side, fpy, n, key, rep, 0 AS turn, (key * 48271 + rep * 69621 + seed * 16807 + 1) % 2147483647 AS x FROM h, (SELECT unnest(range(1, 10001)) AS rep)
+    UNION ALL SELECT side, fpy, n, key, rep, turn + 1, ((x * x + rep * 40692 + key) % 2147483647 * 16807 + 1) % 2147483647 FROM r WHERE turn < 3),
+  k AS (SELECT n, unnest(range(0, n + 12 * CAST(floor(sqrt(n)) AS BIGINT) + 40)) AS k FROM (SELECT DISTINCT n FROM h)),
+  c AS (SELECT n, k, sum(exp(k * ln(n) - n - lgamma(k + 1))) OVER (PARTITION BY n ORDER BY k) AS upto FROM k),
+  d AS (SELECT side, fpy, rep, n, (x + 0.5) / 2147483647 AS u FROM r WHERE turn = 3),
+  w AS (SELECT d.side, d.rep, d.fpy, coalesce(c.k + 1, 0) AS weight FROM d ASOF LEFT JOIN c ON c.n = d.n AND c.upto <= d.u)
+  SELECT side, rep, sum(weight * fpy) / sum(weight) AS mean FROM w GROUP BY ALL)"""
+
+
+@query("bootstrap_ci", "low:f high:f", f"""
+WITH sides AS (SELECT 'all' AS side, 0::BIGINT AS seed, fpy FROM lots), {REPLICATES}
+SELECT quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM replicate_means""")
 def bootstrap_ci(v):
     return stats.bootstrap_ci(lots(v), "fpy", n_boot=10_000)
 
 
-@query("bootstrap_diff_ci", "low:f high:f")
+@query("bootstrap_diff_ci", "low:f high:f", f"""
+WITH sides AS (SELECT period AS side, CASE WHEN period = 'after' THEN 1000003 ELSE 0 END::BIGINT AS seed, fpy FROM lots), {REPLICATES}
+SELECT quantile_cont(b.mean - a.mean, 0.025) AS low, quantile_cont(b.mean - a.mean, 0.975) AS high
+FROM replicate_means a JOIN replicate_means b ON a.rep = b.rep AND a.side = 'before' AND b.side = 'after'""")
 def bootstrap_diff_ci(v):
     both = lots(v)
     return stats.bootstrap_diff_ci(both.where("period = 'before'"), both.where("period = 'after'"), "fpy", n_boot=10_000)

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline import session
+from plumbline.operators import panel
+from plumbline.plans import scope
 from plumbline.plans.a_sources import raw_intake
 from plumbline.plans.m_triage import reports, reservations
 from plumbline.registry import query
-from plumbline.streaming import jobs
+from plumbline.streaming import jobs, stateful
 from plumbline.streaming.jobs import StreamViews
 
 MAX_TS = "(SELECT max(ts) FROM events)"
@@ -52,19 +54,43 @@ def stream_rolling_yield(v):
 
 
 @query("stream_label_maturity", "supplier_id:i cutoff:d sev3_next_90d:i harm_next_90d:i", """
-WITH c AS (SELECT supplier_id, severity, CAST(date_trunc('month', discovered_at) - to_months(CAST(k AS INT)) AS DATE) AS cutoff, CAST(discovered_at AS DATE) AS day FROM ncrs, (SELECT unnest([0, 1, 2, 3, 4]) AS k))
-SELECT supplier_id, cutoff, CAST(max(severity) >= 3 AS INT) AS sev3_next_90d, sum(severity) AS harm_next_90d FROM c WHERE day < cutoff + 90 AND cutoff + 90 < (SELECT max(discovered_at) FROM ncrs) - INTERVAL 1 DAY GROUP BY ALL""")
+WITH c AS (SELECT supplier_id, severity, discovered_at, CAST(date_trunc('month', discovered_at) - to_months(unnest([0, 1, 2, 3])) AS DATE) AS cutoff FROM ncrs),
+h AS (SELECT supplier_id, cutoff, max(CAST(severity >= 3 AS INT)) AS severe, sum(severity) AS harm FROM c WHERE discovered_at < cutoff + 90 GROUP BY ALL)
+SELECT sp.supplier_id, sp.month_end AS cutoff, coalesce(severe, 0) AS sev3_next_90d, coalesce(harm, 0) AS harm_next_90d
+FROM spine sp LEFT JOIN h ON h.supplier_id = sp.supplier_id AND h.cutoff = sp.month_end WHERE sp.month_end + 90 <= (SELECT max(discovered_at) FROM ncrs) - INTERVAL 1 DAY""")
 def stream_label_maturity(v):
     ncrs = live(v).ncrs.select("supplier_id", "severity", "discovered_at")
-    return jobs.run_available(jobs.mature_labels(ncrs), "labels")
-
-
-@query("stream_budget", "period:d trace_id:s answer:s committed:f")
+    grid = panel.spine(v.suppliers, scope.START, scope.END).select("supplier_id", F.col("month_end").alias("cutoff"))
+    return jobs.run_available(stateful.mature_labels(ncrs, grid), "labels", conf=stateful.SETTINGS)
+
+
+@query("stream_budget", "period:d trace_id:s kind:s answer:s committed:f", """
+WITH RECURSIVE asked AS (SELECT period, trace_id, asked_at, status, CAST(CAST(quoted AS DECIMAL(38,8)) * 100000000 AS BIGINT) AS quote, CAST(CAST(actual AS DECIMAL(38,8)) * 100000000 AS BIGINT) AS paid FROM reservations),
+sent AS (
+  SELECT period, trace_id, asked_at AS sent_at, 0 AS turn, 'reserve' AS kind, quote, quote AS amount FROM asked
+  UNION ALL SELECT period, trace_id, asked_at + INTERVAL 1 DAY, 1, CASE status WHEN 'settled' THEN 'settle' ELSE 'uncertain' END, quote, paid FROM asked WHERE status <> 'reserved'),
+m AS (SELECT *, row_number() OVER (PARTITION BY period ORDER BY sent_at, turn, trace_id) AS i FROM sent),
+fold AS (
+  SELECT period, 0::BIGINT AS i, '' AS trace_id, '' AS kind, '' AS answer, 0::BIGINT AS used, []::VARCHAR[] AS held FROM (SELECT DISTINCT period FROM m)
+  UNION ALL
+  SELECT m.period, m.i, m.trace_id, m.kind,
+    CASE WHEN m.kind = 'reserve' THEN CASE WHEN used + amount > 500000000000 THEN 'refused' WHEN used + amount >= 400000000000 THEN 'soft' ELSE 'ok' END
+      WHEN NOT list_contains(held, m.trace_id) THEN 'unmatched' WHEN m.kind = 'settle' THEN 'settled' ELSE 'uncertain' END,
+    used + CASE WHEN m.kind = 'reserve' AND used + amount <= 500000000000 THEN amount WHEN m.kind = 'settle' AND list_contains(held, m.trace_id) THEN amount - quote ELSE 0 END,
+    CASE WHEN m.kind = 'reserve' AND used + amount <= 500000000000 THEN list_append(held, m.trace_id) WHEN m.kind = 'settle' THEN list_filter(held, lambda x: x <> m.trace_id) ELSE held END
+  FROM fold JOIN m ON m.period = fold.period AND m.i = fold.i + 1)
+SELECT period, trace_id, kind, answer, used / 100000000 AS committed FROM fold WHERE i > 0
+UNION ALL SELECT period, '', 'close', 'closed', arg_max(used, i) / 100000000 FROM fold GROUP BY period
+  HAVING period + INTERVAL 1 MONTH + INTERVAL 3 DAY <= (SELECT max(sent_at) FROM sent) - INTERVAL 1 DAY""")
 def stream_budget(v):
-    asked = reservations(live(v)).select(
-        "period", "trace_id", "asked_at", (F.col("quoted") * 100_000_000).cast("bigint").alias("quoted"), (F.col("actual") * 100_000_000).cast("double").alias("actual")
-    )
-    return jobs.run_available(jobs.budget_decisions(asked, 5000), "budget")
+    # Every reservation is one message; a day later some are settled and some turn out uncertain.
+    asked = reservations(live(v))
+    units = lambda c: (F.col(c) * 100_000_000).cast("bigint")
+    told = F.struct(F.lit(1).alias("turn"), (F.col("asked_at") + F.expr("INTERVAL 1 DAY")).alias("sent_at"), F.when(F.col("status") == "settled", "settle").otherwise("uncertain").alias("kind"), F.coalesce(units("actual"), F.lit(0)).alias("amount"))
+    first = F.struct(F.lit(0).alias("turn"), F.col("asked_at").alias("sent_at"), F.lit("reserve").alias("kind"), units("quoted").alias("amount"))
+    both = F.when(F.col("status") == "reserved", F.array(first)).otherwise(F.array(first, told))
+    messages = asked.select("period", "trace_id", F.explode(both).alias("m")).select("period", "trace_id", "m.*")
+    return jobs.run_available(stateful.budget_decisions(messages, 5000), "budget", conf=stateful.SETTINGS)
 
 
 @query("stream_recurrence", "car_id:i ncr_id:s supplier_id:i", """
@@ -92,14 +118,13 @@ def stream_sessions(v):
 
 
 @query("stream_anomaly", "entity_id:i day_no:i z:f flat:b", """
-SELECT entity_id, day - DATE '1970-01-01' AS day_no, z, flat FROM zscores""")
+SELECT entity_id, day - DATE '1970-01-01' AS day_no, z, coalesce(flat, false) AS flat FROM zscores WHERE day + 1 <= (SELECT max(day) FROM daily) - 3""")
 def stream_anomaly(v):
     folder = session.shared_dir(v.spark, "days")
-    days = v.daily.select("entity_id", F.datediff("day", F.lit("1970-01-01").cast("date")).alias("day_no"), "rate")
+    days = v.daily.select("entity_id", F.col("day").cast("timestamp").alias("day"), "rate")
     days.write.parquet(folder)
     stream = v.spark.readStream.schema(days.schema).parquet(folder)
-    # Days of one entity must arrive in order: this replay takes the whole folder as one batch.
-    return jobs.run_available(jobs.daily_anomalies(stream), "anomalies")
+    return jobs.run_available(stateful.daily_anomalies(stream), "anomalies", conf=stateful.SETTINGS)
 
 
 @query("stream_rules", "ncr_id:s rule_severity:i rule_category:s rules:s kinds:s", """

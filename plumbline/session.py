@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,6 +69,22 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{os.urandom(6).hex()}")
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for a while; they are put back as they were."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a fresh shared folder and read it back: lineage ends, and every reader sees the same rows."""
     path = shared_dir(df.sparkSession, name)

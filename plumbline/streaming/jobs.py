@@ -7,15 +7,13 @@ a restarted job continues where it stopped.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Mapping
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from plumbline import session
-from plumbline.operators import contracts, guard, panel, triage
+from plumbline.operators import contracts, guard, triage
 from plumbline.sources import tables
 from plumbline.sources.views import Views
 
@@ -36,12 +34,13 @@ def event_time(df: DataFrame, col: str, delay: str) -> DataFrame:
     return df.withColumn(col, F.col(col).cast("timestamp")).withWatermark(col, delay)
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Process everything available, then read the sink back as a table."""
+def run_available(stream: DataFrame, name: str, mode: str = "append", conf: Mapping[str, str] | None = None) -> DataFrame:
+    """Process everything available, then read the sink back as a table; ``conf`` holds settings the job needs."""
     spark = stream.sparkSession
     base = session.shared_dir(spark, name)
     writer = stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", f"{base}/state")
-    writer.trigger(availableNow=True).start(f"{base}/out").awaitTermination()
+    with session.settings(spark, dict(conf or {})):
+        writer.trigger(availableNow=True).start(f"{base}/out").awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
@@ -136,106 +135,6 @@ def recurrence(closures: DataFrame, events: DataFrame, keys: list[str], delay: s
     return c.join(e, same & near).where(exact).select("car_id", "ncr_id", *keys, "closed_at", "discovered_at")
 
 
-# ---- keyed state ----------------------------------------------------------------------------
-
-
-def mature_labels(ncrs: DataFrame, days: int = 90, delay: str = "1 day") -> DataFrame:
-    """(supplier, cutoff) labels, emitted only once the watermark has passed ``cutoff + days``."""
-    spread = event_time(ncrs, "discovered_at", delay).withColumn(
-        "cutoff", F.explode(panel.forward_cutoffs(F.col("discovered_at").cast("date"), days))
-    )
-    spread = spread.withColumn("due", F.unix_millis(F.date_add("cutoff", days).cast("timestamp")))
-
-    def fold(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        if state.hasTimedOut:
-            harm, severe, _ = state.get
-            state.remove()
-            yield pd.DataFrame({"supplier_id": [key[0]], "cutoff": [key[1]], "sev3_next_90d": [int(severe > 0)], "harm_next_90d": [harm]})
-            return
-        harm, severe, due = state.get if state.exists else (0, 0, 0)
-        for batch in batches:
-            harm += int(batch["severity"].sum())
-            severe += int((batch["severity"] >= 3).sum())
-            due = max(due, int(batch["due"].max()))
-        state.update((harm, severe, due))
-        if due > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(due)
-
-    return spread.groupBy("supplier_id", "cutoff").applyInPandasWithState(
-        fold,
-        "supplier_id bigint, cutoff date, sev3_next_90d int, harm_next_90d bigint",
-        "harm bigint, severe bigint, due bigint",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
-    )
-
-
-def budget_decisions(requests: DataFrame, cap: float, soft: float = 0.8) -> DataFrame:
-    """Accept or refuse reservations of a month in arrival order within its cap.
-
-    Amounts are whole hundred-millionths. Refusals consume nothing, a repeated id gets
-    its first answer again, and ``actual`` (when present) settles at once.
-    """
-    unit = 10**8
-    limit, alert = round(cap * unit), round(cap * soft * unit)
-
-    def fold(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        used, ids, answers = state.get if state.exists else (0, [], [])
-        seen = dict(zip(ids, answers, strict=True))
-        rows = pd.concat(list(batches)).sort_values(["asked_at", "trace_id"])
-        out = []
-        for r in rows.itertuples(index=False):
-            if r.trace_id not in seen:
-                fits = used + r.quoted <= limit
-                # Settled money replaces the quote; unknown outcomes keep it reserved.
-                used += (int(r.actual) if pd.notna(r.actual) else r.quoted) if fits else 0
-                seen[r.trace_id] = "refused" if not fits else ("soft" if used >= alert else "ok")
-            out.append((key[0], r.trace_id, seen[r.trace_id], used / unit))
-        state.update((used, list(seen), list(seen.values())))
-        yield pd.DataFrame(out, columns=["period", "trace_id", "answer", "committed"])
-
-    return requests.groupBy("period").applyInPandasWithState(
-        fold,
-        "period date, trace_id string, answer string, committed double",
-        "used bigint, ids array<string>, answers array<string>",
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )
-
-
-def daily_anomalies(days: DataFrame, window: int = 30, needed: int = 20) -> DataFrame:
-    """z of each arriving (entity, day, rate) against the entity's earlier days within ``window``.
-
-    State is at most ``window`` days per entity; older days are evicted.
-    """
-
-    def fold(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        old_days, old_rates = state.get if state.exists else ([], [])
-        held = list(zip(old_days, old_rates, strict=True))
-        rows = pd.concat(list(batches)).sort_values("day_no")
-        out = []
-        for r in rows.itertuples(index=False):
-            held = [(d, x) for d, x in held if d >= r.day_no - window]
-            values = pd.Series([x for d, x in held if d < r.day_no], dtype=float)
-            z = flat = None
-            if len(values) >= needed:
-                mean, sd = values.mean(), values.std()
-                z = (r.rate - mean) / sd if sd > 1e-12 else None
-                flat = bool(sd <= 1e-12 and abs(r.rate - mean) > 1e-12)
-            out.append((key[0], int(r.day_no), z, bool(flat)))
-            held.append((int(r.day_no), float(r.rate)))
-        state.update(([d for d, _ in held], [x for _, x in held]))
-        yield pd.DataFrame(out, columns=["entity_id", "day_no", "z", "flat"])
-
-    return days.groupBy("entity_id").applyInPandasWithState(
-        fold,
-        "entity_id bigint, day_no int, z double, flat boolean",
-        "days array<int>, rates array<double>",
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )
-
-
 def late_rows(batch: DataFrame, accepted: DataFrame, key: list[str]) -> DataFrame:
     """Rows of a batch that the watermarked job did not take: kept in a side table, never lost."""
     return batch.join(accepted.select(*key), key, "left_anti")
