@@ -112,17 +112,65 @@ def chunk_constraints() -> dict[str, Column]:
     }
 
 
+#: Digests are sums of hashes modulo this prime, so rows can be added and taken away in any order.
+FINGERPRINT_PRIME = (1 << 61) - 1
+WHOLE = "*"
+
+
+def _hashes(tagged: Column) -> list[Column]:
+    """Two 60-bit numbers of a text."""
+    digest = F.md5(tagged.cast("binary"))
+    return [F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)") for i in range(2)]
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
-    """Order-insensitive content manifest: rows, digest, and present values per column."""
-    digest = F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))
-    counts = [F.struct(F.lit(c).alias("column_name"), F.count(c).alias("present")) for c in df.columns]
-    return df.agg(F.count(F.lit(1)).alias("rows"), digest.cast("string").alias("digest"), F.array(*counts).alias("columns"))
+    """``column_name, rows, present, digest_a, digest_b``: a multiset hash of every column and (``*``) of whole rows.
+
+    Each is a sum over rows modulo a prime: it does not depend on order or partitioning, equal
+    rows count as often as they occur, and :func:`combined` adds or takes away another
+    frame's rows. Values are hashed as text; a null differs from an empty text.
+    """
+    cell = lambda c: F.when(F.col(c).isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.col(c).cast("string")))
+    # Lengths in front of the cells keep their borders.
+    row = F.concat_ws("|", *[F.concat(F.length(cell(c)).cast("string"), F.lit(":"), cell(c)) for c in df.columns])
+    prime = F.lit(FINGERPRINT_PRIME).cast("decimal(38,0)")
+    sums = lambda tagged: [(F.coalesce(F.sum(h), F.lit(0)) % prime).cast("bigint") for h in _hashes(tagged)]
+    tagged = {c: (F.concat(F.lit(f"{c}="), cell(c)), F.count(c)) for c in df.columns} | {WHOLE: (row, F.count(F.lit(1)))}
+    lines = []
+    for name, (text, present) in tagged.items():
+        one, two = sums(text)
+        lines.append(F.struct(F.lit(name).alias("column_name"), F.count(F.lit(1)).alias("rows"), present.alias("present"), one.alias("digest_a"), two.alias("digest_b")))
+    return df.agg(F.array(*lines).alias("lines")).select(F.inline("lines"))
+
+
+def combined(manifest: DataFrame, other: DataFrame, sign: int = 1) -> DataFrame:
+    """The manifest of both frames' rows together, or (``sign`` -1) without the other's rows."""
+    signed = lambda df, k: df.select("column_name", *[(F.col(c) * k).cast("decimal(38,0)").alias(c) for c in ("rows", "present", "digest_a", "digest_b")])
+    prime = F.lit(FINGERPRINT_PRIME).cast("decimal(38,0)")
+    both = signed(manifest, 1).unionByName(signed(other, sign)).groupBy("column_name")
+    return both.agg(
+        *[F.sum(c).cast("bigint").alias(c) for c in ("rows", "present")], *[F.pmod(F.sum(c), prime).cast("bigint").alias(c) for c in ("digest_a", "digest_b")]
+    )
+
+
+def fingerprint_differences(got: DataFrame, expected: DataFrame) -> DataFrame:
+    """``column_name, problem`` of every line that differs: missing, unexpected, rows, present or content."""
+    a, b = got.alias("a"), expected.alias("b")
+    same = lambda c: F.col(f"a.{c}") == F.col(f"b.{c}")
+    problem = (
+        F.when(F.col("a.column_name").isNull(), "missing").when(F.col("b.column_name").isNull(), "unexpected").when(~same("rows"), "rows")
+        .when(~same("present"), "present").when(~(same("digest_a") & same("digest_b")), "content")
+    )
+    lines = a.join(b, F.col("a.column_name") == F.col("b.column_name"), "full_outer")
+    return lines.select(F.coalesce("a.column_name", "b.column_name").alias("column_name"), problem.alias("problem")).where("problem IS NOT NULL")
 
 
-def verify_fingerprint(df: DataFrame, expected) -> None:
-    got = fingerprint(df).first()
-    if (got["rows"], got["digest"]) != (expected["rows"], expected["digest"]):
-        raise ContractError("dataset content differs from its manifest")
+def verify_fingerprint(df: DataFrame, expected: DataFrame, before: DataFrame | None = None) -> None:
+    """Compare with a manifest, or raise. With ``before``, ``df`` holds the appended rows only and the older ones are not read."""
+    got = fingerprint(df) if before is None else combined(before, fingerprint(df))
+    wrong = fingerprint_differences(got, expected).collect()  # at most one line per column
+    if wrong:
+        raise ContractError("content differs from its manifest: " + ", ".join(sorted(f"{r['column_name']} ({r['problem']})" for r in wrong)))
 
 
 def check(df_one_row: DataFrame, name: str, value: Column, expected, op: str = "==") -> DataFrame:

@@ -131,6 +131,30 @@ def test_identities_that_cannot_be_used_are_reported(spark):
     assert pseudonyms.hide(texts, ["id"], "t", pseudonyms.identities(names.limit(0), "k", "n")).first()["hidden"] == "X and fine"
 
 
+def test_fingerprint_is_a_multiset_hash(spark):
+    schema = "id int, name string, x double"
+    rows = [(1, "a", 0.5), (2, None, None), (2, None, None), (3, "", 1.0)]
+    df = spark.createDataFrame(rows, schema)
+    lines = lambda d: {r["column_name"]: tuple(r)[1:] for r in d.collect()}
+    whole = lines(contracts.fingerprint(df))
+    assert lines(contracts.fingerprint(spark.createDataFrame(rows[::-1], schema).repartition(3))) == whole
+    old, new = spark.createDataFrame(rows[:2], schema), spark.createDataFrame(rows[2:], schema)
+    both = contracts.combined(contracts.fingerprint(old), contracts.fingerprint(new))
+    assert lines(both) == whole
+    assert lines(contracts.combined(both, contracts.fingerprint(new), -1)) == lines(contracts.fingerprint(old))
+    contracts.verify_fingerprint(new, contracts.fingerprint(df), before=contracts.fingerprint(old))
+    for changed, wrong in (
+        ([(1, "a", 0.5), (2, None, None), (2, None, None), (3, "b", 1.0)], {"name", "*"}),  # one cell
+        ([(1, None, 0.5), (2, "a", None), (2, None, None), (3, "", 1.0)], {"*"}),  # columns keep their values, rows do not
+        ([(1, "a", 0.5), (2, None, None), (3, "", 1.0)], {"id", "name", "x", "*"}),  # a repeated row less
+    ):
+        got = contracts.fingerprint_differences(contracts.fingerprint(spark.createDataFrame(changed, schema)), contracts.fingerprint(df))
+        assert {r["column_name"] for r in got.collect()} == wrong
+        with pytest.raises(ContractError):
+            contracts.verify_fingerprint(spark.createDataFrame(changed, schema), contracts.fingerprint(df))
+    assert lines(contracts.fingerprint(df.limit(0)))["*"] == (0, 0, 0, 0)
+
+
 def test_triage_conflicts_and_rejections(spark):
     schema = "ncr_id string, description string, family_supplier bigint, category string, severity int, supplier_id bigint, confidence double, reasoning string, shortlist array<bigint>, owner string"
     rows = [
