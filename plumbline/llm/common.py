@@ -10,6 +10,7 @@ from contextlib import contextmanager
 from functools import lru_cache, wraps
 
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ from plumbline.sources import tables
 
 #: A word: a run of anything but the six ASCII space characters.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Words that a worker remembers the hashes of; an odd number that spreads bits.
+WORDS, MIX = 200_000, 0x9E3779B97F4A7C15
 #: One ASCII space character.
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -184,6 +187,42 @@ def word_chunks(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
         start = end
 
 
+def mixed(x):
+    """64-bit numbers (an unsigned numpy array) with their bits mixed."""
+    import numpy as np
+
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(MIX)
+    return x ^ (x >> np.uint64(29))
+
+
+class WordHashes(dict):
+    """64-bit hashes of words, as many as a worker may remember."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= WORDS:
+            self.clear()
+        self[word] = made = xxhash.xxh64_intdigest(word, 11)
+        return made
+
+
+def shingle_set(data: bytes, width: int, memo: WordHashes):
+    """64-bit hashes of the distinct shingles, sorted: one for fewer than ``width`` words, none without words."""
+    import numpy as np
+
+    steps = np.array([pow(0x5851F42D4C957F2D, k + 1, 1 << 64) for k in range(width)], np.uint64)
+    made, tail = [], []
+    for words in word_chunks(data.lower()):
+        words = tail + words
+        n = len(words) - width + 1
+        if n > 0:
+            w = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+            made.append(np.unique(mixed(sum(w[k : k + n] * steps[k] for k in range(width)))))
+        tail = words[-(width - 1):] if width > 1 else []
+    if not made:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(tail), 12)] if tail else [], np.uint64)
+    return np.unique(np.concatenate(made)) if len(made) > 1 else made[0]
+
+
 def mark(text: str | Column) -> Column:
     """A 64-bit hash of the text as it stands; with the id it tells a table's rows apart."""
     col = F.col(f"`{text}`") if isinstance(text, str) else text

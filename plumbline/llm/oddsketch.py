@@ -27,7 +27,6 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,42 +40,6 @@ BANDS, ROWS, BITS = 40, 4, 512
 CROWD, ROUNDS = 32, 2
 #: Rows compared with one copy of a hub.
 SHARE = 4096
-#: Words that a worker remembers the hashes of.
-MEMO = 200_000
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * _MIX
-    return x ^ (x >> np.uint64(29))
-
-
-class _Words(dict):
-    """64-bit hashes of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        self[word] = made = xxhash.xxh64_intdigest(word, 11)
-        return made
-
-
-def shingle_set(data: bytes, width: int, memo: _Words) -> np.ndarray:
-    """64-bit hashes of the distinct shingles, sorted: one for fewer than ``width`` words, none without words."""
-    steps = np.array([pow(0x5851F42D4C957F2D, k + 1, 1 << 64) for k in range(width)], np.uint64)
-    made, tail = [], []
-    for words in common.word_chunks(data.lower()):
-        words = tail + words
-        n = len(words) - width + 1
-        if n > 0:
-            w = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-            made.append(np.unique(_mixed(sum(w[k : k + n] * steps[k] for k in range(width)))))
-        tail = words[-(width - 1):] if width > 1 else []
-    if not made:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(tail), 12)] if tail else [], np.uint64)
-    return np.unique(np.concatenate(made)) if len(made) > 1 else made[0]
-
-
 def coefficients(k: int) -> tuple[np.ndarray, np.ndarray]:
     """Odd factors and summands of ``k`` hash functions; the same in every process."""
     rng = np.random.Generator(np.random.PCG64(20_11))
@@ -95,16 +58,16 @@ def samples(hashes: np.ndarray, factors: np.ndarray, summands: np.ndarray, part:
 def band_keys(drawn: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """One 64-bit key per text and band, of the band's samples and number."""
     parts = drawn.astype(np.uint64).reshape(len(drawn), bands, rows)
-    key = np.zeros(parts.shape[:2], np.uint64) + np.arange(1, bands + 1, dtype=np.uint64) * _MIX
+    key = np.zeros(parts.shape[:2], np.uint64) + np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(common.MIX)
     for r in range(rows):
-        key = _mixed(key + parts[:, :, r])
+        key = common.mixed(key + parts[:, :, r])
     return key.view(np.int64)
 
 
 def odd_sketches(drawn: np.ndarray, bits: int) -> np.ndarray:
     """Parity bitmaps, ``bits / 64`` words of each text: every (place, sample) flips one bit."""
     n, k = drawn.shape
-    at = _mixed(drawn.astype(np.uint64) + (np.arange(1, k + 1, dtype=np.uint64) << np.uint64(32))) % np.uint64(bits)
+    at = common.mixed(drawn.astype(np.uint64) + (np.arange(1, k + 1, dtype=np.uint64) << np.uint64(32))) % np.uint64(bits)
     flips = np.bincount((at.astype(np.int64) + np.arange(n)[:, None] * bits).ravel(), minlength=n * bits) & 1
     return np.packbits(flips.reshape(n, bits).astype(np.uint8), axis=1, bitorder="little").view(np.int64)
 
@@ -128,24 +91,17 @@ def estimated(differing: int, k: int, bits: int) -> float:
     return 1 + bits / (4 * k) * math.log(max(1e-12, 1 - 2 * differing / bits))
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``_id, _mark, _k, _text``; ``_mark`` and ``_k`` together name an (id, text)."""
-    text = F.col(f"`{text_col}`")
-    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), common.mark(text).alias("_mark"), F.coalesce(text.cast("binary"), F.lit(b"")).alias("_text"))
-    return rows.select("_id", "_mark", F.xxhash64(F.lit(1), "_id", F.col("_id").isNull(), "_mark").alias("_k"), "_text")
-
-
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int, rows: int, bits: int) -> DataFrame:
     """``_row, _id, _mark, _k, n, _set, bands, sketch`` of every row: size and digest of its set, band keys, odd sketch."""
     common.small_batches(docs.sparkSession)
-    keyed = _keyed(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("_row"), "_id", "_mark", "_k", "_text")
+    keyed = similar.keyed(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("_row"), "_id", "_mark", "_k", "_text")
     kept = ["_row", "_id", "_mark", "_k"]
     schema = T.StructType([*[keyed.schema[c] for c in kept], *T._parse_datatype_string("n bigint, _set binary, bands array<bigint>, sketch array<bigint>").fields])
 
     def make(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, (factors, summands) = _Words(), coefficients(bands * rows)
+        memo, (factors, summands) = common.WordHashes(), coefficients(bands * rows)
         for batch in it:
-            sets = [shingle_set(t.as_py(), width, memo) for t in batch.column("_text")]
+            sets = [common.shingle_set(t.as_py(), width, memo) for t in batch.column("_text")]
             drawn = np.array([samples(s, factors, summands) for s in sets], np.uint32).reshape(len(sets), len(factors))
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int64())) for x in (band_keys(drawn, bands, rows), odd_sketches(drawn, bits))]
             yield pa.RecordBatch.from_arrays([
@@ -166,25 +122,7 @@ class _Search:
 
     def sets(self, rows: DataFrame) -> DataFrame:
         """``_row, n, hashes`` of ``rows`` (``_row``), made anew from their texts; written."""
-        named = common.written(self.made.select("_row", "_k", "_mark").join(rows.select("_row").distinct(), "_row", "left_semi"), "odd-named")
-        # A filter of fixed size keeps other texts from moving; beyond 2^23 rows it lets more through, and the join decides.
-        cell = F.pmod(F.col("_k"), F.lit(1 << 23))
-        words = named.groupBy(F.shiftright(cell, 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(_k, 8388608L) & 63 as int))")).alias("_bits"))
-        met = _keyed(self.docs, self.id_col, self.text_col).withColumn("_word", F.shiftright(cell, 6)).join(F.broadcast(words), "_word")
-        met = met.where(F.expr("(_bits & shiftleft(1L, cast(pmod(_k, 8388608L) & 63 as int))) <> 0"))
-        once = met.groupBy("_k", "_mark").agg(F.any_value("_text").alias("_text"))
-        width = self.width
-
-        def make(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            memo = _Words()
-            for batch in it:
-                sets = [shingle_set(t.as_py(), width, memo) for t in batch.column("_text")]
-                yield pa.RecordBatch.from_arrays([
-                    batch.column("_row"), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())
-                ], ["_row", "n", "hashes"])
-
-        found = once.join(named, ["_k", "_mark"]).select("_row", "_text")
-        return common.written(found.mapInArrow(make, "_row bigint, n int, hashes binary"), "odd-sets")
+        return similar.sets_of(self.docs, self.made, rows, self.id_col, self.text_col, self.width)
 
     def sketched(self, pairs: DataFrame) -> DataFrame:
         """Of the pairs ``row, hub`` those whose sizes and odd sketches allow the similarity."""
@@ -255,8 +193,8 @@ def band_links(search: _Search, heads: DataFrame) -> DataFrame:
     left = state.groupBy("key").agg(F.min("label").alias("_l"), F.max("label").alias("_h")).where("_l < _h")
     crowded = common.written(state.join(left, "key").select("_row").distinct(), "odd-crowded")
     if crowded.take(1):  # the exact way for what bands alone cannot tell apart
-        sets = search.sets(crowded)
-        links = links.unionByName(similar.similar_links(sets, search.similarity, sets.select("_row").limit(0), labels, rounds=1))
+        entries = similar.with_prefixes(search.sets(crowded), search.similarity)
+        links = links.unionByName(similar.similar_links(entries, search.similarity, search.sets, labels, rounds=1))
     # Rows under their label are stars already; of the links only those between labels are new.
     stars = labels.where("_row <> label").select(F.col("_row").alias("a"), F.col("label").alias("b"))
     named = similar.labelled(links.select(F.col("a").alias("_row"), "b"), labels).select(F.col("b").alias("_row"), F.col("label").alias("a"))

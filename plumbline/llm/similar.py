@@ -6,6 +6,7 @@ texts of similarity ``t`` share one of the first ``n - ceil(t * n) + 1`` shingle
 Rows that meet in such a shingle (a bucket) are candidates, less those whose lengths or
 positions rule ``t`` out; the whole shingle sets of a candidate pair decide. The order
 is by estimated document frequency and steers the work only: any common order is exact.
+Sets are not stored: a row keeps its first shingles, and sets of candidates are made anew.
 
 Only components are wanted, so a pair that is linked already needs no comparison. In
 crowded buckets each row is first compared with one hub, for a few rounds; then every pair
@@ -14,12 +15,12 @@ of a bucket that is still in different components is compared, so no pair is lef
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,20 +38,12 @@ NAMED_BITS = 23
 
 def sketch(text: str, width: int) -> bytes:
     """The 64-bit hashes of all distinct shingles, sorted; a text without words has one, of nothing."""
-    made: list[np.ndarray] = []
-    tail: list[bytes] = []
+    return _set(common.utf8(text), width, common.WordHashes()).tobytes()
 
-    def add(shingles) -> None:
-        made.append(np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles), np.uint64)))
 
-    for words in common.word_chunks(common.utf8(text).lower()):
-        words = tail + words
-        if len(words) >= width:
-            add(map(b" ".join, zip(*[words[i:] for i in range(width)], strict=False)))
-        tail = words[-(width - 1):] if width > 1 else []
-    if not made:
-        add([b" ".join(tail)])
-    return (np.unique(np.concatenate(made)) if len(made) > 1 else made[0]).tobytes()
+def _set(data: bytes, width: int, memo: common.WordHashes) -> np.ndarray:
+    made = common.shingle_set(data, width, memo)
+    return made if len(made) else np.zeros(1, np.uint64)
 
 
 def jaccard(a: bytes, b: bytes) -> float:
@@ -64,70 +57,124 @@ def least_shared(n: int, similarity: float) -> int:
     return max(1, math.ceil(similarity * n - 1e-9))
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """``_id, _mark, n, hashes`` of every row."""
-    common.small_batches(docs.sparkSession)
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``_id, _mark, _k, _text``; ``_mark`` and ``_k`` together name an (id, text)."""
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), common.mark(text).alias("_mark"), F.coalesce(text.cast("binary"), F.lit(b"")).alias("_text"))
+    return rows.select("_id", "_mark", F.xxhash64(F.lit(1), "_id", F.col("_id").isNull(), "_mark").alias("_k"), "_text")
+
+
+def sets_of(docs: DataFrame, made: DataFrame, rows: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """``_row, n, hashes`` of ``rows`` (``_row``), made anew from their texts; written.
 
-    def compute(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ``made`` (``_row, _k, _mark``) says which text a row has. A filter of fixed size keeps other
+    texts from moving; beyond its 2 ** NAMED_BITS cells it lets more through, and the join decides.
+    """
+    named = common.written(made.select("_row", "_k", "_mark").join(rows.select("_row").distinct(), "_row", "left_semi"), "similar-named")
+    cell = F.pmod(F.col("_k"), F.lit(1 << NAMED_BITS))
+    bit = f"shiftleft(1L, cast(pmod(_k, {1 << NAMED_BITS}L) & 63 as int))"
+    words = named.groupBy(F.shiftright(cell, 6).alias("_word")).agg(F.bit_or(F.expr(bit)).alias("_bits"))
+    met = keyed(docs, id_col, text_col).withColumn("_word", F.shiftright(cell, 6)).join(F.broadcast(words), "_word").where(F.expr(f"(_bits & {bit}) <> 0"))
+    once = met.groupBy("_k", "_mark").agg(F.any_value("_text").alias("_text"))
+
+    def make(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = common.WordHashes()
         for batch in it:
-            made = [sketch(t, width) for t in common.texts_of(batch.column("_text"))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), batch.column("_mark"), pa.array([len(m) // 8 for m in made], pa.int32()), pa.array(made, pa.binary())],
-                ["_id", "_mark", "n", "hashes"],
-            )
+            sets = [_set(t.as_py(), width, memo) for t in batch.column("_text")]
+            yield pa.RecordBatch.from_arrays([
+                batch.column("_row"), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())
+            ], ["_row", "n", "hashes"])
 
-    text = F.col(f"`{text_col}`")
-    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), common.mark(text).alias("_mark"), text.alias("_text"))
-    schema = T.StructType([rows.schema["_id"], *T._parse_datatype_string("_mark bigint, n int, hashes binary").fields])
-    return rows.mapInArrow(compute, schema)
+    found = once.join(named, ["_k", "_mark"]).select("_row", "_text")
+    return common.written(found.mapInArrow(make, "_row bigint, n int, hashes binary"), "similar-sets")
 
 
 def _cells(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
-def common_cells(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The fullest cells, sorted, and the shingles counted in them; of bounded size."""
+def common_cells(rows: DataFrame, hashes_of) -> tuple[np.ndarray, np.ndarray]:
+    """The fullest cells, sorted, and the shingles counted in them; of bounded size. ``hashes_of(batch)`` gives the sets."""
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << CELL_BITS, np.int64)
         for batch in it:
-            for h in batch.column("hashes"):
-                np.add.at(counts, _cells(np.frombuffer(h.as_py(), np.uint64)), 1)
+            sets = hashes_of(batch)
+            counts += np.bincount(_cells(np.concatenate(sets)), minlength=1 << CELL_BITS) if sets else 0
         top = np.argpartition(counts, -MOST)[-MOST:]
         top = top[counts[top] > 1]
         yield pa.RecordBatch.from_arrays([pa.array(top, pa.int64()), pa.array(counts[top], pa.int64())], ["cell", "n"])
 
-    per_task = sets.select("hashes").mapInArrow(count, "cell bigint, n bigint")
+    per_task = rows.mapInArrow(count, "cell bigint, n bigint")
     found = per_task.groupBy("cell").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "cell").limit(KEPT).collect()
     found.sort()
     return np.array([r.cell for r in found], np.int64), np.array([r.n for r in found], np.int64)
 
 
-def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
-    """``key, _row, n, pos``: the first shingles of every row in the common order, with their places."""
-    table = sets.sparkSession.sparkContext.broadcast(common_cells(sets))
+def prefix(hashes: np.ndarray, cells: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles in the common order, as many as ``similarity`` asks for."""
+    n, rank = len(hashes), np.zeros(len(hashes), np.int64)
+    if len(cells):
+        own = _cells(hashes)
+        at = np.minimum(np.searchsorted(cells, own), len(cells) - 1)
+        rank = np.where(cells[at] == own, counts[at], 0)
+    return hashes[np.lexsort((hashes, rank))[: n - least_shared(n, similarity) + 1]]
 
-    def first(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def signed_rows(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
+    """``_row, _id, _mark, _k, n, _set, prefix`` of every row: size and digest of its set, its first shingles."""
+    common.small_batches(docs.sparkSession)
+    rows = keyed(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("_row"), "_id", "_mark", "_k", "_text")
+    memo = common.WordHashes  # a fresh one in every task
+
+    def hashes_of(batch: pa.RecordBatch) -> list[np.ndarray]:
+        known = memo()
+        return [_set(t.as_py(), width, known) for t in batch.column("_text")]
+
+    table = docs.sparkSession.sparkContext.broadcast(common_cells(rows.select("_text"), hashes_of))
+    kept = ["_row", "_id", "_mark", "_k"]
+    schema = T.StructType([*[rows.schema[c] for c in kept], *T._parse_datatype_string("n int, _set binary, prefix binary").fields])
+
+    def make(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, counts = table.value
         for batch in it:
-            keys, rows, sizes, places = [], [], [], []
-            for row, h in zip(batch.column("_row").to_pylist(), batch.column("hashes"), strict=True):
-                hashes = np.frombuffer(h.as_py(), np.uint64)
-                n, rank = len(hashes), np.zeros(len(hashes), np.int64)
-                if len(cells):
-                    own = _cells(hashes)
-                    at = np.minimum(np.searchsorted(cells, own), len(cells) - 1)
-                    rank = np.where(cells[at] == own, counts[at], 0)
-                k = n - least_shared(n, similarity) + 1
-                keys.append(hashes[np.lexsort((hashes, rank))[:k]].view(np.int64))
-                rows.append(np.full(k, row, np.int64))
-                sizes.append(np.full(k, n, np.int32))
-                places.append(np.arange(k, dtype=np.int32))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, rows, sizes, places)], ["key", "_row", "n", "pos"])
-
-    return sets.select("_row", "hashes").mapInArrow(first, "key bigint, _row bigint, n int, pos int")
+            sets = hashes_of(batch)
+            yield pa.RecordBatch.from_arrays([
+                *[batch.column(c) for c in kept], pa.array([len(s) for s in sets], pa.int32()), pa.array([hashlib.md5(s.tobytes()).digest() for s in sets], pa.binary()),
+                pa.array([prefix(s, cells, counts, similarity).tobytes() for s in sets], pa.binary()),
+            ], schema.names)
+
+    return rows.mapInArrow(make, schema)
+
+
+def with_prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """``_row, n, prefix`` of ``sets`` (``_row, n, hashes``), in the order of their own shingle counts."""
+    stored = lambda batch: [np.frombuffer(h.as_py(), np.uint64) for h in batch.column("hashes")]
+    table = sets.sparkSession.sparkContext.broadcast(common_cells(sets.select("hashes"), stored))
+
+    def make(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, counts = table.value
+        for batch in it:
+            made = [prefix(s, cells, counts, similarity).tobytes() for s in stored(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("n"), pa.array(made, pa.binary())], ["_row", "n", "prefix"])
+
+    return common.written(sets.mapInArrow(make, "_row bigint, n int, prefix binary"), "similar-entries")
+
+
+def postings_of(entries: DataFrame) -> DataFrame:
+    """``key, _row, n, pos``: the first shingles of every row with their places."""
+
+    def first(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            parts = [np.frombuffer(p.as_py(), np.int64) for p in batch.column("prefix")]
+            sizes = [len(p) for p in parts]
+            if parts:
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.concatenate(parts)), pa.array(np.repeat(batch.column("_row").to_numpy(zero_copy_only=False), sizes)),
+                    pa.array(np.repeat(batch.column("n").to_numpy(zero_copy_only=False), sizes)), pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in sizes])),
+                ], ["key", "_row", "n", "pos"])
+
+    return entries.select("_row", "n", "prefix").mapInArrow(first, "key bigint, _row bigint, n int, pos int")
 
 
 def possible(similarity: float, na: Column, nb: Column, pa_: Column, pb: Column) -> Column:
@@ -162,23 +209,14 @@ def relabelled(labels: DataFrame | None, linked: DataFrame) -> DataFrame:
     return common.written(known.join(to, "label", "left").select("_row", F.coalesce("_to", "label").alias("label")), "similar-labels")
 
 
-def named_by(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The rows of ``sets`` that ``pairs`` name and few others: a filter of at most 2 ** NAMED_BITS bits keeps the rest from moving."""
-    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << NAMED_BITS))
-    at = pairs.select(F.explode(F.array("a", "b")).alias("_r")).select(cell("_r").alias("_c"))
-    bits = at.groupBy(F.shiftright("_c", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_c & 63 as int))")).alias("_bits"))
-    own = sets.select("_row", "hashes", cell("_row").alias("_c")).withColumn("_word", F.shiftright("_c", 6))
-    return own.join(F.broadcast(bits), "_word").where(F.expr("(_bits & shiftleft(1L, cast(_c & 63 as int))) <> 0")).select("_row", "hashes")
-
-
-def similar_links(sets: DataFrame, similarity: float, repeated: DataFrame, labels: DataFrame | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """Edges ``a, b`` between rows of ``sets`` (``_row, n, hashes``) whose components are those of all pairs at ``similarity``.
+def similar_links(entries: DataFrame, similarity: float, sets_for, labels: DataFrame | None = None, rounds: int = ROUNDS) -> DataFrame:
+    """Edges ``a, b`` between rows of ``entries`` (``_row, n, prefix``) whose components are those of all pairs at ``similarity``.
 
-    Rows of ``repeated`` are left out: an equal one stands for them. ``labels`` (``_row,
-    label``) says what is linked already; those links are not returned again.
+    ``sets_for(rows)`` gives ``_row, hashes`` of ``rows`` (``_row``). ``labels`` (``_row, label``)
+    says what is linked already; those links are not returned again.
     """
-    common.small_batches(sets.sparkSession)
-    postings = common.written(prefixes(sets, similarity).join(repeated.select("_row"), "_row", "left_anti"), "similar-prefixes")
+    common.small_batches(entries.sparkSession)
+    postings = postings_of(entries)
     met = postings.groupBy("key").agg(F.count("*").alias("_m")).where("_m > 1").select("key")
     shared = common.written(postings.join(met, "key"), "similar-shared")
 
@@ -189,7 +227,7 @@ def similar_links(sets: DataFrame, similarity: float, repeated: DataFrame, label
         return pd.Series([jaccard(i, j) for i, j in zip(x, y, strict=True)], dtype="float64")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        live = common.written(named_by(sets, pairs), "similar-named")
+        live = sets_for(pairs.select(F.explode(F.array("a", "b")).alias("_row")))
         one = pairs.join(live.select(F.col("_row").alias("a"), F.col("hashes").alias("_x")), "a")
         two = one.join(live.select(F.col("_row").alias("b"), F.col("hashes").alias("_y")), "b")
         return two.where(exact("_x", "_y") >= similarity - 1e-9).select("a", "b")
@@ -233,12 +271,12 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_
     than ``width`` words is a single shingle; null, empty and blank texts are alike. Equal
     rows are linked. An empty table gives no rows. Other columns are not read.
     """
-    made = shingle_sets(docs, id_col, text_col, width).withColumn("_set", F.unhex(F.md5("hashes"))).withColumn("_row", F.monotonically_increasing_id())
-    made = common.written(made, "similar-sets")
-    firsts = common.written(made.groupBy("_set").agg(F.min("_row").alias("_first"), F.count("*").alias("_m")), "similar-firsts")
-    repeated = made.select("_row", "_set").join(firsts.where("_m > 1"), "_set").where("_row <> _first").select("_row", "_first")
+    made = common.written(signed_rows(docs, id_col, text_col, width, similarity), "similar-rows")
+    firsts = common.written(made.groupBy("_set").agg(F.min("_row").alias("_first"), F.count("*").alias("_m")).where("_m > 1"), "similar-firsts")
+    repeated = made.select("_row", "_set").join(firsts, "_set").where("_row <> _first").select("_row", "_first")
     repeated = common.written(repeated, "similar-repeated")
-    links = similar_links(made.select("_row", "n", "hashes"), similarity, repeated)
+    entries = made.select("_row", "n", "prefix").join(repeated.select("_row"), "_row", "left_anti")
+    links = similar_links(entries, similarity, lambda rows: sets_of(docs, made, rows, id_col, text_col, width))
     found = components(links.unionByName(repeated.select(F.col("_first").alias("a"), F.col("_row").alias("b"))), "a", "b")
     rows = made.select("_id", "_mark", "_row")
     return rows.join(found, rows["_row"] == found["node"], "left").select("_id", "_mark", F.coalesce("component", "_row").alias("component"))

@@ -118,13 +118,13 @@ def test_sketches_estimate_high_similarities():
 
 def test_long_texts_go_through_in_chunks(monkeypatch):
     data = " ".join(str(i % 977) for i in range(3000)).encode()
-    whole = oddsketch.shingle_set(data, 4, oddsketch._Words())
+    whole = common.shingle_set(data, 4, common.WordHashes())
     counted = resample.features(data, 2, resample._Buckets(997))
     chunks = common.word_chunks
     monkeypatch.setattr(common, "word_chunks", lambda d: chunks(d, 100))
     stretches = resample.stretches
     monkeypatch.setattr(resample, "stretches", lambda d: stretches(d, 100))
-    assert (oddsketch.shingle_set(data, 4, oddsketch._Words()) == whole).all()
+    assert (common.shingle_set(data, 4, common.WordHashes()) == whole).all()
     n, buckets = resample.features(data, 2, resample._Buckets(997))
     assert n == counted[0] == 3000 and Counter(buckets.tolist()) == Counter(counted[1].tolist())
 
