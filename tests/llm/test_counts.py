@@ -33,11 +33,11 @@ def test_token_counts_and_the_cache(spark, frame, odd_rows, tmp_path):
     want = [(i, len((t or "").encode()), len(tokenizer.encode(t or "", add_special_tokens=False))) for i, t, *_ in odd_rows]
     assert sorted(((r.doc_id, r.n_bytes, r.n_tokens) for r in got), key=key) == sorted(want, key=key)
     assert all(r.over_limit == (r.n_tokens > 100) for r in got)
-    stored = spark.read.parquet(cache)
+    stored = spark.read.parquet(cache + "/*")
     assert stored.count() == stored.select("_digest").distinct().count()
     before = stored.count()
     tokens.count_tokens(docs.unionByName(frame([(99, "new words here", "en", "a")])), WORD_BPE, cache=cache).collect()
-    assert spark.read.parquet(cache).count() == before + 1
+    assert spark.read.parquet(cache + "/*").count() == before + 1
     assert tokens.count_tokens(docs.limit(0), WORD_BPE).count() == 0
 
 
@@ -133,7 +133,7 @@ def test_mix_meets_its_targets(frame, odd_rows):
     for (t, _), n in by_target.items():
         assert n <= 2 * t + 1e-6
     assert sum(by_target.values()) >= sum(int(t) for t in target.values()) - 1
-    assert sorted(map(str, mixing.mix(frame(rows), block=64).drop("_row").collect())) == sorted(map(str, plan.drop("_row").collect()))
+    assert sorted(map(str, mixing.mix(frame(rows), block=64).select("doc_id", "taken").collect())) == sorted(map(str, plan.select("doc_id", "taken").collect()))
     assert mixing.mix(frame(rows).limit(0)).count() == 0
 
 
@@ -149,8 +149,47 @@ def test_schedule_gives_every_block_one_slot_and_spreads_sources(spark):
 
 def test_repeated_rows_follow_the_plan(frame, odd_rows):
     docs = frame(odd_rows)
-    plan = common.written(mixing.mix(docs).drop("_row"), "plan")
+    plan = common.written(mixing.mix(docs), "plan")
     out = mixing.repeated(docs, plan)
     assert out.columns == docs.columns
     reads = sum(-(-r.taken // r.size) for r in plan.collect() if r.taken)
     assert out.count() == reads
+
+
+def test_rows_of_one_id_and_size_keep_their_texts(frame):
+    docs = frame([(1, "a b c", "en", "a"), (1, "d e f", "en", "a"), (2, "g", "en", "a")])
+    plan = common.written(mixing.mix(docs, share=1.0), "plan")
+    out = [r.text for r in mixing.repeated(docs, plan).collect()]
+    assert sorted(out) == ["a b c", "d e f", "g"]
+
+
+def test_repeated_rows_come_in_the_order_of_their_slots(frame):
+    rng = random.Random(9)
+    rows = [(i, "w " * rng.randint(20, 60), "en", rng.choice(["a", "a", "a", "b", "c"])) for i in range(600)]
+    docs = frame(rows)
+    plan = common.written(mixing.mix(docs, block=16), "plan")
+    slots = {r.doc_id: r._slots for r in plan.collect()}
+    out = [r.doc_id for r in mixing.repeated(docs, plan).collect()]
+    left = {i: list(s or []) for i, s in slots.items()}
+    seen = [left[i].pop(0) for i in out]
+    assert seen == sorted(seen) and not any(left.values())
+    # Any stretch of slots has the sources in about their targets' proportions.
+    source, target = {i: s for i, _, _, s in rows}, brute_targets({s: sum(len(t.split()) for _, t, _, x in rows if x == s) for s in "abc"})
+    firsts = sorted((r.first_slot, source[r.doc_id]) for r in plan.collect() if r.first_slot is not None)
+    assert all(r.first_slot == (r._slots[0] if r._slots else None) for r in plan.collect())
+    total = sum(target.values())
+    whole = max(t for t, _ in firsts) + 1
+    words = {i: len(t.split()) for i, t, *_ in rows}
+    for part in (0.25, 0.5):
+        taken = {s: sum(words[i] * sum(t < whole * part for t in ts or []) for i, ts in slots.items() if source[i] == s) for s in "abc"}
+        share = sum(taken.values())
+        assert all(abs(taken[s] / share - target[s] / total) < 0.08 for s in "abc")
+
+
+def test_a_digest_stored_twice_is_one_count(spark, frame, odd_rows, tmp_path):
+    cache = str(tmp_path / "cache")
+    docs = frame(odd_rows)
+    first = sorted(map(str, tokens.count_tokens(docs, WORD_BPE, cache=cache).collect()))
+    spark.read.parquet(cache + "/*").write.parquet(cache + "/again")  # as a retried or a second call would
+    assert sorted(map(str, tokens.count_tokens(docs, WORD_BPE, cache=cache).collect())) == first
+    assert len(first) == len(odd_rows)

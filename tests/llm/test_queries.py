@@ -21,7 +21,10 @@ CONTRACT = {
     "op7_token_counts": "doc_id:bigint n_bytes:bigint n_tokens:bigint over_limit:boolean",
     "op8_stock_packing": "doc_id:bigint start:bigint length:bigint ids_crc32:bigint doc_tokens:bigint sequence_id:bigint offset:bigint",
     "op9_secret_links": "doc_id:bigint n_assign:bigint n_access:bigint n_hex:bigint base_sha256:string spans:string",
-    "op10_source_mix": "doc_id:bigint size:bigint source_size:bigint target:double taken:bigint",
+    "op10_source_mix": "doc_id:bigint size:bigint source_size:bigint target:double taken:bigint first_slot:bigint",
+    "op11_odd_sketch_dedup": "doc_id:bigint n_shingles:bigint component_id:bigint kept:boolean",
+    "op12_target_resampling": "doc_id:bigint n_features:bigint weight:bigint score:bigint rank:bigint",
+    "op13_fill_in_middle": "doc_id:bigint n:bigint form:string prefix_chars:bigint middle_chars:bigint output_sha256:string restored_sha256:string",
 }
 
 
@@ -34,7 +37,9 @@ def test_all_are_registered():
 
 @pytest.mark.parametrize("name", CONTRACT)
 def test_contract_and_sql(spark, sf, name):
+    before = {k: spark.conf.get(k) for k in common._BATCH}
     got = queries.QUERIES[name](spark, sf)
+    assert {k: spark.conf.get(k) for k in common._BATCH} == before  # the session is left as it was
     wanted = [tuple(c.split(":")) for c in CONTRACT[name].split()]
     assert got.dtypes[: len(wanted)] == wanted
     rows = got.collect()
@@ -42,7 +47,7 @@ def test_contract_and_sql(spark, sf, name):
     assert len(rows) >= spark.read.parquet(f"{sf}/{table}.parquet").count()
     if name in queries.ORACLE_SQL:
         con = duckdb.connect()
-        for t in ("documents", "pages"):
+        for t in ("documents", "pages", "benchmark"):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
         cur = con.execute(queries.ORACLE_SQL[name])
         at = [[d[0] for d in cur.description].index(c) for c in got.columns]
@@ -81,9 +86,9 @@ def test_pipeline_stage_by_stage(spark, sf):
     kept = {r.doc_id for r in single}
     assert kept <= set(sets)
     for i in set(sets) - kept:  # whatever went is near something that was there
-        assert max(len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for j in sets if j != i) > 0.7
-    for i in kept:  # what stayed is not clearly a copy of another that stayed
-        assert all(i == j or len(sets[i] & sets[j]) / len(sets[i] | sets[j]) < 0.95 for j in kept)
+        assert max(len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for j in sets if j != i) >= 0.8
+    for i in kept:  # what stayed is near no other that stayed
+        assert all(i == j or len(sets[i] & sets[j]) / len(sets[i] | sets[j]) < 0.8 for j in kept)
 
     words, by_source, reads = {}, defaultdict(int), defaultdict(int)
     for r in single:
