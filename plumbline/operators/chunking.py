@@ -1,13 +1,16 @@
-"""Documents to chunks, as Arrow-batched table functions (a row in, its chunks out)."""
+"""Documents to chunks: one table function for any chunker, joined laterally (a row in, its chunks out)."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
+from pyspark.sql.types import IntegerType, StringType, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from plumbline.functions import text
 from plumbline.operators.retrieval import SPACE, embedding_udf, hash_embed
@@ -38,25 +41,45 @@ def pieces(value: str, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
     return [value[a:b] for a, b in spans(value, size, overlap) if value[a:b].strip()]
 
 
-def _explode_rows(docs: DataFrame, key: str, content: str, cutter: Callable[[pd.DataFrame], Iterator[tuple]]) -> DataFrame:
-    kind = docs.schema[key].dataType.simpleString()
+Chunker = Callable[[str], Iterable[tuple[int, str]]]
 
-    def run(batches):
-        for batch in batches:
-            rows = list(cutter(batch))
-            yield pd.DataFrame(rows, columns=[key, "chunk_index", "clause", "heading", "content"])
 
-    schema = f"{key} {kind}, chunk_index int, clause string, heading string, content string"
-    return docs.select(key, content).mapInPandas(run, schema)
+def chunk_table(chunker: Chunker):
+    """A table function ``(text, detail)`` over any chunker, for LATERAL joins in SQL or the DataFrame API.
 
+    ``chunker`` turns a text into (begin, piece) pairs. The function is polymorphic: with
+    the constant ``detail`` 'text' it returns ``chunk_index, content``, with 'spans' also
+    ``begin_at``. A null text has no chunks.
+    """
+
+    class Chunks:
+        @staticmethod
+        def analyze(value: AnalyzeArgument, detail: AnalyzeArgument) -> AnalyzeResult:
+            if detail.value not in ("text", "spans"):
+                raise ValueError("detail must be the constant 'text' or 'spans'")
+            schema = StructType().add("chunk_index", IntegerType()).add("content", StringType())
+            return AnalyzeResult(schema=schema.add("begin_at", IntegerType()) if detail.value == "spans" else schema)
+
+        def eval(self, value: str, detail: str):
+            for i, (begin, piece) in enumerate(chunker(value) if value is not None else ()):
+                yield (i, piece, begin) if detail == "spans" else (i, piece)
+
+    return udtf(Chunks)
+
+
+def chunks(docs: DataFrame, content: str, chunker: Chunker, detail: str = "text") -> DataFrame:
+    """The rows of ``docs`` with their chunks beside them; ``content`` becomes the chunk's text."""
+    whole = docs.withColumnRenamed(content, "__text")
+    return whole.lateralJoin(chunk_table(chunker)(F.col("__text").outer(), F.lit(detail))).drop("__text")
 
-def recursive_chunks(docs: DataFrame, key: str, content: str, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    def cut(batch):
-        for doc, value in zip(batch[key], batch[content], strict=True):
-            for i, piece in enumerate(pieces(value, size, overlap)):
-                yield doc, i, None, "", piece
 
-    return _explode_rows(docs, key, content, cut)
+def recursive(size: int = SIZE, overlap: int = OVERLAP) -> Chunker:
+    return lambda value: [(a, value[a:b]) for a, b in spans(value, size, overlap) if value[a:b].strip()]
+
+
+def recursive_chunks(docs: DataFrame, key: str, content: str, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+    made = chunks(docs.select(key, content), content, recursive(size, overlap))
+    return made.select(key, "chunk_index", F.lit(None).cast("string").alias("clause"), F.lit("").alias("heading"), "content")
 
 
 def sections(docs: DataFrame, key: str, content: str) -> DataFrame:
@@ -86,23 +109,35 @@ def clause_chunks(docs: DataFrame, key: str, content: str, size: int = SIZE) ->
     """Section-wise chunks; a split section repeats its heading line on every piece."""
     parts = sections(docs, key, content)
     head = F.concat("clause", F.lit(" "), "heading", F.lit("\n"))
-    parts = parts.select(key, "section", "clause", "heading", head.alias("prefix"), F.concat(F.coalesce(head, F.lit("")), "body").alias("content"))
+    parts = parts.select(key, "section", "clause", "heading", F.coalesce(head, F.lit("")).alias("prefix"), F.concat(F.coalesce(head, F.lit("")), "body").alias("content"))
+
+    cut = chunks(parts, "content", recursive(size)).withColumnRenamed("chunk_index", "piece")
+    titled = F.length("prefix") > 0
+    body = F.when(~titled | F.startswith("content", "prefix"), F.col("content")).otherwise(F.concat("prefix", "content"))
+    return cut.select(
+        key, F.col("section").cast("int").alias("section"), "piece", F.when(titled, F.col("clause")).alias("clause"),
+        F.when(titled, F.col("heading")).otherwise("").alias("heading"), body.alias("content"),
+    )
 
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for r in batch.itertuples(index=False):
-                prefix = r.prefix if isinstance(r.prefix, str) else ""
-                for i, piece in enumerate(pieces(r.content, size)):
-                    body = piece if piece.startswith(prefix) else prefix + piece
-                    rows.append((getattr(r, key), r.section, i, r.clause if prefix else None, r.heading if prefix else "", body))
-            yield pd.DataFrame(rows, columns=[key, "section", "piece", "clause", "heading", "content"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return parts.mapInPandas(run, f"{key} {kind}, section int, piece int, clause string, heading string, content string")
+_SENTENCE = re.compile(text.SENTENCE_END)
 
 
-_SENTENCE = re.compile(text.SENTENCE_END)
+def semantic(threshold: float = 0.5, size: int = SIZE, embed=hash_embed) -> Chunker:
+    def cut(value: str) -> list[tuple[int, str]]:
+        found = [s for s in _SENTENCE.split(value) if s.strip()]
+        if not found:
+            return []
+        vecs = embed(pd.Series(found))
+        groups = [[found[0]]]
+        for left, right, sentence in zip(vecs[:-1], vecs[1:], found[1:], strict=True):
+            if float(left @ right) < threshold:
+                groups.append([])
+            groups[-1].append(sentence)
+        # Sentences are put together anew, so a piece has no one place in the text.
+        return [(-1, p) for g in groups for p in pieces(" ".join(g), size)]
+
+    return cut
 
 
 def semantic_chunks(docs: DataFrame, key: str, content: str, threshold: float = 0.5, size: int = SIZE, embed=hash_embed) -> DataFrame:
@@ -110,22 +145,8 @@ def semantic_chunks(docs: DataFrame, key: str, content: str, threshold: float =
     if not -1 <= threshold <= 1:
         raise ValueError("cosine threshold outside [-1,1]")
 
-    def cut(batch):
-        for doc, value in zip(batch[key], batch[content], strict=True):
-            found = [s for s in _SENTENCE.split(value) if s.strip()]
-            if not found:
-                continue
-            vecs = embed(pd.Series(found))
-            groups = [[found[0]]]
-            for left, right, sentence in zip(vecs[:-1], vecs[1:], found[1:], strict=True):
-                if float(left @ right) < threshold:
-                    groups.append([])
-                groups[-1].append(sentence)
-            flat = [p for g in groups for p in pieces(" ".join(g), size)]
-            for i, piece in enumerate(flat):
-                yield doc, i, None, "", piece
-
-    return _explode_rows(docs, key, content, cut)
+    made = chunks(docs.select(key, content), content, semantic(threshold, size, embed))
+    return made.select(key, "chunk_index", F.lit(None).cast("string").alias("clause"), F.lit("").alias("heading"), "content")
 
 
 def build_index(docs: DataFrame, key: str, content: str, structured: str, size: int = SIZE, embed=hash_embed) -> DataFrame:

@@ -6,6 +6,7 @@ job. Frames that several fits share are checkpointed once.
 
 from __future__ import annotations
 
+import datetime as dt
 import math
 from collections.abc import Callable, Mapping, Sequence
 
@@ -206,8 +207,15 @@ def stage1_report(features: DataFrame, label: str, row_id: str, rate: float = 0.
     )
 
 
-def score_suppliers(snapshot: DataFrame, harm_model, classifier, isotonic, threshold: float) -> DataFrame:
-    """Score the prepared latest snapshot: clipped burden, midrank score, probability, and who to escalate."""
+def score_suppliers(snapshot: DataFrame, harm_model, classifier, isotonic, threshold: float, trained_through: dt.date | None = None) -> DataFrame:
+    """Score the prepared latest snapshot: clipped burden, midrank score, probability, and who to escalate.
+
+    The snapshot needs no labels. ``trained_through`` is the day on which the models' last
+    label became known; models that know more than the scoring date did are refused.
+    """
+    cutoff = snapshot.agg(F.min("snapshot_cutoff")).first()[0]
+    if trained_through is not None and cutoff is not None and trained_through > cutoff:
+        raise ContractError(f"the models were trained on outcomes through {trained_through}, after the scoring date {cutoff}")
     harm = harm_model.transform(snapshot).withColumnRenamed("prediction", "raw_predicted_harm_90d")
     scored = calibrated(classifier, isotonic, harm).withColumn("predicted_harm_90d", F.greatest(F.lit(0.0), F.col("raw_predicted_harm_90d")))
     ranked = evaluation.midrank_percentile(settle(scored), "predicted_harm_90d", "risk_score")

@@ -226,11 +226,28 @@ def threshold_sweep(v):
 
 @query("score_suppliers", "supplier_id:i snapshot_cutoff:d forecast_end:d predicted_harm_90d:f harm_was_clipped:b risk_score:f p_sev3_90d:f limited_history:b insufficient_recent_activity:b escalate:b")
 def score_suppliers(v):
-    rows, _ = fitted(v)
+    asof = "2001-10-01"
+    rows = scoring_rows(v, asof)
+    known = rows.where("part <> 'score'")
     model, iso = learning.fit_classifier(rows.where("part = 'fit'"), rows.where("part = 'calibrate'"))
-    harm = learning.fit_regressor(rows.where("part <> 'test'"))
-    latest = prep.snapshot(rows.where("part = 'test'"), "2001-05-20")
-    return learning.score_suppliers(learning.settle(latest), harm, model, iso, 0.3)
+    harm = learning.fit_regressor(known)
+    latest = prep.snapshot(rows.where("part = 'score'"), asof)
+    trained_through = known.agg(F.max("label_end")).first()[0]
+    return learning.score_suppliers(learning.settle(latest), harm, model, iso, 0.3, trained_through)
+
+
+def scoring_rows(v, asof: str):
+    """Prepared rows as known at ``asof``: fit and calibrate rows have mature labels, the latest month (score) has none yet."""
+    at = F.lit(asof).cast("date")
+    rows = scope.derived(v).join(labelled(v), ["supplier_id", "month"], "left")
+    part = (
+        F.when(F.col("month_end") == at, "score")
+        .when((F.col("label_end") <= at) & (F.col("month") >= F.add_months(at, -12)), "calibrate")
+        .when(F.col("label_end") <= F.add_months(at, -11), "fit")
+    )
+    raw = {f"raw_{c}": F.col(c) for c in ("ncr_count_90d", "units_received_90d")}
+    ready, _ = learning.prepared(rows.withColumns({"part": part, **raw}).where("part IS NOT NULL"), F.col("part") == "fit")
+    return learning.settle(ready)
 
 
 @query("prediction_frame", "supplier_id:i month:d predicted_harm_90d:f recent_harm_90d:f sev3_next_90d:i harm_next_90d:i", "SELECT * FROM predictions")

@@ -81,21 +81,8 @@ WITH RECURSIVE c AS (
   UNION ALL SELECT doc_id, text, nb, CAST({_cut('nb')} AS BIGINT) FROM (SELECT doc_id, text, greatest(b + 1, e - 100) AS nb, e FROM c WHERE e < length(text)))
 SELECT doc_id, b AS begin_at, substr(text, b + 1, e - b) AS content FROM c WHERE regexp_matches(substr(text, b + 1, e - b), '\\S')""")
 def chunk_recursive(v):
-    docs = v.raw("documents")
-
-    def run(batches):
-        import pandas as pd
-
-        for batch in batches:
-            rows = [
-                (doc, a, value[a:b])
-                for doc, value in zip(batch["doc_id"], batch["text"], strict=True)
-                for a, b in chunking.spans(value)
-                if value[a:b].strip()
-            ]
-            yield pd.DataFrame(rows, columns=["doc_id", "begin_at", "content"])
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, begin_at int, content string")
+    docs = v.raw("documents").select("doc_id", "text")
+    return chunking.chunks(docs, "text", chunking.recursive(), "spans").select("doc_id", "begin_at", "content")
 
 
 def clause_docs(v):

@@ -120,6 +120,17 @@ def test_permutation_importance_equals_plain_numpy(spark):
         assert np.allclose(got[name], (np.mean(values), np.std(values)), atol=1e-9)
 
 
+def test_models_newer_than_the_scoring_date_are_refused(spark):
+    import pytest
+
+    from plumbline.operators import learning
+    from plumbline.operators.joins import ContractError
+
+    snapshot = spark.createDataFrame([(1, dt.date(2026, 3, 1))], "supplier_id long, snapshot_cutoff date")
+    with pytest.raises(ContractError):
+        learning.score_suppliers(snapshot, None, None, None, 0.3, dt.date(2026, 3, 2))
+
+
 def test_range_sums_and_numbers_equal_plain_windows(spark):
     from pyspark.sql import Window
     from pyspark.sql import functions as F

@@ -37,6 +37,17 @@ def test_semantic_chunks_split_on_change(spark):
     assert got == ["Red apple pie. Red apple tart.", "Steel bolt torque. Steel bolt thread."]
 
 
+def test_a_caller_injects_its_chunker(spark):
+    df = spark.createDataFrame([(1, "a,b"), (2, None), (3, "")], "id int, t string")
+    by_comma = lambda value: [(i, p) for i, p in enumerate(value.split(",")) if p]
+    got = chunking.chunks(df, "t", by_comma, "spans").collect()
+    assert [tuple(r) for r in got] == [(1, 0, "a", 0), (1, 1, "b", 1)]
+    spark.udtf.register("by_comma", chunking.chunk_table(by_comma))
+    df.createOrReplaceTempView("texts")
+    rows = spark.sql("SELECT id, c.content FROM texts, LATERAL by_comma(t, 'text') c ORDER BY id, c.chunk_index").collect()
+    assert [tuple(r) for r in rows] == [(1, "a"), (1, "b")]
+
+
 def test_rank_fusion(spark):
     def fuse(*lists):
         rows = [("q", str(i), x, r) for i, one in enumerate(lists) for r, x in enumerate(one, 1)]
