@@ -282,3 +282,36 @@ def citation_check(v):
         F.array("turn", F.col("conv_id") % 5, F.col("conv_id") * F.col("turn") % 4).alias("citations"),
     )
     return checks.structural_problems(claims, n_sources=3).withColumnRenamed("answer_id", "conv_id")
+
+
+@query("answer_checks", "conv_id:i shape:s coverage_broken:b unsupported:s cited:s", r"""
+WITH claims AS (SELECT conv_id, turn, text || CASE WHEN turn % 4 = 1 THEN ' [2][1][2]' ELSE '' END AS said FROM conversations WHERE role = 'assistant' AND conv_id % 5 <> 0),
+verdicts AS (
+  SELECT conv_id, turn, CAST((turn + conv_id) % 4 <> 0 AS INT) AS supported FROM claims WHERE turn <> 7
+  UNION ALL SELECT conv_id, turn, 1 FROM claims WHERE conv_id % 11 = 0 AND turn = 1),
+v AS (SELECT conv_id, turn, count(*) AS n, min(supported) AS supported FROM verdicts GROUP BY ALL),
+k AS (
+  SELECT conv_id, bool_or(v.n IS NULL OR v.n > 1) AS broken, coalesce(string_agg(turn, ',' ORDER BY turn) FILTER (WHERE v.supported = 0), '') AS unsupported,
+    sum(len(list_filter(regexp_split_to_array(said, '\s+'), lambda w: w <> ''))) AS words
+  FROM claims LEFT JOIN v USING (conv_id, turn) GROUP BY conv_id),
+a AS (SELECT DISTINCT conv_id, conv_id % 7 = 0 AS refused FROM conversations)
+SELECT conv_id, concat_ws('; ', CASE WHEN refused = (k.conv_id IS NOT NULL) THEN 'refusal has no claims; an answer must have claims' END,
+    CASE WHEN words > 250 THEN 'answer exceeds 250 words' END) AS shape,
+  coalesce(broken, false) AS coverage_broken, coalesce(unsupported, '') AS unsupported,
+  coalesce((SELECT array_to_string(list_sort(list_distinct(flatten(list(list_transform(regexp_extract_all(said, '\[(\d+)\]', 1), lambda x: CAST(x AS INT)))))), ',') FROM claims c WHERE c.conv_id = a.conv_id), '') AS cited
+FROM a LEFT JOIN k USING (conv_id)""")
+def answer_checks(v):
+    turns = v.raw("conversations")
+    said = F.when(F.col("turn") % 4 == 1, F.concat("text", F.lit(" [2][1][2]"))).otherwise(F.col("text"))
+    claims = turns.where("role = 'assistant' AND conv_id % 5 <> 0").select(F.col("conv_id").alias("answer_id"), F.col("turn").alias("claim_id"), said.alias("text"))
+    verdicts = claims.where("claim_id <> 7").select("answer_id", "claim_id", ((F.col("claim_id") + F.col("answer_id")) % 4 != 0).alias("supported"))
+    again = claims.where("answer_id % 11 = 0 AND claim_id = 1").select("answer_id", "claim_id", F.lit(True).alias("supported"))
+    given = turns.select(F.col("conv_id").alias("answer_id"), (F.col("conv_id") % 7 == 0).alias("refused")).distinct()
+    shape = checks.answer_shape(given, claims)
+    coverage = checks.coverage_problems(claims, verdicts.unionByName(again))
+    cited = claims.groupBy("answer_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(checks.cited_numbers("text"))))).alias("cited"))
+    return shape.join(coverage, "answer_id", "left").join(cited, "answer_id", "left").select(
+        F.col("answer_id").alias("conv_id"), F.array_join("problems", "; ").alias("shape"), F.coalesce("coverage_broken", F.lit(False)).alias("coverage_broken"),
+        F.coalesce(F.array_join(F.transform("unsupported", lambda x: x.cast("string")), ","), F.lit("")).alias("unsupported"),
+        F.coalesce(F.array_join(F.transform("cited", lambda x: x.cast("string")), ","), F.lit("")).alias("cited"),
+    )

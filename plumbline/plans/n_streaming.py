@@ -44,6 +44,19 @@ def stream_dedup_intake(v):
     return jobs.run_available(jobs.dedup_intake(raw.withColumn("principal", few), "ts").select("dedup_key", "ts"), "intake")
 
 
+@query("stream_intake_sides", "side:s event_row:i status:i", r"""
+WITH r AS (SELECT event_id AS event_row, ts, CASE WHEN user_id % 13 = 0 THEN '' ELSE 'user-' || user_id % 2 END AS principal,
+   'NCR-' || year(ts) || '-' || CASE WHEN event_id % 10 = 0 THEN CAST(event_id % 1000 AS VARCHAR) ELSE lpad(CAST(event_id % 1000000 AS VARCHAR), 6, '0') END AS n,
+   CASE WHEN event_id % 17 = 0 THEN 'e v ' ELSE 'evt:' END || (event_id // 2) AS e FROM events),
+j AS (SELECT *, CASE WHEN principal = '' THEN 401 WHEN regexp_full_match(n, 'NCR-[0-9]{4}-[0-9]{4,}') AND regexp_full_match(e, '[A-Za-z0-9_.:-]{1,128}') AND event_row % 29 <> 0 THEN 202 ELSE 400 END AS status FROM r)
+SELECT 'quarantine' AS side, event_row, status FROM j WHERE status <> 202
+UNION ALL SELECT 'accepted', arg_min(event_row, ts), 202 FROM j WHERE status = 202 GROUP BY principal, e""")
+def stream_intake_sides(v):
+    raw = raw_intake(live(v).raw("events"))
+    few = F.when(F.col("principal") != "", F.concat(F.lit("user-"), F.pmod(F.regexp_extract("principal", r"(\d+)", 1).try_cast("bigint"), F.lit(2)))).otherwise("")
+    return jobs.intake_sides(raw.withColumn("principal", few), "ts", "intake-sides")
+
+
 @query("stream_rolling_yield", "user_id:i until:t n:i yield_share:f", f"""
 WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n, sum(CAST(event_type <> 'error' AS INT)) AS ok FROM events GROUP BY ALL),
 e AS (SELECT user_id, unnest(generate_series(day + 1, day + 30, INTERVAL 1 DAY)) AS until, n, ok FROM d)

@@ -11,6 +11,7 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline import session
 from plumbline.operators import contracts, guard, triage
@@ -100,10 +101,6 @@ def dedup_intake(raw: DataFrame, at: str, delay: str = "1 hour") -> DataFrame:
     return event_time(accepted, at, delay).dropDuplicatesWithinWatermark(["dedup_key"])
 
 
-def intake_quarantine(raw: DataFrame) -> DataFrame:
-    return contracts.intake(raw).where("status <> 202")
-
-
 def rule_decisions(reports: DataFrame) -> DataFrame:
     """Rule fields and identifier kinds of arriving incident texts."""
     ruled = triage.rule_fields(reports, "description", "family_supplier")
@@ -135,6 +132,60 @@ def recurrence(closures: DataFrame, events: DataFrame, keys: list[str], delay: s
     return c.join(e, same & near).where(exact).select("car_id", "ncr_id", *keys, "closed_at", "discovered_at")
 
 
-def late_rows(batch: DataFrame, accepted: DataFrame, key: list[str]) -> DataFrame:
-    """Rows of a batch that the watermarked job did not take: kept in a side table, never lost."""
-    return batch.join(accepted.select(*key), key, "left_anti")
+class Intake:
+    """Sides of an arriving stream, batch by batch: accepted, quarantined and late rows, none of them lost.
+
+    A row is late if it is older than ``delay`` before the newest row of earlier batches; a
+    key is accepted once within that reach. Every batch writes folders of its own number
+    and reads only those of smaller numbers, so a batch that is run again after a failure
+    replaces what it wrote and changes nothing else.
+    """
+
+    SIDES = ("accepted", "quarantine", "late")
+
+    def __init__(self, spark, folder: str, at: str, key: str = "dedup_key", delay: str = "1 hour"):
+        self.spark, self.folder, self.at, self.key, self.delay = spark, folder, at, key, delay
+
+    def _write(self, rows: DataFrame, side: str, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.folder}/{side}/batch={number}")
+
+    def read(self, side: str, schema, before: int | None = None) -> DataFrame:
+        """All rows of a side, or those of batches before one; ``batch`` is among the columns."""
+        from pyspark.errors import AnalysisException
+
+        full = T.StructType([*schema.fields, T.StructField("batch", T.IntegerType())])
+        try:
+            rows = self.spark.read.schema(full).parquet(f"{self.folder}/{side}")
+        except AnalysisException:  # no batch yet
+            rows = self.spark.createDataFrame([], full)
+        return rows if before is None else rows.where(F.col("batch") < before)
+
+    def handle(self, batch: DataFrame, number: int) -> None:
+        judged = contracts.intake(batch)
+        marks = T.StructType([T.StructField("newest", judged.schema[self.at].dataType)])
+        newest = self.read("marks", marks, number).agg(F.max("newest")).first()[0]
+        known = F.col("status") == 202
+        late = F.lit(False) if newest is None else F.col(self.at) < F.lit(newest) - F.expr(f"INTERVAL {self.delay}")
+        self._write(judged.where(~known), "quarantine", number)
+        self._write(judged.where(known & late), "late", number)
+        whole = F.struct(*judged.columns)
+        first = judged.where(known & ~late).groupBy(self.key).agg(F.min_by(whole, F.struct(self.at, F.xxhash64(*judged.columns))).alias("r")).select("r.*")
+        done = self.read("accepted", judged.schema, number)
+        done = done if newest is None else done.where(F.col(self.at) >= F.lit(newest) - F.expr(f"INTERVAL {self.delay}") - F.expr(f"INTERVAL {self.delay}"))
+        self._write(first.join(done.select(self.key), self.key, "left_anti").select(judged.columns), "accepted", number)
+        self._write(batch.agg(F.max(self.at).alias("newest")), "marks", number)
+
+    def sides(self, schema) -> DataFrame:
+        rows = [self.read(s, schema).withColumn("side", F.lit(s)) for s in self.SIDES]
+        return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+def intake_sides(raw: DataFrame, at: str, name: str, delay: str = "1 hour") -> DataFrame:
+    """Run :class:`Intake` over everything available; rows with their ``side`` and ``batch``."""
+    spark = raw.sparkSession
+    base = session.shared_dir(spark, name)
+    job = Intake(spark, f"{base}/out", at, delay=delay)
+    marked = raw.withColumn(at, F.col(at).cast("timestamp"))
+    writer = marked.writeStream.foreachBatch(job.handle).option("checkpointLocation", f"{base}/state")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return job.sides(contracts.intake(marked).schema)

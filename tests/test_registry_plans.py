@@ -54,18 +54,31 @@ def test_results_do_not_depend_on_partitioning(spark, sf):
     assert sorted(map(str, one)) == sorted(map(str, two))
 
 
-def test_intake_splits_into_accepted_quarantined_and_late(spark, sf):
+def test_intake_keeps_all_sides_and_repeats_a_batch_safely(spark, sf, tmp_path):
+    from plumbline.operators import contracts
     from plumbline.plans.a_sources import raw_intake
     from plumbline.sources.views import Views
     from pyspark.sql import functions as F
 
     raw = raw_intake(Views(spark, sf).raw("events")).withColumn("ts", F.col("ts").cast("timestamp"))
-    bad = jobs.intake_quarantine(raw)
-    accepted = raw.join(bad.select("event_row"), "event_row", "left_anti")
-    assert bad.count() > 0 and accepted.count() + bad.count() == raw.count()
-    assert {r["status"] for r in bad.select("status").distinct().collect()} == {400, 401}
-    late = jobs.late_rows(accepted, accepted.where("event_row % 7 <> 0"), ["event_row"])
-    assert late.count() == accepted.where("event_row % 7 = 0").count() > 0
+    middle = raw.select(F.percentile_approx("event_row", 0.5)).first()[0]
+    late_rows = F.col("event_row") % 50 == 7
+    one, two = raw.where((F.col("event_row") <= middle) & ~late_rows), raw.where((F.col("event_row") > middle) | late_rows)
+    job = jobs.Intake(spark, str(tmp_path / "out"), "ts", delay="1 hour")
+    schema = contracts.intake(raw).schema
+    job.handle(one, 0)
+    job.handle(two, 1)
+    newest = one.agg(F.max("ts")).first()[0]
+    rows = lambda: sorted((r["side"], r["event_row"], r["batch"]) for r in job.sides(schema).collect())
+    got = rows()
+    judged = contracts.intake(raw)
+    assert {e for s, e, _ in got if s == "quarantine"} == {r["event_row"] for r in judged.where("status <> 202").collect()}
+    old = contracts.intake(two).where((F.col("status") == 202) & (F.col("ts") < F.lit(newest) - F.expr("INTERVAL 1 HOUR")))
+    assert {e for s, e, _ in got if s == "late"} == {r["event_row"] for r in old.collect()} and old.count() > 0
+    keys = [r["dedup_key"] for r in job.read("accepted", contracts.intake(raw).schema).collect()]
+    assert len(keys) == len(set(keys)) > 0
+    job.handle(two, 1)  # the batch is run again after a failure
+    assert rows() == got
 
 
 def test_alarm_needs_three_adjacent_windows(spark):
