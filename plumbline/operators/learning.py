@@ -323,16 +323,36 @@ def text_classifier(kind: str = "logistic", buckets: int = 1 << 14) -> Pipeline:
     return Pipeline(stages=[tokens, tf, idf, last])
 
 
+def ordinal_predictions(train: DataFrame, test: DataFrame, levels: int) -> DataFrame:
+    """Ordered levels as ``levels - 1`` binary questions "above t?"; the prediction counts the yeses."""
+    out = test.withColumn("prediction", F.lit(0.0))
+    for t in range(levels - 1):
+        binary = train.withColumn("label", (F.col("label") > t).cast("double"))
+        model = text_classifier("logistic").fit(binary)
+        scored = model.transform(out.withColumnRenamed("prediction", "__sum").withColumnRenamed("label", "__level"))
+        yes = (vector_to_array("probability")[1] > 0.5).cast("double")
+        out = scored.withColumn("__sum", F.col("__sum") + yes).select(*[F.col("__level").alias("label") if c == "label" else F.col("__sum").alias("prediction") if c == "prediction" else F.col(c) for c in out.columns])
+    return out
+
+
 def text_classify(docs: DataFrame, key: str, kind: str = "logistic", levels: int = 2) -> DataFrame:
-    """Text to label on disjoint hash parts; per-class metrics and macro F1 on the test part."""
+    """Text to label on disjoint hash parts; per-class metrics and macro F1 on the test part.
+
+    ``kind`` is logistic, bayes, or ordinal (ordered levels, see :func:`ordinal_predictions`).
+    """
     bad = docs.where(F.col("label").isNull() | ~F.col("label").between(0, levels - 1) | (F.length(F.trim("text")) == 0))
     if not bad.isEmpty():
         raise ContractError("labels out of range or empty texts")
     placed = docs.withColumn("label", F.col("label").cast("double")).withColumn("u", prep.hash_fraction(F.col(key), "text"))
     part = F.when(F.col("u") < 0.7, "train").when(F.col("u") < 0.8, "validation").otherwise("test")
     rows = settle(placed.withColumn("part", part))
-    model: PipelineModel = text_classifier(kind).fit(rows.where("part = 'train'"))
-    per = evaluation.class_metrics(model.transform(rows.where("part = 'test'")), "label", "prediction")
+    train, test = rows.where("part = 'train'"), rows.where("part = 'test'")
+    if kind == "ordinal":
+        predicted = ordinal_predictions(train, test, levels)
+    else:
+        model: PipelineModel = text_classifier(kind).fit(train)
+        predicted = model.transform(test)
+    per = evaluation.class_metrics(predicted, "label", "prediction")
     return per.withColumn("macro_f1", F.avg("f1").over(Window.partitionBy()))
 
 

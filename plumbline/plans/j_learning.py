@@ -375,6 +375,15 @@ def text_classify(v):
     return learning.text_classify(docs, "doc_id")
 
 
+@query("text_classify_levels", "model:s label:i support:i precision:f recall:f f1:f macro_f1:f")
+def text_classify_levels(v):
+    # Three ordered levels: toxic or poor, poor but clean, good.
+    level = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).otherwise(2)
+    docs = v.raw("documents").join(v.raw("labels"), "doc_id").select("doc_id", "text", level.alias("label"))
+    one, two = (learning.text_classify(docs, "doc_id", kind, 3).withColumn("model", F.lit(kind)) for kind in ("ordinal", "bayes"))
+    return one.unionByName(two)
+
+
 @query("kfold_stratified", "ncr_id:s fold:i stratified:i", f"""
 WITH u AS (SELECT ncr_id, category, {HASH.format(key='ncr_id', seed='kfold')} AS u FROM ncrs)
 SELECT ncr_id, CAST(floor(u * 5) AS INT) AS fold, (row_number() OVER (PARTITION BY category ORDER BY u, ncr_id) - 1) % 5 AS stratified FROM u""")
