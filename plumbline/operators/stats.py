@@ -229,17 +229,25 @@ def count_tails(monthly: DataFrame, key: str, count: str, level: float = 0.99) -
     incomplete gamma and beta functions in log space, so a large mean does not underflow;
     they are computed once per distinct (mean, variance, count), in Arrow batches.
     """
-    moments = monthly.groupBy(key).agg(F.avg(count).alias("mu"), F.var_samp(count).alias("var"))
-    wide = F.coalesce(F.col("var") > F.col("mu"), F.lit(False))
-    groups = moments.select("mu", F.when(wide, F.col("var")).alias("v")).distinct().withColumn("limit", special.count_limit("mu", "v", F.lit(float(level))))
-    table = moments.withColumn("v", F.when(wide, F.col("var"))).join(
-        groups.withColumnsRenamed({"mu": "g_mu", "v": "g_v"}), (F.col("mu") == F.col("g_mu")) & F.col("v").eqNullSafe(F.col("g_v"))
-    ).select(key, "mu", "var", wide.alias("overdispersed"), "v", "limit")
-    joined = monthly.join(table, key)
-    cases = joined.select("mu", "v", F.col(count).alias("c")).distinct().withColumn("tail", special.count_tail("mu", "v", "c"))
-    cases = cases.withColumnsRenamed({"mu": "c_mu", "v": "c_v"})
-    same = (F.col("mu") == F.col("c_mu")) & F.col("v").eqNullSafe(F.col("c_v")) & (F.col(count) == F.col("c"))
-    return joined.join(cases, same).withColumn("high", F.col(count) > F.col("limit")).drop("v", "c_mu", "c_v", "c")
+    # Counts are whole numbers: exact sums decide which groups are overdispersed (rounding would decide
+    # where variance and mean are equal) and are the keys of the joins.
+    x = F.col(count).cast("decimal(18,0)")
+    sums = monthly.where(F.col(count).isNotNull()).groupBy(key).agg(
+        F.count("*").alias("__n"), F.sum(x).cast("decimal(19,0)").alias("__s1"), F.sum((x * x).cast("decimal(28,0)")).cast("decimal(28,0)").alias("__s2")
+    )
+    n, s1 = F.col("__n").cast("decimal(9,0)"), F.col("__s1")
+    excess = (n * F.col("__s2")).cast("decimal(38,0)") - (s1 * s1).cast("decimal(38,0)")  # n (n - 1) times the variance
+    mu = s1.cast("double") / F.col("__n")
+    var = excess.cast("double") / F.nullif((F.col("__n") * (F.col("__n") - 1)).cast("double"), F.lit(0.0))
+    wide = (F.col("__n") > 1) & (excess > (s1 * (n - 1)).cast("decimal(38,0)"))
+    by = ["__n", "__s1", "__s2"]
+    measured = [mu.alias("mu"), var.alias("var"), wide.alias("overdispersed"), F.when(wide, var).alias("v")]
+    groups = sums.select(*by).distinct().select(*by, *measured).withColumn("limit", special.count_limit("mu", "v", F.lit(float(level))))
+    joined = monthly.join(sums, key)
+    cases = joined.select(*by, count).distinct().join(groups, by).withColumn("tail", special.count_tail("mu", "v", F.col(count)))
+    return joined.join(cases, [*by, count]).withColumn("high", F.col(count) > F.col("limit")).select(
+        *monthly.columns, "mu", "var", "overdispersed", "limit", "tail", "high"
+    )
 
 
 def entropy_kl(df: DataFrame, key: str, category: str) -> DataFrame:
