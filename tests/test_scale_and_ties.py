@@ -63,3 +63,42 @@ def test_no_group_with_equal_moments_is_overdispersed(spark):
     assert len({r[0] for r in rows}) > 5
     got = stats.count_tails(spark.createDataFrame(rows, "k int, m int, n long").repartition(5), "k", "n")
     assert got.where("overdispersed OR tail < 0 OR tail > 1").count() == 0
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_grid_is_never_broadcast(spark):
+    # The planner sees the few bytes of the supplier table, not the rows the months make of them.
+    from plumbline.operators import panel
+
+    suppliers = spark.createDataFrame([(1, "A", True, D(1995, 1, 1))], "supplier_id long, tier string, active boolean, onboarded_at date")
+    grid = panel.spine(suppliers, "1995-01-01", "2001-01-01")
+    facts = spark.range(10).select(F.col("id").alias("supplier_id"), F.lit("1995-02-01").cast("date").alias("month_end"))
+    for plan in (plan_of(facts.join(grid, ["supplier_id", "month_end"], "left")), plan_of(grid.join(facts, ["supplier_id", "month_end"]))):
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_permuted_copies_are_not_broadcast(spark, monkeypatch):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    from plumbline import session
+    from plumbline.operators import learning
+
+    rows = spark.range(200).select(
+        F.concat(F.lit("r"), "id").alias("row_id"), (F.col("id") % 2).cast("int").alias("label"),
+        array_to_vector(F.array((F.col("id") % 2).cast("double"), (F.col("id") % 7).cast("double"))).alias("x"),
+    )
+    model = LogisticRegression(featuresCol="x", labelCol="label").fit(rows)
+    plans, real = {}, session.written
+
+    def watched(df, name):
+        plans[name] = plan_of(df)
+        return real(df, name)
+
+    monkeypatch.setattr(session, "written", watched)
+    got = {r["feature"]: r["mean_drop"] for r in learning.permutation_importance(model, rows, ["a", "b"], "label", "row_id").collect()}
+    assert got["a"] > 0.3 > abs(got["b"])
+    assert not [x for x in plans["auc"].splitlines() if "BroadcastHashJoin" in x and ("[from#" in x or "[place#" in x)]
