@@ -102,3 +102,45 @@ def test_permuted_copies_are_not_broadcast(spark, monkeypatch):
     got = {r["feature"]: r["mean_drop"] for r in learning.permutation_importance(model, rows, ["a", "b"], "label", "row_id").collect()}
     assert got["a"] > 0.3 > abs(got["b"])
     assert not [x for x in plans["auc"].splitlines() if "BroadcastHashJoin" in x and ("[from#" in x or "[place#" in x)]
+
+
+def test_neighbour_blocks_by_products_equal_direct_distances():
+    import numpy as np
+
+    from plumbline.operators import neighbours
+
+    rng = np.random.default_rng(5)
+    # A lattice: many equal distances, many exactly at the limit; far from zero, so that products round.
+    b = rng.integers(0, 4, size=(300, 3)).astype(float) * 0.35 + 100
+    a = np.vstack([b[:50], rng.normal(100, 0.5, size=(50, 3))])
+    direct = neighbours._distances(a, b)
+    for eps in (0.35, 0.7, float(direct[60, 7])):
+        assert (neighbours._close(a, b, eps) == (direct <= eps)).all()
+    i, j, d = neighbours._nearest(a, b, 6)
+    for x in range(len(a)):
+        want = np.sort(np.round(direct[x], 9))[:6]
+        mine = np.sort(d[i == x])
+        assert (mine[:6] == want).all() and (mine == want[-1]).sum() == (np.round(direct[x], 9) == want[-1]).sum()
+
+
+def test_crowded_clusters_and_ties_by_brute_force(spark):
+    import numpy as np
+
+    from plumbline.operators import neighbours
+
+    rng = np.random.default_rng(8)
+    points = [tuple(float(x) for x in p) for p in np.vstack([rng.normal(0, 0.3, (60, 2)), rng.normal(3, 0.3, (60, 2)), rng.uniform(-4, 8, (20, 2)), np.zeros((9, 2))]).round(1)]
+    df = spark.createDataFrame([(n, list(p)) for n, p in enumerate(points)], "id long, v array<double>")
+    d = np.array([[np.sqrt(sum((x - y) ** 2 for x, y in zip(p, q))) for q in points] for p in points])
+    got = {}
+    for r in neighbours.knn(df, "id", "v", 5, pivots=4, block=16).collect():
+        got.setdefault(r["id"], []).append((r["rank"], r["neighbour"]))
+    for n in range(len(points)):
+        want = sorted((m for m in range(len(points)) if m != n), key=lambda m: (round(d[n, m], 9), m))[:5]
+        assert [m for _, m in sorted(got[n])] == want
+    eps, core = 0.5, (d <= 0.5).sum(axis=1) >= 6
+    label = {n: n for n in range(len(points)) if core[n]}
+    for _ in range(len(points)):
+        label = {n: min(label[m] for m in label if d[n, m] <= eps) for n in label}
+    want = {n: label.get(n, min((label[m] for m in label if d[n, m] <= eps), default=-1)) for n in range(len(points))}
+    assert {r["id"]: r["cluster"] for r in neighbours.dbscan(df, "id", "v", eps, 6, pivots=4, block=16).collect()} == want
