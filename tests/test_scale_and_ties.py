@@ -144,3 +144,18 @@ def test_crowded_clusters_and_ties_by_brute_force(spark):
         label = {n: min(label[m] for m in label if d[n, m] <= eps) for n in label}
     want = {n: label.get(n, min((label[m] for m in label if d[n, m] <= eps), default=-1)) for n in range(len(points))}
     assert {r["id"]: r["cluster"] for r in neighbours.dbscan(df, "id", "v", eps, 6, pivots=4, block=16).collect()} == want
+
+
+def test_a_supplier_is_one_key_of_the_label_state(spark, tmp_path):
+    # Several cutoffs mature in one batch, and others later, from one value and one timer at a time.
+    from plumbline.streaming import jobs, stateful
+
+    grid = spark.createDataFrame([(1, D(2026, m, 1)) for m in range(1, 7)], "supplier_id bigint, cutoff date")
+    batches = [[(1, 4, dt.datetime(2026, 1, 5)), (1, 1, dt.datetime(2026, 4, 20))], [(1, 3, dt.datetime(2026, 7, 1))], [(2, 1, dt.datetime(2027, 1, 1))], [(2, 1, dt.datetime(2027, 1, 5))]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, "supplier_id bigint, severity int, discovered_at timestamp").coalesce(1).write.parquet(str(tmp_path / "in" / f"b{i}"))
+    stream = spark.readStream.schema("supplier_id bigint, severity int, discovered_at timestamp").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    labels = stateful.mature_labels(stream, grid)
+    rows = jobs.run_available(labels, "one-key", conf=stateful.SETTINGS).collect()
+    got = {r["cutoff"].month: (r["sev3_next_90d"], r["harm_next_90d"]) for r in rows}
+    assert len(rows) == 6 and got == {1: (1, 4), 2: (0, 1), 3: (0, 1), 4: (0, 1), 5: (1, 3), 6: (1, 3)}
