@@ -31,17 +31,20 @@ def _joined(parts: Column, start: Column, length: Column) -> Column:
     return F.array_join(F.slice(parts, start, length), "")
 
 
-def identities(names: DataFrame, key: str, name: str, aliases: DataFrame | None = None, alias: str = "alias") -> DataFrame:
+def identities(names: DataFrame, key: str, name: str, aliases: DataFrame | None = None, alias: str = "alias", code: str | None = None) -> DataFrame:
     """``key, name, token, alias, folded, size``: one row per key and way to write it; written.
 
-    ``names`` has one row per key; ``aliases`` has ``key, alias``. Tokens number the keys in order.
+    ``names`` has one row per key; ``aliases`` has ``key, alias``. Texts write a key as its ``code`` (the key
+    itself if there is none). Tokens number the keys in the order of their codes, equal codes in that of keys;
+    a code that several keys share is ambiguous.
     """
-    numbered = ordered.numbered(names.select(F.col(key).alias("key"), F.col(name).alias("name")), ["key"], "__n")
+    known = names.select(F.col(key).alias("key"), F.col(name).alias("name"), F.col(code or key).alias("__code"))
+    numbered = ordered.numbered(known, ["__code", "key"], "__n")
     digits = F.when(F.col("__n") < 10_000, F.lpad(F.col("__n").cast("string"), 4, "0")).otherwise(F.col("__n").cast("string"))
-    known = numbered.select("key", "name", F.concat(F.lit("[[SUPPLIER_"), digits, F.lit("]]")).alias("token"))
-    ways = known.select("*", F.explode(F.array("key", "name")).alias("alias"))
+    known = numbered.select("key", "name", F.concat(F.lit("[[SUPPLIER_"), digits, F.lit("]]")).alias("token"), "__code")
+    ways = known.select("key", "name", "token", F.explode(F.array("__code", "name")).alias("alias"))
     if aliases is not None:
-        ways = ways.unionByName(known.join(aliases.select(F.col(key).alias("key"), F.col(alias).alias("alias")), "key"))
+        ways = ways.unionByName(known.drop("__code").join(aliases.select(F.col(key).alias("key"), F.col(alias).alias("alias")), "key"))
     folded = ways.withColumn("folded", F.lower("alias")).dropDuplicates(["key", "folded"])
     return session.written(folded.withColumn("size", F.size(pieces(F.col("folded")))), "identities")
 
