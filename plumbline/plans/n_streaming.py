@@ -54,7 +54,7 @@ UNION ALL SELECT 'accepted', arg_min(event_row, ts), 202 FROM j WHERE status = 2
 def stream_intake_sides(v):
     raw = raw_intake(live(v).raw("events"))
     few = F.when(F.col("principal") != "", F.concat(F.lit("user-"), F.pmod(F.regexp_extract("principal", r"(\d+)", 1).try_cast("bigint"), F.lit(2)))).otherwise("")
-    return jobs.intake_sides(raw.withColumn("principal", few), "ts", "intake-sides")
+    return jobs.intake_sides(raw.withColumn("principal", few), "ts", "intake-sides", tie=["event_row"])
 
 
 @query("stream_rolling_yield", "user_id:i until:t n:i yield_share:f", f"""

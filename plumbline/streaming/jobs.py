@@ -7,7 +7,7 @@ a restarted job continues where it stopped.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -136,15 +136,15 @@ class Intake:
     """Sides of an arriving stream, batch by batch: accepted, quarantined and late rows, none of them lost.
 
     A row is late if it is older than ``delay`` before the newest row of earlier batches; a
-    key is accepted once within that reach. Every batch writes folders of its own number
+    key is accepted once within that reach: its earliest row, of one instant the one least in ``tie``. Every batch writes folders of its own number
     and reads only those of smaller numbers, so a batch that is run again after a failure
     replaces what it wrote and changes nothing else.
     """
 
     SIDES = ("accepted", "quarantine", "late")
 
-    def __init__(self, spark, folder: str, at: str, key: str = "dedup_key", delay: str = "1 hour"):
-        self.spark, self.folder, self.at, self.key, self.delay = spark, folder, at, key, delay
+    def __init__(self, spark, folder: str, at: str, key: str = "dedup_key", delay: str = "1 hour", tie: Sequence[str] = ()):
+        self.spark, self.folder, self.at, self.key, self.delay, self.tie = spark, folder, at, key, delay, tie
 
     def _write(self, rows: DataFrame, side: str, number: int) -> None:
         rows.write.mode("overwrite").parquet(f"{self.folder}/{side}/batch={number}")
@@ -169,7 +169,7 @@ class Intake:
         self._write(judged.where(~known), "quarantine", number)
         self._write(judged.where(known & late), "late", number)
         whole = F.struct(*judged.columns)
-        first = judged.where(known & ~late).groupBy(self.key).agg(F.min_by(whole, F.struct(self.at, F.xxhash64(*judged.columns))).alias("r")).select("r.*")
+        first = judged.where(known & ~late).groupBy(self.key).agg(F.min_by(whole, F.struct(self.at, *self.tie, F.xxhash64(*judged.columns))).alias("r")).select("r.*")
         done = self.read("accepted", judged.schema, number)
         done = done if newest is None else done.where(F.col(self.at) >= F.lit(newest) - F.expr(f"INTERVAL {self.delay}") - F.expr(f"INTERVAL {self.delay}"))
         self._write(first.join(done.select(self.key), self.key, "left_anti").select(judged.columns), "accepted", number)
@@ -180,11 +180,11 @@ class Intake:
         return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
-def intake_sides(raw: DataFrame, at: str, name: str, delay: str = "1 hour") -> DataFrame:
+def intake_sides(raw: DataFrame, at: str, name: str, delay: str = "1 hour", tie: Sequence[str] = ()) -> DataFrame:
     """Run :class:`Intake` over everything available; rows with their ``side`` and ``batch``."""
     spark = raw.sparkSession
     base = session.shared_dir(spark, name)
-    job = Intake(spark, f"{base}/out", at, delay=delay)
+    job = Intake(spark, f"{base}/out", at, delay=delay, tie=tie)
     marked = raw.withColumn(at, F.col(at).cast("timestamp"))
     writer = marked.writeStream.foreachBatch(job.handle).option("checkpointLocation", f"{base}/state")
     writer.trigger(availableNow=True).start().awaitTermination()
