@@ -194,7 +194,7 @@ def band_links(search: _Search, heads: DataFrame) -> DataFrame:
     crowded = common.written(state.join(left, "key").select("_row").distinct(), "odd-crowded")
     if crowded.take(1):  # the exact way for what bands alone cannot tell apart
         entries = similar.with_prefixes(search.sets(crowded), search.similarity)
-        links = links.unionByName(similar.similar_links(entries, search.similarity, search.sets, labels, rounds=1))
+        links = links.unionByName(similar.similar_links(entries, search.similarity, lambda pairs: similar.linked_sets(pairs, search.similarity, search.sets), labels, rounds=1))
     # Rows under their label are stars already; of the links only those between labels are new.
     stars = labels.where("_row <> label").select(F.col("_row").alias("a"), F.col("label").alias("b"))
     named = similar.labelled(links.select(F.col("a").alias("_row"), "b"), labels).select(F.col("b").alias("_row"), F.col("label").alias("a"))

@@ -45,8 +45,13 @@ def covering_masks(radius: int) -> list[int]:
 
 def fingerprint(text: str, width: int = 3) -> int:
     """SimHash of the word shingles (repeats count), unsigned; 0 for a text without words."""
+    return fingerprint_bytes(common.utf8(text), width)
+
+
+def fingerprint_bytes(data: bytes, width: int = 3) -> int:
+    """:func:`fingerprint` of a text's UTF-8 bytes."""
     counts, n, tail = np.zeros(BITS, np.int64), 0, []
-    for words in common.word_chunks(common.utf8(text).lower()):
+    for words in common.word_chunks(data.lower()):
         words = tail + words
         shingles = map(b" ".join, zip(*[words[i:] for i in range(width)], strict=False))
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64)

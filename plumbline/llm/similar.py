@@ -1,6 +1,8 @@
 """Near-duplicates at a stated Jaccard similarity of five-word shingles, found exactly.
 
-Of texts whose shingle sets are equal one stands for all. The others are compared by a
+Of texts whose shingle sets are equal one stands for all. Of the others, those whose SimHash
+fingerprints link (:mod:`plumbline.llm.simhash`) are compared first: near copies mostly. More
+bits than fingerprints reach may differ at the wanted similarity, so the rest goes through a
 prefix filter: with the shingles of every text in one common order, rare ones first, two
 texts of similarity ``t`` share one of the first ``n - ceil(t * n) + 1`` shingles of each.
 Rows that meet in such a shingle (a bucket) are candidates, less those whose lengths or
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm import common
+from plumbline.llm import common, simhash
 from plumbline.llm.components import components
 
 #: Buckets of more members first go through this many rounds of hubs. Work only: results do not depend on them.
@@ -34,6 +36,10 @@ CROWD, ROUNDS = 16, 3
 CELL_BITS, MOST, KEPT = 21, 4096, 1 << 16
 #: Bits of the filter for rows whose sets are compared.
 NAMED_BITS = 23
+#: Rows compared with one copy of a text.
+SHARE = 4096
+#: Words of a fingerprint's shingles, bits in which linked fingerprints may differ.
+PRINT_WIDTH, RADIUS = 3, 2
 
 
 def sketch(text: str, width: int) -> bytes:
@@ -47,7 +53,10 @@ def _set(data: bytes, width: int, memo: common.WordHashes) -> np.ndarray:
 
 
 def jaccard(a: bytes, b: bytes) -> float:
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    return alike(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64))
+
+
+def alike(x: np.ndarray, y: np.ndarray) -> float:
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both / (len(x) + len(y) - both)
 
@@ -64,18 +73,54 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("_id", "_mark", F.xxhash64(F.lit(1), "_id", F.col("_id").isNull(), "_mark").alias("_k"), "_text")
 
 
-def sets_of(docs: DataFrame, made: DataFrame, rows: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """``_row, n, hashes`` of ``rows`` (``_row``), made anew from their texts; written.
+def texts_of(docs: DataFrame, named: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``named`` (written; ``_k, _mark`` say which text a row has) with ``_text``.
 
-    ``made`` (``_row, _k, _mark``) says which text a row has. A filter of fixed size keeps other
-    texts from moving; beyond its 2 ** NAMED_BITS cells it lets more through, and the join decides.
+    A filter of fixed size keeps other texts from moving; beyond its 2 ** NAMED_BITS cells it
+    lets more through, and the join decides.
     """
-    named = common.written(made.select("_row", "_k", "_mark").join(rows.select("_row").distinct(), "_row", "left_semi"), "similar-named")
     cell = F.pmod(F.col("_k"), F.lit(1 << NAMED_BITS))
     bit = f"shiftleft(1L, cast(pmod(_k, {1 << NAMED_BITS}L) & 63 as int))"
     words = named.groupBy(F.shiftright(cell, 6).alias("_word")).agg(F.bit_or(F.expr(bit)).alias("_bits"))
     met = keyed(docs, id_col, text_col).withColumn("_word", F.shiftright(cell, 6)).join(F.broadcast(words), "_word").where(F.expr(f"(_bits & {bit}) <> 0"))
     once = met.groupBy("_k", "_mark").agg(F.any_value("_text").alias("_text"))
+    return once.join(named, ["_k", "_mark"])
+
+
+def linked_texts(docs: DataFrame, made: DataFrame, pairs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
+    """The ``pairs`` (``a, b``) whose whole sets have the similarity; written.
+
+    Texts move to the pairs' ``b``, once for each pair, and sets are made there: a text is smaller than its
+    set. A ``b`` that many rows ask for is copied for every ``SHARE`` of them, so no task holds all of its rows.
+    """
+    common.small_batches(docs.sparkSession)
+    copies = pairs.groupBy("b").agg(F.ceil(F.count("*") / SHARE).alias("_copies"))
+    asked = pairs.join(copies, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("_copies")).alias("_copy"))
+    sides = asked.select(F.col("a").alias("_row"), "b", "_copy", F.lit(1).alias("_side")).unionByName(
+        asked.select(F.col("b").alias("_row"), "b", "_copy", F.lit(0).alias("_side")).distinct()
+    )
+    named = common.written(made.select("_row", "_k", "_mark").join(sides, "_row"), "similar-named")
+
+    def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, at, held = common.WordHashes(), None, None
+        for batch in it:
+            found: list[tuple[int, int]] = []
+            for b, copy, side, row, text in zip(*(batch.column(c) for c in ("b", "_copy", "_side", "_row", "_text")), strict=True):
+                here, own = (b.as_py(), copy.as_py()), _set(text.as_py(), width, memo)
+                if side.as_py() == 0:
+                    at, held = here, own
+                elif at == here and alike(own, held) >= similarity - 1e-9:
+                    found.append((row.as_py(), here[0]))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    placed = texts_of(docs, named, id_col, text_col).select("b", "_copy", "_side", "_row", "_text")
+    placed = placed.repartition("b", "_copy").sortWithinPartitions("b", "_copy", "_side")
+    return common.written(placed.mapInArrow(compare, "a bigint, b bigint"), "similar-links")
+
+
+def sets_of(docs: DataFrame, made: DataFrame, rows: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """``_row, n, hashes`` of ``rows`` (``_row``), made anew from their texts; written. ``made`` has ``_row, _k, _mark``."""
+    named = common.written(made.select("_row", "_k", "_mark").join(rows.select("_row").distinct(), "_row", "left_semi"), "similar-named")
 
     def make(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = common.WordHashes()
@@ -85,7 +130,7 @@ def sets_of(docs: DataFrame, made: DataFrame, rows: DataFrame, id_col: str, text
                 batch.column("_row"), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())
             ], ["_row", "n", "hashes"])
 
-    found = once.join(named, ["_k", "_mark"]).select("_row", "_text")
+    found = texts_of(docs, named, id_col, text_col).select("_row", "_text")
     return common.written(found.mapInArrow(make, "_row bigint, n int, hashes binary"), "similar-sets")
 
 
@@ -122,7 +167,7 @@ def prefix(hashes: np.ndarray, cells: np.ndarray, counts: np.ndarray, similarity
 
 
 def signed_rows(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
-    """``_row, _id, _mark, _k, n, _set, prefix`` of every row: size and digest of its set, its first shingles."""
+    """``_row, _id, _mark, _k, n, _set, fp, prefix`` of every row: size and digest of its set, fingerprint, first shingles."""
     common.small_batches(docs.sparkSession)
     rows = keyed(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("_row"), "_id", "_mark", "_k", "_text")
     memo = common.WordHashes  # a fresh one in every task
@@ -133,7 +178,7 @@ def signed_rows(docs: DataFrame, id_col: str, text_col: str, width: int, similar
 
     table = docs.sparkSession.sparkContext.broadcast(common_cells(rows.select("_text"), hashes_of))
     kept = ["_row", "_id", "_mark", "_k"]
-    schema = T.StructType([*[rows.schema[c] for c in kept], *T._parse_datatype_string("n int, _set binary, prefix binary").fields])
+    schema = T.StructType([*[rows.schema[c] for c in kept], *T._parse_datatype_string("n int, _set binary, fp bigint, prefix binary").fields])
 
     def make(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, counts = table.value
@@ -141,7 +186,7 @@ def signed_rows(docs: DataFrame, id_col: str, text_col: str, width: int, similar
             sets = hashes_of(batch)
             yield pa.RecordBatch.from_arrays([
                 *[batch.column(c) for c in kept], pa.array([len(s) for s in sets], pa.int32()), pa.array([hashlib.md5(s.tobytes()).digest() for s in sets], pa.binary()),
-                pa.array([prefix(s, cells, counts, similarity).tobytes() for s in sets], pa.binary()),
+                pa.array([simhash.signed(simhash.fingerprint_bytes(t.as_py(), PRINT_WIDTH)) for t in batch.column("_text")], pa.int64()), pa.array([prefix(s, cells, counts, similarity).tobytes() for s in sets], pa.binary()),
             ], schema.names)
 
     return rows.mapInArrow(make, schema)
@@ -209,16 +254,8 @@ def relabelled(labels: DataFrame | None, linked: DataFrame) -> DataFrame:
     return common.written(known.join(to, "label", "left").select("_row", F.coalesce("_to", "label").alias("label")), "similar-labels")
 
 
-def similar_links(entries: DataFrame, similarity: float, sets_for, labels: DataFrame | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """Edges ``a, b`` between rows of ``entries`` (``_row, n, prefix``) whose components are those of all pairs at ``similarity``.
-
-    ``sets_for(rows)`` gives ``_row, hashes`` of ``rows`` (``_row``). ``labels`` (``_row, label``)
-    says what is linked already; those links are not returned again.
-    """
-    common.small_batches(entries.sparkSession)
-    postings = postings_of(entries)
-    met = postings.groupBy("key").agg(F.count("*").alias("_m")).where("_m > 1").select("key")
-    shared = common.written(postings.join(met, "key"), "similar-shared")
+def linked_sets(pairs: DataFrame, similarity: float, sets_for) -> DataFrame:
+    """The ``pairs`` (``a, b``) whose whole sets have the similarity; ``sets_for(rows)`` gives ``_row, hashes`` of ``rows`` (``_row``)."""
 
     @F.pandas_udf("double")
     def exact(x, y):
@@ -226,12 +263,32 @@ def similar_links(entries: DataFrame, similarity: float, sets_for, labels: DataF
 
         return pd.Series([jaccard(i, j) for i, j in zip(x, y, strict=True)], dtype="float64")
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        live = sets_for(pairs.select(F.explode(F.array("a", "b")).alias("_row")))
-        one = pairs.join(live.select(F.col("_row").alias("a"), F.col("hashes").alias("_x")), "a")
-        two = one.join(live.select(F.col("_row").alias("b"), F.col("hashes").alias("_y")), "b")
-        return two.where(exact("_x", "_y") >= similarity - 1e-9).select("a", "b")
+    live = sets_for(pairs.select(F.explode(F.array("a", "b")).alias("_row")))
+    one = pairs.join(live.select(F.col("_row").alias("a"), F.col("hashes").alias("_x")), "a")
+    two = one.join(live.select(F.col("_row").alias("b"), F.col("hashes").alias("_y")), "b")
+    return common.written(two.where(exact("_x", "_y") >= similarity - 1e-9).select("a", "b"), "similar-links")
+
+
+def print_pairs(entries: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``a, b``: rows of ``entries`` (``_row, fp``) with equal or linked fingerprints, as many as connect them; written."""
+    heads = common.written(entries.groupBy("fp").agg(F.min("_row").alias("_head")), "similar-heads")
+    same = entries.join(heads, "fp").where("_row <> _head").select(F.col("_row").alias("a"), F.col("_head").alias("b"))
+    links = simhash.links(heads.select("fp"), radius)
+    side = lambda c: heads.select(F.col("fp").alias(c), F.col("_head").alias(f"_{c}"))
+    near = links.join(side("a"), "a").join(side("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    return common.written(same.unionByName(near), "similar-print-pairs")
 
+
+def similar_links(entries: DataFrame, similarity: float, linked, labels: DataFrame | None = None, rounds: int = ROUNDS) -> DataFrame:
+    """Edges ``a, b`` between rows of ``entries`` (``_row, n, prefix``) whose components are those of all pairs at ``similarity``.
+
+    ``linked(pairs)`` gives those of the ``pairs`` (``a, b``) that have the similarity, written. ``labels``
+    (``_row, label``) says what is linked already; those links are not returned again.
+    """
+    common.small_batches(entries.sparkSession)
+    postings = postings_of(entries)
+    met = postings.groupBy("key").agg(F.count("*").alias("_m")).where("_m > 1").select("key")
+    shared = common.written(postings.join(met, "key"), "similar-shared")
     links = None
     for turn in range(rounds):
         state = labelled(shared, labels)
@@ -249,7 +306,7 @@ def similar_links(entries: DataFrame, similarity: float, sets_for, labels: DataF
         shared = shared.select("key", "_row", "n", "pos")
         if not pairs.take(1):
             break
-        new = common.written(linked(pairs), "similar-links")
+        new = linked(pairs)
         links, labels = new if links is None else links.unionByName(new), relabelled(labels, new)
     rest = common.written(labelled(shared, labels), "similar-rest")
     one, two = (rest.select("key", *[F.col(c).alias(f"_{side}{c}") for c in ("_row", "n", "pos", "label")]) for side in "ab")
@@ -258,7 +315,7 @@ def similar_links(entries: DataFrame, similarity: float, sets_for, labels: DataF
         & possible(similarity, F.col("_an"), F.col("_bn"), F.col("_apos"), F.col("_bpos"))
     )
     pairs = common.written(cross.select(F.col("_a_row").alias("a"), F.col("_b_row").alias("b")).distinct(), "similar-pairs")
-    last = common.written(linked(pairs), "similar-links")
+    last = linked(pairs)
     return last if links is None else links.unionByName(last)
 
 
@@ -275,8 +332,10 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_
     firsts = common.written(made.groupBy("_set").agg(F.min("_row").alias("_first"), F.count("*").alias("_m")).where("_m > 1"), "similar-firsts")
     repeated = made.select("_row", "_set").join(firsts, "_set").where("_row <> _first").select("_row", "_first")
     repeated = common.written(repeated, "similar-repeated")
-    entries = made.select("_row", "n", "prefix").join(repeated.select("_row"), "_row", "left_anti")
-    links = similar_links(entries, similarity, lambda rows: sets_of(docs, made, rows, id_col, text_col, width))
+    entries = made.select("_row", "n", "fp", "prefix").join(repeated.select("_row"), "_row", "left_anti")
+    linked = lambda pairs: linked_texts(docs, made, pairs, id_col, text_col, width, similarity)
+    first = linked(print_pairs(entries))
+    links = first.unionByName(similar_links(entries.drop("fp"), similarity, linked, relabelled(None, first)))
     found = components(links.unionByName(repeated.select(F.col("_first").alias("a"), F.col("_row").alias("b"))), "a", "b")
     rows = made.select("_id", "_mark", "_row")
     return rows.join(found, rows["_row"] == found["node"], "left").select("_id", "_mark", F.coalesce("component", "_row").alias("component"))
