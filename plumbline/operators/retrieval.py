@@ -24,6 +24,8 @@ SPACE = f"lexical-sha256:{VECTOR_SIZE}"
 # Okapi BM25 parameters and the rank-fusion constant.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
+#: Shared terms of one dense slice when answers are compared.
+SLICE = 4096
 
 
 @dataclass(frozen=True)
@@ -144,17 +146,6 @@ def sparse_hash_vectors(docs: DataFrame, key: str, content: str, size: int = VEC
     return counts.select(key, "bucket", (F.col("n") / norm).alias("weight"))
 
 
-def term_vectors(docs: DataFrame, key: str, content: str) -> DataFrame:
-    """(key, bucket, weight) with one bucket per term (64-bit hash), scaled to unit length.
-
-    Documents are placed by key once; counting and scaling then need no further shuffle.
-    """
-    placed = docs.select(key, content).repartition(key)
-    counts = placed.select(key, F.explode(text.tokens(content)).alias("t")).groupBy(key, F.xxhash64("t").alias("bucket")).agg(F.count("*").alias("n"))
-    size = F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key))
-    return counts.select(key, "bucket", (F.col("n") / F.sqrt(size.cast("double"))).alias("weight"))
-
-
 def hash_embed(texts: pd.Series) -> list[np.ndarray]:
     """Default embedder for Arrow batches: the same hashed vectors, dense; no tokens gives zeros."""
     import hashlib
@@ -355,6 +346,7 @@ def exact_reuse(queries: DataFrame, answers: DataFrame, ttl_seconds: int) -> Dat
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     slot = lambda c: F.floor(micros(c) / (ttl_seconds * 1_000_000))
     key = ["scope", "digest", "slot"]
+    queries, answers = (df.where(F.col("scope").isNotNull() & F.col("text").isNotNull()) for df in (queries, answers))
     digest = F.sha2("text", 256).alias("digest")
     held = (
         answers.select("scope", digest, slot("answered_at").alias("slot"), "answered_at", "answer_id")
@@ -378,49 +370,82 @@ def exact_reuse(queries: DataFrame, answers: DataFrame, ttl_seconds: int) -> Dat
     )
 
 
-def near_reuse(queries: DataFrame, answers: DataFrame, ttl_seconds: int, threshold: float = 0.97) -> DataFrame:
+def _best_in_reach(group: pd.DataFrame, ttl: int, threshold: float, columns: list[str]) -> pd.DataFrame:
+    """The best live answer of each query of one block: integer products of term counts, a slice of shared terms at a time."""
+    group = group[group["terms"].map(len) > 0]
+    asks, held = group[group["side"] == 0], group[group["side"] == 1]
+    if asks.empty or held.empty:
+        return pd.DataFrame({c: [] for c in columns})
+    sizes = [[len(x) for x in side["terms"]] for side in (asks, held)]
+    rows = [np.repeat(np.arange(len(n)), n) for n in sizes]
+    terms, place = np.unique(np.concatenate([*asks["terms"], *held["terms"]]), return_inverse=True)
+    places = place[: len(rows[0])], place[len(rows[0]) :]
+    counts = [np.concatenate(list(side["counts"])).astype(float) for side in (asks, held)]
+    # A term that only one side has adds nothing.
+    both = np.flatnonzero(np.logical_and(*[np.bincount(p, minlength=len(terms)) > 0 for p in places]))
+    column = np.full(len(terms), -1)
+    column[both] = np.arange(len(both))
+    dots = np.zeros((len(asks), len(held)))
+    for start in range(0, len(both), SLICE):
+        dense = []
+        for n, row, at, count in zip((len(asks), len(held)), rows, places, counts, strict=True):
+            here = (column[at] >= start) & (column[at] < start + SLICE)
+            part = np.zeros((n, min(SLICE, len(both) - start)))
+            part[row[here], column[at[here]] - start] = count[here]
+            dense.append(part)
+        dots += dense[0] @ dense[1].T
+    norms = [np.sqrt(np.bincount(row, count * count)) for row, count in zip(rows, counts, strict=True)]
+    similarity = np.floor(dots / (norms[0][:, None] * norms[1][None, :]) * 1e9 + 0.5) / 1e9
+    age = asks["at"].to_numpy()[:, None] - held["at"].to_numpy()[None, :]
+    i, j = np.nonzero((similarity >= threshold) & (age > 0) & (age < ttl))
+    found = pd.DataFrame({"query_id": asks["id"].to_numpy()[i], "answer_id": held["id"].to_numpy()[j], "answered_at": held["at"].to_numpy()[j], "similarity": similarity[i, j]})
+    return found.sort_values(["similarity", "answered_at", "answer_id"], ascending=False).drop_duplicates("query_id")[columns]
+
+
+def near_reuse(queries: DataFrame, answers: DataFrame, ttl_seconds: int, threshold: float = 0.97, block: int = 1000) -> DataFrame:
     """Best live answer of the scope with cosine >= ``threshold`` (ties: newest, then id).
 
-    Candidates come from an exact prefix filter. With unit vectors sorted rarest term
-    first, a pair can only reach the threshold if it shares a term of the query's
-    prefix, the leading terms left when the remaining ones have norm < threshold.
+    Times are cut into TTL-wide slots. A text becomes its distinct term hashes and counts in its own
+    row and moves once as a query and twice as an answer (its slot and the next); a slot of a scope
+    is one block, and a crowded one is cut into blocks of about ``block`` rows a side.
     """
-    asked, held = term_vectors(queries, "query_id", "text"), term_vectors(answers, "answer_id", "text")
-    rarity = held.groupBy("bucket").agg(F.count("*").alias("df"))
-    tail = Window.partitionBy("query_id").orderBy(F.desc("df"), "bucket").rowsBetween(Window.unboundedPreceding, 0)
-    ordered = asked.join(rarity, "bucket").withColumn("rest", F.sum(F.col("weight") * F.col("weight")).over(tail))
-    prefix = ordered.where(F.col("rest") >= threshold * threshold - 1e-9).select("query_id", "bucket")
+    ttl = ttl_seconds * 1_000_000
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    slot = lambda c: F.floor(micros(c) / (ttl_seconds * 1_000_000))
-    q = prefix.join(queries.select("query_id", "scope", "asked_at"), "query_id").withColumn("slot", slot("asked_at"))
-    a = (
-        held.select("answer_id", "bucket")
-        .join(answers.select("answer_id", "scope", "answered_at"), "answer_id")
-        .withColumn("slot", F.explode(F.array(slot("answered_at"), slot("answered_at") + 1)))
-    )
-    age = micros("asked_at") - micros("answered_at")
-    pairs = (
-        q.join(a, ["scope", "slot", "bucket"])
-        .where((age > 0) & (age < ttl_seconds * 1_000_000))
-        .select("query_id", "answer_id", "answered_at")
-        .distinct()
-    )
-    scored = (
-        pairs.join(asked.withColumnRenamed("weight", "wq"), "query_id")
-        .join(held.withColumnRenamed("weight", "wa"), ["answer_id", "bucket"])
-        .groupBy("query_id", "answer_id", "answered_at")
-        .agg(F.round(F.sum(F.col("wq") * F.col("wa")), 9).alias("similarity"))
-        .where(F.col("similarity") >= threshold)
+    own = lambda at: F.floor(micros(at) / ttl)
+    slots = {"query_id": lambda at: F.array(own(at)), "answer_id": lambda at: F.array(own(at), own(at) + 1)}
+
+    def side(df: DataFrame, key: str, at: str, number: int) -> DataFrame:
+        held = df.where(F.col("scope").isNotNull()).select(
+            "scope", F.col(key).alias("id"), micros(at).alias("at"), slots[key](at).alias("slots"), text.counted(F.transform(text.tokens(F.coalesce("text", F.lit(""))), lambda t: F.xxhash64(t))).alias("v")
+        )
+        # (A filter on ``v`` would be pushed below and compute it twice.)
+        wide = held.select("scope", "id", "at", "slots", F.col("v.value").alias("terms"), F.col("v.n").cast("array<int>").alias("counts"))
+        return wide.withColumn("slot", F.explode("slots")).drop("slots").withColumn("side", F.lit(number))
+
+    def sizes(df: DataFrame, key: str, at: str, name: str) -> DataFrame:
+        return df.select("scope", F.explode(slots[key](at)).alias("slot")).groupBy("scope", "slot").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+
+    # Crowded slots only: at most one for each ``block`` rows.
+    crowded = F.broadcast(sizes(queries, "query_id", "asked_at", "a").join(sizes(answers, "answer_id", "answered_at", "r"), ["scope", "slot"]).where("a > 1 OR r > 1"))
+    every = lambda n: F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1)
+    one = lambda n: F.pmod(F.xxhash64("id"), F.coalesce(n, F.lit(1))).cast("int")
+    columns = ["scope", "slot", "side", "id", "at", "terms", "counts"]
+    asks = side(queries, "query_id", "asked_at", 0).join(crowded, ["scope", "slot"], "left").select(*columns, one(F.col("a")).alias("a"), F.explode(every(F.col("r"))).alias("r"))
+    held = side(answers, "answer_id", "answered_at", 1).join(crowded, ["scope", "slot"], "left").select(*columns, F.explode(every(F.col("a"))).alias("a"), one(F.col("r")).alias("r"))
+    made = ["query_id", "answer_id", "answered_at", "similarity"]
+    kinds = [queries.schema["query_id"].dataType.simpleString(), answers.schema["answer_id"].dataType.simpleString(), "bigint", "double"]
+    found = asks.unionByName(held).groupBy("scope", "slot", "a", "r").applyInPandas(
+        lambda group: _best_in_reach(group, ttl, threshold, made), ", ".join(f"{n} {k}" for n, k in zip(made, kinds, strict=True))
     )
     order = [F.desc("similarity"), F.desc("answered_at"), F.desc("answer_id")]
-    return windows.top_per_group(scored, ["query_id"], order, 1).select("query_id", "answer_id", "similarity")
+    return windows.top_per_group(found, ["query_id"], order, 1).select("query_id", "answer_id", "similarity")
 
 
 def answer_reuse(queries, answers, ttl_seconds: int = 300, threshold: float = 0.97, verified: Column | None = None) -> DataFrame:
     """Exact text first, otherwise the best near text; ``verified`` is the caller's check of a near pair."""
     exact = exact_reuse(queries, answers, ttl_seconds).withColumn("kind", F.lit("exact"))
-    rest = queries.join(exact.select("query_id"), "query_id", "left_anti")
-    near = near_reuse(rest, answers, ttl_seconds, threshold).withColumn("kind", F.lit("near"))
+    # A query's near answer does not depend on other queries: those with an exact one are left out at the end, without their texts.
+    near = near_reuse(queries, answers, ttl_seconds, threshold).join(exact.select("query_id"), "query_id", "left_anti").withColumn("kind", F.lit("near"))
     if verified is not None:
         near = near.where(verified)
     return exact.unionByName(near)
