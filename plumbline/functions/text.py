@@ -21,22 +21,6 @@ def tokens(text: str | Column) -> Column:
     return F.regexp_extract_all(F.lower(as_col(text)), F.lit(TOKEN), F.lit(0))
 
 
-def _named(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def counted(values: Column) -> Column:
-    """The distinct values of an array in rising order with their counts, ``array<struct<value, n>>``: a row's own work."""
-
-    def runs(s: Column) -> Column:
-        starts = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
-        size = lambda at, p, j: (F.coalesce(F.get(at, j + 1), F.size(s)) - p).cast("bigint")
-        return _named(starts, lambda at: F.transform(at, lambda p, j: F.struct(F.get(s, p).alias("value"), size(at, p, j).alias("n"))))
-
-    return _named(F.sort_array(values), runs)
-
-
 def identifiers(text: str | Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(as_col(text), F.lit(IDENTIFIER), F.lit(0)))
 

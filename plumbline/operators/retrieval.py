@@ -6,11 +6,16 @@ statistics are per scope, since a query may only see statistics of rows it may s
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import math
+import re
+from collections import Counter
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +31,8 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
 #: Shared terms of one dense slice when answers are compared.
 SLICE = 4096
+#: Terms that a task remembers the numbers of.
+MEMO = 200_000
 
 
 @dataclass(frozen=True)
@@ -135,22 +142,60 @@ def bm25_topk(queries: DataFrame, chunks: DataFrame, scopes: Sequence[Scope], k:
 # ---- dense ------------------------------------------------------------------------------
 
 
+def term_counts(rows: DataFrame, content: str, slots: int | None = None) -> DataFrame:
+    """``content`` becomes ``terms`` (rising), ``counts`` and their ``norm``, the other columns stay: every row is counted where it is.
+
+    A term's number is the first eight bytes of its SHA-256, or the first four modulo ``slots``.
+    """
+    kept = [f for f in rows.schema.fields if f.name != content]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "terms array<bigint>, counts array<bigint>, norm double"])
+    names = [f.name for f in kept]
+
+    def number(token: str) -> int:
+        digest = hashlib.sha256(token.encode()).digest()
+        return int.from_bytes(digest[:4], "big") % slots if slots else int.from_bytes(digest[:8], "big", signed=True)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pattern, memo = re.compile(text.TOKEN), {}
+        for batch in batches:
+            ends, terms, counts, norms = [0], [], [], []
+            for value in batch.column(content).to_pylist():
+                found: dict[int, int] = {}
+                for token, n in Counter(pattern.findall((value or "").lower())).items():
+                    known = memo.get(token)
+                    if known is None:
+                        if len(memo) >= MEMO:
+                            memo.clear()
+                        known = memo[token] = number(token)
+                    found[known] = found.get(known, 0) + n
+                rising = sorted(found)
+                terms += rising
+                counts += [found[t] for t in rising]
+                ends.append(len(terms))
+                norms.append(math.sqrt(sum(n * n for n in found.values())))
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, pa.int64())) for x in (terms, counts)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], *lists, pa.array(norms, pa.float64())], [*names, "terms", "counts", "norm"])
+
+    return rows.mapInArrow(count, schema)
+
+
 def sparse_hash_vectors(docs: DataFrame, key: str, content: str, size: int = VECTOR_SIZE) -> DataFrame:
-    """(key, bucket, weight): hashed token counts scaled to unit length, kept sparse."""
-    placed = docs.select(key, content).repartition(key)
-    words = placed.select(key, F.explode(text.tokens(content)).alias("token"))
-    # Hash each distinct term of a document once, not every occurrence.
-    terms = words.groupBy(key, "token").agg(F.count("*").alias("tf"))
-    counts = terms.groupBy(key, text.token_bucket(F.col("token"), size).alias("bucket")).agg(F.sum("tf").alias("n"))
-    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key)).cast("double"))
-    return counts.select(key, "bucket", (F.col("n") / norm).alias("weight"))
+    """(key, bucket, weight): hashed token counts scaled to unit length, kept sparse.
+
+    A document is counted in its own row, so nothing is shuffled; only where ``key`` repeats
+    (asked once) are the counts of its rows added up.
+    """
+    long = term_counts(docs.select(key, content), content, size)
+    if duplicate_keys(docs.select(key), [key]).isEmpty():
+        rows = long.select(key, "norm", F.explode(F.arrays_zip("terms", "counts")).alias("t"))
+        return rows.select(key, F.col("t.terms").cast("int").alias("bucket"), (F.col("t.counts") / F.col("norm")).alias("weight"))
+    rows = long.select(key, F.explode(F.arrays_zip("terms", "counts")).alias("t")).groupBy(key, F.col("t.terms").cast("int").alias("bucket")).agg(F.sum("t.counts").alias("n"))
+    norms = rows.groupBy(F.col(key).alias("same")).agg(F.sqrt(F.sum(F.col("n") * F.col("n")).cast("double")).alias("norm"))
+    return rows.join(norms, F.col(key).eqNullSafe(F.col("same"))).select(key, "bucket", (F.col("n") / F.col("norm")).alias("weight"))
 
 
 def hash_embed(texts: pd.Series) -> list[np.ndarray]:
     """Default embedder for Arrow batches: the same hashed vectors, dense; no tokens gives zeros."""
-    import hashlib
-    import re
-
     pattern, seen, out = re.compile(text.TOKEN), {}, []
     for value in texts:
         row = np.zeros(VECTOR_SIZE)
@@ -415,11 +460,8 @@ def near_reuse(queries: DataFrame, answers: DataFrame, ttl_seconds: int, thresho
     slots = {"query_id": lambda at: F.array(own(at)), "answer_id": lambda at: F.array(own(at), own(at) + 1)}
 
     def side(df: DataFrame, key: str, at: str, number: int) -> DataFrame:
-        held = df.where(F.col("scope").isNotNull()).select(
-            "scope", F.col(key).alias("id"), micros(at).alias("at"), slots[key](at).alias("slots"), text.counted(F.transform(text.tokens(F.coalesce("text", F.lit(""))), lambda t: F.xxhash64(t))).alias("v")
-        )
-        # (A filter on ``v`` would be pushed below and compute it twice.)
-        wide = held.select("scope", "id", "at", "slots", F.col("v.value").alias("terms"), F.col("v.n").cast("array<int>").alias("counts"))
+        held = df.where(F.col("scope").isNotNull()).select("scope", F.col(key).alias("id"), micros(at).alias("at"), slots[key](at).alias("slots"), "text")
+        wide = term_counts(held, "text").where(F.size("terms") > 0)
         return wide.withColumn("slot", F.explode("slots")).drop("slots").withColumn("side", F.lit(number))
 
     def sizes(df: DataFrame, key: str, at: str, name: str) -> DataFrame:
