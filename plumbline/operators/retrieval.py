@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from plumbline import session
 from plumbline.functions import text
 from plumbline.operators import vectors, windows
-from plumbline.operators.joins import ContractError, broadcast_checked, duplicate_keys
+from plumbline.operators.joins import ContractError, duplicate_keys
 
 VECTOR_SIZE = 1024
 SPACE = f"lexical-sha256:{VECTOR_SIZE}"
@@ -33,6 +33,8 @@ RRF_K = 60
 SLICE = 4096
 #: Terms that a task remembers the numbers of.
 MEMO = 200_000
+#: Terms of all queries of one search.
+MOST_TERMS = 500_000
 
 
 @dataclass(frozen=True)
@@ -83,59 +85,129 @@ def reload_scoped(ranked: DataFrame, chunks: DataFrame, scopes: Sequence[Scope],
 
 
 def corpus(chunks: DataFrame, scopes: Sequence[Scope]) -> DataFrame:
-    """Tokenised eligible chunks (id, scope_ids, tokens), placed by id.
-
-    The raw text is what moves, once; the users of this frame share that exchange and
-    every later grouping by id stays in place.
-    """
+    """Eligible chunks as (id, scope_ids, has_text, doc_len, terms, counts), counted where they are and written to the shared folder once."""
+    session.ensure_checkpoint_dir(chunks.sparkSession)
     marks = F.array(*[F.when(eligible(s), F.lit(s.scope_id)) for s in scopes])
     ids = F.filter(marks, lambda m: m.isNotNull())
-    placed = chunks.select("id", "content", ids.alias("scope_ids")).where(F.size("scope_ids") > 0).repartition("id")
-    return placed.select("id", "scope_ids", text.tokens("content").alias("tokens"))
+    rows = term_counts(chunks.select("id", "content", F.col("content").isNotNull().alias("has_text"), ids.alias("scope_ids")).where(F.size("scope_ids") > 0), "content")
+    return rows.select("id", "scope_ids", "has_text", F.aggregate("counts", F.lit(0).cast("bigint"), lambda n, c: n + c).alias("doc_len"), "terms", "counts").checkpoint()
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(id, token, tf, doc_len, scope_ids) of a tokenised corpus."""
-    words = docs.select("id", "scope_ids", F.size("tokens").alias("doc_len"), F.explode("tokens").alias("token"))
-    # Length and scopes ride in the key: array-valued max() would force a sort aggregate.
-    return words.groupBy("id", "token", "doc_len", "scope_ids").agg(F.count("*").alias("tf"))
+def merged(docs: DataFrame) -> DataFrame:
+    """Rows of one id, length and scopes as one row, their counts added up."""
+    key = ["id", "scope_ids", "doc_len"]
+    long = docs.select(*key, F.explode(F.arrays_zip("terms", "counts")).alias("t")).groupBy(*key, F.col("t.terms").alias("term")).agg(F.sum("t.counts").alias("n"))
+    listed = long.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("term", "n"))).alias("v"))
+    return listed.select(*key, F.col("v.term").alias("terms"), F.col("v.n").alias("counts"))
 
 
-def corpus_statistics(posted: DataFrame, chunks: DataFrame, scopes: Sequence[Scope]) -> DataFrame:
-    """Rows and mean length per scope, counting rows without any token too (no second look at the text)."""
-    rows = scoped(chunks, scopes).groupBy("scope_id").agg(F.count("*").alias("n_docs"))
-    words = posted.select(F.explode("scope_ids").alias("scope_id"), "tf").groupBy("scope_id").agg(F.sum("tf").alias("words"))
-    return rows.join(words, "scope_id").select("scope_id", "n_docs", (F.col("words") / F.col("n_docs")).alias("avgdl"))
+def corpus_statistics(docs: DataFrame) -> DataFrame:
+    """Rows per scope, and their mean length: rows without any token count too, rows without a text only as rows."""
+    rows = docs.select(F.explode("scope_ids").alias("scope_id"), "doc_len", F.col("has_text").cast("int").alias("has_text"))
+    sums = rows.groupBy("scope_id").agg(F.count("*").alias("n_docs"), F.sum("doc_len").alias("words"), F.sum("has_text").alias("texts"))
+    return sums.where("words > 0").select("scope_id", "n_docs", (F.col("words") / F.col("texts")).alias("avgdl"))
 
 
-def term_idf(posted: DataFrame, stats: DataFrame) -> DataFrame:
+def term_idf(docs: DataFrame, stats: DataFrame) -> DataFrame:
     """Idf per (scope, term); negative values are floored at a fraction of the scope's mean idf."""
-    df = posted.select(F.explode("scope_ids").alias("scope_id"), "token").groupBy("scope_id", "token").agg(F.count("*").alias("df"))
+    df = docs.select("scope_ids", F.explode("terms").alias("term")).select(F.explode("scope_ids").alias("scope_id"), "term").groupBy("scope_id", "term").agg(F.count("*").alias("df"))
     raw = df.join(F.broadcast(stats), "scope_id").withColumn(
         "idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     )
     mean = raw.groupBy("scope_id").agg(F.avg("idf").alias("mean_idf"))
     floored = F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf"))
-    return raw.join(F.broadcast(mean), "scope_id").select("scope_id", "token", floored.alias("idf"))
+    return raw.join(F.broadcast(mean), "scope_id").select("scope_id", "term", floored.alias("idf"))
+
+
+def _rounded(x: np.ndarray) -> np.ndarray:
+    """Nine decimals, halves away from zero."""
+    return np.sign(x) * np.floor(np.abs(x) * 1e9 + 0.5) / 1e9
+
+
+def bm25_scores(docs: DataFrame, terms: pd.DataFrame, k: int | None) -> DataFrame:
+    """(id, query_id, scope_id, score) of documents that share a term with a query: a task's ``k`` best of each query, or all.
+
+    ``terms``: query_id, scope_id, term, weight, avgdl. A row is scored where it is; a task holds
+    the scores of one slice of rows and its best so far.
+    """
+    terms = terms.sort_values("term", ignore_index=True)
+    known, first, many = np.unique(terms["term"].to_numpy(np.int64), return_index=True, return_counts=True)
+    asked = terms[["query_id", "scope_id"]].drop_duplicates(ignore_index=True)
+    number = terms.merge(asked.reset_index(), on=["query_id", "scope_id"], how="left")["index"].to_numpy()
+    weight, avgdl = terms["weight"].to_numpy(float), terms["avgdl"].to_numpy(float)
+    scope = asked["scope_id"].to_numpy()
+    slice_rows = max(1, (1 << 21) // max(1, len(asked)))
+
+    def scores(batch: pa.RecordBatch) -> pd.DataFrame:
+        sizes = batch.column("terms").value_lengths().to_numpy()
+        term, tf = batch.column("terms").flatten().to_numpy(), batch.column("counts").flatten().to_numpy()
+        doc = np.repeat(np.arange(batch.num_rows), sizes)
+        at = np.minimum(np.searchsorted(known, term), len(known) - 1)
+        hit = known[at] == term
+        doc, tf, at = doc[hit], tf[hit], at[hit]
+        n = many[at]
+        entry = np.repeat(first[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        doc, tf = np.repeat(doc, n), np.repeat(tf, n).astype(float)
+        may = np.stack([np.isin(scope, list(ids)) for ids in batch.column("scope_ids").to_pylist()])[doc, number[entry]]
+        doc, tf, entry = doc[may], tf[may], entry[may]
+        length = batch.column("doc_len").to_numpy()[doc] / avgdl[entry]
+        pair = doc * len(asked) + number[entry]
+        part = weight[entry] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length))
+        total = np.bincount(pair, part)
+        met = np.flatnonzero(np.bincount(pair))
+        ids = batch.column("id").to_pandas().to_numpy()
+        return pd.DataFrame({"id": ids[met // len(asked)], "q": met % len(asked), "score": total[met]})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, least = None, np.full(len(asked), -np.inf)
+        out = lambda f: pa.RecordBatch.from_pandas(
+            pd.DataFrame({"id": f["id"], "query_id": asked["query_id"].to_numpy()[f["q"]], "scope_id": scope[f["q"]], "score": f["score"]}), schema=arrow, preserve_index=False
+        )
+        for batch in batches:
+            arrow = pa.schema([("id", batch.schema.field("id").type), ("query_id", pa.array(asked["query_id"]).type), ("scope_id", pa.array(scope).type), ("score", pa.float64())])
+            for start in range(0, batch.num_rows if len(asked) else 0, slice_rows):
+                found = scores(batch.slice(start, slice_rows))
+                if k is None:
+                    yield out(found)
+                    continue
+                found["score"] = _rounded(found["score"].to_numpy())
+                found = found[found["score"].to_numpy() >= least[found["q"].to_numpy()]]
+                best = found if best is None else pd.concat([best, found])
+                best = best.sort_values(["q", "score", "id"], ascending=[True, False, True], ignore_index=True)
+                best = best[best.groupby("q").cumcount() < k]
+                full = best.groupby("q")["score"].agg(["size", "min"])
+                full = full[full["size"] == k]
+                least[full.index] = full["min"]
+        if best is not None:
+            yield out(best)
+
+    kind = docs.schema["id"].dataType.simpleString()
+    of = lambda name: pa.types.is_integer(pa.array(asked[name]).type) and "bigint" or "string"
+    return docs.mapInArrow(run, f"id {kind}, query_id {of('query_id')}, scope_id {of('scope_id')}, score double")
 
 
 def bm25_topk(queries: DataFrame, chunks: DataFrame, scopes: Sequence[Scope], k: int = 50) -> DataFrame:
     """Top ``k`` overlapping chunks per query (query_id, scope_id, text), ties by id."""
-    # Postings serve the statistics and the scores: they are written to the shared folder once.
-    session.ensure_checkpoint_dir(chunks.sparkSession)
-    posted = postings(corpus(chunks, scopes)).checkpoint()
-    stats = corpus_statistics(posted, chunks, scopes)
+    docs = corpus(chunks, scopes)
+    single = duplicate_keys(docs.select("id"), ["id"]).isEmpty()
+    stats = corpus_statistics(docs)
+    if not single:
+        docs = merged(docs)
     terms = (
-        queries.select("query_id", "scope_id", F.explode(text.tokens("text")).alias("token"))
-        .groupBy("query_id", "scope_id", "token")
-        .agg(F.count("*").alias("qtf"))
-        .join(term_idf(posted, stats), ["scope_id", "token"])
+        term_counts(queries.select("query_id", "scope_id", "text"), "text")
+        .select("query_id", "scope_id", F.explode(F.arrays_zip("terms", "counts")).alias("t"))
+        .groupBy("query_id", "scope_id", F.col("t.terms").alias("term"))
+        .agg(F.sum("t.counts").alias("qtf"))
+        .join(term_idf(docs, stats), ["scope_id", "term"])
         .join(F.broadcast(stats), "scope_id")
+        .select("query_id", F.col("scope_id").cast("bigint").alias("scope_id"), "term", (F.col("qtf") * F.col("idf")).alias("weight"), "avgdl")
     )
-    tf, length = F.col("tf"), F.col("doc_len") / F.col("avgdl")
-    part = F.col("qtf") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length))
-    hits = posted.join(broadcast_checked(terms, 500_000), "token").where(F.array_contains("scope_ids", F.col("scope_id")))
-    scored = hits.groupBy("id", "query_id", "scope_id").agg(F.round(F.sum(part), 9).alias("score"))
+    asked = terms.limit(MOST_TERMS + 1).toPandas()
+    if len(asked) > MOST_TERMS:
+        raise ContractError(f"queries have more than {MOST_TERMS} terms: search for fewer at a time")
+    scored = bm25_scores(docs, asked, k if single else None)
+    if not single:
+        scored = scored.groupBy("id", "query_id", "scope_id").agg(F.round(F.sum("score"), 9).alias("score"))
     return windows.top_per_group(scored, ["query_id"], [F.desc("score"), F.col("id")], k, "rank")
 
 
