@@ -136,6 +136,7 @@ def bm25_scores(docs: DataFrame, terms: pd.DataFrame, k: int | None) -> DataFram
     number = terms.merge(asked.reset_index(), on=["query_id", "scope_id"], how="left")["index"].to_numpy()
     weight, avgdl = terms["weight"].to_numpy(float), terms["avgdl"].to_numpy(float)
     scope = asked["scope_id"].to_numpy()
+    whole = {name: pa.types.is_integer(pa.array(asked[name]).type) for name in asked}
     slice_rows = max(1, (1 << 21) // max(1, len(asked)))
 
     def scores(batch: pa.RecordBatch) -> pd.DataFrame:
@@ -164,7 +165,7 @@ def bm25_scores(docs: DataFrame, terms: pd.DataFrame, k: int | None) -> DataFram
             pd.DataFrame({"id": f["id"], "query_id": asked["query_id"].to_numpy()[f["q"]], "scope_id": scope[f["q"]], "score": f["score"]}), schema=arrow, preserve_index=False
         )
         for batch in batches:
-            arrow = pa.schema([("id", batch.schema.field("id").type), ("query_id", pa.array(asked["query_id"]).type), ("scope_id", pa.array(scope).type), ("score", pa.float64())])
+            arrow = pa.schema([("id", batch.schema.field("id").type), *((name, pa.int64() if whole[name] else pa.string()) for name in ("query_id", "scope_id")), ("score", pa.float64())])
             for start in range(0, batch.num_rows if len(asked) else 0, slice_rows):
                 found = scores(batch.slice(start, slice_rows))
                 if k is None:
@@ -182,7 +183,7 @@ def bm25_scores(docs: DataFrame, terms: pd.DataFrame, k: int | None) -> DataFram
             yield out(best)
 
     kind = docs.schema["id"].dataType.simpleString()
-    of = lambda name: pa.types.is_integer(pa.array(asked[name]).type) and "bigint" or "string"
+    of = lambda name: "bigint" if whole[name] else "string"
     return docs.mapInArrow(run, f"id {kind}, query_id {of('query_id')}, scope_id {of('scope_id')}, score double")
 
 
@@ -200,12 +201,12 @@ def bm25_topk(queries: DataFrame, chunks: DataFrame, scopes: Sequence[Scope], k:
         .agg(F.sum("t.counts").alias("qtf"))
         .join(term_idf(docs, stats), ["scope_id", "term"])
         .join(F.broadcast(stats), "scope_id")
-        .select("query_id", F.col("scope_id").cast("bigint").alias("scope_id"), "term", (F.col("qtf") * F.col("idf")).alias("weight"), "avgdl")
+        .select("query_id", "scope_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"), "avgdl")
     )
     asked = terms.limit(MOST_TERMS + 1).toPandas()
     if len(asked) > MOST_TERMS:
         raise ContractError(f"queries have more than {MOST_TERMS} terms: search for fewer at a time")
-    scored = bm25_scores(docs, asked, k if single else None)
+    scored = bm25_scores(docs, asked, k if single else None).withColumns({c: F.col(c).cast(queries.schema[c].dataType) for c in ("query_id", "scope_id")})
     if not single:
         scored = scored.groupBy("id", "query_id", "scope_id").agg(F.round(F.sum("score"), 9).alias("score"))
     return windows.top_per_group(scored, ["query_id"], [F.desc("score"), F.col("id")], k, "rank")
