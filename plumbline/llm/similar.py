@@ -115,7 +115,9 @@ def linked_texts(docs: DataFrame, made: DataFrame, pairs: DataFrame, id_col: str
 
     placed = texts_of(docs, named, id_col, text_col).select("b", "_copy", "_side", "_row", "_text")
     placed = placed.repartition("b", "_copy").sortWithinPartitions("b", "_copy", "_side")
-    return common.written(placed.mapInArrow(compare, "a bigint, b bigint"), "similar-links")
+    links = common.written(placed.mapInArrow(compare, "a bigint, b bigint"), "similar-links")
+    common.discard(named)
+    return links
 
 
 def sets_of(docs: DataFrame, made: DataFrame, rows: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -288,7 +290,8 @@ def similar_links(entries: DataFrame, similarity: float, linked, labels: DataFra
     common.small_batches(entries.sparkSession)
     postings = postings_of(entries)
     met = postings.groupBy("key").agg(F.count("*").alias("_m")).where("_m > 1").select("key")
-    shared = common.written(postings.join(met, "key"), "similar-shared")
+    # Only the newest table of postings is kept.
+    kept = shared = common.written(postings.join(met, "key"), "similar-shared")
     links = None
     for turn in range(rounds):
         state = labelled(shared, labels)
@@ -299,6 +302,8 @@ def similar_links(entries: DataFrame, similarity: float, linked, labels: DataFra
             F.min(F.struct(rank.alias("r"), F.col("_row").alias("row"), F.col("label").alias("label"), F.col("n").alias("n"))).alias("_hub"),
         ).where("_l < _h")
         shared = common.written(state.join(buckets.where("_l < _h"), "key").select("key", "_row", "n", "pos", "label", "_m", "_hub"), "similar-open")
+        common.discard(kept)
+        kept = shared
         far = F.least("n", "_hub.n") < F.lit(similarity) * F.greatest("n", "_hub.n") - 1e-6
         tried = shared.where((F.col("_m") > CROWD) & (F.col("label") != F.col("_hub.label")) & ~far)
         pairs = tried.groupBy("_row").agg(F.min("_hub").alias("_hub")).select(F.col("_row").alias("a"), F.col("_hub.row").alias("b"))
@@ -309,12 +314,14 @@ def similar_links(entries: DataFrame, similarity: float, linked, labels: DataFra
         new = linked(pairs)
         links, labels = new if links is None else links.unionByName(new), relabelled(labels, new)
     rest = common.written(labelled(shared, labels), "similar-rest")
+    common.discard(kept)
     one, two = (rest.select("key", *[F.col(c).alias(f"_{side}{c}") for c in ("_row", "n", "pos", "label")]) for side in "ab")
     cross = one.join(two, "key").where(
         (F.col("_a_row") < F.col("_b_row")) & (F.col("_alabel") != F.col("_blabel"))
         & possible(similarity, F.col("_an"), F.col("_bn"), F.col("_apos"), F.col("_bpos"))
     )
     pairs = common.written(cross.select(F.col("_a_row").alias("a"), F.col("_b_row").alias("b")).distinct(), "similar-pairs")
+    common.discard(rest)
     last = linked(pairs)
     return last if links is None else links.unionByName(last)
 
